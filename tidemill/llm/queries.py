@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, packing, quality_rules, sql, toxicity
+from . import chat_format, decontam, lang_id, line_dedup, ngram_join, packing, quality_rules, sql, suffix_dedup, toxicity, url_filter
 
 #: Where the public vocabularies are; a parameter, as they are never part of the repository.
 TOKENIZERS = os.environ.get("TOKENIZER_DIR", "")
@@ -44,5 +44,50 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_best_fit_packing, op3_toxicity, op4_line_dedup)}
-ORACLE_SQL: dict[str, str] = {"op1_quality_rules": sql.OP1, "op4_line_dedup": sql.OP4}
+def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+#: Rules of the URL query, and the host labels whose pages make its list of canonical URLs.
+RULES = (
+    url_filter.Rule("block", "net", "/"),
+    url_filter.Rule("allow", "example.net", "/en/"),
+    url_filter.Rule("block", "example.com", "/de/"),
+    url_filter.Rule("allow", "org", "/fr/"),
+)
+LISTED_LABELS = ("spam-farm", "cheap-pills")
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    host, path = url_filter.host_and_path(F.col("url"))
+    bad = host.rlike(rf"(^|\.)({'|'.join(LISTED_LABELS)})\.")
+    listed = pages.where(bad).select(url_filter.canonical(host, path).alias("url")).distinct()
+    return url_filter.judge(pages, listed, url_filter.UrlFilter(RULES))
+
+
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "<|im_end|><|im_start|>assistant ok"
+    extra = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
+    return chat_format.digests(turns.unionByName(extra), chat_format.ChatFormat(tokenizer_path("byte_bpe_50k.json")))
+
+
+def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_classes(table(spark, sf_dir, "documents"))
+
+
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return lang_id.identify(docs, lang_id.learn(docs))
+
+
+_ALL = (op1_quality_rules, op2_best_fit_packing, op3_toxicity, op4_line_dedup, op5_suffix_array_dedup, op6_url_filter, op7_chat_format, op8_ngram_jaccard_join, op9_decontamination, op10_language_id)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
+ORACLE_SQL: dict[str, str] = {"op1_quality_rules": sql.OP1, "op4_line_dedup": sql.OP4, "op6_url_filter": sql.OP6, "op7_chat_format": sql.OP7, "op8_ngram_jaccard_join": sql.OP8, "op9_decontamination": sql.OP9}

@@ -22,6 +22,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow.compute  # noqa: F401  (used by name)
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,6 +42,7 @@ class Toxicity:
     max_candidates: int = 200_000
     min_lift: float = 3.0
     min_clear: float = 4.0
+    clear_per_root: float = 0.35
     max_features: int = 20_000
     epochs: int = 300
     rate: float = 0.05
@@ -77,7 +79,8 @@ def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], names: list[
     share_p, share_u = in_p / n_p, in_u / n_u
     # only what positives have clearly more often; were all of a feature's texts toxic, its lift would be 1 / prior
     clear = (share_p - share_u) / np.sqrt(share_p / n_p + share_u / n_u + 1e-12)
-    chosen = np.flatnonzero((in_p >= how.min_documents) & (share_p > how.min_lift * share_u) & (clear > how.min_clear))
+    least = min(how.min_clear, how.clear_per_root * np.sqrt(n_p))  # few positives can't show more
+    chosen = np.flatnonzero((in_p >= how.min_documents) & (share_p > how.min_lift * share_u) & (clear > least))
     chosen = chosen[np.argsort(-clear[chosen], kind="stable")][: how.max_features]
     place = np.full(n, -1, "i4")
     place[chosen] = np.arange(len(chosen))
@@ -187,17 +190,33 @@ def fit(docs: DataFrame, labels: DataFrame, how: Toxicity = Toxicity()) -> Model
     return train(groups[1], groups[0], names, min(0.95, max(1e-3, prior)), how)
 
 
-def score(docs: DataFrame, model: Model, how: Toxicity = Toxicity()) -> DataFrame:
-    """doc_id, held_out, score, predicted for every row."""
+def _scored(model: Model, docs: DataFrame, passed: list[str], keep_all: bool):
+    """A function over record batches: the passed columns and the score; or only the rows below 0.5."""
     sent = docs.sparkSession.sparkContext.broadcast(model)  # max_features entries at most
 
-    def scored(batches: Iterator) -> Iterator:
+    def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         scorer = Scorer(sent.value)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array([scorer.score(t.as_py()) for t in b.column("text")], pa.float64())], names=["doc_id", "held_out", "score"])
+            scores = pa.array([scorer.score(t.as_py()) for t in b.column("text")], pa.float64())
+            columns = [b.column(c) for c in passed]
+            if keep_all:
+                yield pa.RecordBatch.from_arrays([*columns, scores], names=[*passed, "score"])
+            else:
+                yield pa.RecordBatch.from_arrays(columns, names=passed).filter(pa.compute.less(scores, 0.5))
+
+    return run
+
 
+def score(docs: DataFrame, model: Model, how: Toxicity = Toxicity()) -> DataFrame:
+    """doc_id, held_out, score, predicted for every row."""
     docs = whole(docs, {"doc_id": "long", "text": "string"})
     docs = docs.select("doc_id", held_out(how, F.col("doc_id")).alias("held_out"), "text")
-    return docs.mapInArrow(scored, "doc_id long, held_out boolean, score double").withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    out = docs.mapInArrow(_scored(model, docs, ["doc_id", "held_out"], True), "doc_id long, held_out boolean, score double")
+    return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of docs whose score is below 0.5, in one pass and without a join."""
+    return docs.mapInArrow(_scored(model, docs, docs.columns, False), docs.schema)
