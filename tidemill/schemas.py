@@ -1,0 +1,13 @@
+"""Schemas of the knowledge tables and of the hit row that every retrieval operator returns."""
+
+from __future__ import annotations
+
+MANUALS = "manual_id string, title string, equipment_type string, revision string, manufacturer string, convention struct<citation_field:string,pattern:string,revision_field:string,label_words:array<string>,quote_hint:string,has_printed_page:boolean,source:string>"
+SECTIONS = "section_id long, manual_id string, parent_id long, path array<string>, title string, page_start int, page_end int, doc_code string, edition string, kind string, procedure_no string, plate_no string, component_title string, action_title string, citation_key string"
+ELEMENTS = "element_id long, section_id long, manual_id string, type string, page int, text string, table_json string, procedure_no string, plate_no string, edition string, drawing_code string, step int, citation_key string"
+FIGURES = "figure_id long, element_id long, manual_id string, section_id long, page int, image string, caption string, label string, panel_index int, drawing_code string, step int"
+EDGES = "from_id long, to_id long, type string"
+FLEET = "equipment_id string, manual_id string, model string, manufacturer string, status string"
+RUNS = "run_id long, manual_id string, status string, page_count int, started_at timestamp, finished_at timestamp"
+QUESTIONS = "query_id long, manual_id string, text string"
+HITS = "query_id long, element_id long, score double, source string"
