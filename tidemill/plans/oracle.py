@@ -113,7 +113,7 @@ f AS (SELECT query_id, figure_id, g.element_id, g.page, coalesce(list_contains(c
   len(list_filter(tokens, lambda t: contains(lower(concat_ws(' ', e.text, component_title, g.label)), t))) AS n
   FROM i_figures g JOIN i_elements e USING (element_id) JOIN i_sections s ON s.section_id = g.section_id JOIN it ON it.manual_id = g.manual_id WHERE NOT (wants_data AND NOT wants_figure AND NOT wants_proc))""")
 _inline("figure_backfill", "figures elements", "SELECT figure_id, coalesce((SELECT nullif(trim(text), '') FROM i_elements e WHERE e.element_id = f.element_id), (SELECT trim(text) FROM i_elements e WHERE e.manual_id = f.manual_id AND e.drawing_code = f.drawing_code AND text IS NOT NULL ORDER BY length(text) DESC, element_id LIMIT 1), (SELECT trim(text) FROM i_elements e WHERE e.manual_id = f.manual_id AND e.page = f.page AND text IS NOT NULL ORDER BY length(text) DESC, element_id LIMIT 1)) AS text FROM i_figures f")
-_inline("related_figures", "hits elements sections figures", "SELECT DISTINCT query_id, figure_id, f.element_id, 2.3::DOUBLE AS score FROM b JOIN i_sections s ON s.manual_id = b.manual_id AND s.kind = 'plate' AND split_part(s.path, '/', 1) = b.chapter JOIN i_figures f ON f.section_id = s.section_id WHERE f.element_id IS NOT NULL", "b AS (SELECT query_id, s.manual_id, split_part(path, '/', 1) AS chapter, max(score) AS m FROM i_hits JOIN i_elements e USING (element_id) JOIN i_sections s ON s.section_id = e.section_id GROUP BY ALL QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY m DESC, chapter) <= 3)")
+_inline("related_figures", "hits elements sections figures", "SELECT DISTINCT query_id, figure_id, f.element_id, 2.3::DOUBLE AS score FROM b JOIN i_sections s ON s.manual_id = b.manual_id AND s.kind = 'plate' AND split_part(s.path, '/', 1) = b.chapter JOIN i_figures f ON f.section_id = s.section_id WHERE f.element_id IS NOT NULL", "b0 AS (SELECT query_id, s.manual_id, split_part(path, '/', 1) AS chapter, max(score) AS m FROM i_hits JOIN i_elements e USING (element_id) JOIN i_sections s ON s.section_id = e.section_id GROUP BY ALL), b AS (SELECT * FROM b0 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY m DESC, chapter) <= 3)")
 _inline("dedup_best", "hits", "SELECT query_id, element_id, greatest(score, 10 - score) AS score FROM i_hits")
 _RANK = "rk AS (SELECT query_id, element_id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, element_id) AS place FROM i_hits)"
 _inline("rerank_hits", "hits", "SELECT query_id, element_id, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN query_id = 1 AND element_id = 104 THEN 0 WHEN query_id = 1 AND element_id = 103 THEN 1 WHEN query_id = 4 AND element_id = 109 THEN 0 ELSE 10 + place END)::INT AS place FROM rk", _RANK)
@@ -160,7 +160,7 @@ z AS (SELECT *, len(list_filter(tokens, lambda v: (length(v) >= 4 OR regexp_matc
   len(list_filter(regexp_extract_all(lower(question), '[0-9]+(?:\\.[0-9]+)? *(?:{_UNITS})'), lambda v: contains(raw, v))) > 0 AS span FROM y)""")
 _inline("citation_window", "hits elements sections questions", "SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY place)::INT AS place, element_id, number, kind FROM (SELECT * FROM y QUALIFY row_number() OVER (PARTITION BY query_id, number, kind ORDER BY place) = 1) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY place) <= 8", f"""{_QT}, {_CAND}, {_RANK},
 x AS (SELECT cd.*, place, coalesce(plate_no, procedure_no, doc_code) AS number, len(list_filter(tokens, lambda c: length(c) >= 4 AND NOT list_contains({_WEAK}, c) AND contains(lower(coalesce(component_title, '')), c))) AS n FROM cd JOIN tk USING (query_id) JOIN rk ON rk.query_id = cd.query_id AND rk.element_id = cd.element_id),
-o AS (SELECT *, n >= greatest(1, max(n) OVER (PARTITION BY query_id)) AS ok FROM x), y AS (SELECT * FROM (SELECT *, bool_or(ok) OVER (PARTITION BY query_id) AS some FROM o) WHERE ok OR NOT some)""")
+o AS (SELECT *, n >= greatest(1, max(n) OVER (PARTITION BY query_id)) AS ok FROM x), y AS (SELECT * FROM (SELECT *, bool_or(ok) OVER (PARTITION BY query_id) AS any_ok FROM o) WHERE ok OR NOT any_ok)""")
 _inline("diagram_window", "hits elements figures", "SELECT query_id, figure_id, image FROM x QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY NOT exact, place, figure_id) <= 6", f"{_RANK}, x AS (SELECT rk.query_id, figure_id, image, f.element_id = rk.element_id AS exact, place FROM rk JOIN i_elements e USING (element_id) JOIN i_figures f ON f.section_id = e.section_id WHERE f.element_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY rk.query_id, image ORDER BY NOT (f.element_id = rk.element_id), place, figure_id) = 1)")
 _inline("numeric_conflicts", "hits elements", "SELECT query_id, code, unit, array_to_string(list_sort(list(DISTINCT value)), ',') AS values FROM (SELECT query_id, code, regexp_extract(v, '([a-z]+)$', 1) AS unit, regexp_extract(v, '^([0-9.]+)', 1) AS value FROM v) GROUP BY query_id, code, unit HAVING count(DISTINCT value) > 1", f"b AS (SELECT query_id, concat_ws(' ', text, {_CELLS}) AS b FROM i_hits JOIN i_elements USING (element_id)), c AS (SELECT query_id, b, unnest(list_distinct(regexp_extract_all(b, '{_ROW}'))) AS code FROM b), v AS (SELECT query_id, code, unnest(regexp_extract_all(lower(b), '[0-9]+(?:\\.[0-9]+)? *(?:{_UNITS})')) AS v FROM c)")
 _inline("route_pages", "pages", """SELECT page, CASE WHEN chars = 0 AND images = 0 AND drawings < 5 THEN 'skip' WHEN reason = 'text layer' THEN 'text' ELSE 'ocr' END AS route, reason FROM r""", """r AS (SELECT *, CASE WHEN chars = 0 AND images = 0 AND drawings < 5 THEN 'blank' WHEN chars = 0 AND images > 0 THEN 'image only' WHEN drawings >= 200 AND chars < 400 THEN 'drawing' WHEN images >= 3 AND chars < 300 THEN 'many images'
