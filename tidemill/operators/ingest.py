@@ -37,7 +37,7 @@ def page_spec(spark, spec: str, page_count: int) -> DataFrame:
     parts = [p.strip().split("-") for p in spec.split(",") if p.strip()]
     rows = [(int(p[0]), min(int(p[-1]), page_count)) for p in parts]
     df = spark.createDataFrame(rows, "a int, b int").where("a <= b")
-    return df.select(F.explode(F.sequence(F.greatest("a", F.lit(1)), "b")).cast("int").alias("page")).distinct()
+    return df.select(F.explode(F.sequence(F.greatest("a", F.lit(1)), "b")).alias("page")).distinct()
 
 
 def sample_pages(page_count: int, most: int = 18) -> Column:
