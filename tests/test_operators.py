@@ -103,7 +103,7 @@ def test_ask_answers_or_abstains(spark):
 
 def test_page_helpers(spark):
     assert sorted(r["page"] for r in ingest.page_spec(spark, "1-3,7,9-99", 10).collect()) == [1, 2, 3, 7, 9, 10]
-    assert _one(spark, ingest.sample_pages(100, 3)) == [1, 50, 100]
+    assert _one(spark, ingest.sample_pages(100, 3)) == [1, 51, 100]
     layout = '{"texts":[{"label":"section_header","text":" A  b ","page":1}],"tables":[{"grid":[[{"text":"x"}]],"page":2}]}'
     got = ingest.layout_elements(spark.createDataFrame([("m", layout)], "manual_id string, layout string")).collect()
     assert [(r["type"], r["page"], r["text"]) for r in got] == [("heading", 1, "A b"), ("table", 2, None)]

@@ -63,7 +63,7 @@ def detect_convention(bands: DataFrame) -> DataFrame:
 
 def extract_citation(bands: DataFrame, conventions: DataFrame) -> DataFrame:
     """Key and revision of each page by its manual's convention; p.N where there is none. One literal pattern a convention, so each is compiled once."""
-    rows = bands.join(F.broadcast(conventions), "manual_id")
+    rows = bands.join(conventions, "manual_id")
     key = reduce(lambda acc, c: acc.when(F.col("convention") == c[0], F.regexp_extract("header", c[1], 1)), CONVENTIONS[1:], F.when(F.col("convention") == CONVENTIONS[0][0], F.regexp_extract("header", CONVENTIONS[0][1], 1)))
     revision = F.nullif(F.regexp_extract("header", r"(?:Edition|Rev) ([0-9A-Z]+)", 1), F.lit(""))
     return rows.select("manual_id", "page", F.coalesce(F.nullif(key, F.lit("")), F.concat(F.lit("p."), F.col("page").cast("string"))).alias("key"), F.when(F.col("convention").isin("quote", "section"), revision).alias("revision"))
