@@ -176,3 +176,37 @@ def panel_ocr(answers: DataFrame) -> DataFrame:
     code = F.coalesce(tagged("CODE"), F.nullif(F.regexp_extract("answer", f"({config.DRAWING_PATTERN})", 1), F.lit("")))
     step = F.coalesce(tagged("STEP"), F.nullif(F.regexp_extract("answer", r"(?:^|\n) *([0-9]{1,2})\.", 1), F.lit("")))
     return answers.select("panel", code.alias("code"), F.nullif(F.regexp_extract(step, "([0-9]+)", 1), F.lit("")).cast("int").alias("step"))
+
+
+def header_lines(spans: DataFrame, band: float = 62.0, bucket: float = 12.0) -> DataFrame:
+    """Text of each page's header band in reading order. spans: page, x0, y0, y1, text."""
+    rows = spans.where(F.col("y1") <= band)
+    order = F.struct(F.bround(F.col("y0") / bucket).cast("int").alias("line"), "x0", "text")
+    return rows.groupBy("page").agg(F.array_join(F.transform(F.array_sort(F.collect_list(order)), lambda s: s["text"]), " ").alias("header"))
+
+
+def panel_steps(panels: DataFrame, labels: DataFrame, slack: float = 40.0) -> DataFrame:
+    """The step label nearest to a panel's top left corner (dy + 0.1 dx) within the slack. labels: page, step, x, y."""
+    near = (F.abs(F.col("y") - F.col("y0")) + 0.1 * F.abs(F.col("x") - F.col("x0"))).alias("far")
+    rows = panels.join(labels, "page").where((F.col("x") >= F.col("x0") - slack) & (F.col("x") <= F.col("x1")) & (F.col("y") >= F.col("y0") - slack) & (F.col("y") <= F.col("y1")))
+    return rows.groupBy("page", "panel").agg(F.min_by("step", F.struct(near, "step")).alias("step"))
+
+
+def route_counts(routed: DataFrame) -> DataFrame:
+    return routed.groupBy("route").agg(F.count("*").alias("n"))
+
+
+def citation_backfill(elements: DataFrame) -> DataFrame:
+    """Key of elements without one: procedure, plate, else page; and the fields that are there as JSON."""
+    key = F.coalesce(T.blank_to_null(F.col("procedure_no")), T.blank_to_null(F.col("plate_no")), F.concat(F.lit("p."), F.col("page").cast("string")))
+    return elements.select("element_id", key.alias("citation_key"), F.to_json(F.struct("procedure_no", "plate_no", "edition")).alias("fields"))
+
+
+def placed_elements(parsed: DataFrame, sections: DataFrame) -> DataFrame:
+    """Parsed elements with their page's most specific section, its numbers, and the step of their text where none is given."""
+    from .graph import page_to_section
+
+    own = page_to_section(parsed.select("manual_id", "page").distinct(), sections)
+    numbers = sections.select("section_id", F.col("procedure_no").alias("p"), F.col("plate_no").alias("l"))
+    rows = parsed.drop("section_id").join(own, ["manual_id", "page"], "left").join(numbers, "section_id", "left")
+    return rows.select("element_id", "section_id", F.coalesce("procedure_no", "p").alias("procedure_no"), F.coalesce("plate_no", "l").alias("plate_no"), F.coalesce("step", T.leading_step(F.col("text"))).alias("step"))

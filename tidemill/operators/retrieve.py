@@ -207,3 +207,32 @@ def overlap_score(blob: Column, tokens: Column, distinctive: Column, kind: Colum
         + F.when(kind.isin("list", "heading") & ((d > 0) | (t >= 2)), 4.0).otherwise(0.0)
     )
     return F.when((low == "") | (F.size(tokens) == 0), 0.0).otherwise(parts)
+
+
+def route_query(questions: DataFrame) -> DataFrame:
+    """Paths by question: lexical and structural always, visual where figures are wanted."""
+    return questions.select("query_id", F.array_compact(F.array(F.lit("lexical"), F.lit("structural"), F.when(T.intent(F.col("text"))["wants_figure"], "visual"))).alias("labels"))
+
+
+def boosts(rows: DataFrame, questions: DataFrame) -> DataFrame:
+    """The additive signals of the single-pass path: codes, sections, phrases, titles, kinds. rows: hits with element and section columns."""
+    q = questions.select("query_id", T.intent(F.col("text")).alias("i"), T.phrases(T.content_tokens(F.col("text"))).alias("ps"))
+    title = F.lower(F.concat_ws(" ", "component_title", "action_title"))
+    text = F.lower(F.coalesce("text", F.lit("")))
+    i = lambda n: F.col(f"i.{n}")
+    special = F.filter(i("component_tokens"), lambda t: F.char_length(t) >= 5)
+    n_title, n_first = T.contained(title, special), T.contained(title, F.slice(i("tokens"), 1, 8))
+    named = F.size(F.filter(i("codes"), lambda c: F.coalesce(c == F.col("doc_code"), F.lit(False)) | F.upper(text).contains(c)))
+    own = F.size(F.filter(i("codes"), lambda c: F.coalesce(c == F.col("procedure_no"), F.lit(False))))
+    phrase = F.when(F.exists("ps", lambda p: title.contains(p)), 8.0).when(F.exists("ps", lambda p: F.substring(text, 1, 400).contains(p)), 2.5).otherwise(0.0)
+    kind, data, proc = F.coalesce("kind", F.lit("other")), i("wants_data"), i("wants_proc")
+    delta = (
+        4.0 * named + 6.0 * own + phrase
+        + F.when(F.size(special) == 0, 0.0).when(n_title > 0, F.least(F.lit(6.0), 2.0 * n_title)).otherwise(-10.0)
+        + F.least(F.lit(2.5), 0.8 * n_first)
+        + F.when(data & (kind == "data"), 3.0).otherwise(0.0)
+        + F.when(proc & (kind == "procedure"), 3.5).when(proc & ~data & (kind == "data"), 0.5).otherwise(0.0)
+        + F.when(~i("wants_figure") & (kind == "plate"), -2.0).otherwise(0.0)
+        + F.when(i("wants_schedule") & (kind == "schedule"), 4.0).when((data | proc) & kind.isin("other", "schedule"), -1.5).otherwise(0.0)
+    )
+    return rows.join(q, "query_id").withColumn("score", F.round(F.col("score") + delta, 6)).drop("i", "ps")

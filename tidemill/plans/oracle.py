@@ -173,3 +173,31 @@ _inline("upsert_sections", "sections upserts", "SELECT path, arg_max(title, seq)
 _inline("upsert_fleet", "fleet new_fleet", "SELECT * FROM i_new_fleet UNION ALL SELECT * FROM i_fleet f WHERE NOT EXISTS (SELECT 1 FROM i_new_fleet n WHERE n.equipment_id = f.equipment_id AND n.manual_id = f.manual_id)")
 _inline("fleet_context", "fleet manuals", "SELECT manual_id, equipment_id, f.model, title FROM i_fleet f JOIN i_manuals USING (manual_id) WHERE status = 'current'")
 _inline("plate_pages", "sections elements", "SELECT manual_id, section_id, plate_no, page::INT AS page FROM (SELECT manual_id, section_id, plate_no, unnest(range(page_start, page_end + 1)) AS page FROM i_sections WHERE kind = 'plate') p WHERE NOT EXISTS (SELECT 1 FROM i_elements e WHERE e.manual_id = p.manual_id AND e.page = p.page AND e.type IN ('plate', 'figure'))")
+
+_inline("route_query", "questions", "SELECT query_id, CASE WHEN wants_figure THEN 'lexical,structural,visual' ELSE 'lexical,structural' END AS labels FROM it", _INTENT)
+_inline("ranking_boosts", "hits elements sections questions", """SELECT query_id, element_id, round(score + 4 * named + 6 * own
+  + CASE WHEN len(list_filter(phrases, lambda p: contains(title, p))) > 0 THEN 8 WHEN len(list_filter(phrases, lambda p: contains(left(low, 400), p))) > 0 THEN 2.5::DOUBLE ELSE 0 END
+  + CASE WHEN len(special) = 0 THEN 0 WHEN nt > 0 THEN least(6, 2 * nt) ELSE -10 END + least(2.5::DOUBLE, 0.8::DOUBLE * n8)
+  + CASE WHEN wants_data AND kd = 'data' THEN 3 ELSE 0 END + CASE WHEN wants_proc AND kd = 'procedure' THEN 3.5::DOUBLE WHEN wants_proc AND NOT wants_data AND kd = 'data' THEN 0.5::DOUBLE ELSE 0 END
+  - CASE WHEN NOT wants_figure AND kd = 'plate' THEN 2 ELSE 0 END + CASE WHEN wants_schedule AND kd = 'schedule' THEN 4 WHEN (wants_data OR wants_proc) AND kd IN ('other', 'schedule') THEN -1.5::DOUBLE ELSE 0 END, 6)::DOUBLE AS score FROM z""", f"""{_INTENT}, {_CAND},
+x AS (SELECT cd.*, it.* EXCLUDE (query_id, manual_id, text), coalesce(kind, 'other') AS kd, lower(concat_ws(' ', component_title, action_title)) AS title, lower(coalesce(cd.text, '')) AS low, list_filter(component, lambda t: length(t) >= 5) AS special FROM cd JOIN it USING (query_id)),
+z AS (SELECT *, len(list_filter(special, lambda t: contains(title, t))) AS nt, len(list_filter(tokens[1:8], lambda t: contains(title, t))) AS n8, len(list_filter(codes, lambda c: coalesce(c = doc_code, false) OR contains(upper(low), c))) AS named, len(list_filter(codes, lambda c: coalesce(c = procedure_no, false))) AS own FROM x)""")
+_inline("fetch_named", "hits elements sections questions", f"SELECT x.query_id, x.element_id, 40.0::DOUBLE AS score FROM x {_NEW} QUALIFY row_number() OVER (PARTITION BY x.query_id ORDER BY page, x.element_id) <= 10", f"c AS (SELECT e.manual_id, e.element_id, unnest([e.procedure_no, e.plate_no, s.doc_code, e.drawing_code]) AS code FROM i_elements e LEFT JOIN i_sections s ON s.section_id = e.section_id), q AS (SELECT query_id, manual_id, unnest({_ids('text')}) AS code FROM i_questions), x AS (SELECT DISTINCT query_id, element_id FROM q JOIN c USING (manual_id, code))")
+_inline("fetch_drawings", "figures questions", "SELECT DISTINCT query_id, figure_id, element_id, 48.0::DOUBLE AS score FROM i_figures f JOIN q ON q.manual_id = f.manual_id AND length(code) >= 5 AND (contains(upper(coalesce(drawing_code, '')), code) OR contains(upper(coalesce(label, '')), code)) WHERE element_id IS NOT NULL", f"q AS (SELECT query_id, manual_id, unnest({_ids('text')}) AS code FROM i_questions)")
+_inline("best_plate", "hits elements figures", "SELECT query_id, figure_id, f.element_id FROM b JOIN i_figures f USING (section_id) WHERE f.element_id IS NOT NULL", "b AS (SELECT query_id, section_id FROM i_hits JOIN i_elements USING (element_id) WHERE plate_no IS NOT NULL QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, element_id) = 1)")
+_inline("images_first", "hits figures questions", "SELECT query_id, element_id, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN wants_figure AND NOT image THEN 1 ELSE 0 END, place)::INT AS place, image FROM r", f"{_INTENT}, {_RANK}, r AS (SELECT rk.*, wants_figure, rk.element_id IN (SELECT element_id FROM i_figures WHERE element_id IS NOT NULL) AS image FROM rk JOIN it USING (query_id))")
+_inline("header_lines", "spans", "SELECT page, string_agg(text, ' ' ORDER BY round_even(y0 / 12, 0), x0, text) AS header FROM i_spans WHERE y1 <= 62 GROUP BY page")
+_inline("route_counts", "pages", "SELECT route, count(*) AS n FROM (SELECT CASE WHEN chars = 0 AND images = 0 AND drawings < 5 THEN 'skip' WHEN (chars = 0 AND images > 0) OR (drawings >= 200 AND chars < 400) OR (images >= 3 AND chars < 300) OR (chars < 80 AND (images > 0 OR drawings >= 20)) OR ratio > 0.25 OR (chars BETWEEN 300 AND 1200 AND drawings >= 150) THEN 'ocr' ELSE 'text' END AS route FROM i_pages) GROUP BY route")
+_inline("citation_backfill", "elements", """SELECT element_id, coalesce(procedure_no, plate_no, 'p.' || page) AS citation_key, '{' || concat_ws(',', '"procedure_no":"' || procedure_no || '"', '"plate_no":"' || plate_no || '"', '"edition":"' || edition || '"') || '}' AS fields FROM i_elements""")
+_inline("placed_elements", "elements sections", "SELECT e.element_id, s.section_id, coalesce(e.procedure_no, s.procedure_no) AS procedure_no, coalesce(e.plate_no, s.plate_no) AS plate_no, coalesce(step, TRY_CAST(regexp_extract(text, '^ *([0-9]{1,2})\\. ', 1) AS INT)) AS step FROM i_elements e LEFT JOIN i_sections s ON e.manual_id = s.manual_id AND e.page BETWEEN page_start AND page_end QUALIFY row_number() OVER (PARTITION BY e.element_id ORDER BY len(string_split(path, '/')) DESC NULLS LAST, page_end - page_start, s.section_id) = 1")
+
+_inline("gate_checks", "questions hits elements manuals", """SELECT query_id, n, equipment, revision, condition, units, scope, true AS conflicts, concat_ws(',', CASE WHEN NOT equipment THEN 'equipment' END, CASE WHEN NOT revision THEN 'revision' END, CASE WHEN NOT condition THEN 'condition' END, CASE WHEN NOT units THEN 'units' END, CASE WHEN NOT scope THEN 'scope' END) AS failed,
+  CASE WHEN NOT scope THEN 'no evidence covers the question' WHEN NOT equipment THEN 'the evidence is for other equipment' WHEN NOT revision THEN 'the evidence is of another edition' WHEN NOT condition THEN 'a condition is not in the evidence' WHEN NOT units THEN 'a unit is not in the evidence' ELSE 'ok' END AS reason,
+  equipment AND revision AND condition AND units AND scope AS passed FROM c""", f"""{tokens('i_questions', 'query_id, manual_id, text, equipment')},
+ev AS (SELECT query_id, lower(concat_ws(' ', text, {_CELLS})) AS b, coalesce(plate_no, procedure_no) AS code, edition FROM i_hits JOIN i_elements USING (element_id)),
+bl AS (SELECT query_id, string_agg(b, ' ' ORDER BY b) AS blob, count(*)::INT AS n FROM ev GROUP BY query_id),
+q AS (SELECT ph.query_id, ph.manual_id, ph.text, phrases, tokens, coalesce(n, 0) AS n, coalesce(blob, '') AS blob, lower(model) AS model, lower(coalesce(ph.equipment, nullif(regexp_extract(upper(text), '[A-Z]{{2,}}[0-9]+[A-Z0-9]*'), ''))) AS wanted, upper(nullif(regexp_extract(lower(text), 'edition +([a-z]?[0-9]+[a-z]?)', 1), '')) AS ed FROM ph LEFT JOIN bl USING (query_id) LEFT JOIN i_manuals m USING (manual_id)),
+c AS (SELECT query_id, n, wanted IS NULL OR contains(model, wanted) OR contains(wanted, model) AS equipment, ed IS NULL OR EXISTS (SELECT 1 FROM ev WHERE ev.query_id = q.query_id AND ev.edition = ed AND (len({_ids('q.text')}) = 0 OR list_contains({_ids('q.text')}, ev.code))) AS revision,
+  len(list_filter(['shut off', 'under pressure', 'cold engine', 'warm engine', 'before work', 'after work'], lambda x: contains(lower(text), x) AND NOT contains(blob, x))) = 0 AS condition,
+  regexp_matches(lower(text), '[0-9] *({_UNITS})([^a-z]|$)') OR len(list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda u: list_contains(['mm', 'bar', 'nm', 'kg'], u) AND NOT contains(blob, u))) = 0 AS units,
+  n > 0 AND (len(phrases) + len(tokens) = 0 OR len(list_filter(list_concat(phrases, tokens)[1:6], lambda x: contains(blob, x))) > 0) AS scope FROM q)""")

@@ -209,6 +209,22 @@ def _rerank(spark: SparkSession) -> DataFrame:
     return retrieve.rerank(_ranked(spark).select("query_id", "element_id", "place"), order)
 
 
+def _boosts(spark: SparkSession) -> DataFrame:
+    hits, e, s, q = _small(spark, "hits", "elements", "sections", "questions")
+    return retrieve.boosts(rank.candidates(hits, e, s), q).select("query_id", "element_id", "score")
+
+
+def _panel_steps(spark: SparkSession) -> DataFrame:
+    rects, steps = _small(spark, "rects", "steps")
+    return ingest.panel_steps(ingest.panel_boxes(rects), steps)
+
+
+def _log(spark: SparkSession) -> DataFrame:
+    q, hits, e, m = _small(spark, "questions", "hits", "elements", "manuals")
+    rows = _ranked(spark)
+    return engine.query_log(gate.answers(gate.checks(q, hits, e, m), rows), q, rows).withColumn("retrieved", F.array_join(F.transform("retrieved", lambda x: x.cast("string")), ","))
+
+
 def _panel_codes(spark: SparkSession) -> DataFrame:
     rects, labels = _small(spark, "rects", "labels")
     return ingest.panel_codes(ingest.panel_boxes(rects), labels)
@@ -265,6 +281,18 @@ for _name, _build in {
     "plate_pages": _two(ingest.plate_pages, "sections", "elements"),
     "panel_boxes": _two(ingest.panel_boxes, "rects"),
     "panel_codes": _panel_codes,
+    "route_query": lambda spark: retrieve.route_query(inline.table(spark, "questions")).withColumn("labels", F.array_join("labels", ",")),
+    "ranking_boosts": _boosts,
+    "fetch_named": _two(rank.fetch_named, "hits", "elements", "sections", "questions"),
+    "fetch_drawings": _two(rank.fetch_drawings, "figures", "questions"),
+    "best_plate": lambda spark: rank.best_plate(_ranked(spark), inline.table(spark, "figures")),
+    "images_first": lambda spark: rank.images_first(_ranked(spark), *_small(spark, "figures", "questions")),
+    "header_lines": _two(ingest.header_lines, "spans"),
+    "panel_steps": _panel_steps,
+    "route_counts": lambda spark: ingest.route_counts(ingest.route_pages(inline.table(spark, "pages"))),
+    "citation_backfill": _two(ingest.citation_backfill, "elements"),
+    "placed_elements": _two(ingest.placed_elements, "elements", "sections"),
+    "query_log": _log,
     "build_edges": lambda spark: engine.build_edges(_knowledge(spark)),
     "ask": lambda spark: engine.ask(_knowledge(spark), inline.table(spark, "questions")),
 }.items():

@@ -84,6 +84,11 @@ TABLES: dict[str, tuple[str, list[tuple]]] = {
         [(1, 50.0, 50.0, 290.0, 390.0, 600.0, 800.0), (1, 310.0, 50.0, 560.0, 390.0, 600.0, 800.0), (1, 60.0, 60.0, 200.0, 200.0, 600.0, 800.0), (1, 50.0, 420.0, 290.0, 760.0, 600.0, 800.0), (1, 0.0, 0.0, 600.0, 800.0, 600.0, 800.0), (2, 100.0, 100.0, 130.0, 500.0, 600.0, 800.0), (2, 100.0, 100.0, 400.0, 400.0, 600.0, 800.0)],
     ),
     "labels": ("page int, code string, x double, y double", [(1, "AB1-1", 280.0, 380.0), (1, "AB1-2", 550.0, 380.0), (1, "AB1-3", 300.0, 400.0), (2, "AB2-1", 390.0, 390.0), (2, "AB2-2", 391.0, 391.0)]),
+    "spans": (
+        "page int, x0 double, y0 double, y1 double, text string",
+        [(1, 300.0, 21.0, 30.0, "Edition 07"), (1, 20.0, 19.0, 30.0, "Quote 902-1.3"), (1, 20.0, 40.0, 50.0, "Rotor"), (1, 20.0, 100.0, 110.0, "body"), (2, 20.0, 30.0, 62.0, "Cover"), (3, 20.0, 60.0, 70.0, "low")],
+    ),
+    "steps": ("page int, step int, x double, y double", [(1, 1, 55.0, 55.0), (1, 2, 315.0, 52.0), (1, 3, 52.0, 425.0), (1, 4, 60.0, 300.0), (2, 1, 90.0, 95.0)]),
     "pages": (
         "page int, chars int, images int, drawings int, ratio double",
         [(1, 0, 0, 4, 0.0), (2, 0, 1, 0, 0.0), (3, 399, 0, 200, 0.0), (4, 400, 0, 200, 0.0), (5, 299, 3, 0, 0.0), (6, 300, 3, 0, 0.0), (7, 79, 1, 0, 0.0), (8, 80, 1, 0, 0.0), (9, 79, 0, 20, 0.0), (10, 500, 0, 0, 0.3), (11, 300, 0, 150, 0.0), (12, 1200, 0, 150, 0.0), (13, 1201, 0, 150, 0.0), (14, 0, 0, 5, 0.0), (15, 1300, 0, 10, 0.25)],
