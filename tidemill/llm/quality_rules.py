@@ -48,8 +48,8 @@ class QualityRules:
 
     char_limit: float = 0.25
     word_limit: float = 0.26
-    min_words: int = 30
-    min_chars: int = 100
+    min_words: int = 60
+    min_chars: int = 300
     base_words: int = 10
     base_repeat_percent: int = 20
 
