@@ -39,7 +39,7 @@ class Toxicity:
     held_out_fold: int = 0
     gram: int = 5
     min_documents: int = 4
-    max_candidates: int = 200_000
+    max_candidates: int = 100_000
     min_lift: float = 3.0
     min_clear: float = 4.0
     clear_per_root: float = 0.35
@@ -69,30 +69,27 @@ def lowered(text: str | None) -> set[str]:
     return set(_LETTERS.findall((text or "").lower()))
 
 
-def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], names: list[str], prior: float, how: Toxicity) -> Model:
-    """positive, unlabelled: the numbers of the features of each text; names: of the features."""
-    if not positive or not unlabelled:
-        return Model({}, -50.0, how.gram)
-    n_p, n_u, n = len(positive), len(unlabelled), len(names)
-    in_p = np.bincount(np.concatenate(positive), minlength=n)
-    in_u = np.bincount(np.concatenate(unlabelled), minlength=n)
+def choose(in_p: np.ndarray, in_u: np.ndarray, n_p: int, n_u: int, how: Toxicity) -> np.ndarray:
+    """Features that positives have clearly more often, the clearest first; were all of a feature's texts toxic, its lift would be 1 / prior."""
     share_p, share_u = in_p / n_p, in_u / n_u
-    # only what positives have clearly more often; were all of a feature's texts toxic, its lift would be 1 / prior
     clear = (share_p - share_u) / np.sqrt(share_p / n_p + share_u / n_u + 1e-12)
     least = min(how.min_clear, how.clear_per_root * np.sqrt(n_p))  # few positives can't show more
     chosen = np.flatnonzero((in_p >= how.min_documents) & (share_p > how.min_lift * share_u) & (clear > least))
-    chosen = chosen[np.argsort(-clear[chosen], kind="stable")][: how.max_features]
-    place = np.full(n, -1, "i4")
-    place[chosen] = np.arange(len(chosen))
+    return chosen[np.argsort(-clear[chosen], kind="stable")][: how.max_features]
+
+
+def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], names: list[str], prior: float, how: Toxicity) -> Model:
+    """positive, unlabelled: the numbers of the features of each text; names: of the features."""
+    n_p, n_u, n = len(positive), len(unlabelled), len(names)
+    if not n_p or not n_u:
+        return Model({}, -50.0, how.gram)
     owner, cols = [], []
     for k, row in enumerate([*positive, *unlabelled]):
-        c = place[row]
-        c = c[c >= 0]
-        cols.append(c)
-        owner.append(np.full(len(c), k, "i4"))
+        cols.append(row)
+        owner.append(np.full(len(row), k, "i4"))
     owner, cols = np.concatenate(owner), np.concatenate(cols)
-    w, bias = np.zeros(len(chosen)), np.log(prior / (1 - prior))
-    m, v = np.zeros(len(chosen) + 1), np.zeros(len(chosen) + 1)
+    w, bias = np.zeros(n), np.log(prior / (1 - prior))
+    m, v = np.zeros(n + 1), np.zeros(n + 1)
     # for the logistic loss, d loss(z, +1)/dz = s - 1 and d loss(z, -1)/dz = s
     for step in range(1, how.epochs + 1):
         z = np.bincount(owner, weights=w[cols], minlength=n_p + n_u) + bias
@@ -106,19 +103,37 @@ def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], names: list[
         else:
             g[:n_p] = prior * s[:n_p] / n_p
             g[n_p:] = -s[n_p:] / n_u
-        grad = np.r_[np.bincount(cols, weights=g[owner], minlength=len(chosen)) + how.decay * w, g.sum()]
+        grad = np.r_[np.bincount(cols, weights=g[owner], minlength=n) + how.decay * w, g.sum()]
         m = 0.9 * m + 0.1 * grad
         v = 0.999 * v + 0.001 * grad**2
         move = how.rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
         w -= move[:-1]
         bias -= move[-1]
-    return Model({names[f]: float(x) for f, x in zip(chosen, w, strict=True) if abs(x) > 1e-3}, float(bias), how.gram)
+    return Model({f: float(x) for f, x in zip(names, w, strict=True) if abs(x) > 1e-3}, float(bias), how.gram)
+
+
+class _Numbers:
+    """Numbers of the indexed features of a text; those of a word are looked up once."""
+
+    def __init__(self, index: dict[str, int], gram: int, cache_words: int = 150_000):
+        self.index, self.gram, self.limit, self.known = index, gram, cache_words, {}
+
+    def __call__(self, text: str | None) -> list[int]:
+        known, found = self.known, set()
+        if len(known) > self.limit:
+            known.clear()
+        for w in lowered(text):
+            own = known.get(w)
+            if own is None:
+                own = known[w] = tuple(self.index[f] for f in features_of(w, self.gram) if f in self.index)
+            found.update(own)
+        return sorted(found)
 
 
 class Scorer:
     """Scores of texts; the features of a word are looked up once."""
 
-    def __init__(self, model: Model, cache_words: int = 400_000):
+    def __init__(self, model: Model, cache_words: int = 200_000):
         self.model, self.limit, self.known = model, cache_words, {}
 
     def _of(self, word: str) -> tuple[str, ...]:
@@ -144,8 +159,11 @@ def held_out(how: Toxicity, doc_id: Column) -> Column:
 
 
 def _sample(ids: DataFrame, n: int, kind: int) -> DataFrame:
-    """n ids, the smallest by hash: a top-n that partitions cut before it is merged."""
-    return ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(n).withColumn("kind", F.lit(kind))
+    """n ids at most, the smallest by hash. A threshold on the hash comes first, so about n rows are ever sorted, not n of each task."""
+    rows = ids.count()
+    share = min(1.0, (n + 4 * n**0.5 + 10) / max(1, rows))
+    h = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000_000))
+    return ids.where(h < int(share * 1_000_000_000) + 1).distinct().orderBy(h, "doc_id").limit(n).withColumn("kind", F.lit(kind))
 
 
 def fit(docs: DataFrame, labels: DataFrame, how: Toxicity = Toxicity()) -> Model:
@@ -156,8 +174,8 @@ def fit(docs: DataFrame, labels: DataFrame, how: Toxicity = Toxicity()) -> Model
     labels = whole(labels, {"doc_id": "long", "toxic": "int"}).where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
     labels = labels.where(~held_out(how, F.col("doc_id")))
     prior = labels.agg(F.avg((F.col("toxic") == 1).cast("double"))).first()[0] or 0.0
-    positive = _sample(labels.where("toxic = 1").select("doc_id").distinct(), how.max_positive, 1)
-    unlabelled = _sample(docs.where(~held_out(how, F.col("doc_id"))).select("doc_id").distinct(), how.max_unlabelled, 0)
+    positive = _sample(labels.where("toxic = 1").select("doc_id"), how.max_positive, 1)
+    unlabelled = _sample(docs.where(~held_out(how, F.col("doc_id"))).select("doc_id"), how.max_unlabelled, 0)
     chosen = F.broadcast(positive.unionByName(unlabelled))  # max_positive + max_unlabelled rows at most
     # ids first, then text: of the large table only sampled rows go on; copies of a text count once in each group
     sample = docs.join(chosen, "doc_id").groupBy("kind", F.xxhash64("text").alias("h")).agg(F.min_by("text", "doc_id").alias("text"))
@@ -170,20 +188,35 @@ def fit(docs: DataFrame, labels: DataFrame, how: Toxicity = Toxicity()) -> Model
 
     often = sample.where("kind = 1").select("text").mapInArrow(features, "f string").groupBy("f").count().where(F.col("count") >= how.min_documents)
     names = [r["f"] for r in often.orderBy(F.desc("count"), "f").limit(how.max_candidates).collect()]
-    sent = docs.sparkSession.sparkContext.broadcast({f: k for k, f in enumerate(names)})  # max_candidates at most
+    context = docs.sparkSession.sparkContext
+    sent = context.broadcast({f: k for k, f in enumerate(names)})  # max_candidates at most
+
+    def count(batches: Iterator) -> Iterator:
+        """How many texts of each kind have each candidate: sums of a task."""
+        of, n = _Numbers(sent.value, how.gram), np.zeros((2, max(1, len(sent.value))), "i8")
+        size = np.zeros(2, "i8")
+        for b in batches:
+            for kind, t in zip(b.column("kind").to_pylist(), b.column("text"), strict=True):
+                n[kind, of(t.as_py())] += 1
+                size[kind] += 1
+        kind, f = np.nonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(np.r_[kind, 0, 1].astype("i4")), pa.array(np.r_[f, -1, -1].astype("i4")), pa.array(np.r_[n[kind, f], size])], names=["kind", "f", "n"])
+
+    total = sample.mapInArrow(count, "kind int, f int, n long").groupBy("kind", "f").agg(F.sum("n").alias("n")).toPandas()
+    seen, size = np.zeros((2, len(names)), "i8"), np.zeros(2, "i8")
+    own = total.f >= 0
+    seen[total.kind[own], total.f[own]] = total.n[own]
+    size[total.kind[~own]] = total.n[~own]
+    if not size.all():
+        return train([], [], [], prior, how)
+    names = [names[k] for k in choose(seen[1], seen[0], int(size[1]), int(size[0]), how)]
+    sent.unpersist()
+    kept = context.broadcast({f: k for k, f in enumerate(names)})  # max_features at most
 
     def numbers(batches: Iterator) -> Iterator:
-        index, known = sent.value, {}
+        of = _Numbers(kept.value, how.gram)
         for b in batches:
-            out = []
-            for t in b.column("text"):
-                found = set()
-                for w in lowered(t.as_py()):
-                    if w not in known:
-                        known[w] = [index[f] for f in features_of(w, how.gram) if f in index]
-                    found.update(known[w])
-                out.append(sorted(found))
-            yield pa.RecordBatch.from_arrays([b.column("kind"), pa.array(out, pa.list_(pa.int32()))], names=["kind", "f"])
+            yield pa.RecordBatch.from_arrays([b.column("kind"), pa.array([of(t.as_py()) for t in b.column("text")], pa.list_(pa.int32()))], names=["kind", "f"])
 
     rows = sample.mapInArrow(numbers, "kind int, f array<int>").toPandas()
     groups = {k: [np.asarray(x, "i4") for x in rows.f[rows.kind == k]] for k in (0, 1)}
