@@ -174,6 +174,9 @@ def _suffix_rows(df, how):
 def test_suffix_dedup_by_brute_force(spark, docs, odd):
     how = suffix_dedup.SuffixDedup()
     assert _suffix_rows(docs, how) == _brute_suffix([(r["doc_id"], r["text"]) for r in docs.collect()], 50)
+    for size in (1, 20_000):  # what a task gathers before it deals out changes nothing
+        how = suffix_dedup.SuffixDedup(bucket_bytes=100_000, flush_bytes=size)
+        assert _suffix_rows(docs.repartition(3), how) == _brute_suffix([(r["doc_id"], r["text"]) for r in docs.collect()], 50)
     small = suffix_dedup.SuffixDedup(length=20, gram=8, shallow=8)
     assert _suffix_rows(odd, small) == _brute_suffix([(r["doc_id"], r["text"]) for r in odd.collect()], 20)
     assert suffix_dedup.remove_repeats(odd.limit(0)).count() == 0

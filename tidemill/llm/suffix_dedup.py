@@ -14,7 +14,9 @@ found by sorting; no candidate is dropped, and hashes only choose where things m
    smallest document; the covered spans go back to the documents.
 
 Texts move compressed. Exact copies of a text are settled by its hash (128 bits) and send nothing
-in step 2. A group of equal hashes of any size is plain arrays in one bucket, sorted, never paired.
+in step 2. A hash or run that many documents share is pre-aggregated: a task sends it once in
+``flush_bytes`` of text and settles the rest itself, so a passage in a third of all documents makes
+one row for every such amount of text. In a bucket, equals are sorted, never paired.
 
 Nulls and edges: a null text is empty; texts shorter than ``length`` stay whole; a row with a null
 doc_id keeps all bytes and removes none; rows with the same doc_id do not remove from each other;
@@ -182,7 +184,10 @@ def _expand(blob: bytes) -> bytes:
 
 
 def _deal_hashes(how: SuffixDedup, buckets: int):
-    """Step 1: hashes of runs, dealt out; a row holds what one task sends to one bucket."""
+    """Step 1: hashes of runs, dealt out; a row holds what one task sends to one bucket.
+
+    However many texts share a hash, a task sends it once in ``flush_bytes`` of text. Buckets below 0 carry answers.
+    """
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -195,11 +200,20 @@ def _deal_hashes(how: SuffixDedup, buckets: int):
             b, key = bucket_and_key(g, buckets)
             order = np.lexsort((key, b))
             b, key, rid = b[order], key[order], rid[order]
-            cuts = np.flatnonzero(np.concatenate(([True], b[1:] != b[:-1], [True])))
-            part, row = rid >> 33, (rid & ((1 << 33) - 1)).astype("u4")
-            for x, y in zip(cuts[:-1], cuts[1:], strict=True):
-                low, high = (row[x:y] & np.uint32(0xFFFF)).astype("u2"), (row[x:y] >> np.uint32(16)).astype("u2")
-                yield pa.RecordBatch.from_arrays([pa.array([int(b[x])], pa.int32()), pa.array([int(part[x])], pa.int64()), pa.array([key[x:y].tobytes()], pa.binary()), pa.array([low.tobytes()], pa.binary()), pa.array([high.tobytes()], pa.binary())], names=["bucket", "part", "keys", "low", "high"])
+            # a key of several texts here is known to be shared: it sends one row, and the answer goes back at once
+            same = (b[1:] == b[:-1]) & (key[1:] == key[:-1])
+            many = np.concatenate(([False], same)) | np.concatenate((same, [False]))
+            head = np.concatenate(([True], ~same))
+            for known, own in ((False, head), (True, many)):
+                home, keys, row = b[own], key[own], (rid[own] & ((1 << 33) - 1)).astype("u4")
+                if not len(home):
+                    continue
+                part = int(rid[0] >> 33)  # one task, one part
+                cuts = np.flatnonzero(np.concatenate(([True], home[1:] != home[:-1], [True])))
+                for x, y in zip(cuts[:-1], cuts[1:], strict=True):
+                    low, high = (row[x:y] & np.uint32(0xFFFF)).astype("u2"), (row[x:y] >> np.uint32(16)).astype("u2")
+                    bucket = -1 - part % buckets if known else int(home[x])
+                    yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([int(home[x])], pa.int32()), pa.array([part], pa.int64()), pa.array([keys[x:y].tobytes()], pa.binary()), pa.array([low.tobytes()], pa.binary()), pa.array([high.tobytes()], pa.binary())], names=["bucket", "home", "part", "keys", "low", "high"])
 
         for batch in batches:
             for rid, text in zip(batch.column("rid").to_pylist(), batch.column("text"), strict=True):
@@ -222,11 +236,14 @@ def _shared_hashes(table):
     import pyarrow as pa
 
     keys, rows, parts = [], [], []
+    names = ["part", "bucket", "keys", "rows"]
     for part, k, low, high in zip(*(table.column(c).to_pylist() for c in ("part", "keys", "low", "high")), strict=True):
         keys.append(np.frombuffer(k, "u4"))
         rows.append(np.frombuffer(low, "u2").astype("u4") | (np.frombuffer(high, "u2").astype("u4") << np.uint32(16)))
         parts.append(np.full(len(keys[-1]), part, "i8"))
     bucket = table.column("bucket")[0].as_py()
+    if bucket < 0:
+        return pa.table([table.column("part"), table.column("home"), table.column("keys"), pa.array([r.tobytes() for r in rows], pa.binary())], names=names)
     key, row, part = np.concatenate(keys), np.concatenate(rows), np.concatenate(parts)
     del keys, rows, parts
     order = np.argsort(key, kind="stable")
@@ -238,7 +255,7 @@ def _shared_hashes(table):
     key, row, part = key[order], row[order], part[order]
     cuts = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1], [True]))) if len(part) else np.zeros(1, "i8")
     own = [(int(part[x]), key[x:y].tobytes(), row[x:y].tobytes()) for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
-    return pa.table([pa.array([x[0] for x in own], pa.int64()), pa.array([bucket] * len(own), pa.int32()), pa.array([x[1] for x in own], pa.binary()), pa.array([x[2] for x in own], pa.binary())], names=["part", "bucket", "keys", "rows"])
+    return pa.table([pa.array([x[0] for x in own], pa.int64()), pa.array([bucket] * len(own), pa.int32()), pa.array([x[1] for x in own], pa.binary()), pa.array([x[2] for x in own], pa.binary())], names=names)
 
 
 def _by_document(table):
@@ -257,7 +274,10 @@ def _by_document(table):
 
 
 def _deal_runs(how: SuffixDedup, buckets: int):
-    """Step 2: the bytes of runs whose hashes others have too, dealt out."""
+    """Step 2: the bytes of runs whose hashes others have too, dealt out.
+
+    However many documents hold the same run, a task sends its bytes once in ``flush_bytes``. Buckets below 0 carry spans.
+    """
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -268,15 +288,27 @@ def _deal_runs(how: SuffixDedup, buckets: int):
             rid, doc, g, low, n = (np.concatenate([np.asarray(x[k]) for x in held]) for k in range(5))
             texts, of = [x[5] for x in held], np.repeat(np.arange(len(held)), [len(x[2]) for x in held])
             held.clear()
+            raw = [texts[t][a : a + m] for t, a, m in zip(of.tolist(), low.tolist(), n.tolist(), strict=True)]
+            # equal runs here: those of a later document are covered, whatever other tasks hold, and only the first's go on
+            classes: dict[bytes, int] = {}
+            cls = np.array([classes.setdefault(x, len(classes)) for x in raw], "i8")
+            least = np.full(len(classes), np.iinfo("i8").max)
+            del classes
+            np.minimum.at(least, cls, doc)
+            later = doc > least[cls]
+            done = np.flatnonzero(later)
+            for part, blob in _span_blobs(rid[done], low[done].astype("u4"), (low[done] + n[done]).astype("u4")):
+                yield pa.RecordBatch.from_arrays([pa.array([-1 - part % buckets], pa.int32()), pa.array([part], pa.int64()), pa.array([blob], pa.binary())], names=["bucket", "part", "blob"])
             b = bucket_and_key(g, buckets)[0]
             order = np.lexsort((g, b))
+            order = order[~later[order]]
             cuts = np.flatnonzero(np.concatenate(([True], np.diff(b[order]) != 0, [True])))
             for x, y in zip(cuts[:-1], cuts[1:], strict=True):
                 k = order[x:y]
-                pieces = np.frombuffer(b"".join([texts[t][a : a + m] for t, a, m in zip(of[k].tolist(), low[k].tolist(), n[k].tolist(), strict=True)]), "u1")
+                pieces = np.frombuffer(b"".join([raw[i] for i in k.tolist()]), "u1")
                 head = np.array([len(k)], "i8")
                 blob = _squeeze(head, g[k], rid[k], doc[k], low[k].astype("i4"), n[k].astype("i4"), pieces)
-                yield pa.RecordBatch.from_arrays([pa.array([int(b[k[0]])], pa.int32()), pa.array([blob], pa.binary())], names=["bucket", "blob"])
+                yield pa.RecordBatch.from_arrays([pa.array([int(b[k[0]])], pa.int32()), pa.array([None], pa.int64()), pa.array([blob], pa.binary())], names=["bucket", "part", "blob"])
 
         for batch in batches:
             for rid, doc, z, keys in zip(*(batch.column(c).to_pylist() for c in ("rid", "doc_id", "z", "keys")), strict=True):
@@ -350,12 +382,23 @@ def covered(g: np.ndarray, doc: np.ndarray, n: np.ndarray, pieces: np.ndarray, h
     return np.concatenate(out_run), np.concatenate(out_a), np.concatenate(out_b)
 
 
+def _span_blobs(rid: np.ndarray, a: np.ndarray, b: np.ndarray) -> list[tuple[int, bytes]]:
+    """Spans by the part of the input they go back to."""
+    order = np.lexsort((a, rid))
+    rid, a, b = rid[order], a[order], b[order]
+    part = rid >> 33
+    cuts = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1], [True]))) if len(part) else np.zeros(1, "i8")
+    return [(int(part[x]), _squeeze(np.array([y - x], "i8"), rid[x:y], a[x:y], b[x:y])) for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
+
+
 def _bucket_spans(how: SuffixDedup):
     """Step 3, in a bucket: covered spans, by the part of the input they go back to."""
 
     def run(table):
         import pyarrow as pa
 
+        if table.column("bucket")[0].as_py() < 0:
+            return table.select(["part", "blob"])
         fields: list[list[np.ndarray]] = [[] for _ in range(6)]
         for blob in table.column("blob").to_pylist():
             raw = _expand(blob)
@@ -366,12 +409,7 @@ def _bucket_spans(how: SuffixDedup):
             fields[5].append(np.frombuffer(raw, "u1", -1, at))
         g, rid, doc, low, n, pieces = (np.concatenate(x) for x in fields)
         k, a, b = covered(g, doc, n, pieces, how)
-        rid, a, b = rid[k], (low[k] + a).astype("u4"), (low[k] + b).astype("u4")
-        order = np.lexsort((a, rid))
-        rid, a, b = rid[order], a[order], b[order]
-        part = rid >> 33
-        cuts = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1], [True]))) if len(part) else np.zeros(1, "i8")
-        rows = [(int(part[x]), _squeeze(np.array([y - x], "i8"), rid[x:y], a[x:y], b[x:y])) for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
+        rows = _span_blobs(rid[k], (low[k] + a).astype("u4"), (low[k] + b).astype("u4"))
         return pa.table([pa.array([x for x, _ in rows], pa.int64()), pa.array([x for _, x in rows], pa.binary())], names=["part", "blob"])
 
     return run
@@ -425,7 +463,7 @@ def repeated_spans(rows: DataFrame, how: SuffixDedup = SuffixDedup()) -> DataFra
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // how.bucket_bytes))
 
-    hashes = long_enough.select("rid", "text").mapInArrow(_deal_hashes(how, buckets), "bucket int, part long, keys binary, low binary, high binary")
+    hashes = long_enough.select("rid", "text").mapInArrow(_deal_hashes(how, buckets), "bucket int, home int, part long, keys binary, low binary, high binary")
     shared = hashes.groupBy("bucket").applyInArrow(_shared_hashes, "part long, bucket int, keys binary, rows binary")
     wanted = shared.groupBy("part").applyInArrow(_by_document, "rid long, keys binary")
 
@@ -437,7 +475,7 @@ def repeated_spans(rows: DataFrame, how: SuffixDedup = SuffixDedup()) -> DataFra
     # several rows of one document with one text: the first speaks for the others
     twins = texts.join(first, ["h1", "h2"]).where((F.col("doc_id") == F.col("first.doc_id")) & (F.col("rid") != F.col("first.rid"))).select("rid", F.col("first.rid").alias("like"))
 
-    runs_of = _compressed(long_enough).join(wanted.join(own, "rid"), "rid").mapInArrow(_deal_runs(how, buckets), "bucket int, blob binary")
+    runs_of = _compressed(long_enough).join(wanted.join(own, "rid"), "rid").mapInArrow(_deal_runs(how, buckets), "bucket int, part long, blob binary")
     spans = runs_of.groupBy("bucket").applyInArrow(_bucket_spans(how), "part long, blob binary").groupBy("part").applyInArrow(_united_spans, "rid long, spans binary")
     spans = written(spans, "spans")
     also = twins.join(spans.withColumnRenamed("rid", "like"), "like").select("rid", "spans")
