@@ -42,7 +42,7 @@ class SuffixDedup:
     shallow: int = 16
     #: Bytes of text for which one bucket is made at least, and what a task gathers before it deals out.
     bucket_bytes: int = 64_000_000
-    flush_bytes: int = 48_000_000
+    flush_bytes: int = 32_000_000
 
 
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
