@@ -38,7 +38,7 @@ class NgramJoin:
     recall: float = 0.9999
     max_hashes: int = 192
     block: int = 512
-    cache_words: int = 300_000
+    cache_words: int = 150_000
 
 
 def choose_bands(threshold: float, recall: float, max_hashes: int) -> tuple[int, int]:

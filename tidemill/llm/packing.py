@@ -39,7 +39,7 @@ class Packing:
     nearly_full: int = 16
     fan_in: int = 8
     carry_limit: int = 20_000
-    cache_words: int = 700_000
+    cache_words: int = 180_000
 
 
 class WordEncoder:
@@ -47,7 +47,8 @@ class WordEncoder:
 
     The tokenizer normalises and splits within white space, so a text's ids are those of its words
     in a row. Words are encoded many at once: the last id of each pre-token is marked by its word-end
-    suffix. The cache is emptied when it holds ``limit`` words.
+    suffix. The cache has two generations of ``limit`` words at most: what the older one holds and is
+    met again moves to the newer, the rest goes when the newer is full.
     """
 
     def __init__(self, path: str, limit: int):
@@ -56,35 +57,50 @@ class WordEncoder:
 
         self.tokenizer, self.limit = Tokenizer.from_file(path), limit
         self.known: dict[str, bytes] = {}
-        self.cores: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.ends = {i for w, i in self.tokenizer.get_vocab().items() if w.endswith("</w>")}
 
     def _ids(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def _learn(self, words: set[str]) -> None:
-        plain, cores = {}, self.cores
-        new = set()
+    def _recall(self, words: set[str]) -> list[str]:
+        """Moves words to the newer generation; returns those that neither has."""
+        known, older, lack = self.known, self.older, []
         for w in words:
-            if m := _PLAIN.fullmatch(w):
-                plain[w] = parts = (m[1].lower(), m[2])
-                new.update(p for p in parts if p and p not in cores)
+            if w not in known:
+                ids = older.get(w)
+                if ids is None:
+                    lack.append(w)
+                else:
+                    known[w] = ids
+        return lack
+
+    def _learn(self, words: set[str]) -> None:
+        known, plain, parts = self.known, [], set()
+        for w in self._recall(words):
+            m = _PLAIN.fullmatch(w)
+            if m is None:
+                known[w] = self._ids(w)
             else:
-                self.known[w] = self._ids(w)
-        todo = list(new)
+                core, mark = m[1].lower(), m[2]
+                parts.add(core)
+                if mark:
+                    parts.add(mark)
+                plain.append((w, core, mark))
+        todo, ends = self._recall(parts), self.ends
         for k in range(0, len(todo), 4000):
-            some, ends, run, at = todo[k : k + 4000], self.ends, [], 0
-            for i in self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids:
-                run.append(i)
+            some, start, at = todo[k : k + 4000], 0, 0
+            ids = array("I", self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids)
+            for n, i in enumerate(ids, 1):
                 if i in ends:
-                    cores[some[at]] = array("I", run).tobytes()
-                    run, at = [], at + 1
-        for w, (core, mark) in plain.items():
-            self.known[w] = cores[core] + cores[mark] if mark else cores[core]
+                    known[some[at]] = ids[start:n].tobytes()
+                    start, at = n, at + 1
+        for w, core, mark in plain:
+            known[w] = known[core] + known[mark] if mark else known[core]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > self.limit:
-            self.known, self.cores = {}, {}
+            self.known, self.older = {}, self.known
         words = [_WORD.findall(t) if _ODD_SPACE.search(t) else t.split() for t in texts]
         get = self.known.get
         found = [[get(w) for w in x] for x in words]
