@@ -42,9 +42,9 @@ def elements(docs: DataFrame) -> DataFrame:
 
 
 def questions(conversations: DataFrame) -> DataFrame:
-    """The first turn of every conversation, if a user's, as a question to one manual: its first four words, as a person would search."""
-    asked = conversations.where("role = 'user' and text is not null and turn = 0")
-    return asked.select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), F.concat(F.lit("src"), (F.col("conv_id") % 20).cast("string")).alias("manual_id"), F.substring_index("text", " ", 4).alias("text"))
+    """Every user turn of every conversation, with its whole text, as a question to one manual."""
+    asked = conversations.where("role = 'user' and text is not null")
+    return asked.select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), F.concat(F.lit("src"), (F.col("conv_id") % 20).cast("string")).alias("manual_id"), "text")
 
 
 SQL = """
