@@ -12,7 +12,7 @@ block at a time, so it is bounded however long the benchmark is; each block is a
 documents, and the spans hit in several passes are united per document.
 
 Nulls and edges: a null text has no words, an item without words has no windows; items with the same
-text all count; a null item_id is left out of the ids; a null or repeated doc_id gets a row for each
+text all count; an item with a null item_id hits like any other, counts as one item and is left out of the ids; a null or repeated doc_id gets a row for each
 row; empty tables are fine; only doc_id and text, item_id and text are read.
 """
 
@@ -71,11 +71,11 @@ class Block:
     how: Winnowing
     number: dict[bytes, int] = field(default_factory=dict)
     prints: dict[int, np.ndarray] = field(default_factory=dict)
-    windows: dict[bytes, list[str]] = field(default_factory=dict)
+    windows: dict[bytes, list[str | None]] = field(default_factory=dict)
 
-    def build(self, items: list[tuple[str, list[bytes]]]) -> Block:
+    def build(self, items: list[tuple[str | None, list[bytes]]]) -> Block:
         found: dict[int, set[int]] = {}
-        windows: dict[bytes, set[str]] = {}
+        windows: dict[bytes, set[str | None]] = {}
         for item, words in items:
             ids = np.array([self.number.setdefault(w, len(self.number) + 1) for w in words], "i4")
             span = min(self.how.window, len(ids))
@@ -85,10 +85,10 @@ class Block:
             for s in range(len(ids) - span + 1):
                 windows.setdefault(ids[s : s + span].tobytes(), set()).add(item)
         self.prints = {n: np.array(sorted(x), "u8") for n, x in found.items()}
-        self.windows = {k: sorted(v) for k, v in windows.items()}
+        self.windows = {k: list(v) for k, v in windows.items()}
         return self
 
-    def spans(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
+    def spans(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str | None]]:
         """Where windows of items occur among the words (from, to), and the items."""
         get = self.number.get
         ids = np.fromiter([get(w, 0) for w in words], "i4", len(words))
@@ -157,7 +157,7 @@ def _over(sent):
                     s, i = block.spans(words) if words else ([], set())
                     n.append(len(words))
                     spans.append([{"a": x, "b": y} for x, y in merged(s)])
-                    found.append(sorted(i))
+                    found.append(sorted(i, key=lambda x: (x is None, x or "")))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("h"), pa.array(n, pa.int64()), pa.array(spans, span), pa.array(found, pa.list_(pa.string()))], names=["doc_id", "h", "n_words", "spans", "items"])
 
     return run
@@ -171,9 +171,9 @@ _UNITED = """aggregate(found, cast(array() as array<struct<a:bigint,b:bigint>>),
 
 
 def find_spans(docs: DataFrame, items: DataFrame, how: Winnowing = Winnowing()) -> DataFrame:
-    """Per document its number of words, the spans of words hit and the items (as strings) whose windows occur."""
+    """Per document its number of words, the spans of words hit and the items (as strings, null last) whose windows occur."""
     docs = whole(docs, {"doc_id": "long", "text": "string"}).select("doc_id", F.xxhash64("text").alias("h"), "text")
-    items = whole(items, {"item_id": "string", "text": "string"}).where("item_id is not null")
+    items = whole(items, {"item_id": "string", "text": "string"})
     context, blocks = docs.sparkSession.sparkContext, _blocks(items, how)
     sent, more = context.broadcast(next(blocks, Block(how))), next(blocks, None)
     out = docs.mapInArrow(_over(sent), _HITS)
@@ -197,14 +197,14 @@ def find_spans(docs: DataFrame, items: DataFrame, how: Winnowing = Winnowing())
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, how: Winnowing = Winnowing()) -> DataFrame:
-    """doc_id, n_words, n_hit, items (sorted), contaminated."""
+    """doc_id, n_words, n_hit, items (sorted, without null), n_items, contaminated."""
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["b"] - s["a"])
-    return find_spans(docs, items, how).withColumn("n_hit", hit).select("doc_id", "n_words", "n_hit", "items", (F.col("n_hit") > 0).alias("contaminated"))
+    return find_spans(docs, items, how).withColumn("n_hit", hit).select("doc_id", "n_words", "n_hit", F.array_compact("items").alias("items"), F.size("items").cast("long").alias("n_items"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
 def keep_clean(docs: DataFrame, items: DataFrame, how: Winnowing = Winnowing()) -> DataFrame:
     """The rows of docs without a window of any item, in one pass over the documents for each block of items."""
-    items = whole(items, {"item_id": "string", "text": "string"}).where("item_id is not null")
+    items = whole(items, {"item_id": "string", "text": "string"})
     context, sent = docs.sparkSession.sparkContext, None
     for block in _blocks(items, how):
         if sent is not None:
