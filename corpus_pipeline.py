@@ -36,11 +36,19 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near copies the document with the smallest id stays."""
+    """Of each class of near copies one row stays, that with the smallest id. Where an id is repeated or null, rows are told apart by a key of their own."""
     docs = whole(docs, COLUMNS)
-    classes = ngram_join.near_classes(docs)
-    gone = classes.where("doc_id <> class_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    if docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").isEmpty():
+        gone = ngram_join.near_classes(docs).where("doc_id <> class_id").select("doc_id")
+        return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    keyed = written(docs.withColumn("row_key", F.monotonically_increasing_id()), "keyed")
+    classes = ngram_join.near_classes(keyed.select(F.col("row_key").alias("doc_id"), "text"))
+    copies = written(classes.where("doc_id <> class_id").select(F.col("doc_id").alias("row_key"), "class_id"), "copies")
+    members = copies.unionByName(copies.select(F.col("class_id").alias("row_key"), "class_id").distinct())
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row_key"))
+    best = members.join(keyed.select("row_key", "doc_id"), "row_key").groupBy("class_id").agg(first.alias("x")).select("x.row_key")
+    gone = members.join(best, "row_key", "left_anti").select("row_key")
+    return keyed.join(gone, "row_key", "left_anti").select(*COLUMNS)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
