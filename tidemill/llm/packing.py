@@ -3,8 +3,12 @@
 Each partition tokenises its documents, cuts those above the sequence length into pieces and packs
 the pieces by best fit, longest first. Bins that are nearly full are final. Underfull bins go up a
 tree of partitions as items: at each node the bins of up to ``fan_in`` children are packed into one
-another by best fit again, until one node is left. What a node carries up is bounded by
-``carry_limit`` (the emptiest bins first); a bin beyond it is final as it is, so none is lost.
+another by best fit again, until one node is left.
+
+What goes up is bounded without changing the packing. Two bins above half can never be one, and best
+fit leaves at most one bin of half or less in a partition, as two of them would have been one. So all merges of the
+tree together need no more bins of any fill than there are such small bins in all partitions, and
+that many of each fill go up; the others of that fill are final as they are.
 
 Nulls and edges: a null or empty text is the end token alone; texts of any length are tokenised
 whole; repeated rows are packed each; a null doc_id stays null; an empty table gives no rows; only
@@ -17,6 +21,7 @@ import os
 import re
 import zlib
 from array import array
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -26,10 +31,12 @@ from pyspark.sql import functions as F
 from .common import whole, written
 
 END = 1
-#: Words of these letters, and marks after them, are split by the tokenizer just there; NFC leaves them as they are.
-_PLAIN = re.compile(r"""([A-Za-zÀ-ÖØ-öø-ÿ]+)([!"#$%&()*+,\-./:;=?@\[\]^_`{}~]*)""")
-_ODD_SPACE = re.compile("[\x1c-\x1f]")
-_WORD = re.compile(r"[^\x20\x09-\x0D]+")
+#: Marks that the tokenizer splits from the letters before them, as one piece of text.
+_MARKS = r"""!"#$%&()*+,-./:;=?@[\]^_`{}~"""
+#: Words above this length are not kept in the cache.
+_LONG = 40
+#: Letters beyond ASCII that NFC leaves as they are and whose lower case is one of them too.
+_LATIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
 
 
 @dataclass(frozen=True)
@@ -38,17 +45,26 @@ class Packing:
     length: int = 4096
     nearly_full: int = 16
     fan_in: int = 8
-    carry_limit: int = 20_000
-    cache_words: int = 180_000
+    cache_words: int = 120_000
+    slice_rows: int = 2_048
+
+
+def _byte_letters() -> dict[int, str]:
+    """The public byte-level alphabet: printable bytes stand for themselves, the others for letters from 256 on."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
 
 
 class WordEncoder:
     """Ids of whole texts, little-endian unsigned 32-bit, from ids of their words.
 
     The tokenizer normalises and splits within white space, so a text's ids are those of its words
-    in a row. Words are encoded many at once: the last id of each pre-token is marked by its word-end
-    suffix. The cache has two generations of ``limit`` words at most: what the older one holds and is
-    met again moves to the newer, the rest goes when the newer is full.
+    in a row. The words of many texts are numbered at once, and each distinct one is looked at once: one of
+    plain letters and marks goes straight to the tokenizer's model, any other through the whole tokenizer.
+    The cache of letters' ids has two generations of ``limit`` entries at most: what the older one holds and
+    is met again moves to the newer, the rest goes when the newer is full. An encoder belongs to one task
+    and goes with it.
     """
 
     def __init__(self, path: str, limit: int):
@@ -56,71 +72,58 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.limit = Tokenizer.from_file(path), limit
+        self.model = self.tokenizer.model
+        self.letters = _byte_letters()
+        self.marks: dict[str, bytes] = {}
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
-        self.ends = {i for w, i in self.tokenizer.get_vocab().items() if w.endswith("</w>")}
-
-    def _ids(self, text: str) -> bytes:
-        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
-
-    def _recall(self, words: set[str]) -> list[str]:
-        """Moves words to the newer generation; returns those that neither has."""
-        known, older, lack = self.known, self.older, []
-        for w in words:
-            if w not in known:
-                ids = older.get(w)
-                if ids is None:
-                    lack.append(w)
-                else:
-                    known[w] = ids
-        return lack
-
-    def _learn(self, words: set[str]) -> None:
-        known, plain, parts = self.known, [], set()
-        for w in self._recall(words):
-            m = _PLAIN.fullmatch(w)
-            if m is None:
-                known[w] = self._ids(w)
-            else:
-                core, mark = m[1].lower(), m[2]
-                parts.add(core)
-                if mark:
-                    parts.add(mark)
-                plain.append((w, core, mark))
-        todo, ends = self._recall(parts), self.ends
-        for k in range(0, len(todo), 4000):
-            some, start, at = todo[k : k + 4000], 0, 0
-            ids = array("I", self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids)
-            for n, i in enumerate(ids, 1):
-                if i in ends:
-                    known[some[at]] = ids[start:n].tobytes()
-                    start, at = n, at + 1
-        for w, core, mark in plain:
-            known[w] = known[core] + known[mark] if mark else known[core]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > self.limit:
-            self.known, self.older = {}, self.known
-        words = [_WORD.findall(t) if _ODD_SPACE.search(t) else t.split() for t in texts]
-        get = self.known.get
-        found = [[get(w) for w in x] for x in words]
-        lack = [k for k, x in enumerate(found) if None in x]
-        if lack:
-            self._learn({w for k in lack for w, b in zip(words[k], found[k], strict=True) if b is None})
-            get = self.known.__getitem__
-            for k in lack:
-                found[k] = [get(w) for w in words[k]]
-        return [b"".join(x) for x in found]
-
-
-_encoders: dict[tuple[str, int], WordEncoder] = {}
-
-
-def encoder(path: str, limit: int) -> WordEncoder:
-    """One for each Python worker."""
-    if (path, limit) not in _encoders:
-        _encoders[path, limit] = WordEncoder(path, limit)
-    return _encoders[path, limit]
+
+    def _pre_token(self, part: str) -> bytes:
+        """Ids of lower-case letters, or of marks."""
+        if not part.isascii():
+            part = part.encode().decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.model.tokenize(part)]).tobytes()
+
+    def _word(self, w: str) -> bytes:
+        core = w.rstrip(_MARKS)
+        plain = core.isalpha() and (core.isascii() or _LATIN.fullmatch(core))
+        key = core.lower() if plain else w
+        ids = self.known.get(key)
+        if ids is None:
+            ids = self.older.get(key)
+            if ids is None:
+                ids = self._pre_token(key) if plain else array("I", self.tokenizer.encode(w, add_special_tokens=False).ids).tobytes()
+            if len(key) <= _LONG:
+                if len(self.known) >= self.limit:
+                    self.known, self.older = {}, self.known
+                self.known[key] = ids
+        if not plain or len(core) == len(w):
+            return ids
+        mark = w[len(core) :]
+        more = self.marks.get(mark)
+        if more is None:
+            more = self._pre_token(mark)
+            if len(mark) <= 4:
+                self.marks[mark] = more
+        return ids + more
+
+    def encode(self, texts) -> list[bytes]:
+        """texts: an Arrow array of strings; null has no ids."""
+        import numpy as np
+        import pyarrow.compute as pc
+
+        lists = pc.ascii_split_whitespace(texts)
+        words = pc.dictionary_encode(lists.flatten())
+        blobs = list(map(self._word, words.dictionary.to_pylist()))
+        pool = np.frombuffer(b"".join(blobs), "u4")
+        size = np.fromiter(map(len, blobs), "i8", len(blobs)) // 4
+        which = words.indices.to_numpy()
+        n = size[which]
+        ends = np.cumsum(n)
+        ids = pool[np.repeat((np.cumsum(size) - size)[which] - (ends - n), n) + np.arange(int(n.sum()))]
+        lengths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
+        cuts = np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(lengths)))].tolist()
+        return [ids[a:b].tobytes() for a, b in zip(cuts, cuts[1:])]
 
 
 def best_fit(sizes: Iterable[int], capacity: int) -> list[int]:
@@ -151,12 +154,12 @@ def _pieces(batches: Iterator, how: Packing) -> Iterator:
     from pyspark import TaskContext
 
     part = TaskContext.get().partitionId()
-    code, most, end = encoder(how.tokenizer, how.cache_words), how.length, array("I", [END]).tobytes()
+    code, most, end = WordEncoder(how.tokenizer, how.cache_words), how.length, array("I", [END]).tobytes()
     ids, piece, start, size, crc = [], array("i"), array("q"), array("q"), array("q")
     for batch in batches:
-        for k in range(0, batch.num_rows, 64):
-            some = batch.slice(k, 64)
-            for doc, tokens in zip(some.column(0).to_pylist(), code.encode([t or "" for t in some.column(1).to_pylist()]), strict=True):
+        for k in range(0, batch.num_rows, how.slice_rows):
+            some = batch.slice(k, how.slice_rows)
+            for doc, tokens in zip(some.column(0).to_pylist(), code.encode(some.column(1)), strict=True):
                 tokens += end
                 for n, at in enumerate(range(0, len(tokens), 4 * most)):
                     part_of = tokens[at : at + 4 * most]
@@ -186,8 +189,8 @@ _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, bin
 _BINS = "node int, fill long, is_open boolean, members array<struct<bin:long,shift:long>>"
 
 
-def _merge(how: Packing, last: bool):
-    """Packs the bins of a node's children, as items, into one another."""
+def _merge(how: Packing, last: bool, small: int):
+    """Packs the bins of a node's children, as items, into one another; small: how many bins of half or less there were."""
 
     def merge(bins):
         import pandas as pd
@@ -203,8 +206,10 @@ def _merge(how: Packing, last: bool):
                 held += [{"bin": int(m["bin"]), "shift": int(m["shift"]) + at} for m in members[k]]
                 at += fills[k]
             rows.append((at, held))
-        rows.sort(key=lambda r: r[0])
-        is_open = [not last and k < how.carry_limit and how.length - r[0] > how.nearly_full for k, r in enumerate(rows)]
+        same, is_open = Counter(), []
+        for fill, _ in rows:
+            same[fill] += 1
+            is_open.append(not last and how.length - fill > how.nearly_full and same[fill] <= small)
         return pd.DataFrame({"node": bins.node.iloc[0], "fill": [r[0] for r in rows], "is_open": is_open, "members": [r[1] for r in rows]})
 
     return merge
@@ -217,11 +222,12 @@ def pack(docs: DataFrame, how: Packing) -> DataFrame:
     bins = pieces.where("open_fill is not null").groupBy("bin").agg(F.first("part").alias("node"), F.first("open_fill").alias("fill"))
     level = bins.select("node", "fill", F.lit(True).alias("is_open"), F.array(F.struct("bin", F.lit(0).cast("long").alias("shift"))).alias("members"))
     width, done = (pieces.agg(F.max("part")).first()[0] or 0) + 1, None
+    small = bins.where(F.col("fill") <= how.length // 2).count()
     while True:
         last = width <= how.fan_in
         # the node is a place in the tree, so a group holds fan_in children's bounded rests
         level = level.withColumn("node", F.floor(F.col("node") / how.fan_in).cast("int"))
-        level = written(level.groupBy("node").applyInPandas(_merge(how, last), _BINS), "bins")
+        level = written(level.groupBy("node").applyInPandas(_merge(how, last, small), _BINS), "bins")
         final = level.where("not is_open")
         done = final if done is None else done.unionByName(final)
         if last:
