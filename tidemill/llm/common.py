@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +19,14 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def bound_batches(spark: SparkSession, rows: int = 2_000, size: int = 8 << 20) -> None:
+    """Batches between the JVM and Python of that many rows and bytes at most, as a row is a whole text; smaller settings stay."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
+        now = spark.conf.get(key)
+        if not (now.isdigit() and 0 < int(now) <= most):
+            spark.conf.set(key, str(most))
+
+
 def words_of(text: Column) -> Column:
     """The words ``[^\\x20\\x09-\\x0D]+`` of a text; none for null."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), f"[{SPACE}]+"), "")
@@ -35,28 +44,58 @@ def crc_bucket(doc_id: Column, n: int) -> Column:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where that is unset (local runs, tests)."""
+    """The folder all executors share: spark.checkpoint.dir, or one of our own where that is unset and all run on this machine."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='tidemill-')}"
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """df as a table in the shared folder, read again: cuts the lineage and survives lost executors.
+def _new_path(spark: SparkSession, label: str) -> str:
+    """A path in the shared folder; its files go when the application ends."""
+    path = f"{shared_folder(spark)}/tidemill/{label}-{uuid.uuid4().hex}"
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return path
 
-    The files go when the application ends.
-    """
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """df as a table in the shared folder, read again: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/tidemill/{label}-{uuid.uuid4().hex}"
+    path = _new_path(spark, label)
     df.write.parquet(path)
-    jvm = spark._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, label: str, keys: list[str]) -> tuple[DataFrame, str]:
+    """df as a table of sorted buckets in the shared folder, and the table's name: joins by the keys move no row of it.
+
+    There are as many buckets as shuffle partitions, so what is shuffled by the keys meets them as it is.
+    """
+    spark = df.sparkSession
+    name = f"tidemill_{label}_{uuid.uuid4().hex}"
+    out = df.write.format("parquet").bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), *keys).sortBy(*keys)
+    out.option("path", _new_path(spark, label)).saveAsTable(name)
+    return spark.table(name), name
+
+
+@contextmanager
+def sorted_buckets(spark: SparkSession) -> Iterator[None]:
+    """Within this, a task reads a bucket as it is, and Spark relies on the order of buckets of one file and does not sort them again."""
+    wanted = {"spark.sql.legacy.bucketedTableScan.outputOrdering": "true", "spark.sql.sources.bucketing.autoBucketedScan.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def whole(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     """Only the named columns, cast; one that is missing is null. Other columns of the caller never clash with ours."""
     have = set(df.columns)

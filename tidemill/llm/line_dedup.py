@@ -1,10 +1,12 @@
 """Line deduplication over levelled sorted runs of line hashes, with DataFrame functions only.
 
-The index is a set of runs, each a table of (hash, owner) sorted by hash within hash partitions, in
-the shared folder. Documents come in batches of rising doc_id. Each batch merge-anti-joins its own
-distinct hashes with the runs, and what is new becomes a run of level 0. As soon as a level has
-``fan_in`` runs they are merged into one run of the next level, so a batch meets a number of runs
-that grows with the logarithm of the number of batches.
+The index is a set of runs, each a bucketed table of (hash, owner) in the shared folder, every bucket
+one sorted file. Documents come in batches of rising doc_id. A batch pre-aggregates its hashes, which
+deals them into the same buckets, and merge-joins them with run after run: the runs are neither moved nor
+sorted again. What no run has (the anti-join's side) becomes a run of level 0. As soon as a level has
+``fan_in`` runs they are merged, bucket by bucket, into one run of the next level, so a batch meets a
+number of runs that grows with the logarithm of the number of batches. With ``batches`` = 4 and
+``fan_in`` = 2 runs are compacted after the second batch and, where the caller keeps the index, the fourth.
 
 A key is a line stripped of white space and A-Z lower-cased; keys of fewer than ``min_chars`` code
 points are never dropped. The owner of a key is the smallest doc_id that holds it; every line of the
@@ -20,10 +22,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, ascii_lower, whole, written
+from .common import SPACE, ascii_lower, bucketed, sorted_buckets, whole, written
 
 _EDGES = f"^[{SPACE}]+|[{SPACE}]+$"
 
@@ -31,8 +33,8 @@ _EDGES = f"^[{SPACE}]+|[{SPACE}]+$"
 @dataclass(frozen=True)
 class LineDedup:
     min_chars: int = 10
-    batches: int = 3
-    fan_in: int = 4
+    batches: int = 4
+    fan_in: int = 2
 
 
 def key_of(line: Column) -> Column:
@@ -43,42 +45,62 @@ def lines_of(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
+_KEYS = ["h1", "h2"]
+
+
 @dataclass
 class LineIndex:
-    """The runs by level; each holds (h1, h2, owner)."""
+    """The runs by level, the oldest first; each holds (h1, h2, owner), and no hash is in two of them."""
 
     how: LineDedup = field(default_factory=LineDedup)
     levels: list[list[DataFrame]] = field(default_factory=list)
+    tables: list[str] = field(default_factory=list)
+    compactions: int = 0
 
     def runs(self) -> list[DataFrame]:
         return [r for level in self.levels for r in level]
 
-    def known(self) -> DataFrame | None:
-        """All runs as one table, or None."""
-        out = None
-        for r in self.runs():
-            out = r if out is None else out.unionByName(r)
+    def _run(self, rows: DataFrame) -> DataFrame:
+        with sorted_buckets(rows.sparkSession):
+            run, name = bucketed(rows, "run", _KEYS)
+        self.tables.append(name)
+        return run
+
+    def meeting(self, batch: DataFrame) -> DataFrame:
+        """The batch (one row for each hash) with ``known``, the owner that a run has; a merge join with each run."""
+        out = batch.withColumn("known", F.lit(None).cast("long"))
+        for run in self.runs():
+            out = out.join(run.select(*_KEYS, F.col("owner").alias("held")), _KEYS, "left").withColumn("known", F.coalesce("known", "held")).drop("held")
         return out
 
-    def _run(self, rows: DataFrame) -> DataFrame:
-        return written(rows.repartition("h1", "h2").sortWithinPartitions("h1", "h2"), "run")
+    def _merged(self, runs: list[DataFrame]) -> DataFrame:
+        """One run of several: each bucket is merged with its like. A hash is in one of them only."""
+        self.compactions += 1
+        one = runs[0]
+        for other in runs[1:]:
+            both = one.join(other.withColumnRenamed("owner", "others"), _KEYS, "full_outer")
+            one = self._run(both.select(*_KEYS, F.coalesce("owner", "others").alias("owner")))
+        return one
 
-    def add(self, new: DataFrame) -> DataFrame:
+    def add(self, new: DataFrame) -> None:
         """Adds hashes that no run has, as a run of level 0, and compacts full levels."""
-        run, level = self._run(new), 0
+        level = 0
         if not self.levels:
             self.levels.append([])
-        self.levels[0].append(run)
+        self.levels[0].append(self._run(new))
         while len(self.levels[level]) >= self.how.fan_in:
-            merged = self.levels[level][0]
-            for r in self.levels[level][1:]:
-                merged = merged.unionByName(r)
-            self.levels[level] = []
+            merged, self.levels[level] = self._merged(self.levels[level]), []
             if level + 1 == len(self.levels):
                 self.levels.append([])
             level += 1
-            self.levels[level].append(self._run(merged))
-        return run
+            self.levels[level].append(merged)
+
+    def close(self, spark: SparkSession) -> None:
+        """Takes the tables out of the catalog; their files go with the application."""
+        for name in self.tables:
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+        self.tables.clear()
+        self.levels.clear()
 
 
 def _occurrences(docs: DataFrame, how: LineDedup) -> DataFrame:
@@ -98,8 +120,11 @@ def _bounds(docs: DataFrame, n: int) -> list[int | None]:
 
 
 def dropped_lines(docs: DataFrame, how: LineDedup = LineDedup(), index: LineIndex | None = None) -> DataFrame:
-    """doc_id, hash of the text and place of the lines to drop, batch by batch against the index, which keeps what is new."""
-    index = index or LineIndex(how)
+    """doc_id, hash of the text and place of the lines to drop, batch by batch against the index.
+
+    A given index keeps what is new in every batch; an own one is done with after the last batch.
+    """
+    kept, index = index is not None, index or LineIndex(how)
     docs = whole(docs, {"doc_id": "long", "text": "string"})
     cuts, out = _bounds(docs, how.batches), None
     for low, high in zip([None, *cuts], [*cuts, None], strict=True):
@@ -110,16 +135,15 @@ def dropped_lines(docs: DataFrame, how: LineDedup = LineDedup(), index: LineInde
             batch = batch.where(F.col("doc_id") <= high)
         lines = written(_occurrences(batch, how), "lines")
         # pre-aggregated before the shuffle: a line that all documents share is one row a task
-        first = lines.groupBy("h1", "h2").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("other"))
-        known = index.known()
-        new = first if known is None else first.join(known.select("h1", "h2"), ["h1", "h2"], "left_anti")
-        new = written(new, "new")
-        seen = new.where("owner < other").select("h1", "h2", "owner")
-        if known is not None:
-            seen = seen.unionByName(known.join(first.select("h1", "h2"), ["h1", "h2"], "left_semi"))
-        hit = lines.join(seen, ["h1", "h2"]).where("doc_id <> owner").select("doc_id", "of_text", "at")
+        first = lines.groupBy(*_KEYS).agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("other"))
+        met = index._run(index.meeting(first))
+        if kept or high is not None:
+            index.add(met.where("known is null").select(*_KEYS, "owner"))
+        seen = written(met.where("known is not null or owner < other").select(*_KEYS, F.coalesce("known", "owner").alias("owner")), "seen")
+        hit = lines.join(seen, _KEYS).where("doc_id <> owner").select("doc_id", "of_text", "at")
         out = hit if out is None else out.unionByName(hit)
-        index.add(new.select("h1", "h2", "owner"))
+    if not kept:
+        index.close(docs.sparkSession)
     return out
 
 
