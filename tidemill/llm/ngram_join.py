@@ -5,12 +5,17 @@
 2. Documents with the same n-gram set are one class member from here on, with their number, so copies
    never become pairs.
 3. Members that share a band hash point to the smallest of them (one edge each, not all pairs), and
-   connected components of these edges are the candidate groups.
+   connected components of these edges are the candidate groups. A group above ``block`` members may
+   be a chain of chance hits, so its members are banded again within it, with ``strict_hashes``
+   hashes in longer bands that reach the same recall, and it falls into its tighter parts.
 4. Within a candidate group every pair is verified on the full sets. A group above ``block`` members
    is dealt by hash into blocks, and pairs of blocks are verified as tasks of their own, so no task
    holds a whole large group. Links are counted, not listed: a task returns one row a member.
 5. Components of the verified links are the classes; a class id is its smallest doc_id.
 
+A member is an n-gram set, not a doc_id: it has a number of its own, written with it, so several
+texts under one doc_id are told apart.
+
 Words are lower-cased runs of anything but white space. A text of one to four words has one n-gram,
 the whole. n_links is the number of other rows with similarity >= threshold, copies included.
 
@@ -37,6 +42,7 @@ class NgramJoin:
     threshold: float = 0.8
     recall: float = 0.9999
     max_hashes: int = 192
+    strict_hashes: int = 1_536
     block: int = 512
     cache_words: int = 150_000
 
@@ -82,9 +88,9 @@ class Shingler:
 
 
 class Signer:
-    def __init__(self, how: NgramJoin):
-        self.bands, self.rows = choose_bands(how.threshold, how.recall, how.max_hashes)
-        r = np.random.default_rng(20_240_501)
+    def __init__(self, how: NgramJoin, hashes: int):
+        self.bands, self.rows = choose_bands(how.threshold, how.recall, hashes)
+        r = np.random.default_rng(hashes)
         n = self.bands * self.rows
         self.mul = r.integers(1, 2**63, n, dtype="u8") * np.uint64(2) + np.uint64(1)
         self.add = r.integers(0, 2**63, n, dtype="u8")
@@ -113,7 +119,7 @@ def signatures(docs: DataFrame, how: NgramJoin) -> DataFrame:
     import pyarrow as pa
 
     def run(batches: Iterator) -> Iterator:
-        one, sign = Shingler(how), Signer(how)
+        one, sign = Shingler(how), Signer(how, how.max_hashes)
         for b in batches:
             for k in range(0, b.num_rows, 1024):
                 part = b.slice(k, 1024)
@@ -133,7 +139,9 @@ def signatures(docs: DataFrame, how: NgramJoin) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of the edges (a, b): root is the smallest node it is connected with.
 
-    Alternating large and small stars, each round written to the shared folder, until nothing changes.
+    Alternating large and small stars, each round written to the shared folder, until nothing changes. The
+    smallest neighbours are written too, so both sides of a join come from plain exchanges and Spark may
+    split a node with very many neighbours.
     """
 
     def mark(e: DataFrame) -> tuple:
@@ -143,9 +151,9 @@ def components(edges: DataFrame) -> DataFrame:
     before = mark(e)
     while before[0]:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        low = written(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "low")
+        large = written(both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct(), "large")
+        least = written(large.groupBy("a").agg(F.min("b").alias("m")), "least")
         small = large.join(least, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("x"))
         e = written(small.select("x.a", "x.b").where("a <> b").distinct(), "edges")
         after = mark(e)
@@ -183,13 +191,11 @@ def _verify(how: NgramJoin):
     def verify(table):
         import pyarrow as pa
 
-        ids, d1, d2, side, copies = (table.column(c).to_numpy() for c in ("rep", "d1", "d2", "side", "copies"))
-        order = np.lexsort((d2, d1, ids))
-        again = (np.diff(ids[order]) == 0) & (np.diff(d1[order]) == 0) & (np.diff(d2[order]) == 0)
-        order = order[np.concatenate(([True], ~again))]  # a repeated row once
-        ids, d1, d2, side, copies = (x[order] for x in (ids, d1, d2, side, copies))
+        # where the smallest doc_id has a member's text in several rows, the member is here as often
+        ids, own = np.unique(table.column("m").to_numpy(), return_index=True)
+        side, copies = (table.column(c).to_numpy()[own] for c in ("side", "copies"))
         blobs = table.column("shingles").to_pylist()
-        sets = [np.frombuffer(blobs[k], "u8") for k in order]
+        sets = [np.frombuffer(blobs[k], "u8") for k in own.tolist()]
         sizes = np.array([len(s) for s in sets], "i8")
         shared = common_counts(sets)
         union = sizes[:, None] + sizes[None, :] - shared
@@ -205,51 +211,83 @@ def _verify(how: NgramJoin):
             if (new == label).all():
                 break
             label = new
-        return pa.table({"rep": ids, "d1": d1, "d2": d2, "links": links.astype("i8"), "near": ids[label]})
+        return pa.table({"m": ids, "links": links.astype("i8"), "near": ids[label]})
 
     return verify
 
 
+def _lead_edges(banded: DataFrame, keys: list[str]) -> DataFrame:
+    """From each member to the smallest of its bucket; buckets with one member end here."""
+    buckets = banded.groupBy(*keys).agg(F.min("m").alias("lead"), F.count("*").alias("n")).where("n > 1")
+    return banded.join(buckets, keys).where("m <> lead").select(F.col("m").alias("a"), F.col("lead").alias("b"))
+
+
+def _sized(groups: DataFrame, how: NgramJoin) -> DataFrame:
+    """(m, root, blocks) of groups (m, root): sizes are pre-aggregated counts, and n members have ceil(n / block) blocks."""
+    return groups.join(groups.groupBy("root").agg(F.ceil(F.count("*") / how.block).cast("int").alias("blocks")), "root")
+
+
+def _tighter(large: DataFrame, how: NgramJoin) -> DataFrame:
+    """(m, root) of the parts into which large groups (m, root, shingles) fall under longer bands; members alone are left out."""
+
+    def sign(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        signer = Signer(how, how.strict_hashes)
+        for b in batches:
+            for k in range(0, b.num_rows, 256):
+                part = b.slice(k, 256)
+                bands = [signer.bands_of(np.frombuffer(x, "u8")) for x in part.column("shingles").to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column("m"), part.column("root"), pa.array(bands, pa.list_(pa.int64()))], names=["m", "root", "bands"])
+
+    signed = written(large.select("m", "root", "shingles").mapInArrow(sign, "m long, root long, bands array<long>"), "strict")
+    edges = _lead_edges(signed.select("m", "root", F.posexplode("bands").alias("band", "h")), ["root", "band", "h"])
+    return written(components(edges).select(F.col("node").alias("m"), "root"), "parts")
+
+
 def near_classes(docs: DataFrame, how: NgramJoin = NgramJoin()) -> DataFrame:
     """doc_id, class_id, n_links for every row of docs."""
     docs = whole(docs, {"doc_id": "long", "text": "string"})
     signed = written(signatures(docs, how), "signatures")
     usable = signed.where("n > 0 and doc_id is not null")
     members = usable.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("bands").alias("bands"))
-    members = written(members, "members")
-    banded = members.select("rep", F.posexplode("bands").alias("band", "h"))
-    # buckets with one member end here; the rest points to its smallest
-    buckets = banded.groupBy("band", "h").agg(F.min("rep").alias("lead"), F.count("*").alias("m")).where("m > 1")
-    edges = banded.join(buckets, ["band", "h"]).where("rep <> lead").select(F.col("rep").alias("a"), F.col("lead").alias("b"))
-    groups = written(components(edges), "groups")
-
-    # sizes are pre-aggregated counts; a group of m members has ceil(m / block) blocks
-    sizes = groups.groupBy("root").agg(F.ceil(F.count("*") / how.block).cast("int").alias("blocks"))
-    dealt = groups.join(sizes, "root").select(F.col("node").alias("rep"), "root", "blocks").withColumn("side", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    dealt = dealt.join(members.select("rep", "d1", "d2", "copies"), "rep")
+    members = written(members.withColumn("m", F.monotonically_increasing_id()), "members")
+    edges = _lead_edges(members.select("m", F.posexplode("bands").alias("band", "h")), ["band", "h"])
+    groups = written(components(edges).select(F.col("node").alias("m"), "root"), "groups")
+    grouped = _sized(groups, how).join(members.select("m", "rep", "d1", "d2", "copies"), "m")
 
     def shingle(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        one, names = Shingler(how), ["rep", "d1", "d2", "root", "blocks", "side", "copies"]
+        one, names = Shingler(how), ["m", "root", "blocks", "copies"]
         for b in batches:
             for k in range(0, b.num_rows, 256):
-                part = b.slice(k, 256)
+                part, seen = b.slice(k, 256), []
                 blobs = [one.shingles(t.as_py()).tobytes() for t in part.column("text")]
                 # of several texts under one doc_id, the member's own
-                own = pa.array([_digest(x) == (p, q) for x, p, q in zip(blobs, part.column("d1").to_pylist(), part.column("d2").to_pylist(), strict=True)])
-                yield pa.RecordBatch.from_arrays([part.column(c) for c in names] + [pa.array(blobs, pa.binary())], names=[*names, "shingles"]).filter(own)
-
-    full = docs.join(dealt.withColumnRenamed("rep", "doc_id"), "doc_id").select(F.col("doc_id").alias("rep"), "d1", "d2", "root", "blocks", "side", "copies", "text")
-    full = full.mapInArrow(shingle, "rep long, d1 long, d2 long, root long, blocks int, side int, copies long, shingles binary")
-    pair = F.expr("transform(sequence(0, blocks - 1), k -> struct(least(k, side) as i, greatest(k, side) as j))")
-    tasks = full.withColumn("p", F.explode(pair)).select("root", "p.i", "p.j", "rep", "d1", "d2", "side", "copies", "shingles")
-    verified = written(tasks.groupBy("root", "i", "j").applyInArrow(_verify(how), "rep long, d1 long, d2 long, links long, near long"), "verified")
-
-    classes = components(verified.where("rep <> near").select(F.col("rep").alias("a"), F.col("near").alias("b")))
-    links = verified.groupBy("rep", "d1", "d2").agg(F.sum("links").alias("links"))
-    known = members.select("d1", "d2", "rep", "copies").join(links, ["rep", "d1", "d2"], "left").join(classes.withColumnRenamed("node", "rep"), "rep", "left")
-    known = known.select("d1", "d2", F.coalesce("root", "rep").alias("class"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("links"))
+                for x, p, q in zip(blobs, part.column("d1").to_pylist(), part.column("d2").to_pylist(), strict=True):
+                    seen.append(_digest(x) == (p, q))
+                yield pa.RecordBatch.from_arrays([part.column(c) for c in names] + [pa.array(blobs, pa.binary())], names=[*names, "shingles"]).filter(pa.array(seen, pa.bool_()))
+
+    full = docs.join(grouped.withColumnRenamed("rep", "doc_id"), "doc_id").select("m", "root", "blocks", "copies", "d1", "d2", "text")
+    full = full.mapInArrow(shingle, "m long, root long, blocks int, copies long, shingles binary")
+    full = written(full, "sets")
+    small, large = full.where("blocks = 1"), full.where("blocks > 1")
+    tasks = small.select("root", F.lit(0).alias("i"), F.lit(0).alias("j"), "m", F.lit(0).alias("side"), "copies", "shingles")
+    if not large.isEmpty():
+        dealt = _sized(_tighter(large, how), how).withColumn("side", F.pmod(F.xxhash64("m"), F.col("blocks")).cast("int"))
+        pair = F.expr("transform(sequence(0, blocks - 1), k -> struct(least(k, side) as i, greatest(k, side) as j))")
+        rest = large.select("m", "copies", "shingles").join(dealt, "m").withColumn("p", F.explode(pair))
+        # parts of a large group are numbered by a member, as whole groups are, and never share one with these
+        tasks = tasks.unionByName(rest.select("root", "p.i", "p.j", "m", "side", "copies", "shingles"))
+    verified = written(tasks.groupBy("root", "i", "j").applyInArrow(_verify(how), "m long, links long, near long"), "verified")
+
+    classes = components(verified.where("m <> near").select(F.col("m").alias("a"), F.col("near").alias("b")))
+    classes = written(classes.select(F.col("node").alias("m"), "root").join(members.select("m", "rep"), "m"), "classes")
+    least = written(classes.groupBy("root").agg(F.min("rep").alias("class")), "least")
+    links = verified.groupBy("m").agg(F.sum("links").alias("links"))
+    known = members.select("m", "d1", "d2", "rep", "copies").join(links, "m", "left").join(classes.join(least, "root").select("m", "class"), "m", "left")
+    known = known.select("d1", "d2", F.coalesce("class", "rep").alias("class"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("links"))
     usable_row = (F.col("n") > 0) & F.col("doc_id").isNotNull()
     out = signed.select("doc_id", F.when(usable_row, F.col("d1")).alias("d1"), F.when(usable_row, F.col("d2")).alias("d2")).join(known, ["d1", "d2"], "left")
     return out.select("doc_id", F.coalesce("class", "doc_id").alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"))
