@@ -8,15 +8,17 @@ found by sorting; no candidate is dropped, and hashes only choose where things m
    window alone, so equal windows have equal smallest hashes. Consecutive windows with the same one
    form a run. Runs' hashes (shortened) are dealt into buckets; those of one text only are done.
 2. Documents get back their hashes that others have too and send just those runs' bytes to buckets.
-3. In a bucket, equal runs are one class. Where a hash has several classes, the suffixes of one run
-   of each are sorted: multikey quicksort over eight-byte characters to the depth ``shallow``, then
-   blind tries order the groups that are still equal. Suffixes equal to ``length`` bytes get the
-   smallest document; the covered spans go back to the documents.
+3. A run's first suffix is sorted to the run's end, the others to ``length`` bytes: multikey quicksort
+   over eight-byte characters to the depth ``shallow``, then blind tries order the groups that are
+   still equal. Neighbours without a difference are equal: runs of one class, or, where a hash has
+   several classes, windows. They get the smallest document; the covered spans go back to the documents.
 
-Texts move compressed. Exact copies of a text are settled by its hash (128 bits) and send nothing
-in step 2. A hash or run that many documents share is pre-aggregated: a task sends it once in
-``flush_bytes`` of text and settles the rest itself, so a passage in a third of all documents makes
-one row for every such amount of text. In a bucket, equals are sorted, never paired.
+Texts move compressed. A hash or run that many documents share is pre-aggregated: a task sends it once in
+``flush_bytes`` of text and settles the rest itself by the same sort, so a passage or a copied text in a third
+of all documents makes one row for every such amount of text. In a bucket, equals are sorted, never paired.
+
+A row is known by its doc_id and 128 bits of its text's hash, never by its place in the input, so a lost
+executor or another split of the files changes nothing. Rows alike in both have the same result.
 
 Nulls and edges: a null text is empty; texts shorter than ``length`` stay whole; a row with a null
 doc_id keeps all bytes and removes none; rows with the same doc_id do not remove from each other;
@@ -41,7 +43,7 @@ class SuffixDedup:
     gram: int = 20
     shallow: int = 16
     #: Bytes of text for which one bucket is made at least, and what a task gathers before it deals out.
-    bucket_bytes: int = 64_000_000
+    bucket_bytes: int = 32_000_000
     flush_bytes: int = 32_000_000
 
 
@@ -90,80 +92,123 @@ def bucket_and_key(g: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]
     return ((g >> np.uint64(40)) % np.uint64(buckets)).astype("i8"), (g & np.uint64(0xFFFFFFFF)).astype("u4")
 
 
-def shallow_sort(chars: np.ndarray, starts: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Multikey quicksort over super-characters of eight bytes to the given depth: the order, and group numbers of what is equal so far.
+def eight_bytes(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place, big-endian, as one character; data reaches eight bytes beyond the last place."""
+    view = np.ndarray((len(data) - 7,), ">u8", data.data, strides=(1,))
+    return view[at].astype("u8")
+
+
+def _heads(new: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Segment number of each place and the sizes of segments, from where they begin."""
+    first = np.flatnonzero(new)
+    return np.cumsum(new) - 1, np.diff(np.append(first, len(new)))
+
+
+def partition_sort(key: np.ndarray, new: np.ndarray, small: int = 4096) -> np.ndarray:
+    """The order that sorts key within segments, which begin where new is set.
 
-    chars: the eight bytes from each place, big-endian, as one number. Only groups of two or more go deeper.
+    Quicksort's partition into less, equal and greater around a median of three, for all large segments
+    at once; the equal part is done. Segments of up to ``small`` are finished by one sort.
     """
-    order = np.argsort(chars[starts], kind="stable")
-    key = chars[starts[order]]
-    new = np.concatenate(([True], key[1:] != key[:-1]))
-    for at in range(8, depth, 8):
-        group = np.cumsum(new) - 1
-        many = np.bincount(group)[group] > 1
-        k = np.flatnonzero(many)
-        key = chars[starts[order[k]] + at]
-        sub = np.lexsort((key, group[k]))
-        order[k] = order[k[sub]]
-        key = key[sub]
-        differ = np.concatenate(([True], (key[1:] != key[:-1]) | (group[k][1:] != group[k][:-1])))
-        new[k] |= differ
-    return order, np.cumsum(new) - 1
-
-
-def blind_tries(data: np.ndarray, starts: np.ndarray, group: np.ndarray, depth: int, length: int) -> np.ndarray:
-    """Leaf numbers: members of a group share a leaf if they are equal up to ``length`` bytes.
+    order, new, live = np.arange(len(key)), new.copy(), np.ones(len(key), bool)
+    while True:
+        number, size = _heads(new)
+        k = np.flatnonzero(live & (size > small)[number])
+        if not len(k):
+            break
+        own = key[order[k]]
+        begins = np.concatenate(([True], number[k][1:] != number[k][:-1]))
+        seg, n = _heads(begins)
+        first = np.flatnonzero(begins)
+        three = np.sort(np.stack([own[first], own[first + n // 2], own[first + n - 1]]), axis=0)
+        pivot = three[1][seg]
+        side = (own > pivot).astype("i8") + (own >= pivot)
+        code = seg * 3 + side
+        count = np.bincount(code, minlength=3 * len(n))
+        base = np.cumsum(count) - count
+        place = np.empty(len(k), "i8")
+        for c in range(3):
+            mine = np.flatnonzero(side == c)
+            # places come in order, so the nth of a code in this list is the nth of its part
+            part = code[mine]
+            start = np.concatenate(([0], np.cumsum(np.bincount(part, minlength=3 * len(n)))))[part]
+            place[mine] = base[part] + np.arange(len(mine)) - start
+        moved = order[k]
+        order[k[place]] = moved
+        live[k[place]] = side != 1
+        new[k[base[count > 0]]] = True
+    k = np.flatnonzero(live)
+    if len(k):
+        number, _ = _heads(new)
+        order[k] = order[k[np.lexsort((key[order[k]], number[k]))]]
+    return order
+
+
+def shallow_sort(data: np.ndarray, starts: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Multikey quicksort over characters of eight bytes to the given depth: the order, and where groups begin of what is equal so far."""
+    order, new = np.arange(len(starts)), np.zeros(len(starts), bool)
+    new[:1] = True
+    for at in range(0, depth, 8):
+        number, size = _heads(new)
+        k = np.flatnonzero((size > 1)[number])  # only groups of two or more go deeper
+        if not len(k):
+            break
+        key = eight_bytes(data, starts[order[k]] + at)
+        begins = np.concatenate(([True], number[k][1:] != number[k][:-1]))
+        sub = partition_sort(key, begins)
+        order[k], key = order[k[sub]], key[sub]
+        new[k] |= begins | np.concatenate(([True], key[1:] != key[:-1]))
+    return order, new
+
+
+def blind_tries(data: np.ndarray, starts: np.ndarray, room: np.ndarray, order: np.ndarray, new: np.ndarray, depth: int) -> None:
+    """Orders the groups that are equal to ``depth``, each suffix as far as it has room, in place.
 
     The tries of all groups grow at once. In each round the first suffix of a node is its path; every
-    other suffix is compared with it once and hangs where it branches off, at the length of their
-    common prefix and the next byte (all that a blind trie keeps), to be ordered among those there.
+    other is compared with it once and hangs where it branches off, at the length of their common prefix
+    and the next byte, which is all that a blind trie keeps. What branches off to the left stands
+    before the path, the earlier the farther; what branches off to the right stands behind it, the later the
+    nearer. Suffixes on one branch are the next round's nodes.
     """
-    leaf = np.full(len(starts), -1, "i8")
-    todo, node, fresh = np.arange(len(starts)), group, 0
-    step = np.arange(depth, length)
-    while len(todo):
-        order = np.argsort(node, kind="stable")
-        todo, node = todo[order], node[order]
-        head = np.concatenate(([True], node[1:] != node[:-1]))
-        path = np.maximum.accumulate(np.where(head, np.arange(len(node)), 0))
-        prefix = np.full(len(todo), length - depth, "i8")
-        byte = np.zeros(len(todo), "i8")
-        rest = np.flatnonzero(~head)
-        for k in range(0, len(rest), 200_000):
-            r = rest[k : k + 200_000]
-            own, other = data[starts[todo[r], None] + step], data[starts[todo[path[r]], None] + step]
+    width = int(room.max()) - depth
+    rows = np.lib.stride_tricks.sliding_window_view(data, width)
+    step = np.arange(width)
+    todo = np.ones(len(order), bool)
+    while True:
+        number, size = _heads(new)
+        k = np.flatnonzero(todo & (size > 1)[number])
+        if not len(k):
+            return
+        begins = np.concatenate(([True], number[k][1:] != number[k][:-1]))
+        path = order[k][np.maximum.accumulate(np.where(begins, np.arange(len(k)), 0))]
+        code = np.full(len(k), 1 << 24)  # equal to the path
+        rest = np.flatnonzero(~begins)
+        for x in range(0, len(rest), 50_000):
+            r = rest[x : x + 50_000]
+            one, two = order[k[r]], path[r]
+            own, other = (np.where(step < (room[s] - depth)[:, None], rows[starts[s] + depth].astype("i2") + 1, 0) for s in (one, two))
             differ = own != other
-            first = differ.argmax(axis=1)
-            branched = differ[np.arange(len(r)), first]
-            prefix[r[branched]] = first[branched]
-            byte[r[branched]] = own[branched, first[branched]]
-        same = prefix == length - depth
-        leaf[todo[same]] = fresh + (np.cumsum(head) - 1)[same]
-        fresh += int(head.sum())
-        up = ~same
-        todo, node, prefix, byte = todo[up], node[up], prefix[up], byte[up]
-        if len(todo):
-            key = (prefix << 8) | byte
-            order = np.lexsort((key, node))
-            todo, node, key = todo[order], node[order], key[order]
-            node = np.cumsum(np.concatenate(([True], (node[1:] != node[:-1]) | (key[1:] != key[:-1]))))
-    return leaf
-
-
-def equal_suffixes(data: np.ndarray, starts: np.ndarray, how: SuffixDedup) -> np.ndarray:
-    """A number for each start; equal for starts whose first ``length`` bytes are equal. Deep-shallow sorting."""
+            at = differ.argmax(axis=1)
+            nth = np.arange(len(r))
+            branched = differ[nth, at]
+            byte, left = own[nth, at], own[nth, at] < other[nth, at]
+            far = np.where(left, (at << 9) | byte, (2 << 24) + ((width - at) << 9) + byte)
+            code[r[branched]] = far[branched]
+        sub = np.lexsort((code, number[k]))
+        order[k], code = order[k[sub]], code[sub]
+        new[k] |= begins | np.concatenate(([True], code[1:] != code[:-1]))
+        todo[k] = code != 1 << 24
+
+
+def equal_suffixes(data: np.ndarray, starts: np.ndarray, room: np.ndarray, how: SuffixDedup) -> np.ndarray:
+    """A number for each start, in the order of the suffixes; equal for equal suffixes, each as long as its room. Deep-shallow sorting."""
     if not len(starts):
         return np.zeros(0, "i8")
-    padded = np.concatenate((data, np.zeros(8, "u1")))
-    chars = np.zeros(len(data), "u8")
-    for k in range(8):
-        chars = (chars << np.uint64(8)) | padded[k : k + len(data)]
-    order, group = shallow_sort(chars, starts, how.shallow)
+    data = np.concatenate((data, np.zeros(max(8, int(room.max())), "u1")))
+    order, new = shallow_sort(data, starts, min(how.shallow, int(room.min()) // 8 * 8))
+    blind_tries(data, starts, room, order, new, min(how.shallow, int(room.min()) // 8 * 8))
     out = np.empty(len(starts), "i8")
-    many = np.bincount(group)[group] > 1
-    out[order[~many]] = -1 - np.arange(int((~many).sum()))
-    deep = order[many]
-    out[deep] = blind_tries(data, starts[deep], group[many], how.shallow, how.length)
+    out[order] = np.cumsum(new) - 1
     return out
 
 
@@ -183,122 +228,169 @@ def _expand(blob: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(blob)
 
 
+class _Held:
+    """The documents of a block, the amount of text that a task gathers: their rows, and what was found in them."""
+
+    def __init__(self):
+        self.docs, self.found, self.size = [], [], 0
+
+    def add(self, doc: tuple[int, int, int], found, size: int) -> None:
+        self.docs.append(doc)
+        self.found.append(found)
+        self.size += size
+
+    def table(self) -> tuple[int, bytes]:
+        """The block's number and its documents (doc_id and hash of the text); the number is told by these alone."""
+        import xxhash
+
+        docs = np.array(self.docs, "i8").tobytes()
+        return int(np.array(xxhash.xxh3_64_intdigest(docs), "u8").view("i8")), docs
+
+
+_HASHES = "bucket int, home int, block long, keys binary, low binary, high binary, docs binary"
+_ANSWERS = "block long, bucket int, keys binary, rows binary, docs binary"
+
+
+def _batch(schema: dict, *values):
+    import pyarrow as pa
+
+    return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, schema.values(), strict=True)], names=list(schema))
+
+
 def _deal_hashes(how: SuffixDedup, buckets: int):
-    """Step 1: hashes of runs, dealt out; a row holds what one task sends to one bucket.
+    """Step 1: hashes of runs, dealt out; a row holds what one block sends to one bucket.
 
-    However many texts share a hash, a task sends it once in ``flush_bytes`` of text. Buckets below 0 carry answers.
+    However many texts share a hash, a block sends it once. Buckets below 0 carry answers and the documents of blocks.
     """
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        held, size = [], 0
+        names = {"bucket": pa.int32(), "home": pa.int32(), "block": pa.int64(), "keys": pa.binary(), "low": pa.binary(), "high": pa.binary(), "docs": pa.binary()}
+        held = _Held()
 
         def flush():
-            g, rid = _join([x for x, _ in held], "u8"), np.concatenate([np.full(len(x), r, "i8") for x, r in held])
-            held.clear()
+            block, docs = held.table()
+            back = -1 - block % buckets
+            yield _batch(names, back, -1, block, b"", b"", b"", docs)
+            g, row = np.concatenate(held.found), np.repeat(np.arange(len(held.found), dtype="u4"), [len(x) for x in held.found])
             b, key = bucket_and_key(g, buckets)
             order = np.lexsort((key, b))
-            b, key, rid = b[order], key[order], rid[order]
+            b, key, row = b[order], key[order], row[order]
             # a key of several texts here is known to be shared: it sends one row, and the answer goes back at once
             same = (b[1:] == b[:-1]) & (key[1:] == key[:-1])
             many = np.concatenate(([False], same)) | np.concatenate((same, [False]))
             head = np.concatenate(([True], ~same))
             for known, own in ((False, head), (True, many)):
-                home, keys, row = b[own], key[own], (rid[own] & ((1 << 33) - 1)).astype("u4")
+                home, keys, rows = b[own], key[own], row[own]
                 if not len(home):
                     continue
-                part = int(rid[0] >> 33)  # one task, one part
                 cuts = np.flatnonzero(np.concatenate(([True], home[1:] != home[:-1], [True])))
                 for x, y in zip(cuts[:-1], cuts[1:], strict=True):
-                    low, high = (row[x:y] & np.uint32(0xFFFF)).astype("u2"), (row[x:y] >> np.uint32(16)).astype("u2")
-                    bucket = -1 - part % buckets if known else int(home[x])
-                    yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([int(home[x])], pa.int32()), pa.array([part], pa.int64()), pa.array([keys[x:y].tobytes()], pa.binary()), pa.array([low.tobytes()], pa.binary()), pa.array([high.tobytes()], pa.binary())], names=["bucket", "home", "part", "keys", "low", "high"])
+                    low, high = (rows[x:y] & np.uint32(0xFFFF)).astype("u2"), (rows[x:y] >> np.uint32(16)).astype("u2")
+                    yield _batch(names, back if known else int(home[x]), int(home[x]), block, keys[x:y].tobytes(), low.tobytes(), high.tobytes(), None)
 
         for batch in batches:
-            for rid, text in zip(batch.column("rid").to_pylist(), batch.column("text"), strict=True):
+            ids = zip(*(batch.column(c).to_pylist() for c in ("doc_id", "h1", "h2")), strict=True)
+            for doc, text in zip(ids, batch.column("text"), strict=True):
                 data = np.frombuffer((text.as_py() or "").encode("utf-8", "surrogatepass"), "u1")
-                g = np.unique(runs(data, how)[0])
-                if len(g):
-                    held.append((g, rid))
-                    size += len(data)
-                if size > how.flush_bytes:
+                held.add(doc, np.unique(runs(data, how)[0]), len(data))
+                if held.size > how.flush_bytes:
                     yield from flush()
-                    size = 0
-        if held:
+                    held = _Held()
+        if held.docs:
             yield from flush()
 
     return run
 
 
 def _shared_hashes(table):
-    """Step 1, in a bucket: keys that two or more texts have, by the part that sent them."""
+    """Step 1, in a bucket: keys that two or more texts have, by the block that sent them."""
     import pyarrow as pa
 
-    keys, rows, parts = [], [], []
-    names = ["part", "bucket", "keys", "rows"]
-    for part, k, low, high in zip(*(table.column(c).to_pylist() for c in ("part", "keys", "low", "high")), strict=True):
+    keys, rows, blocks = [], [], []
+    names = ["block", "bucket", "keys", "rows", "docs"]
+    for block, k, low, high in zip(*(table.column(c).to_pylist() for c in ("block", "keys", "low", "high")), strict=True):
         keys.append(np.frombuffer(k, "u4"))
         rows.append(np.frombuffer(low, "u2").astype("u4") | (np.frombuffer(high, "u2").astype("u4") << np.uint32(16)))
-        parts.append(np.full(len(keys[-1]), part, "i8"))
+        blocks.append(np.full(len(keys[-1]), block, "i8"))
     bucket = table.column("bucket")[0].as_py()
     if bucket < 0:
-        return pa.table([table.column("part"), table.column("home"), table.column("keys"), pa.array([r.tobytes() for r in rows], pa.binary())], names=names)
-    key, row, part = np.concatenate(keys), np.concatenate(rows), np.concatenate(parts)
-    del keys, rows, parts
+        return pa.table([table.column("block"), table.column("home"), table.column("keys"), pa.array([r.tobytes() for r in rows], pa.binary()), table.column("docs")], names=names)
+    key, row, block = np.concatenate(keys), np.concatenate(rows), np.concatenate(blocks)
+    del keys, rows, blocks
     order = np.argsort(key, kind="stable")
     key = key[order]
     same = key[1:] == key[:-1]
     many = np.concatenate(([False], same)) | np.concatenate((same, [False]))
-    key, row, part = key[many], row[order[many]], part[order[many]]
-    order = np.argsort(part, kind="stable")
-    key, row, part = key[order], row[order], part[order]
-    cuts = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1], [True]))) if len(part) else np.zeros(1, "i8")
-    own = [(int(part[x]), key[x:y].tobytes(), row[x:y].tobytes()) for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
-    return pa.table([pa.array([x[0] for x in own], pa.int64()), pa.array([bucket] * len(own), pa.int32()), pa.array([x[1] for x in own], pa.binary()), pa.array([x[2] for x in own], pa.binary())], names=names)
+    key, row, block = key[many], row[order[many]], block[order[many]]
+    order = np.argsort(block, kind="stable")
+    key, row, block = key[order], row[order], block[order]
+    cuts = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1], [True]))) if len(block) else np.zeros(1, "i8")
+    own = [(int(block[x]), key[x:y].tobytes(), row[x:y].tobytes()) for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
+    return pa.table([pa.array([x[0] for x in own], pa.int64()), pa.array([bucket] * len(own), pa.int32()), pa.array([x[1] for x in own], pa.binary()), pa.array([x[2] for x in own], pa.binary()), pa.array([None] * len(own), pa.binary())], names=names)
+
+
+def _documents_of(table) -> np.ndarray:
+    """doc_id and hash of each document of a block; a block that comes twice has the same ones."""
+    return np.frombuffer(next(x for x in table.column("docs").to_pylist() if x is not None), "i8").reshape(-1, 3)
 
 
 def _by_document(table):
-    """All buckets' answers for one part of the input, by document: (bucket, key) as one number each."""
+    """All buckets' answers for one block, by document: (bucket, key) as one number each."""
     import pyarrow as pa
 
-    keys, rows = [], []
+    keys, rows, docs = [], [], _documents_of(table)
     for bucket, k, r in zip(*(table.column(c).to_pylist() for c in ("bucket", "keys", "rows")), strict=True):
-        keys.append(np.frombuffer(k, "u4").astype("u8") | np.uint64(bucket << 32))
-        rows.append(np.frombuffer(r, "u4"))
-    part, key, row = table.column("part")[0].as_py(), np.concatenate(keys), np.concatenate(rows).astype("i8")
+        if bucket >= 0:
+            keys.append(np.frombuffer(k, "u4").astype("u8") | np.uint64(bucket << 32))
+            rows.append(np.frombuffer(r, "u4"))
+    key, row = _join(keys, "u8"), _join(rows, "u4").astype("i8")
     order = np.lexsort((key, row))
     key, row = key[order], row[order]
-    cuts = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1], [True])))
-    return pa.table([pa.array((part << 33) + row[cuts[:-1]], pa.int64()), pa.array([key[x:y].tobytes() for x, y in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())], names=["rid", "keys"])
+    cuts = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1], [True]))) if len(row) else np.zeros(1, "i8")
+    own = docs[row[cuts[:-1]]]
+    return pa.table([*(pa.array(own[:, c]) for c in range(3)), pa.array([key[x:y].tobytes() for x, y in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())], names=["doc_id", "h1", "h2", "keys"])
+
+
+_RUNS = "bucket int, block long, blob binary, docs binary"
+
+
+def run_classes(n: np.ndarray, pieces: np.ndarray, doc: np.ndarray, how: SuffixDedup) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For runs of n bytes each: their class, equal for equal runs, and each class's first run and smallest document."""
+    at = np.concatenate(([0], np.cumsum(n)))
+    of = equal_suffixes(pieces, at[:-1], n, how)
+    first = np.unique(of, return_index=True)[1]
+    least = np.full(len(first), np.iinfo("i8").max)
+    np.minimum.at(least, of, doc)
+    return of, first, least
 
 
 def _deal_runs(how: SuffixDedup, buckets: int):
     """Step 2: the bytes of runs whose hashes others have too, dealt out.
 
-    However many documents hold the same run, a task sends its bytes once in ``flush_bytes``. Buckets below 0 carry spans.
+    However many documents hold the same run, a block sends its bytes once. Buckets below 0 carry spans and the documents of blocks.
     """
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        held, size = [], 0
+        names = {"bucket": pa.int32(), "block": pa.int64(), "blob": pa.binary(), "docs": pa.binary()}
+        held = _Held()
 
         def flush():
-            rid, doc, g, low, n = (np.concatenate([np.asarray(x[k]) for x in held]) for k in range(5))
-            texts, of = [x[5] for x in held], np.repeat(np.arange(len(held)), [len(x[2]) for x in held])
-            held.clear()
-            raw = [texts[t][a : a + m] for t, a, m in zip(of.tolist(), low.tolist(), n.tolist(), strict=True)]
-            # equal runs here: those of a later document are covered, whatever other tasks hold, and only the first's go on
-            classes: dict[bytes, int] = {}
-            cls = np.array([classes.setdefault(x, len(classes)) for x in raw], "i8")
-            least = np.full(len(classes), np.iinfo("i8").max)
-            del classes
-            np.minimum.at(least, cls, doc)
-            later = doc > least[cls]
+            block, docs = held.table()
+            back = -1 - block % buckets
+            yield _batch(names, back, block, None, docs)
+            row = np.repeat(np.arange(len(held.found), dtype="i4"), [len(x[0]) for x in held.found])
+            g, low, n = (np.concatenate([x[k] for x in held.found]) for k in range(3))
+            doc = np.array(held.docs, "i8")[row, 0]
+            raw = [held.found[t][3][a : a + m] for t, a, m in zip(row.tolist(), low.tolist(), n.tolist(), strict=True)]
+            # equal runs here: those of a later document are covered, whatever other blocks hold, and only the first's go on
+            of, _, least = run_classes(n, np.frombuffer(b"".join(raw), "u1"), doc, how)
+            later = doc > least[of]
             done = np.flatnonzero(later)
-            for part, blob in _span_blobs(rid[done], low[done].astype("u4"), (low[done] + n[done]).astype("u4")):
-                yield pa.RecordBatch.from_arrays([pa.array([-1 - part % buckets], pa.int32()), pa.array([part], pa.int64()), pa.array([blob], pa.binary())], names=["bucket", "part", "blob"])
+            yield _batch(names, back, block, _span_blob(row[done], low[done].astype("u4"), (low[done] + n[done]).astype("u4")), None)
             b = bucket_and_key(g, buckets)[0]
             order = np.lexsort((g, b))
             order = order[~later[order]]
@@ -306,12 +398,11 @@ def _deal_runs(how: SuffixDedup, buckets: int):
             for x, y in zip(cuts[:-1], cuts[1:], strict=True):
                 k = order[x:y]
                 pieces = np.frombuffer(b"".join([raw[i] for i in k.tolist()]), "u1")
-                head = np.array([len(k)], "i8")
-                blob = _squeeze(head, g[k], rid[k], doc[k], low[k].astype("i4"), n[k].astype("i4"), pieces)
-                yield pa.RecordBatch.from_arrays([pa.array([int(b[k[0]])], pa.int32()), pa.array([None], pa.int64()), pa.array([blob], pa.binary())], names=["bucket", "part", "blob"])
+                blob = _squeeze(np.array([len(k)], "i8"), g[k], row[k], doc[k], low[k].astype("i4"), n[k].astype("i4"), pieces)
+                yield _batch(names, int(b[k[0]]), block, blob, None)
 
         for batch in batches:
-            for rid, doc, z, keys in zip(*(batch.column(c).to_pylist() for c in ("rid", "doc_id", "z", "keys")), strict=True):
+            for doc, h1, h2, z, keys in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "h1", "h2", "z", "keys")), strict=True):
                 data = _expand(z)
                 g, low, high = runs(np.frombuffer(data, "u1"), how)
                 b, key = bucket_and_key(g, buckets)
@@ -321,12 +412,11 @@ def _deal_runs(how: SuffixDedup, buckets: int):
                 k = np.flatnonzero(wanted[at] == own)
                 if len(k):
                     n = high[k] - low[k] + how.length
-                    held.append((np.full(len(k), rid, "i8"), np.full(len(k), doc, "i8"), g[k], low[k], n, data))
-                    size += len(data) + int(n.sum())
-                if size > how.flush_bytes:
+                    held.add((doc, h1, h2), (g[k], low[k], n, data), len(data) + int(n.sum()))
+                if held.size > how.flush_bytes:
                     yield from flush()
-                    size = 0
-        if held:
+                    held = _Held()
+        if held.docs:
             yield from flush()
 
     return run
@@ -335,16 +425,7 @@ def _deal_runs(how: SuffixDedup, buckets: int):
 def covered(g: np.ndarray, doc: np.ndarray, n: np.ndarray, pieces: np.ndarray, how: SuffixDedup) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Covered spans (run, from, to), relative to each run's first byte, of runs with the given hashes, documents and bytes."""
     at = np.concatenate(([0], np.cumsum(n)))
-    raw, classes, of, first = pieces.tobytes(), {}, np.empty(len(g), "i8"), []
-    for k, (a, b) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)):
-        c = classes.setdefault(raw[a:b], len(first))
-        if c == len(first):
-            first.append(k)
-        of[k] = c
-    del classes
-    first = np.array(first, "i8")
-    least = np.full(len(first), np.iinfo("i8").max)
-    np.minimum.at(least, of, doc)
+    of, first, least = run_classes(n, pieces, doc, how)
     out_run, out_a, out_b = [], [], []
     full = np.flatnonzero(doc > least[of])
     out_run.append(full)
@@ -361,7 +442,7 @@ def covered(g: np.ndarray, doc: np.ndarray, n: np.ndarray, pieces: np.ndarray, h
         windows = size - how.length + 1
         owner = np.repeat(np.arange(len(several)), windows)
         nth = np.arange(int(windows.sum())) - np.repeat(np.cumsum(windows) - windows, windows)
-        number = np.unique(equal_suffixes(data, base[owner] + nth, how), return_inverse=True)[1]
+        number = equal_suffixes(data, base[owner] + nth, np.full(len(owner), how.length), how)
         lowest = np.full(int(number.max()) + 1, np.iinfo("i8").max)
         np.minimum.at(lowest, number, least[several][owner])
         hit = np.flatnonzero(lowest[number] < least[several][owner])
@@ -382,66 +463,75 @@ def covered(g: np.ndarray, doc: np.ndarray, n: np.ndarray, pieces: np.ndarray, h
     return np.concatenate(out_run), np.concatenate(out_a), np.concatenate(out_b)
 
 
-def _span_blobs(rid: np.ndarray, a: np.ndarray, b: np.ndarray) -> list[tuple[int, bytes]]:
-    """Spans by the part of the input they go back to."""
-    order = np.lexsort((a, rid))
-    rid, a, b = rid[order], a[order], b[order]
-    part = rid >> 33
-    cuts = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1], [True]))) if len(part) else np.zeros(1, "i8")
-    return [(int(part[x]), _squeeze(np.array([y - x], "i8"), rid[x:y], a[x:y], b[x:y])) for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
+def _span_blob(row: np.ndarray, a: np.ndarray, b: np.ndarray) -> bytes:
+    """Spans of the documents of one block."""
+    return _squeeze(np.array([len(row)], "i8"), row.astype("i4"), a, b)
 
 
 def _bucket_spans(how: SuffixDedup):
-    """Step 3, in a bucket: covered spans, by the part of the input they go back to."""
+    """Step 3, in a bucket: covered spans, by the block they go back to."""
 
     def run(table):
         import pyarrow as pa
 
         if table.column("bucket")[0].as_py() < 0:
-            return table.select(["part", "blob"])
-        fields: list[list[np.ndarray]] = [[] for _ in range(6)]
-        for blob in table.column("blob").to_pylist():
+            return table.select(["block", "blob", "docs"])
+        blocks, sizes, fields = [], [], [[] for _ in range(6)]
+        for block, blob in zip(table.column("block").to_pylist(), table.column("blob").to_pylist(), strict=True):
             raw = _expand(blob)
             m, at = int(np.frombuffer(raw, "i8", 1)[0]), 8
-            for k, kind in enumerate(("u8", "i8", "i8", "i4", "i4")):
+            for k, kind in enumerate(("u8", "i4", "i8", "i4", "i4")):
                 fields[k].append(np.frombuffer(raw, kind, m, at))
                 at += fields[k][-1].nbytes
             fields[5].append(np.frombuffer(raw, "u1", -1, at))
-        g, rid, doc, low, n, pieces = (np.concatenate(x) for x in fields)
-        k, a, b = covered(g, doc, n, pieces, how)
-        rows = _span_blobs(rid[k], (low[k] + a).astype("u4"), (low[k] + b).astype("u4"))
-        return pa.table([pa.array([x for x, _ in rows], pa.int64()), pa.array([x for _, x in rows], pa.binary())], names=["part", "blob"])
+            blocks.append(block)
+            sizes.append(m)
+        g, row, doc, low, n, pieces = (np.concatenate(x) for x in fields)
+        k, a, b = covered(g, doc, n.astype("i8"), pieces, how)
+        # runs of a block stand together
+        sender = np.repeat(np.arange(len(blocks)), sizes)[k]
+        order = np.lexsort((a, k, sender))
+        k, a, b, sender = k[order], a[order], b[order], sender[order]
+        cuts = np.flatnonzero(np.concatenate(([True], sender[1:] != sender[:-1], [True]))) if len(k) else np.zeros(1, "i8")
+        out = [(blocks[sender[x]], _span_blob(row[k[x:y]], (low[k[x:y]] + a[x:y]).astype("u4"), (low[k[x:y]] + b[x:y]).astype("u4"))) for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
+        return pa.table([pa.array([x for x, _ in out], pa.int64()), pa.array([x for _, x in out], pa.binary()), pa.array([None] * len(out), pa.binary())], names=["block", "blob", "docs"])
 
     return run
 
 
 def _united_spans(table):
-    """All buckets' spans of one part of the input, united by document."""
+    """All buckets' spans of one block, united by document."""
     import pyarrow as pa
 
-    rids, starts, ends = [], [], []
+    rows, starts, ends, docs = [], [], [], _documents_of(table)
     for blob in table.column("blob").to_pylist():
+        if blob is None:
+            continue
         raw = _expand(blob)
         m = int(np.frombuffer(raw, "i8", 1)[0])
-        rids.append(np.frombuffer(raw, "i8", m, 8))
-        starts.append(np.frombuffer(raw, "u4", m, 8 + 8 * m))
-        ends.append(np.frombuffer(raw, "u4", m, 8 + 12 * m))
-    rid, a, b = np.concatenate(rids), np.concatenate(starts), np.concatenate(ends)
-    order = np.lexsort((a, rid))
-    rid, a, b = rid[order], a[order], b[order]
-    out_rid, out = [], []
-    cuts = np.flatnonzero(np.concatenate(([True], rid[1:] != rid[:-1], [True])))
+        rows.append(np.frombuffer(raw, "i4", m, 8))
+        starts.append(np.frombuffer(raw, "u4", m, 8 + 4 * m))
+        ends.append(np.frombuffer(raw, "u4", m, 8 + 8 * m))
+    row, a, b = _join(rows, "i4"), _join(starts, "u4"), _join(ends, "u4")
+    order = np.lexsort((a, row))
+    row, a, b = row[order], a[order], b[order]
+    own, out = [], []
+    cuts = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1], [True]))) if len(row) else np.zeros(1, "i8")
     for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
         top = np.maximum.accumulate(b[x:y])
         new = np.concatenate(([True], a[x + 1 : y] > top[:-1]))
         s = np.flatnonzero(new)
-        out_rid.append(rid[x])
+        own.append(int(row[x]))
         out.append(np.column_stack((a[x:y][s], top[np.concatenate((s[1:], [y - x])) - 1])).astype("u4").tobytes())
-    return pa.table([pa.array(out_rid, pa.int64()), pa.array(out, pa.binary())], names=["rid", "spans"])
+    named = docs[np.array(own, "i8")]
+    return pa.table([*(pa.array(named[:, c]) for c in range(3)), pa.array(out, pa.binary())], names=["doc_id", "h1", "h2", "spans"])
+
+
+_ROW = ["doc_id", "h1", "h2"]
 
 
 def _compressed(rows: DataFrame) -> DataFrame:
-    """rid and the text's bytes, compressed before they move."""
+    """A row's key and the text's bytes, compressed before they move."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -451,44 +541,40 @@ def _compressed(rows: DataFrame) -> DataFrame:
         for b in batches:
             for k in range(0, b.num_rows, 512):
                 part = b.slice(k, 512)
-                yield pa.RecordBatch.from_arrays([part.column("rid"), part.column("doc_id"), pa.array([c.compress((t.as_py() or "").encode("utf-8", "surrogatepass")) for t in part.column("text")], pa.binary())], names=["rid", "doc_id", "z"])
+                yield pa.RecordBatch.from_arrays([*(part.column(x) for x in _ROW), pa.array([c.compress((t.as_py() or "").encode("utf-8", "surrogatepass")) for t in part.column("text")], pa.binary())], names=[*_ROW, "z"])
+
+    return rows.select(*_ROW, "text").mapInArrow(run, "doc_id long, h1 long, h2 long, z binary")
 
-    return rows.select("rid", "doc_id", "text").mapInArrow(run, "rid long, doc_id long, z binary")
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    docs = whole(docs, {"doc_id": "long", "text": "string"})
+    return docs.select("doc_id", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit("second"), "text").alias("h2"), "text")
 
 
 def repeated_spans(rows: DataFrame, how: SuffixDedup = SuffixDedup()) -> DataFrame:
-    """rows: rid (as monotonically_increasing_id gives it), doc_id, text. Result: rid, whole (a later exact copy), spans (pairs of unsigned 32-bit from and to)."""
+    """rows: doc_id, h1, h2, text. Result: for rows that lose bytes doc_id, h1, h2 and spans (pairs of unsigned 32-bit from and to)."""
     spark = rows.sparkSession
     long_enough = rows.where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= how.length))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // how.bucket_bytes))
 
-    hashes = long_enough.select("rid", "text").mapInArrow(_deal_hashes(how, buckets), "bucket int, home int, part long, keys binary, low binary, high binary")
-    shared = hashes.groupBy("bucket").applyInArrow(_shared_hashes, "part long, bucket int, keys binary, rows binary")
-    wanted = shared.groupBy("part").applyInArrow(_by_document, "rid long, keys binary")
+    hashes = long_enough.mapInArrow(_deal_hashes(how, buckets), _HASHES)
+    shared = hashes.groupBy("bucket").applyInArrow(_shared_hashes, _ANSWERS)
+    wanted = shared.groupBy("block").applyInArrow(_by_document, "doc_id long, h1 long, h2 long, keys binary")
+    # repeated rows are in several blocks, with the same answers
+    wanted = wanted.groupBy(*_ROW).agg(F.first("keys").alias("keys"))
 
-    texts = long_enough.select("rid", "doc_id", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit("second"), "text").alias("h2"))
-    texts = written(texts, "texts")
-    first = texts.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "rid")).alias("first"))
-    own = first.select(F.col("first.rid").alias("rid"))
-    copies = texts.join(first, ["h1", "h2"]).where(F.col("doc_id") > F.col("first.doc_id")).select("rid")
-    # several rows of one document with one text: the first speaks for the others
-    twins = texts.join(first, ["h1", "h2"]).where((F.col("doc_id") == F.col("first.doc_id")) & (F.col("rid") != F.col("first.rid"))).select("rid", F.col("first.rid").alias("like"))
-
-    runs_of = _compressed(long_enough).join(wanted.join(own, "rid"), "rid").mapInArrow(_deal_runs(how, buckets), "bucket int, part long, blob binary")
-    spans = runs_of.groupBy("bucket").applyInArrow(_bucket_spans(how), "part long, blob binary").groupBy("part").applyInArrow(_united_spans, "rid long, spans binary")
-    spans = written(spans, "spans")
-    also = twins.join(spans.withColumnRenamed("rid", "like"), "like").select("rid", "spans")
-    none = F.lit(None).cast("binary")
-    return spans.unionByName(also).select("rid", F.lit(False).alias("whole"), "spans").unionByName(copies.select("rid", F.lit(True).alias("whole"), none.alias("spans")))
+    dealt = _compressed(long_enough).join(wanted, _ROW).mapInArrow(_deal_runs(how, buckets), _RUNS)
+    spans = dealt.groupBy("bucket").applyInArrow(_bucket_spans(how), "block long, blob binary, docs binary")
+    spans = spans.groupBy("block").applyInArrow(_united_spans, "doc_id long, h1 long, h2 long, spans binary")
+    return written(spans.groupBy(*_ROW).agg(F.first("spans").alias("spans")), "spans")
 
 
 def remove_repeats(docs: DataFrame, how: SuffixDedup = SuffixDedup()) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept (the remaining bytes) for every row of docs."""
     import pyarrow as pa
 
-    docs = whole(docs, {"doc_id": "long", "text": "string"})
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text")
+    rows = _keyed(docs)
     found = repeated_spans(rows, how)
 
     def cut(batches: Iterator) -> Iterator:
@@ -496,9 +582,9 @@ def remove_repeats(docs: DataFrame, how: SuffixDedup = SuffixDedup()) -> DataFra
             for k in range(0, b.num_rows, 256):
                 part = b.slice(k, 256)
                 n, gone, count, kept = [], [], [], []
-                for z, every, spans in zip(*(part.column(c).to_pylist() for c in ("z", "whole", "spans")), strict=True):
+                for z, spans in zip(*(part.column(c).to_pylist() for c in ("z", "spans")), strict=True):
                     data = _expand(z)
-                    pairs = [(0, len(data))] if every else np.frombuffer(spans, "u4").reshape(-1, 2).tolist() if spans else []
+                    pairs = np.frombuffer(spans, "u4").reshape(-1, 2).tolist() if spans else []
                     out, at = [], 0
                     for x, y in pairs:
                         out.append(data[at:x])
@@ -510,4 +596,4 @@ def remove_repeats(docs: DataFrame, how: SuffixDedup = SuffixDedup()) -> DataFra
                     count.append(len(pairs))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(count, pa.int64()), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    return _compressed(rows).join(found, "rid", "left").select("doc_id", "z", "whole", "spans").mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return _compressed(rows).join(found, _ROW, "left").select("doc_id", "z", "spans").mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
