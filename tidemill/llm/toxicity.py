@@ -1,13 +1,16 @@
 """Toxicity by non-negative positive-unlabelled learning, with numpy.
 
 A logistic classifier over words and character n-grams of words is trained from confirmed toxic
-texts and unlabelled texts (their labels are not looked at). The risk estimator is corrected by the
+texts and unlabelled texts (no label of theirs tells one text from another). The risk estimator is corrected by the
 class prior p: p*R+(positive) + max(0, R-(unlabelled) - p*R-(positive)); where the bracket is
 negative the step goes up its gradient instead, as published for non-negative PU learning. The prior
-is the share of toxic rows among the labelled rows that may be learned from.
+is the share of toxic rows among the labelled rows that may be learned from, so the number of rows labelled
+0 counts there and nowhere else.
 
 Bounds (``max_positive``, ``max_unlabelled``): the training sample is that many documents at most,
-those whose hashed ids are smallest, whole texts. Every document is scored, over its whole text.
+those whose hashed ids are smallest, whole texts. Features are not limited in number: they are all those of
+the sampled positives that ``min_documents`` of them have and that are clearly more frequent there. Every
+document is scored, over its whole text.
 
 Nulls and edges: a null or empty text has no features and gets the score of the bias alone; a
 document may have no label or several (it is a positive if any says so); a null doc_id counts as
@@ -39,11 +42,9 @@ class Toxicity:
     held_out_fold: int = 0
     gram: int = 5
     min_documents: int = 4
-    max_candidates: int = 100_000
     min_lift: float = 3.0
     min_clear: float = 4.0
     clear_per_root: float = 0.35
-    max_features: int = 20_000
     epochs: int = 300
     rate: float = 0.05
     decay: float = 1e-4
@@ -75,7 +76,7 @@ def choose(in_p: np.ndarray, in_u: np.ndarray, n_p: int, n_u: int, how: Toxicity
     clear = (share_p - share_u) / np.sqrt(share_p / n_p + share_u / n_u + 1e-12)
     least = min(how.min_clear, how.clear_per_root * np.sqrt(n_p))  # few positives can't show more
     chosen = np.flatnonzero((in_p >= how.min_documents) & (share_p > how.min_lift * share_u) & (clear > least))
-    return chosen[np.argsort(-clear[chosen], kind="stable")][: how.max_features]
+    return chosen[np.argsort(-clear[chosen], kind="stable")]
 
 
 def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], names: list[str], prior: float, how: Toxicity) -> Model:
@@ -187,9 +188,9 @@ def fit(docs: DataFrame, labels: DataFrame, how: Toxicity = Toxicity()) -> Model
                 yield pa.RecordBatch.from_arrays([pa.array(sorted({f for w in lowered(t.as_py()) for f in features_of(w, how.gram)}), pa.string())], names=["f"])
 
     often = sample.where("kind = 1").select("text").mapInArrow(features, "f string").groupBy("f").count().where(F.col("count") >= how.min_documents)
-    names = [r["f"] for r in often.orderBy(F.desc("count"), "f").limit(how.max_candidates).collect()]
+    names = [r["f"] for r in often.orderBy(F.desc("count"), "f").collect()]
     context = docs.sparkSession.sparkContext
-    sent = context.broadcast({f: k for k, f in enumerate(names)})  # max_candidates at most
+    sent = context.broadcast({f: k for k, f in enumerate(names)})  # features of max_positive texts
 
     def count(batches: Iterator) -> Iterator:
         """How many texts of each kind have each candidate: sums of a task."""
@@ -211,7 +212,7 @@ def fit(docs: DataFrame, labels: DataFrame, how: Toxicity = Toxicity()) -> Model
         return train([], [], [], prior, how)
     names = [names[k] for k in choose(seen[1], seen[0], int(size[1]), int(size[0]), how)]
     sent.unpersist()
-    kept = context.broadcast({f: k for k, f in enumerate(names)})  # max_features at most
+    kept = context.broadcast({f: k for k, f in enumerate(names)})  # those chosen of them
 
     def numbers(batches: Iterator) -> Iterator:
         of = _Numbers(kept.value, how.gram)
@@ -225,7 +226,7 @@ def fit(docs: DataFrame, labels: DataFrame, how: Toxicity = Toxicity()) -> Model
 
 def _scored(model: Model, docs: DataFrame, passed: list[str], keep_all: bool):
     """A function over record batches: the passed columns and the score; or only the rows below 0.5."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # max_features entries at most
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # chosen features of max_positive texts
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
