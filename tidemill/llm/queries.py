@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import os
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import bound_batches
 from . import chat_format, decontam, lang_id, line_dedup, ngram_join, packing, quality_rules, sql, suffix_dedup, toxicity, url_filter
 
 #: Where the public vocabularies are; a parameter, as they are never part of the repository.
@@ -23,6 +25,7 @@ def tokenizer_path(name: str) -> str:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -49,22 +52,36 @@ def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-#: Rules of the URL query, and the host labels whose pages make its list of canonical URLs.
 RULES = (
     url_filter.Rule("block", "net", "/"),
     url_filter.Rule("allow", "example.net", "/en/"),
     url_filter.Rule("block", "example.com", "/de/"),
     url_filter.Rule("allow", "org", "/fr/"),
 )
-LISTED_LABELS = ("spam-farm", "cheap-pills")
+
+
+@dataclass(frozen=True)
+class UrlList:
+    """A block list by rule: every host label under every domain, with every language and number as its path."""
+
+    labels: tuple[str, ...] = ("spam-farm", "cheap-pills", "casino-win", "free-bets")
+    domains: tuple[str, ...] = ("example.com", "example.net", "example.org")
+    languages: tuple[str, ...] = ("de", "en", "es", "fr")
+    numbers: int = 2_000
+
+
+LISTED = UrlList()
+
+
+def listed_urls(spark: SparkSession, how: UrlList = LISTED) -> DataFrame:
+    """The list as a table of its own, canonical URLs in the column url; it knows nothing of pages."""
+    each = lambda values: F.explode(F.array(*map(F.lit, values)))
+    rows = spark.range(how.numbers).withColumn("label", each(how.labels)).withColumn("domain", each(how.domains)).withColumn("lang", each(how.languages))
+    return rows.select(F.concat_ws("/", F.concat_ws(".", "label", "domain"), "lang", F.col("id").cast("string")).alias("url"))
 
 
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages")
-    host, path = url_filter.host_and_path(F.col("url"))
-    bad = host.rlike(rf"(^|\.)({'|'.join(LISTED_LABELS)})\.")
-    listed = pages.where(bad).select(url_filter.canonical(host, path).alias("url")).distinct()
-    return url_filter.judge(pages, listed, url_filter.UrlFilter(RULES))
+    return url_filter.judge(table(spark, sf_dir, "pages"), listed_urls(spark), url_filter.UrlFilter(RULES))
 
 
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:

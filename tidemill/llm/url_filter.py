@@ -6,10 +6,11 @@ four 64-bit words, one bit in each) passes possible hits, and an exact hash join
 URL removes false positives. Filter and lookup are DataFrame expressions; no Python runs on the
 executors.
 
-Bound of what is broadcast: the filter has ``2 ** block_bits`` blocks at most, whatever the length of
-the list (more entries raise its false positives, not its size); the list itself is shuffled by the
-exact join, never broadcast by hint. Possible hits meet the list as distinct URLs, so a URL that a
-third of all pages share is one row there; the verdicts go back by a join that Spark may split.
+The filter has a block for ``keys_a_block`` listed URLs, which keeps false positives below 1 % whatever
+the length of the list. It is broadcast up to ``broadcast_blocks`` blocks (40 bytes each) and joined by the
+block's number beyond; the list itself is shuffled by the exact join, never broadcast by hint. Possible
+hits meet the list as distinct URLs, so a URL that a third of all pages share is one row there; the
+verdicts go back by a join that Spark may split. Of equally long rules the one that sorts first decides.
 
 Canonical: host without a leading ``www.`` and a trailing dot, then the path without its last ``/``.
 
@@ -25,7 +26,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, whole
+from .common import ascii_lower, whole, written
 
 
 @dataclass(frozen=True)
@@ -38,7 +39,13 @@ class Rule:
 @dataclass(frozen=True)
 class UrlFilter:
     rules: tuple[Rule, ...] = ()
-    block_bits: int = 14
+    keys_a_block: int = 16
+    broadcast_blocks: int = 1 << 18
+
+
+def bits_for(keys: int, how: UrlFilter) -> int:
+    """The filter has 2 ** this many blocks."""
+    return max(4, (-(-keys // how.keys_a_block) - 1).bit_length())
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -79,14 +86,15 @@ def bloom_blocks(listed: DataFrame, block_bits: int) -> DataFrame:
     return rows.groupBy("block").agg(*[F.bit_or(f"w{k}").alias(f"w{k}") for k in range(4)])
 
 
-def may_be_listed(pages: DataFrame, blocks: DataFrame, block_bits: int) -> DataFrame:
+def may_be_listed(pages: DataFrame, blocks: DataFrame, block_bits: int, broadcast_blocks: int = UrlFilter.broadcast_blocks) -> DataFrame:
     """pages (with ``key``) and the column ``maybe``."""
+    blocks = F.broadcast(blocks) if 1 << block_bits <= broadcast_blocks else blocks
     block, masks = _bits(F.col("key"), block_bits)
     hit = None
     for k, m in enumerate(masks):
         one = F.col(f"w{k}").bitwiseAND(m) != 0
         hit = one if hit is None else hit & one
-    return pages.withColumn("block", block).join(F.broadcast(blocks), "block", "left").withColumn("maybe", F.coalesce(hit, F.lit(False))).drop("block", "w0", "w1", "w2", "w3")
+    return pages.withColumn("block", block).join(blocks, "block", "left").withColumn("maybe", F.coalesce(hit, F.lit(False))).drop("block", "w0", "w1", "w2", "w3")
 
 
 def judge(pages: DataFrame, listed: DataFrame, how: UrlFilter) -> DataFrame:
@@ -95,8 +103,9 @@ def judge(pages: DataFrame, listed: DataFrame, how: UrlFilter) -> DataFrame:
     host, path = host_and_path(F.col("url"))
     pages = pages.select("page_id", host.alias("host"), path.alias("path"))
     pages = pages.withColumn("r", rule_of(F.col("host"), F.col("path"), how.rules)).withColumn("key", canonical(F.col("host"), F.col("path")))
-    listed = whole(listed, {"url": "string"}).where("url is not null").select(F.col("url").alias("key")).distinct()
-    judged = may_be_listed(pages, bloom_blocks(listed, how.block_bits), how.block_bits)
+    listed = written(whole(listed, {"url": "string"}).where("url is not null").select(F.col("url").alias("key")).distinct(), "listed")
+    bits = bits_for(listed.count(), how)
+    judged = written(may_be_listed(pages, bloom_blocks(listed, bits), bits, how.broadcast_blocks), "judged")
     open_hits = F.col("maybe") & F.col("r").isNull()
     sure = judged.where(open_hits).select("key").distinct().join(listed, "key", "left_semi")
     blocked = judged.where(open_hits).join(sure.withColumn("listed", F.lit(True)), "key", "left").withColumn("verdict", F.when(F.col("listed"), "block").otherwise("allow"))
