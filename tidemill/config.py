@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, fields
 
 # Element types and section kinds of the data model.
 ELEMENT_TYPES = ("paragraph", "table", "heading", "list", "figure", "caption", "warning", "plate")
@@ -15,18 +15,39 @@ MAX_PANELS, MAX_PAIRS, MAX_HOPS, MAX_TABLE_HOPS, MAX_MATES = 4, 8, 8, 4, 8
 RRF_K, FUSED, RERANK_WINDOW, CITATIONS, DIAGRAMS = 60, 24, 16, 8, 6
 LEXICAL, VISUAL, STRUCTURAL = 20, 12, 16
 
-#: Lists of our own; a deployment brings its own tables.
-STOPWORDS = tuple("the and for with what show how does did are is was were can could should which where when who why from into about than then that this these those have has had been use used please tell give find need want also any all both each between section manual page chapter".split())
-DATA_WORDS = tuple("clearance diameter torque pressure wear limit weight gap height width deviation value maximum minimum tightening interval mass mm bar nm kg".split())
-PROCEDURE_WORDS = tuple("remove removal dismantle dismantling install installation mount mounting replace procedure step open overhaul check checking inspect inspection safety".split())
-DECISION_WORDS = tuple("replace reuse keep scrap discard valid accept reject criteria decision".split())
-FIGURE_WORDS = tuple("diagram figure plate drawing panel wiring piping illustration picture callout sketch".split())
-SCHEDULE_WORDS = tuple("schedule interval hours overdue periodic".split())
-WEAK_TITLE_WORDS = tuple("data plate checking mounting dismantling overhaul general main unit".split())
-ACTION_WORDS = ("data", "checking", "dismantling", "mounting", "overhaul", "plate")
+#: Function words of English by their grammatical class; a deployment in another language brings its own.
+STOPWORDS = tuple(
+    (
+        "a an the "  # articles
+        "i me my we us our you your he him his she her it its they them their this that these those who whom whose which what "  # pronouns
+        "be am is are was were been being do does did done have has had having can could may might must shall should will would "  # auxiliaries
+        "of in on at by for from to with without about into onto over under above below between among through during before after against within along across per via as than "  # prepositions
+        "and or but nor so if then else because while when where why how whether though although until unless "  # conjunctions
+        "not no yes also only just too very there here again still once more most some any all both each every few many much other another such same own "  # adverbs and determiners
+        "please tell give find need want get let"  # what a request opens with
+    ).split()
+)
+#: Names of measured quantities, what qualifies them, and unit symbols of the SI and in use with it.
+QUANTITIES = "length width height depth thickness diameter radius angle area volume clearance gap backlash runout torque force load pressure temperature voltage current speed flow mass weight hardness roughness viscosity".split()
+QUALIFIERS = "value limit tolerance dimension rating capacity nominal maximum minimum wear data".split()
 UNITS = ("mm", "bar", "nm", "kg")
+DATA_WORDS = (*QUANTITIES, *QUALIFIERS, *UNITS, "cm", "kpa", "mpa", "kn", "rpm", "kw")
+#: Work on equipment: a verb and its noun each, as maintenance task codes name them.
+PROCEDURE_WORDS = tuple("remove removal install installation assemble assembly disassemble disassembly dismantle dismantling mount mounting inspect inspection check checking test testing clean cleaning lubricate lubrication adjust adjustment repair replace replacement drain fill tighten loosen lift procedure step".split())
+#: What a question for a verdict turns on.
+DECISION_WORDS = tuple("accept reject keep discard scrap reuse renew valid serviceable acceptable permissible allowed".split())
+#: Kinds of picture.
+FIGURE_WORDS = tuple("figure drawing diagram picture illustration photo image schematic sketch chart plate".split())
+#: Words of recurrence.
+SCHEDULE_WORDS = tuple("schedule interval periodic daily weekly monthly yearly hour due".split())
+#: What a title says of the kind of a section, not of its subject.
+ACTION_WORDS = ("data", "plate", "schedule", "procedure", "checking", "inspection", "dismantling", "mounting", "removal", "installation", "cleaning", "adjustment", "testing")
+WEAK_TITLE_WORDS = (*ACTION_WORDS, "general", "unit")
+#: Words under which a text forbids or limits.
+PROHIBITIONS = ("must not", "do not", "shall not", "never")
+TIME_LIMITS = ("must not exceed", "keep under", "minute", "hour")
 
-#: Identifier grammars, as patterns that Java and RE2 read alike.
+# Identifier grammars, as patterns that Java and RE2 read alike.
 PROCEDURE_PATTERN = r"[0-9]{3}-[0-9]+(?:\.[0-9]+)?"
 PLATE_PATTERN = r"P[0-9]{4,6}"
 DOC_CODE_PATTERN = r"[A-Z]{1,3}[0-9]{4,8}"
@@ -36,13 +57,16 @@ TABLE_ROW_PATTERN = r"[A-Z][0-9]{2}-[0-9]{2}"
 
 @dataclass(frozen=True)
 class Settings:
-    """What the service shell reads from its environment, as plain parameters."""
+    """What the engine takes from its surroundings, as plain parameters."""
 
-    manual_id: str | None = None
-    fused: int = FUSED
     rrf_k: int = RRF_K
-    batch_pages: int = 10
+    fused: int = FUSED
     router_escalations: int = 60
     ocr_default: str = "ocr"
     abstain_text: str = "The manual does not support an answer to this question."
-    extra: dict = field(default_factory=dict)
+
+    @staticmethod
+    def of(conf: dict[str, str], prefix: str = "tidemill.") -> Settings:
+        """From settings such as Spark's, by name; what is not there keeps its default."""
+        own = {f.name: conf[prefix + f.name] for f in fields(Settings) if prefix + f.name in conf}
+        return Settings(**{k: type(getattr(Settings, k))(v) for k, v in own.items()})

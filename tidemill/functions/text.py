@@ -37,11 +37,18 @@ def named_edition(query: Column) -> Column:
     return edition_key(F.nullif(F.regexp_extract(F.lower(query), r"(?:edition|revision|rev\.?|ed\.?) +([a-z]?[0-9]+[a-z]?)", 1), F.lit("")))
 
 
+def codes_in(text: Column, pattern: str) -> Column:
+    """All codes of a grammar in a text, upper case, that stand by themselves: no letter, digit or underscore touches them.
+
+    Separators are doubled first, as one ends a code and begins the next.
+    """
+    wide = F.regexp_replace(F.upper(text), "([ ,;:()/\n])", "$1$1")
+    return F.regexp_extract_all(wide, F.lit(f"(?:^|[^A-Z0-9_])({pattern})(?:[^A-Z0-9_]|$)"), F.lit(1))
+
+
 def identifiers(query: Column) -> Column:
-    """Dotted codes, procedure numbers, then letter-digit codes, upper case, each once in order."""
-    up = F.upper(query)
-    found = [F.regexp_extract_all(up, F.lit(f"({p})"), F.lit(1)) for p in (config.PROCEDURE_PATTERN, config.DRAWING_PATTERN, config.DOC_CODE_PATTERN)]
-    return F.array_distinct(F.concat(*found))
+    """Procedure numbers, drawing codes, then letter-digit codes, each once in order."""
+    return F.array_distinct(F.concat(*[codes_in(query, p) for p in (config.PROCEDURE_PATTERN, config.DRAWING_PATTERN, config.DOC_CODE_PATTERN)]))
 
 
 def procedure_stem(number: Column) -> Column:

@@ -23,9 +23,13 @@ def _once(x: str) -> str:
     return f"list_filter({x}, lambda v, i: list_position({x}, v) = i)"
 
 
+def _codes(text: str, pattern: str) -> str:
+    wide = f"regexp_replace(upper({text}), '([ ,;:()/\\n])', '\\1\\1', 'g')"
+    return f"regexp_extract_all({wide}, '(?:^|[^A-Z0-9_])({pattern})(?:[^A-Z0-9_]|$)', 1)"
+
+
 def _ids(text: str) -> str:
-    up = f"upper({text})"
-    return f"list_concat(list_concat(regexp_extract_all({up}, '{_PROCEDURE}'), regexp_extract_all({up}, '{_DRAWING}')), regexp_extract_all({up}, '{_CODE}'))"
+    return f"list_concat(list_concat({_codes(text, _PROCEDURE)}, {_codes(text, _DRAWING)}), {_codes(text, _CODE)})"
 
 
 def tokens(source: str, rest: str) -> str:

@@ -58,5 +58,5 @@ ln AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS text, gener
 el AS (
   SELECT doc_id * 100000 + pos AS element_id, doc_id AS section_id, source AS manual_id, CASE WHEN pos = 0 THEN 'heading' WHEN length(text) < 60 THEN 'list' ELSE 'paragraph' END AS type,
          doc_id * 100 + 1 + pos // 10 AS page, (pos % 10)::INT AS step, text FROM ln WHERE trim(text) <> ''),
-qu AS (SELECT conv_id * 1000 + turn AS query_id, 'src' || (conv_id % 20) AS manual_id, array_to_string(string_split(text, ' ')[1:4], ' ') AS text FROM conversations WHERE role = 'user' AND text IS NOT NULL AND turn = 0)
+qu AS (SELECT conv_id * 1000 + turn AS query_id, 'src' || (conv_id % 20) AS manual_id, text FROM conversations WHERE role = 'user' AND text IS NOT NULL)
 """
