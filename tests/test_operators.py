@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemill.functions import text as T
-from tidemill.operators import gate, ingest, rank, retrieve
+from tidemill import config
+from tidemill.operators import conventions, gate, ingest, pages, persist, rank, retrieve
 from tidemill.plans import engine
 from tidemill.plans.queries import QUERIES
 from tidemill.sources import inline
@@ -70,10 +71,11 @@ def test_rrf_ties_and_limits(spark):
 
 
 def test_panels(spark):
-    boxes = {(r["page"], r["panel"]): (r["x0"], r["y0"]) for r in QUERIES["panel_boxes"](spark, "").collect()}
-    assert boxes == {(1, 0): (50.0, 50.0), (1, 1): (310.0, 50.0), (1, 2): (50.0, 420.0), (2, 0): (100.0, 100.0)}
-    codes = {(r["page"], r["panel"]): r["code"] for r in QUERIES["panel_codes"](spark, "").collect()}
-    assert codes == {(1, 0): "AB1-1", (1, 1): "AB1-2", (1, 2): "AB1-3", (2, 0): "AB2-1"}
+    boxes = {(r["manual_id"], r["page"], r["panel"]): (r["x0"], r["y0"]) for r in QUERIES["panel_boxes"](spark, "").collect()}
+    # page 1 of another manual is another page
+    assert boxes == {("m1", 1, 0): (50.0, 50.0), ("m1", 1, 1): (310.0, 50.0), ("m1", 1, 2): (50.0, 420.0), ("m1", 2, 0): (100.0, 100.0), ("m2", 1, 0): (0.0, 0.0)}
+    codes = {(r["manual_id"], r["page"], r["panel"]): r["code"] for r in QUERIES["panel_codes"](spark, "").collect()}
+    assert codes == {("m1", 1, 0): "AB1-1", ("m1", 1, 1): "AB1-2", ("m1", 1, 2): "AB1-3", ("m1", 2, 0): "AB2-1", ("m2", 1, 0): "ZZ9-9"}
 
 
 def _gate(spark, question, evidence, model="FP120", equipment=None):
@@ -102,13 +104,76 @@ def test_ask_answers_or_abstains(spark):
 
 
 def test_page_helpers(spark):
-    assert sorted(r["page"] for r in ingest.page_spec(spark, "1-3,7,9-99", 10).collect()) == [1, 2, 3, 7, 9, 10]
-    assert _one(spark, ingest.sample_pages(100, 3)) == [1, 51, 100]
-    layout = '{"texts":[{"label":"section_header","text":" A  b ","page":1}],"tables":[{"grid":[[{"text":"x"}]],"page":2}]}'
-    got = ingest.layout_elements(spark.createDataFrame([("m", layout)], "manual_id string, layout string")).collect()
-    assert [(r["type"], r["page"], r["text"]) for r in got] == [("heading", 1, "A b"), ("table", 2, None)]
-    o = ingest.panel_ocr(spark.createDataFrame([(1, "CODE: AB12\nSTEP: 4"), (2, "see AB1234-5\n 3. turn")], "panel int, answer string")).collect()
-    assert [(r["code"], r["step"]) for r in o] == [("AB12", 4), ("AB1234-5", 3)]
+    p = spark.range(1, 11).select(F.lit("m").alias("manual_id"), F.col("id").cast("int").alias("page"))
+    assert sorted(r["page"] for r in pages.selected(p, "1-3,7,9-99").collect()) == [1, 2, 3, 7, 9, 10]
+    hundred = spark.range(1, 101).select(F.lit("m").alias("manual_id"), F.col("id").cast("int").alias("page"), F.when(F.col("id") == 60, 9).otherwise(1).alias("drawings"))
+    assert sorted(r["page"] for r in conventions.sampled(hundred, 3).collect()) == [1, 51, 60]
+    layout = '{"texts":[{"label":"section_header","text":" A  b ","page":1,"bbox":{"l":1,"t":2.005,"r":3,"b":4}}],"tables":[{"grid":[[{"text":"x"}]],"page":2}],"pictures":[{"page":1,"bbox":{"x0":0,"y0":0,"x1":5,"y1":6},"caption":"Pump"}]}'
+    df = spark.createDataFrame([("m", layout)], "manual_id string, layout string")
+    got = [(r["type"], r["page"], r["text"], r["bbox"]) for r in ingest.layout_elements(df).collect()]
+    assert got == [("heading", 1, "A b", [1.0, 2.0, 3.0, 4.0]), ("table", 2, None, None), ("figure", 1, "Pump", [0.0, 0.0, 5.0, 6.0])]
+    sent = spark.createDataFrame([("m", 1, 17), ("m", 2, 40)], "manual_id string, nth int, page int")
+    assert {r["page"] for r in ingest.layout_elements(df, sent).collect()} == {17, 40}
+    answers = spark.createDataFrame([("m", 1, 1, "CODE: AB12\nSTEP: 4"), ("m", 1, 2, "see AB1234-5\n 3. turn")], "manual_id string, page int, panel int, answer string")
+    assert [(r["code"], r["step"]) for r in ingest.panel_ocr(answers).collect()] == [("AB12", 4), ("AB1234-5", 3)]
+
+
+def test_ocr_answers(spark):
+    typed = '{"blocks":[{"type":"title","content":" Pump ","bbox":"{\\"l\\":1,\\"t\\":2,\\"r\\":3,\\"b\\":4}"},{"type":"text","content":" "},{"type":"table","content":"| a |"}],"markdown":"# Pump\\nFigure 7 shows it"}'
+    plain = '{"markdown":"# Head\\n\\n- one\\n- two\\n\\n| a | b |\\n\\nwords"}'
+    df = spark.createDataFrame([("m", 1, typed), ("m", 2, plain), ("m", 3, "no json")], "manual_id string, page int, answer string")
+    got = sorted(((r["page"], r["nth"], r["type"], r["text"], r["bbox"]) for r in pages.ocr_elements(df).collect()), key=str)
+    big = 1 << 20
+    assert got == sorted([(1, 0, "heading", "Pump", [1.0, 2.0, 3.0, 4.0]), (1, 2, "table", "| a |", None), (1, big, "figure", "Figure 7 shows it", None), (2, 0, "heading", "Head", None), (2, 1, "list", "- one\n- two", None), (2, 2, "table", "| a | b |", None), (2, 3, "paragraph", "words", None), (2, big, "figure", "Head", None), (3, big, "figure", "Page 3", None)], key=str)
+
+
+def test_conventions_are_data(spark):
+    """A number that a manual never seen before uses, references in its own words, and answers of a service."""
+    own = spark.createDataFrame([("x", "citation_key", r"DWG-[0-9]+", None, "per_document", ["drawing"], False, "heuristic")], conventions.SCHEMA)
+    text = spark.createDataFrame([("x", 3, "See Drawing DWG-4471 in Chapter 7"), ("y", 4, "page 9")], "manual_id string, page int, text string")
+    got = {r["manual_id"]: r for r in conventions.citations(text, own).collect()}
+    assert got["x"]["key"] == "DWG-4471" and got["x"]["revision"] is None and got["y"]["key"] == "p.9"
+    bad = spark.createDataFrame([("x", "("), ("x", None), ("x", "a+")], "manual_id string, pattern string")
+    assert [r["pattern"] for r in conventions.usable(bad).collect()] == ["a+"]
+    fresh = own.withColumn("pattern", F.lit("N[0-9]"))
+    stored = own.unionByName(own.withColumn("manual_id", F.lit("z")))
+    assert {(r["manual_id"], r["pattern"]) for r in conventions.updated(stored, fresh).collect()} == {("x", "N[0-9]"), ("z", "DWG-[0-9]+")}
+
+
+def test_panel_pages(spark):
+    rows = {(r["manual_id"], r["page"], r["panel"]): r for r in QUERIES["diagram_elements"](spark, "").collect()}
+    assert set(rows) == {("m1", 1, None), ("m1", 1, 0), ("m1", 1, 1), ("m1", 1, 2), ("m1", 2, 0), ("m1", 3, None), ("m2", 1, 0)}
+    assert rows["m1", 1, 0]["code"] == "AB1-1" and rows["m1", 1, 0]["step"] == 1  # over what OCR read
+    assert rows["m1", 1, 0]["caption"] == "Rotor - Mounting - step 1 - AB1-1" and rows["m1", 3, None]["figure_ref"] == "page-3"
+    assert rows["m1", 1, None]["type"] == "paragraph" and rows["m1", 1, None]["text"].startswith("A text")
+    kept = sorted((r["page"], r["type"], r["caption"]) for r in QUERIES["attached_panels"](spark, "").where("caption is not null").collect())
+    assert kept == [(1, "figure", f"Rotor - Mounting - step {k} - AB1-{k}") for k in (1, 2, 3)] + [(3, "plate", "plate"), (9, "figure", "alone")]
+    plates = {(r["manual_id"], r["page"]): (r["text"], r["citation_key"]) for r in QUERIES["completed_plates"](spark, "").collect()}
+    assert plates == {("m1", 5): ("P30150", "P30150"), ("m1", 21): ("Rotor - P30201", "P30201"), ("m2", 2): ("P99001", "P99001")}
+
+
+def test_writers(spark, tmp_path):
+    d = str(tmp_path / "corpus")
+    manual = spark.createDataFrame([("m", "Pump", "A1", None)], "manual_id string, title string, revision string, effective date")
+    persist.append_manual(manual, d)
+    persist.append_manual(manual.withColumn("manual_id", F.lit("n")), d)
+    assert spark.read.parquet(f"{d}/manuals").count() == 2 and spark.read.parquet(f"{d}/manual_revisions").where("label = 'A1' and superseded_by is null").count() == 2
+    for run, status in (("r1", "running"), ("r1", "completed"), ("r2", "running")):
+        persist.append_run(persist.run_event(spark, run, None if run == "r2" else "m", status, {"text": 3}), d)
+    assert {(r["run_id"], r["status"]) for r in persist.run_states(spark.read.parquet(f"{d}/ingest_runs")).collect()} == {("r1", "completed"), ("r2", "running")}
+    persist.append_log(QUERIES["query_log"](spark, ""), d)
+    assert spark.read.parquet(f"{d}/query_log").count() == 7
+    persist.write_routes(QUERIES["route_pages"](spark, ""), d)
+    assert spark.read.json(f"{d}/page_routes").count() == 18
+    assert persist.listing(spark, f"{d}/page_routes", "*.json").where("length > 0").count() >= 2
+    assert persist.clear(spark, d, "page_routes") and not persist.clear(spark, d, "page_routes")
+    persist.recreate(spark, d, {"manuals": "manual_id string, title string"})
+    assert spark.read.parquet(f"{d}/manuals").count() == 0
+
+
+def test_settings_by_name():
+    s = config.Settings.of({"tidemill.fused": "12", "other": "x"})
+    assert s.fused == 12 and s.rrf_k == 60
 
 
 def test_edges_are_built_once(spark):
@@ -122,4 +187,4 @@ def test_edges_are_built_once(spark):
 def test_stream_routes_each_page(spark, tmp_path):
     inline.table(spark, "pages").repartition(3).write.parquet(str(tmp_path / "in"))
     landing.route_stream(landing.landing(spark, str(tmp_path / "in"), 1), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(60)
-    assert spark.read.parquet(str(tmp_path / "out")).count() == 15
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 18

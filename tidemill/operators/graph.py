@@ -33,8 +33,8 @@ def chapter_asof(rows: DataFrame, chapters: DataFrame) -> DataFrame:
 
 
 def toc_chapters(toc: DataFrame) -> DataFrame:
-    """Bookmarks with the chapter (level 1) they stand under: carried forward in order."""
-    w = Window.orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)  # one manual's bookmarks
+    """Bookmarks with the chapter (level 1) they stand under: carried forward in order, manual by manual."""
+    w = Window.partitionBy("manual_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     return toc.withColumn("chapter", F.last(F.when(F.col("level") == 1, F.col("title")), ignorenulls=True).over(w))
 
 
@@ -77,7 +77,9 @@ def plates_by_code(sections: DataFrame, elements: DataFrame) -> DataFrame:
     s = sections.join(first, "section_id").select("manual_id", "section_id", "kind", "element_id", T.code_tail(F.col("doc_code")).alias("tail"), T.chapter_family(F.col("doc_code")).alias("family"))
     plate = s.where("kind = 'plate'").select("manual_id", F.col("element_id").alias("from_id"), F.col("tail").alias("ptail"), F.col("family").alias("pfamily"))
     proc = s.where("kind = 'procedure'")
-    pairs = plate.join(proc, "manual_id").where("ptail = tail or pfamily = family")
+    proc = proc.withColumnRenamed("manual_id", "own")
+    tail, family = (plate.join(proc, (plate.manual_id == proc.own) & (plate[a] == proc[b])) for a, b in (("ptail", "tail"), ("pfamily", "family")))
+    pairs = tail.unionByName(family)
     best = top(pairs, ["from_id"], [F.when(F.col("ptail") == F.col("tail"), 0).otherwise(1), "section_id"], 1)
     return best.select("from_id", F.col("element_id").alias("to_id"), F.lit("illustrates").alias("type"))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import config
@@ -22,74 +22,51 @@ ROUTES = (
 )
 
 
-def route_pages(pages: DataFrame, ambiguous: str = "ocr") -> DataFrame:
-    """Route and reason of each page; what stays ambiguous goes the default way."""
+def route_pages(pages: DataFrame, ambiguous: str = config.Settings.ocr_default) -> DataFrame:
+    """Route and reason of each page. pages: manual_id, page, chars, images, drawings, and ratio (of control characters) or text.
+
+    What stays ambiguous goes the default way; escalated() gives a service's say.
+    """
+    if "ratio" not in pages.columns:
+        pages = pages.withColumn("ratio", T.control_ratio(F.col("text")))
 
     def chain(value: int) -> Column:
         return reduce(lambda acc, r: acc.when(F.expr(r[2]), r[value]), ROUTES[1:], F.when(F.expr(ROUTES[0][2]), ROUTES[0][value]))
 
     rows = pages.withColumn("first", chain(0).otherwise("text")).withColumn("reason", chain(1).otherwise("text layer"))
-    return rows.select("page", F.when(F.col("first") == "ambiguous", ambiguous).otherwise(F.col("first")).alias("route"), "reason")
-
-
-def page_spec(spark, spec: str, page_count: int) -> DataFrame:
-    """Pages of a specification such as "1-20,405", within the document, each once."""
-    parts = [p.strip().split("-") for p in spec.split(",") if p.strip()]
-    rows = [(int(p[0]), min(int(p[-1]), page_count)) for p in parts]
-    df = spark.createDataFrame(rows, "a int, b int").where("a <= b")
-    return df.select(F.explode(F.sequence(F.greatest("a", F.lit(1)), "b")).alias("page")).distinct()
-
-
-def sample_pages(page_count: int, most: int = 18) -> Column:
-    """Evenly spaced pages, halves rounded to even."""
-    n = min(most, page_count)
-    if n < 2:
-        return F.array(F.lit(1))
-    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: (F.bround(i * (page_count - 1) / (n - 1)) + 1).cast("int"))
-
+    return rows.select("manual_id", "page", F.when(F.col("first") == "ambiguous", ambiguous).otherwise(F.col("first")).alias("route"), "reason")
 
-#: How numbers look under each convention, tried in this order.
-CONVENTIONS = (("quote", r"Quote ([0-9]{3}-[0-9]+\.[0-9]+)"), ("section", r"Section ([0-9]+\.[0-9]+\.[0-9]+) Rev"), ("dotted", r"^([0-9]+\.[0-9]+\.[0-9]+) "))
 
+def escalated(routed: DataFrame, answers: DataFrame, most: int = config.Settings.router_escalations) -> DataFrame:
+    """A service's routes for the first ambiguous pages of each manual; all other pages as they are. answers: manual_id, page, said."""
+    unsure = F.col("reason") == "text and drawing"
+    nth = F.sum(unsure.cast("int")).over(Window.partitionBy("manual_id").orderBy("page").rowsBetween(Window.unboundedPreceding, 0))
+    rows = routed.withColumn("asked", unsure & (nth <= most)).join(answers.where("said in ('text', 'ocr')"), ["manual_id", "page"], "left")
+    return rows.select("manual_id", "page", F.when(F.col("asked"), F.coalesce("said", "route")).otherwise(F.col("route")).alias("route"), "reason")
 
-def detect_convention(bands: DataFrame) -> DataFrame:
-    """Per manual the first convention that at least a third of its pages (two at least) show; else page numbers."""
-    counts = [F.sum(F.col("header").rlike(p).cast("int")).cast("int").alias(name) for name, p in CONVENTIONS]
-    rows = bands.groupBy("manual_id").agg(F.count("*").cast("int").alias("n"), *counts)
-    need = F.greatest(F.lit(2), F.ceil(F.col("n") / 3))
-    first = reduce(lambda acc, c: acc.when(F.col(c[0]) >= need, c[0]), CONVENTIONS[1:], F.when(F.col(CONVENTIONS[0][0]) >= need, CONVENTIONS[0][0]))
-    return rows.select("manual_id", first.otherwise("page").alias("convention"))
 
-
-def extract_citation(bands: DataFrame, conventions: DataFrame) -> DataFrame:
-    """Key and revision of each page by its manual's convention; p.N where there is none. One literal pattern a convention, so each is compiled once."""
-    rows = bands.join(conventions, "manual_id")
-    key = reduce(lambda acc, c: acc.when(F.col("convention") == c[0], F.regexp_extract("header", c[1], 1)), CONVENTIONS[1:], F.when(F.col("convention") == CONVENTIONS[0][0], F.regexp_extract("header", CONVENTIONS[0][1], 1)))
-    revision = F.nullif(F.regexp_extract("header", r"(?:Edition|Rev) ([0-9A-Z]+)", 1), F.lit(""))
-    return rows.select("manual_id", "page", F.coalesce(F.nullif(key, F.lit("")), F.concat(F.lit("p."), F.col("page").cast("string"))).alias("key"), F.when(F.col("convention").isin("quote", "section"), revision).alias("revision"))
-
-
-def infer_pattern(codes: DataFrame) -> DataFrame:
-    """The pattern most codes fully match, by priority among equals; it needs a third of them, two at least. codes: manual_id, code."""
-    shapes = {"NNN-N.N": r"^[0-9]{3}-[0-9]+\.[0-9]+$", "NNN-N": r"^[0-9]{3}-[0-9]+$", "N.N.N": r"^[0-9]+(\.[0-9]+){2,}$", "AANNNN": r"^[A-Z]{1,3}[0-9]{4,8}$", "AA-NNN": r"^[A-Z]{2,4}-[0-9]{3,5}$"}
-    hits = [F.struct(F.sum(F.col("code").rlike(p).cast("int")).cast("int").alias("hits"), F.lit(-k).alias("priority"), F.lit(name).alias("shape")) for k, (name, p) in enumerate(shapes.items())]
-    rows = codes.groupBy("manual_id").agg(F.count("*").alias("n"), F.array_max(F.array(*hits)).alias("best"))
-    return rows.select("manual_id", F.when(F.col("best.hits") >= F.greatest(F.lit(2), F.ceil(F.col("n") / 3)), F.col("best.shape")).alias("shape"), F.col("best.hits").alias("hits"))
+SECTION_COLUMNS = ("title", "page_start", "page_end", "doc_code", "edition", "kind", "procedure_no", "plate_no", "component_title", "action_title")
 
 
 def upsert_sections(existing: DataFrame, incoming: DataFrame) -> DataFrame:
-    """Incoming over existing by path: the last value given wins, an old one stays where none is."""
-    cols = ["title", "edition", "page_end"]
-    rows = existing.select("path", *cols, F.lit(0).alias("seq")).unionByName(incoming.select("path", *cols, "seq"))
-    # an aggregate, not an upsert row by row: the newest value that is not null
-    return rows.groupBy("path").agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), F.col("seq"))).alias(c) for c in cols])
+    """Incoming over existing by manual and path: the last value given wins, an old one stays where none is; and the path of the parent, which is one step shorter, where there is one.
+
+    An aggregate, not an upsert row by row. A column that incoming lacks stays as it is.
+    """
+    none = lambda df, c: F.col(c) if c in df.columns else F.lit(None).cast(dict(existing.dtypes).get(c, "string")).alias(c)
+    rows = existing.select("manual_id", "path", *[none(existing, c) for c in SECTION_COLUMNS], F.lit(0).alias("seq"))
+    rows = rows.unionByName(incoming.select("manual_id", "path", *[none(incoming, c) for c in SECTION_COLUMNS], "seq"))
+    out = rows.groupBy("manual_id", "path").agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), F.col("seq"))).alias(c) for c in SECTION_COLUMNS])
+    up = out.select("manual_id", F.col("path").alias("parent_path"))
+    return out.withColumn("parent_path", F.regexp_replace("path", "/?[^/]*$", "")).join(up.withColumn("there", F.lit(True)), ["manual_id", "parent_path"], "left").withColumn("parent_path", F.when(F.col("there"), F.col("parent_path"))).drop("there")
 
 
 def upsert_fleet(existing: DataFrame, incoming: DataFrame) -> DataFrame:
-    """By equipment and manual, incoming rows replace model and status."""
-    new = incoming.select("equipment_id", "manual_id", F.col("model").alias("m2"), F.col("status").alias("s2"), F.lit(True).alias("new"))
+    """By equipment and manual, incoming rows replace manufacturer, model and status."""
+    cols = ("manufacturer", "model", "status")
+    new = incoming.select("equipment_id", "manual_id", *[F.col(c).alias(f"new_{c}") for c in cols], F.lit(True).alias("new"))
     both = existing.join(new, ["equipment_id", "manual_id"], "full")
-    return both.select("equipment_id", "manual_id", F.when(F.col("new"), F.col("m2")).otherwise(F.col("model")).alias("model"), F.when(F.col("new"), F.col("s2")).otherwise(F.col("status")).alias("status"))
+    return both.select("equipment_id", "manual_id", *[F.when(F.col("new"), F.col(f"new_{c}")).otherwise(F.col(c)).alias(c) for c in cols])
 
 
 def fleet_context(fleet: DataFrame, manuals: DataFrame) -> DataFrame:
@@ -97,9 +74,12 @@ def fleet_context(fleet: DataFrame, manuals: DataFrame) -> DataFrame:
     return fleet.where("status = 'current'").join(manuals.select("manual_id", "title"), "manual_id").groupBy("manual_id").agg(F.min(F.struct("equipment_id", "model", "title")).alias("x")).select("manual_id", "x.*")
 
 
-def plate_pages(sections: DataFrame, elements: DataFrame) -> DataFrame:
-    """Pages of plate sections that hold no plate or figure element yet."""
+def plate_pages(sections: DataFrame, elements: DataFrame, meta: DataFrame | None = None) -> DataFrame:
+    """Pages of plate sections, and pages whose own meta names a plate, that hold no plate or figure element yet. meta: manual_id, page, plate_no."""
     pages = sections.where("kind = 'plate'").select("manual_id", "section_id", "plate_no", F.explode(F.sequence("page_start", "page_end")).alias("page"))
+    if meta is not None:
+        more = meta.where("plate_no is not null").select("manual_id", F.lit(None).cast("long").alias("section_id"), "plate_no", "page")
+        pages = pages.unionByName(more).groupBy("manual_id", "page").agg(F.max("section_id").alias("section_id"), F.max("plate_no").alias("plate_no"))
     return pages.join(elements.where("type in ('plate', 'figure')").select("manual_id", "page").distinct(), ["manual_id", "page"], "left_anti")
 
 
@@ -112,14 +92,14 @@ def corpus_counts(tables: dict[str, DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), [df.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n") for name, df in tables.items()])
 
 
-_BOX = "page int, panel int, x0 double, y0 double, x1 double, y1 double"
+_BOX = "manual_id string, page int, panel int, x0 double, y0 double, x1 double, y1 double"
 
 
 def panel_boxes(rects: DataFrame) -> DataFrame:
     """Panels of a page: rectangles of 2 to 40 % of it and sides of 50 at least; one that lies 70 % in a larger kept one goes; reading order.
 
     Keeping depends on what was kept before, so each page, which has few rectangles, is worked through in pandas.
-    rects: page, x0, y0, x1, y1, width, height (of the page).
+    rects: manual_id, page, x0, y0, x1, y1, width, height (of the page).
     """
 
     def pick(pdf):
@@ -134,14 +114,14 @@ def panel_boxes(rects: DataFrame) -> DataFrame:
             if all(i < 0.7 * r.area for i in inside):
                 kept.append(r)
         kept.sort(key=lambda r: (round(r.y0 / 20), r.x0, r.y0))
-        return pd.DataFrame([(r.page, n, round(r.x0, 2), round(r.y0, 2), round(r.x1, 2), round(r.y1, 2)) for n, r in enumerate(kept)], columns=["page", "panel", "x0", "y0", "x1", "y1"])
+        return pd.DataFrame([(r.manual_id, r.page, n, round(r.x0, 2), round(r.y0, 2), round(r.x1, 2), round(r.y1, 2)) for n, r in enumerate(kept)], columns=["manual_id", "page", "panel", "x0", "y0", "x1", "y1"])
 
-    return rects.groupBy("page").applyInPandas(pick, _BOX)
+    return rects.groupBy("manual_id", "page").applyInPandas(pick, _BOX)
 
 
 def panel_codes(panels: DataFrame, labels: DataFrame) -> DataFrame:
-    """One drawing code a panel, one panel a code: pairs by inside first, then distance. labels: page, code, x, y."""
-    pairs = panels.join(labels, "page")
+    """One drawing code a panel, one panel a code: pairs by inside first, then distance. labels: manual_id, page, code, x, y."""
+    pairs = panels.join(labels, ["manual_id", "page"])
 
     def match(pdf):
         import pandas as pd
@@ -154,42 +134,49 @@ def panel_codes(panels: DataFrame, labels: DataFrame) -> DataFrame:
             if r.panel not in panels_done and r.code not in codes_done:
                 panels_done.add(r.panel)
                 codes_done.add(r.code)
-                out.append((r.page, r.panel, r.code))
-        return pd.DataFrame(out, columns=["page", "panel", "code"])
+                out.append((r.manual_id, r.page, r.panel, r.code))
+        return pd.DataFrame(out, columns=["manual_id", "page", "panel", "code"])
+
+    return pairs.groupBy("manual_id", "page").applyInPandas(match, "manual_id string, page int, panel int, code string")
 
-    return pairs.groupBy("page").applyInPandas(match, "page int, panel int, code string")
 
+def layout_elements(pages: DataFrame, selected: DataFrame | None = None) -> DataFrame:
+    """A layout service's answer as typed elements: texts, tables and pictures, with their boxes. pages: manual_id, layout.
 
-def layout_elements(pages: DataFrame) -> DataFrame:
-    """A layout service's answer ({"texts": [{"label", "text", "page"}], "tables": [{"grid", "page"}]}) as typed elements. pages: manual_id, layout."""
-    parsed = F.from_json("layout", "texts array<struct<label:string,text:string,page:int>>, tables array<struct<grid:array<array<struct<text:string>>>,page:int>>")
+    The answer is {"texts": [{"label", "text", "page", "bbox"}], "tables": [{"grid", "page", "bbox"}], "pictures": [{"page", "bbox", "caption"}]}.
+    Where only some pages were sent, its page numbers are places among these; selected (manual_id, nth, page) turns them back.
+    """
+    from .pages import boxes_of
+
+    parsed = F.from_json("layout", "texts array<struct<label:string,text:string,page:int,bbox:string>>, tables array<struct<grid:array<array<struct<text:string>>>,page:int,bbox:string>>, pictures array<struct<page:int,bbox:string,caption:string>>")
     p = pages.select("manual_id", parsed.alias("p"))
     kind = F.when(F.col("t.label") == "section_header", "heading").when(F.col("t.label") == "list_item", "list").when(F.col("t.label") == "caption", "caption").otherwise("paragraph")
-    texts = p.select("manual_id", F.explode("p.texts").alias("t")).select("manual_id", kind.alias("type"), F.col("t.page").alias("page"), T.squeezed(F.col("t.text")).alias("text"), F.lit(None).cast("string").alias("table_json"))
-    tables = p.select("manual_id", F.explode("p.tables").alias("t")).select("manual_id", F.lit("table").alias("type"), F.col("t.page").alias("page"), F.lit(None).cast("string").alias("text"), F.to_json(F.struct(F.col("t.grid").alias("grid"))).alias("table_json"))
-    return texts.unionByName(tables)
+    none = F.lit(None).cast("string")
+
+    def part(name: str, kind: Column, text: Column, table: Column) -> DataFrame:
+        rows = p.select("manual_id", F.explode(f"p.{name}").alias("t"))
+        return rows.select("manual_id", kind.alias("type"), F.col("t.page").alias("page"), text.alias("text"), table.alias("table_json"), boxes_of(F.col("t.bbox")).alias("bbox"))
+
+    out = part("texts", kind, T.squeezed(F.col("t.text")), none).unionByName(part("tables", F.lit("table"), none, F.to_json(F.struct(F.col("t.grid").alias("grid")))))
+    out = out.unionByName(part("pictures", F.lit("figure"), T.squeezed(F.col("t.caption")), none))
+    if selected is None:
+        return out
+    return out.withColumnRenamed("page", "nth").join(selected.select("manual_id", "nth", "page"), ["manual_id", "nth"]).select("manual_id", "type", "page", "text", "table_json", "bbox")
 
 
 def panel_ocr(answers: DataFrame) -> DataFrame:
-    """CODE and STEP lines of a panel's OCR answer, else patterns anywhere in it. answers: panel, answer."""
+    """CODE and STEP lines of a panel's OCR answer, else patterns anywhere in it. answers: manual_id, page, panel, answer."""
     tagged = lambda tag: F.nullif(F.trim(F.regexp_extract("answer", rf"(?im)^{tag}: *(.*)$", 1)), F.lit(""))
     code = F.coalesce(tagged("CODE"), F.nullif(F.regexp_extract("answer", f"({config.DRAWING_PATTERN})", 1), F.lit("")))
     step = F.coalesce(tagged("STEP"), F.nullif(F.regexp_extract("answer", r"(?:^|\n) *([0-9]{1,2})\.", 1), F.lit("")))
-    return answers.select("panel", code.alias("code"), F.nullif(F.regexp_extract(step, "([0-9]+)", 1), F.lit("")).cast("int").alias("step"))
-
-
-def header_lines(spans: DataFrame, band: float = 62.0, bucket: float = 12.0) -> DataFrame:
-    """Text of each page's header band in reading order. spans: page, x0, y0, y1, text."""
-    rows = spans.where(F.col("y1") <= band)
-    order = F.struct(F.bround(F.col("y0") / bucket).cast("int").alias("line"), "x0", "text")
-    return rows.groupBy("page").agg(F.array_join(F.transform(F.array_sort(F.collect_list(order)), lambda s: s["text"]), " ").alias("header"))
+    return answers.select("manual_id", "page", "panel", code.alias("code"), F.nullif(F.regexp_extract(step, "([0-9]+)", 1), F.lit("")).cast("int").alias("step"))
 
 
 def panel_steps(panels: DataFrame, labels: DataFrame, slack: float = 40.0) -> DataFrame:
-    """The step label nearest to a panel's top left corner (dy + 0.1 dx) within the slack. labels: page, step, x, y."""
+    """The step label nearest to a panel's top left corner (dy + 0.1 dx) within the slack. labels: manual_id, page, step, x, y."""
     near = (F.abs(F.col("y") - F.col("y0")) + 0.1 * F.abs(F.col("x") - F.col("x0"))).alias("far")
-    rows = panels.join(labels, "page").where((F.col("x") >= F.col("x0") - slack) & (F.col("x") <= F.col("x1")) & (F.col("y") >= F.col("y0") - slack) & (F.col("y") <= F.col("y1")))
-    return rows.groupBy("page", "panel").agg(F.min_by("step", F.struct(near, "step")).alias("step"))
+    rows = panels.join(labels, ["manual_id", "page"]).where((F.col("x") >= F.col("x0") - slack) & (F.col("x") <= F.col("x1")) & (F.col("y") >= F.col("y0") - slack) & (F.col("y") <= F.col("y1")))
+    return rows.groupBy("manual_id", "page", "panel").agg(F.min_by("step", F.struct(near, "step")).alias("step"))
 
 
 def route_counts(routed: DataFrame) -> DataFrame:
@@ -198,7 +185,8 @@ def route_counts(routed: DataFrame) -> DataFrame:
 
 def citation_backfill(elements: DataFrame) -> DataFrame:
     """Key of elements without one: procedure, plate, else page; and the fields that are there as JSON."""
-    key = F.coalesce(T.blank_to_null(F.col("procedure_no")), T.blank_to_null(F.col("plate_no")), F.concat(F.lit("p."), F.col("page").cast("string")))
+    own = [T.blank_to_null(F.col(c)) for c in ("citation_key", "procedure_no", "plate_no", "doc_code") if c in elements.columns]
+    key = F.coalesce(*own, F.concat(F.lit("p."), F.col("page").cast("string")))
     return elements.select("element_id", key.alias("citation_key"), F.to_json(F.struct("procedure_no", "plate_no", "edition")).alias("fields"))
 
 
@@ -210,3 +198,117 @@ def placed_elements(parsed: DataFrame, sections: DataFrame) -> DataFrame:
     numbers = sections.select("section_id", F.col("procedure_no").alias("p"), F.col("plate_no").alias("l"))
     rows = parsed.drop("section_id").join(own, ["manual_id", "page"], "left").join(numbers, "section_id", "left")
     return rows.select("element_id", "section_id", F.coalesce("procedure_no", "p").alias("procedure_no"), F.coalesce("plate_no", "l").alias("plate_no"), F.coalesce("step", T.leading_step(F.col("text"))).alias("step"))
+
+
+def diagram_panels(rects: DataFrame, labels: DataFrame, steps: DataFrame) -> DataFrame:
+    """Panels of each page with their drawing code and step: manual_id, page, panel, box, code, step."""
+    boxes = panel_boxes(rects)
+    key = ["manual_id", "page", "panel"]
+    rows = boxes.join(panel_codes(boxes, labels), key, "left").join(panel_steps(boxes, steps), key, "left")
+    return rows.select(*key, F.array("x0", "y0", "x1", "y1").alias("bbox"), "code", "step")
+
+
+def split_pages(pages: DataFrame, panels: DataFrame, most: int = 8) -> DataFrame:
+    """Pages with the number of their panels, and whether the split is messy: none, or more than ``most``."""
+    n = panels.groupBy("manual_id", "page").agg(F.count("*").cast("int").alias("panels"))
+    return pages.join(n, ["manual_id", "page"], "left").withColumn("panels", F.coalesce("panels", F.lit(0))).withColumn("messy", (F.col("panels") == 0) | (F.col("panels") > most))
+
+
+def diagram_modes(pages: DataFrame, panels: DataFrame, backend: str = "skip") -> DataFrame:
+    """How each diagram page is read: a plate and a messy split as a whole page, else panel by panel. pages: manual_id, page, plate_no.
+
+    A page service reads only whole pages, so clean splits are attached to its answer afterwards.
+    """
+    rows = split_pages(pages, panels.join(pages.where("plate_no is not null").select("manual_id", "page"), ["manual_id", "page"], "left_anti"))
+    mode = F.when(F.col("plate_no").isNotNull(), "whole page, plate").when(F.col("messy"), "whole page").otherwise("panels")
+    return rows.select("manual_id", "page", "panels", mode.alias("mode"), F.when((mode == "panels") & (F.lit(backend) != "page service"), "panels").otherwise(backend).alias("reader"))
+
+
+def panel_caption(component: Column, action: Column, step: Column, code: Column, panel: Column, page: Column) -> Column:
+    """Titles of the page, step and drawing code, as far as there are any; else the panel's place."""
+    parts = F.concat_ws(" - ", component, action, F.when(step.isNotNull(), F.concat(F.lit("step "), step.cast("string"))), code)
+    return F.when(parts != "", parts).otherwise(F.concat(F.lit("Panel "), panel.cast("string"), F.lit(" on page "), page.cast("string")))
+
+
+_FIGURE = ["manual_id", "page", "type", "text", "caption", "figure_ref", "panel", "code", "step"]
+
+
+def _panel_figures(panels: DataFrame, meta: DataFrame) -> DataFrame:
+    titles = meta.select("manual_id", "page", "component_title", "action_title")
+    rows = panels.join(titles, ["manual_id", "page"], "left")
+    named = panel_caption(F.col("component_title"), F.col("action_title"), F.col("step"), F.col("code"), F.col("panel"), F.col("page"))
+    ref = F.coalesce("code", F.concat(F.lit("page-"), F.col("page").cast("string"), F.lit("-panel-"), F.col("panel").cast("string")))
+    text = F.col("answer") if "answer" in panels.columns else F.lit(None).cast("string")
+    return rows.select("manual_id", "page", F.lit("figure").alias("type"), text.alias("text"), named.alias("caption"), ref.alias("figure_ref"), "panel", "code", "step")
+
+
+def panel_page_elements(modes: DataFrame, panels: DataFrame, meta: DataFrame, texts: DataFrame, answers: DataFrame) -> DataFrame:
+    """Elements of pages that are read panel by panel: the page's own text, if it has 40 characters, and a figure a panel.
+
+    The panel's code and step win over those that OCR read. texts: manual_id, page, text; answers: manual_id, page, panel, answer.
+    """
+    pages = modes.where("mode = 'panels'").select("manual_id", "page")
+    own = texts.join(pages, ["manual_id", "page"], "left_semi").select("manual_id", "page", F.trim("text").alias("t")).where(F.char_length("t") >= 40)
+    none = F.lit(None).cast("string")
+    layer = own.select("manual_id", "page", F.lit("paragraph").alias("type"), F.substring("t", 1, 4000).alias("text"), none.alias("caption"), none.alias("figure_ref"), F.lit(None).cast("int").alias("panel"), none.alias("code"), F.lit(None).cast("int").alias("step"))
+    read = panel_ocr(answers).select("manual_id", "page", "panel", F.col("code").alias("read_code"), F.col("step").alias("read_step")).join(answers, ["manual_id", "page", "panel"])
+    rows = panels.join(pages, ["manual_id", "page"], "left_semi").join(read, ["manual_id", "page", "panel"], "left")
+    rows = rows.withColumn("code", F.coalesce("code", "read_code")).withColumn("step", F.coalesce("step", "read_step"))
+    return layer.unionByName(_panel_figures(rows, meta))
+
+
+def skipped_pages(modes: DataFrame) -> DataFrame:
+    """Without a service, a whole page is one figure named after it."""
+    name = F.concat(F.lit("page-"), F.col("page").cast("string"))
+    none = F.lit(None).cast("string")
+    return modes.where("mode <> 'panels'").select("manual_id", "page", F.lit("figure").alias("type"), none.alias("text"), F.concat(F.lit("Page "), F.col("page").cast("string")).alias("caption"), name.alias("figure_ref"), F.lit(None).cast("int").alias("panel"), none.alias("code"), F.lit(None).cast("int").alias("step"))
+
+
+def diagram_elements(pages: DataFrame, panels: DataFrame, meta: DataFrame, texts: DataFrame, answers: DataFrame) -> DataFrame:
+    """All diagram pages without a page service: panel by panel where the split is clean, else as one figure."""
+    modes = diagram_modes(pages, panels)
+    return panel_page_elements(modes, panels, meta, texts, answers).unionByName(skipped_pages(modes))
+
+
+def attach_panels(elements: DataFrame, panels: DataFrame, meta: DataFrame) -> DataFrame:
+    """On text pages with a clean split that are no plates, the panels stand for the figures and plates found there. elements: the columns of diagram_elements."""
+    pages = elements.select("manual_id", "page").distinct().join(meta.where("plate_no is not null").select("manual_id", "page"), ["manual_id", "page"], "left_anti")
+    clean = split_pages(pages, panels).where("not messy").select("manual_id", "page")
+    gone = clean.withColumn("type", F.explode(F.array(F.lit("figure"), F.lit("plate"))))
+    kept = elements.join(gone, ["manual_id", "page", "type"], "left_anti").select(_FIGURE)
+    return kept.unionByName(_panel_figures(panels.join(clean, ["manual_id", "page"], "left_semi"), meta))
+
+
+def plate_caption(component: Column, plate: Column) -> Column:
+    """A plate's caption: its title and number, else its number alone."""
+    return F.concat_ws(" - ", T.blank_to_null(component), T.blank_to_null(plate))
+
+
+def completed_plates(missing: DataFrame, sections: DataFrame) -> DataFrame:
+    """One plate element for each page that plate_pages found, with its key always there."""
+    titles = sections.select("section_id", "component_title", "edition")
+    rows = missing.join(titles, "section_id", "left")
+    key = F.coalesce("plate_no", F.concat(F.lit("p."), F.col("page").cast("string")))
+    return rows.select("manual_id", "section_id", "page", F.lit("plate").alias("type"), F.coalesce(T.blank_to_null(plate_caption(F.col("component_title"), F.col("plate_no"))), F.concat(F.lit("Plate on page "), F.col("page").cast("string"))).alias("text"), "plate_no", "edition", key.alias("citation_key"))
+
+
+def upsert_figures(existing: DataFrame, incoming: DataFrame) -> DataFrame:
+    """By manual, page and image: an incoming value wins where there is one."""
+    key = ["manual_id", "page", "image"]
+    cols = [c for c in existing.columns if c not in key]
+    rows = existing.withColumn("seq", F.lit(0)).unionByName(incoming.withColumn("seq", F.lit(1)))
+    return rows.groupBy(*key).agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), F.col("seq"))).alias(c) for c in cols]).select(existing.columns)
+
+
+def filled_steps(elements: DataFrame, links: DataFrame, figures: DataFrame) -> DataFrame:
+    """Elements with the step of the panel that illustrates them, where they have none of their own. links: from_id (the panel's element), to_id."""
+    own = figures.where("element_id is not null and step is not null").select(F.col("element_id").alias("from_id"), F.col("step").alias("panel_step"))
+    given = links.where("type = 'illustrates_step'").join(own, "from_id").groupBy(F.col("to_id").alias("element_id")).agg(F.min("panel_step").alias("panel_step"))
+    return elements.join(given, "element_id", "left").withColumn("step", F.coalesce("step", "panel_step")).drop("panel_step")
+
+
+def corpus_status(tables: dict[str, DataFrame], runs: DataFrame) -> DataFrame:
+    """One row: the size of each table, whether there is any data, and the latest run."""
+    counts = corpus_counts(tables).groupBy().agg(*[F.max(F.when(F.col("name") == n, F.col("n"))).alias(n) for n in tables], F.sum("n").alias("rows"))
+    last = runs.groupBy().agg(F.max_by(F.struct("run_id", "manual_id", "status"), F.struct("started", "run_id")).alias("last"))
+    return counts.crossJoin(last).select(*tables, (F.col("rows") > 0).alias("has_data"), "last.*")  # one row each

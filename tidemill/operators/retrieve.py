@@ -1,8 +1,9 @@
 """Retrieval probes, set-oriented: every question of a batch at once.
 
-Questions carry manual_id, so no probe crosses manuals. Terms of all questions are exploded and joined
-with elements once, instead of one statement a term. A top-k is row_number with a limit, which Spark
-cuts per task before the shuffle. Every order ends in element_id.
+Questions carry manual_id, so no probe crosses manuals; a question without one asks all manuals. Terms of
+all questions are exploded and joined with elements once, instead of one statement a term. A substring test is
+an equality on a piece of the term first, so nothing is compared pair by pair within a manual. A top-k
+is row_number with a limit, which Spark cuts per task before the shuffle. Every order ends in element_id.
 """
 
 from __future__ import annotations
@@ -70,20 +71,40 @@ def bm25(elements: DataFrame, questions: DataFrame, k: int = config.LEXICAL, k1:
     return top(scored, ["query_id"], [F.desc("score"), "element_id"], k)
 
 
-def containing(elements: DataFrame, terms: DataFrame) -> DataFrame:
-    """Elements and the terms they hold as substrings: one pass over the elements, with the terms of a manual's questions as one array beside them.
+def for_every_manual(questions: DataFrame, manuals: DataFrame) -> DataFrame:
+    """Questions with a manual each: one without stands for all of them."""
+    named = questions.where("manual_id is not null")
+    return named.unionByName(questions.where("manual_id is null").drop("manual_id").crossJoin(F.broadcast(manuals.select("manual_id").distinct())).select(named.columns))
 
-    terms: query_id, manual_id, nth, term. Rows come out only where a term is contained.
+
+def pieces_of(text: Column, n: int) -> Column:
+    """The distinct substrings of n characters, in lower case."""
+    low = F.lower(text)
+    size = F.char_length(low)
+    return F.when(size >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), size - (n - 1)), lambda i: F.substr(low, i, F.lit(n))))).otherwise(F.array().cast("array<string>"))
+
+
+def containing(texts: DataFrame, terms: DataFrame, key: str = "element_id", n: int = 5) -> DataFrame:
+    """Texts and the terms they hold as substrings: (key, size, and the columns of terms).
+
+    texts: manual_id, the key, text. terms: manual_id, term and more. The first ``n`` characters of a term meet the same
+    piece of a text (shorter terms meet pieces of their own length); then the whole term is looked for.
     """
-    own = terms.groupBy("manual_id").agg(F.collect_list(F.struct("query_id", "nth", "term")).alias("all"))
-    low = F.lower("text")
-    rows = elements.select("manual_id", "element_id", F.char_length("text").alias("size"), low.alias("low")).join(own, "manual_id")
-    return rows.select("element_id", "size", F.explode(F.filter("all", lambda t: F.col("low").contains(t["term"]))).alias("t")).select("element_id", "size", "t.*")
+    begins = F.lower(F.substring("term", 1, n))
+    asked = terms.withColumn("piece", begins)
+    lengths = [r[0] for r in asked.select(F.char_length("piece")).distinct().collect()]  # n values at most
+    if not lengths:
+        lengths = [n]
+    low = texts.select("manual_id", key, F.lower("text").alias("low"))
+    pieces = low.select("manual_id", key, F.explode(F.flatten(F.array(*[pieces_of(F.col("low"), k) for k in sorted(lengths)]))).alias("piece"))
+    pieces = pieces.join(asked.select("manual_id", "piece").distinct(), ["manual_id", "piece"], "left_semi")
+    found = pieces.join(asked, ["manual_id", "piece"]).drop("piece")
+    return found.join(low.drop("manual_id"), key).where(F.col("low").contains(F.lower("term"))).withColumn("size", F.char_length("low")).drop("low")
 
 
 def phrase_probe(elements: DataFrame, questions: DataFrame, per_phrase: int = 8, most: int = 14) -> DataFrame:
     """Elements that hold a phrase of the question, the shortest first, per phrase."""
-    p = questions.select("query_id", "manual_id", F.posexplode(F.slice(F.array_distinct(T.phrases(T.content_tokens(F.col("text")))), 1, most)).alias("nth", "term"))
+    p = by_phrases(questions, most)
     best = top(containing(elements, p), ["query_id", "nth"], ["size", "element_id"], per_phrase)
     return best.select("query_id", F.col("nth").cast("int").alias("nth"), "element_id", F.lit(2.5).alias("score"))
 
@@ -117,16 +138,33 @@ def lexical(elements: DataFrame, questions: DataFrame, k: int = config.LEXICAL)
     return first.select("query_id", "element_id", (1 - F.col("x.low")).alias("score"), F.col("x.probe").alias("probe"))
 
 
+def titles_with(sections: DataFrame, terms: DataFrame) -> DataFrame:
+    """Sections whose titles hold terms; terms: manual_id, query_id, term."""
+    title = sections.select("manual_id", "section_id", F.concat_ws(" ", "component_title", "action_title").alias("text"))
+    return containing(title, terms, "section_id", 3)
+
+
+def by_phrases(questions: DataFrame, most: int) -> DataFrame:
+    """(query_id, manual_id, nth, term): the first phrases of each question."""
+    return questions.select("query_id", "manual_id", F.posexplode(F.slice(F.array_distinct(T.phrases(T.content_tokens(F.col("text")))), 1, most)).alias("nth", "term"))
+
+
 def structural(sections: DataFrame, elements: DataFrame, questions: DataFrame, k: int = config.STRUCTURAL) -> DataFrame:
-    """Sections by named code (3.0), else by a phrase in the title (2.8), else by all of two component tokens (2.0); each step only for questions without rows so far."""
-    q = questions.select("query_id", "manual_id", T.identifiers(F.col("text")).alias("codes"), F.slice(T.phrases(T.content_tokens(F.col("text"))), 1, 10).alias("phrases"), T.intent(F.col("text"))["component_tokens"].alias("component"))
-    title = F.lower(F.concat_ws(" ", "component_title", "action_title"))
-    pairs = q.join(sections.withColumn("title", title), "manual_id")
-    by_code = pairs.where(F.arrays_overlap("codes", F.filter(F.array("doc_code", "procedure_no", "plate_no"), lambda c: c.isNotNull()))).select("query_id", "section_id", F.lit(3.0).alias("score"))
-    by_title = pairs.where(F.exists("phrases", lambda p: F.col("title").contains(p))).join(by_code.select("query_id").distinct(), "query_id", "left_anti").select("query_id", "section_id", F.lit(2.8).alias("score"))
+    """Sections by named code (3.0) and by a phrase in the title (2.8); where no data or procedure section came up, by both of two component tokens (2.0); where none did at all, by one of them (2.0)."""
+    codes = questions.select("query_id", "manual_id", F.explode(T.identifiers(F.col("text"))).alias("code"))
+    own = sections.select("manual_id", "section_id", F.explode(F.array_distinct(F.filter(F.array("doc_code", "procedure_no", "plate_no"), lambda c: c.isNotNull()))).alias("code"))
+    by_code = codes.join(own, ["manual_id", "code"]).select("query_id", "section_id").distinct().withColumn("score", F.lit(3.0))
+    by_title = titles_with(sections, by_phrases(questions, 10)).select("query_id", "section_id").distinct().withColumn("score", F.lit(2.8))
     prior = by_code.unionByName(by_title)
-    two = pairs.where((F.size("component") >= 1) & F.forall(F.slice("component", 1, 2), lambda t: F.col("title").contains(t)))
-    fallback = two.join(prior.select("query_id").distinct(), "query_id", "left_anti").select("query_id", "section_id", F.lit(2.0).alias("score"))
+    useful = prior.join(sections.where("kind in ('data', 'procedure')").select("section_id"), "section_id", "left_semi").select("query_id").distinct()
+    component = F.slice(T.intent(F.col("text"))["component_tokens"], 1, 2)
+    words = questions.select("query_id", "manual_id", F.size(component).alias("wanted"), F.explode(component).alias("term"))
+    # with the questions that have rows so far out before titles are looked at
+    held = titles_with(sections, words.join(useful, "query_id", "left_anti")).groupBy("query_id", "section_id", "wanted").agg(F.count("*").alias("held"))
+    both = held.where("held = wanted and wanted = 2").select("query_id", "section_id")
+    got = prior.select("query_id").unionByName(both.select("query_id")).distinct()
+    one = held.join(got, "query_id", "left_anti").select("query_id", "section_id")
+    fallback = both.unionByName(one).distinct().withColumn("score", F.lit(2.0))
     chosen = prior.unionByName(fallback).groupBy("query_id", "section_id").agg(F.max("score").alias("score"))
     rows = chosen.join(elements.select("section_id", "element_id", "page"), "section_id")
     return top(rows, ["query_id"], [F.desc("score"), "page", "element_id"], k).select("query_id", "element_id", "score")
@@ -139,13 +177,17 @@ def from_picks(elements: DataFrame, picks: DataFrame, k: int = config.STRUCTURAL
 
 
 def figure_probe(figures: DataFrame, elements: DataFrame, sections: DataFrame, questions: DataFrame, k: int = config.VISUAL) -> DataFrame:
-    """Figures of named codes (2.5) or titles that hold a token (1.2); eight more if named, and 1.2 a token up to six. Not for questions about data alone."""
+    """Figures of named codes (2.5) or titles that hold a token (1.2); eight more if named, and 1.2 a token up to six; plates first among equals. Not for questions about data alone."""
     q = questions.select("query_id", "manual_id", T.intent(F.col("text")).alias("i")).where("not (i.wants_data and not i.wants_figure and not i.wants_proc)")
-    rows = figures.alias("f").join(elements.select("element_id", F.col("text").alias("own")), "element_id").join(sections.select("section_id", "component_title", F.col("plate_no").alias("section_plate")), "section_id")
-    blob = F.lower(F.concat_ws(" ", "own", "component_title", "label"))
-    rows = rows.join(q, "manual_id").withColumn("named", F.arrays_overlap(F.col("i.codes"), F.filter(F.array("label", "drawing_code", "section_plate"), lambda c: c.isNotNull()))).withColumn("n", T.contained(blob, F.col("i.tokens")))
-    rows = rows.where("named or n > 0").withColumn("score", F.when(F.col("named"), 2.5 + 8.0).otherwise(1.2) + F.least(F.lit(6.0), 1.2 * F.col("n")))
-    return top(rows, ["query_id"], [F.desc("named"), F.desc("n"), "page", "figure_id"], k).select("query_id", "figure_id", "element_id", F.round("score", 6).alias("score"))
+    rows = figures.join(elements.select("element_id", F.col("text").alias("own")), "element_id").join(sections.select("section_id", "component_title", "kind", F.col("plate_no").alias("section_plate")), "section_id")
+    codes = rows.select("manual_id", "figure_id", F.explode(F.array_distinct(F.filter(F.array("label", "drawing_code", "section_plate"), lambda c: c.isNotNull()))).alias("code"))
+    named = q.select("query_id", "manual_id", F.explode("i.codes").alias("code")).join(codes, ["manual_id", "code"]).select("query_id", "figure_id").distinct().withColumn("named", F.lit(True))
+    blob = rows.select("manual_id", "figure_id", F.concat_ws(" ", "own", "component_title", "label").alias("text"))
+    held = containing(blob, q.select("query_id", "manual_id", F.explode("i.tokens").alias("term")), "figure_id", 3).groupBy("query_id", "figure_id").agg(F.count("*").alias("n"))
+    both = held.join(named, ["query_id", "figure_id"], "full").select("query_id", "figure_id", F.coalesce("named", F.lit(False)).alias("named"), F.coalesce("n", F.lit(0)).alias("n"))
+    both = both.join(rows.select("figure_id", "element_id", "page", "kind"), "figure_id").withColumn("score", F.when(F.col("named"), 2.5 + 8.0).otherwise(1.2) + F.least(F.lit(6.0), 1.2 * F.col("n")))
+    plate = F.when(F.col("kind") == "plate", 0).otherwise(1)
+    return top(both, ["query_id"], [F.desc("named"), F.desc("n"), plate, "page", "figure_id"], k).select("query_id", "figure_id", "element_id", F.round("score", 6).alias("score"))
 
 
 def figure_backfill(figures: DataFrame, elements: DataFrame) -> DataFrame:

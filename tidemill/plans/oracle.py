@@ -108,12 +108,15 @@ _inline("identifier_probe", "elements questions", "SELECT query_id, code, elemen
 _inline("structural_search", "elements sections questions", "SELECT query_id, element_id, score::DOUBLE AS score FROM c JOIN i_elements USING (section_id) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, page, element_id) <= 16", f"""{_INTENT},
 pr AS (SELECT it.*, s.section_id, s.doc_code, s.procedure_no, s.plate_no, lower(concat_ws(' ', component_title, action_title)) AS title FROM it JOIN i_sections s USING (manual_id)),
 c1 AS (SELECT query_id, section_id, 3.0 AS score FROM pr WHERE list_contains(codes, doc_code) OR list_contains(codes, procedure_no) OR list_contains(codes, plate_no)),
-c2 AS (SELECT query_id, section_id, 2.8 AS score FROM pr WHERE query_id NOT IN (SELECT query_id FROM c1) AND len(list_filter(phrases[1:10], lambda p: contains(title, p))) > 0),
-c3 AS (SELECT query_id, section_id, 2.0 AS score FROM pr WHERE query_id NOT IN (SELECT query_id FROM c1 UNION ALL SELECT query_id FROM c2) AND len(component) > 0 AND len(list_filter(component[1:2], lambda t: NOT contains(title, t))) = 0),
-c AS (SELECT * FROM c1 UNION ALL SELECT * FROM c2 UNION ALL SELECT * FROM c3)""")
+c2 AS (SELECT query_id, section_id, 2.8 AS score FROM pr WHERE len(list_filter(phrases[1:10], lambda p: contains(title, p))) > 0),
+c12 AS (SELECT * FROM c1 UNION ALL SELECT * FROM c2),
+useful AS (SELECT query_id FROM c12 JOIN i_sections USING (section_id) WHERE kind IN ('data', 'procedure')),
+c3 AS (SELECT query_id, section_id, 2.0 AS score FROM pr WHERE query_id NOT IN (SELECT query_id FROM useful) AND len(component) >= 2 AND contains(title, component[1]) AND contains(title, component[2])),
+c4 AS (SELECT query_id, section_id, 2.0 AS score FROM pr WHERE query_id NOT IN (SELECT query_id FROM c12 UNION ALL SELECT query_id FROM c3) AND len(list_filter(component[1:2], lambda t: contains(title, t))) > 0),
+c AS (SELECT query_id, section_id, max(score) AS score FROM (SELECT * FROM c12 UNION ALL SELECT * FROM c3 UNION ALL SELECT * FROM c4) GROUP BY query_id, section_id)""")
 _inline("structural_picks", "elements picks", "SELECT DISTINCT query_id, element_id, 3.0::DOUBLE AS score FROM i_picks JOIN i_elements USING (section_id)")
-_inline("figure_probe", "figures elements sections questions", "SELECT query_id, figure_id, element_id, round(CASE WHEN named THEN 10.5::DOUBLE ELSE 1.2::DOUBLE END + least(6, 1.2::DOUBLE * n), 6) AS score FROM f WHERE named OR n > 0 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY named DESC, n DESC, page, figure_id) <= 12", f"""{_INTENT},
-f AS (SELECT query_id, figure_id, g.element_id, g.page, coalesce(list_contains(codes, g.label), false) OR coalesce(list_contains(codes, g.drawing_code), false) OR coalesce(list_contains(codes, s.plate_no), false) AS named,
+_inline("figure_probe", "figures elements sections questions", "SELECT query_id, figure_id, element_id, round(CASE WHEN named THEN 10.5::DOUBLE ELSE 1.2::DOUBLE END + least(6, 1.2::DOUBLE * n), 6) AS score FROM f WHERE named OR n > 0 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY named DESC, n DESC, kind <> 'plate', page, figure_id) <= 12", f"""{_INTENT},
+f AS (SELECT query_id, figure_id, g.element_id, g.page, s.kind, coalesce(list_contains(codes, g.label), false) OR coalesce(list_contains(codes, g.drawing_code), false) OR coalesce(list_contains(codes, s.plate_no), false) AS named,
   len(list_filter(tokens, lambda t: contains(lower(concat_ws(' ', e.text, component_title, g.label)), t))) AS n
   FROM i_figures g JOIN i_elements e USING (element_id) JOIN i_sections s ON s.section_id = g.section_id JOIN it ON it.manual_id = g.manual_id WHERE NOT (wants_data AND NOT wants_figure AND NOT wants_proc))""")
 _inline("figure_backfill", "figures elements", "SELECT figure_id, coalesce((SELECT nullif(trim(text), '') FROM i_elements e WHERE e.element_id = f.element_id), (SELECT trim(text) FROM i_elements e WHERE e.manual_id = f.manual_id AND e.drawing_code = f.drawing_code AND text IS NOT NULL ORDER BY length(text) DESC, element_id LIMIT 1), (SELECT trim(text) FROM i_elements e WHERE e.manual_id = f.manual_id AND e.page = f.page AND text IS NOT NULL ORDER BY length(text) DESC, element_id LIMIT 1)) AS text FROM i_figures f")
@@ -126,8 +129,8 @@ _inline("current_editions", "sections", "SELECT * FROM cur", _CUR)
 _inline("superseded", "elements sections", "SELECT element_id, edition, current FROM i_elements e JOIN cur ON cur.manual_id = e.manual_id AND cur.code = coalesce(plate_no, procedure_no) WHERE edition < current", _CUR)
 _inline("latest_run", "runs", "SELECT * FROM i_runs QUALIFY row_number() OVER (PARTITION BY manual_id ORDER BY started DESC, run_id DESC) = 1")
 _inline("page_to_section", "elements sections", "SELECT DISTINCT e.manual_id, e.page, first_value(s.section_id) OVER (PARTITION BY e.manual_id, e.page ORDER BY len(string_split(path, '/')) DESC, page_end - page_start, s.section_id) AS section_id FROM i_elements e JOIN i_sections s ON e.manual_id = s.manual_id AND e.page BETWEEN page_start AND page_end")
-_inline("chapter_asof", "elements toc", "SELECT 'm1' AS manual_id, p.page, t.title AS chapter FROM p ASOF LEFT JOIN (SELECT * FROM i_toc WHERE level = 1) t ON p.page >= t.page", "p AS (SELECT DISTINCT page FROM i_elements WHERE manual_id = 'm1')")
-_inline("toc_chapters", "toc", "SELECT *, (SELECT arg_max(b.title, b.pos) FROM i_toc b WHERE b.level = 1 AND b.pos <= a.pos) AS chapter FROM i_toc a")
+_inline("chapter_asof", "elements toc", "SELECT p.manual_id, p.page, t.title AS chapter FROM p ASOF LEFT JOIN (SELECT * FROM i_toc WHERE level = 1) t ON p.manual_id = t.manual_id AND p.page >= t.page", "p AS (SELECT DISTINCT manual_id, page FROM i_elements)")
+_inline("toc_chapters", "toc", "SELECT *, (SELECT arg_max(b.title, b.pos) FROM i_toc b WHERE b.manual_id = a.manual_id AND b.level = 1 AND b.pos <= a.pos) AS chapter FROM i_toc a")
 _inline("unique_sections", "sections", "SELECT manual_id, path, section_id, edition, doc_code, page_end + 5 AS page_end FROM i_sections")
 _inline("section_parents", "sections", "SELECT a.section_id, b.section_id AS parent_id FROM i_sections a LEFT JOIN i_sections b ON a.manual_id = b.manual_id AND array_to_string(string_split(a.path, '/')[:-2], '/') = b.path")
 _inline("describes_by_title", "sections elements", "SELECT d.element_id AS from_id, p.element_id AS to_id, 'describes' AS type FROM (SELECT e.*, s.component_title FROM i_elements e JOIN i_sections s USING (section_id) WHERE s.kind = 'data') d JOIN p ON p.manual_id = d.manual_id AND lower(trim(d.component_title)) = p.k", "p AS (SELECT s.manual_id, lower(trim(component_title)) AS k, element_id FROM i_elements e JOIN i_sections s USING (section_id) WHERE s.kind = 'procedure' QUALIFY row_number() OVER (PARTITION BY s.manual_id, k ORDER BY CASE WHEN lower(action_title) = 'checking' THEN 0 ELSE 1 END, length(text) DESC NULLS LAST, element_id) = 1)")
@@ -167,13 +170,30 @@ x AS (SELECT cd.*, place, coalesce(plate_no, procedure_no, doc_code) AS number,
 o AS (SELECT *, n >= greatest(1, max(n) OVER (PARTITION BY query_id)) AS ok FROM x), y AS (SELECT * FROM (SELECT *, bool_or(ok) OVER (PARTITION BY query_id) AS any_ok FROM o) WHERE ok OR NOT any_ok)""")
 _inline("diagram_window", "hits elements figures", "SELECT query_id, figure_id, image FROM x QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY NOT exact, place, figure_id) <= 6", f"{_RANK}, x AS (SELECT rk.query_id, figure_id, image, f.element_id = rk.element_id AS exact, place FROM rk JOIN i_elements e USING (element_id) JOIN i_figures f ON f.section_id = e.section_id WHERE f.element_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY rk.query_id, image ORDER BY NOT (f.element_id = rk.element_id), place, figure_id) = 1)")
 _inline("numeric_conflicts", "hits elements", "SELECT query_id, code, unit, array_to_string(list_sort(list(DISTINCT value)), ',') AS values FROM (SELECT query_id, code, regexp_extract(v, '([a-z]+)$', 1) AS unit, regexp_extract(v, '^([0-9.]+)', 1) AS value FROM v) GROUP BY query_id, code, unit HAVING count(DISTINCT value) > 1", f"b AS (SELECT query_id, concat_ws(' ', text, {_CELLS}) AS b FROM i_hits JOIN i_elements USING (element_id)), c AS (SELECT query_id, b, unnest(list_distinct(regexp_extract_all(b, '{_ROW}'))) AS code FROM b), v AS (SELECT query_id, code, unnest(regexp_extract_all(lower(b), '[0-9]+(?:\\.[0-9]+)? *(?:{_UNITS})')) AS v FROM c)")
-_inline("route_pages", "pages", """SELECT page, CASE WHEN chars = 0 AND images = 0 AND drawings < 5 THEN 'skip' WHEN reason = 'text layer' THEN 'text' ELSE 'ocr' END AS route, reason FROM r""", """r AS (SELECT *, CASE WHEN chars = 0 AND images = 0 AND drawings < 5 THEN 'blank' WHEN chars = 0 AND images > 0 THEN 'image only' WHEN drawings >= 200 AND chars < 400 THEN 'drawing' WHEN images >= 3 AND chars < 300 THEN 'many images'
+_inline("route_pages", "pages", """SELECT manual_id, page, CASE WHEN chars = 0 AND images = 0 AND drawings < 5 THEN 'skip' WHEN reason = 'text layer' THEN 'text' ELSE 'ocr' END AS route, reason FROM r""", """r AS (SELECT *, CASE WHEN chars = 0 AND images = 0 AND drawings < 5 THEN 'blank' WHEN chars = 0 AND images > 0 THEN 'image only' WHEN drawings >= 200 AND chars < 400 THEN 'drawing' WHEN images >= 3 AND chars < 300 THEN 'many images'
   WHEN chars < 80 AND (images > 0 OR drawings >= 20) THEN 'little text' WHEN ratio > 0.25 THEN 'garbled' WHEN chars >= 300 AND chars <= 1200 AND drawings >= 150 THEN 'text and drawing' ELSE 'text layer' END AS reason FROM i_pages)""")
-_CONV = """cv AS (SELECT manual_id, CASE WHEN q >= greatest(2, ceil(n / 3)) THEN 'quote' WHEN s >= greatest(2, ceil(n / 3)) THEN 'section' WHEN d >= greatest(2, ceil(n / 3)) THEN 'dotted' ELSE 'page' END AS convention FROM (SELECT manual_id, count(*) AS n, count(*) FILTER (WHERE header LIKE 'Quote %') AS q, count(*) FILTER (WHERE header LIKE 'Section % Rev %') AS s, count(*) FILTER (WHERE regexp_matches(header, '^[0-9]+\\.[0-9]+\\.[0-9]+ ')) AS d FROM i_bands GROUP BY manual_id))"""
-_inline("detect_convention", "bands", "SELECT * FROM cv", _CONV)
-_inline("extract_citation", "bands", "SELECT manual_id, page, CASE convention WHEN 'quote' THEN string_split(header, ' ')[2] WHEN 'section' THEN string_split(header, ' ')[2] WHEN 'dotted' THEN string_split(header, ' ')[1] ELSE 'p.' || page END AS key, CASE WHEN convention IN ('quote', 'section') THEN string_split(header, ' ')[4] END AS revision FROM i_bands JOIN cv USING (manual_id)", _CONV)
-_inline("infer_pattern", "codes", "SELECT manual_id, CASE WHEN max(k) >= greatest(2, ceil(any_value(n) / 3)) THEN arg_max(shape, k * 10 - p) END AS shape, max(k)::INT AS hits FROM c GROUP BY manual_id", """c AS (SELECT manual_id, shape, p, count(*) FILTER (WHERE regexp_full_match(code, pattern)) AS k, count(*) AS n FROM i_codes, (VALUES ('NNN-N.N', 0, '[0-9]{3}-[0-9]+\\.[0-9]+'), ('NNN-N', 1, '[0-9]{3}-[0-9]+'), ('N.N.N', 2, '[0-9]+(\\.[0-9]+){2,}'), ('AANNNN', 3, '[A-Z]{1,3}[0-9]{4,8}'), ('AA-NNN', 4, '[A-Z]{2,4}-[0-9]{3,5}')) AS v(shape, p, pattern) GROUP BY ALL)""")
-_inline("upsert_sections", "sections upserts", "SELECT path, arg_max(title, seq) FILTER (WHERE title IS NOT NULL) AS title, arg_max(edition, seq) FILTER (WHERE edition IS NOT NULL) AS edition, arg_max(page_end, seq) FILTER (WHERE page_end IS NOT NULL) AS page_end FROM (SELECT path, component_title AS title, edition, page_end, 0 AS seq FROM i_sections UNION ALL SELECT * FROM i_upserts) GROUP BY path")
+_CONV = r"""bl AS (SELECT manual_id, string_agg(coalesce(header, '') || chr(10) || coalesce(footer, ''), chr(10) ORDER BY page) AS b FROM i_bands GROUP BY manual_id),
+qd AS (SELECT manual_id, b, list_transform(regexp_extract_all(b, '(?i)quote +(procedure|data|plate|section|chapter|drawing) +[^ \n]+ +(?:edition|revision|rev\.?) +[^ \n]+', 1), lambda k: lower(k)) AS ks, regexp_extract_all(b, '(?i)quote +(?:procedure|data|plate|section|chapter|drawing) +([^ \n]+) +(?:edition|revision|rev\.?) +[^ \n]+', 1) AS cs FROM bl),
+sh(i, p) AS (VALUES (0, '[0-9]{3}-[0-9]+(?:\.[0-9]+)?'), (1, '[A-Z][0-9]{4,6}'), (2, 'P[0-9]{4,6}'), (3, '[0-9]+(?:\.[0-9]+)+'), (4, '[A-Z]{2,5}-?[0-9][A-Za-z0-9_.-]*')),
+vo AS (SELECT manual_id, own, (SELECT p FROM sh, unnest(l) AS x(c) WHERE regexp_full_match(c, p) GROUP BY i, p HAVING count(*) >= greatest(2, (len(l) + 2) // 3) ORDER BY count(*) DESC, i LIMIT 1) AS p FROM (SELECT manual_id, true AS own, list_filter(cs, lambda c, i: ks[i] IN ('procedure', 'section', 'chapter')) AS l FROM qd UNION ALL SELECT manual_id, false, cs FROM qd)),
+vt AS (SELECT manual_id, coalesce(max(p) FILTER (WHERE own), max(p) FILTER (WHERE NOT own), '[0-9]{3}-[0-9]+(?:\.[0-9]+)?') AS p FROM vo GROUP BY manual_id),
+cv AS (SELECT manual_id, CASE WHEN len(ks) > 0 THEN 'q' WHEN regexp_matches(b, '(?i)section +[0-9]+(\.[0-9]+)+ +rev(ision)?\.? *[A-Z0-9]') THEN 's' WHEN regexp_matches(b, '(?is)chapter +[0-9]+.*drawing +[A-Z0-9]') THEN 'd' WHEN len(regexp_extract_all(b, '[0-9]{3}-[0-9]+')) >= 3 THEN 'c' ELSE 'p' END AS way, list_sort(list_distinct(ks)) AS ks, CASE WHEN vt.p = '[A-Z][0-9]{4,6}' THEN '(?:[A-Z][0-9]{4,6}|[0-9]{3}-[0-9]+(?:\.[0-9]+)?)' ELSE vt.p END AS vp, regexp_matches(b, '(?i)page +[0-9]+') AS has_page FROM qd JOIN vt USING (manual_id)),
+co AS (SELECT manual_id, CASE WHEN way = 'p' THEN 'page_number_printed' ELSE 'citation_key' END AS field, CASE way WHEN 'q' THEN vp WHEN 's' THEN '[0-9]+(?:\.[0-9]+)+' WHEN 'd' THEN '[A-Z]{2,5}-?[0-9][A-Za-z0-9_.-]*' WHEN 'c' THEN '[0-9]{3}-[0-9]+(?:\.[0-9]+)?' END AS pattern, CASE way WHEN 'q' THEN 'edition' WHEN 's' THEN 'revision' WHEN 'c' THEN 'edition' END AS revision_field,
+  CASE way WHEN 'd' THEN 'per_document' WHEN 'p' THEN 'none' ELSE 'per_section' END AS granularity, CASE way WHEN 'q' THEN array_to_string(ks, ',') WHEN 's' THEN 'section' WHEN 'd' THEN 'chapter,drawing' WHEN 'c' THEN 'procedure' ELSE '' END AS label_words, has_page, CASE WHEN way = 'p' THEN 'fallback' ELSE 'heuristic' END AS source FROM cv)"""
+_inline("detect_convention", "bands", "SELECT * FROM co", _CONV)
+_CITED = r"""pg AS (SELECT t.*, pattern, revision_field, coalesce(nullif(regexp_extract(text, '(?i)(?:quote|referring to this page)[^\n]{0,80}'), ''), left(text, 800)) AS near, nullif(regexp_extract(text, '(?i)page +([0-9]+)', 1), '') AS printed FROM i_texts t LEFT JOIN co USING (manual_id)),
+ct AS (SELECT manual_id, page, coalesce(nullif(regexp_extract(near, pattern), ''), nullif(regexp_extract(text, pattern), ''), 'p.' || coalesce(printed, page::VARCHAR)) AS key, CASE WHEN revision_field IS NOT NULL THEN nullif(regexp_extract(text, '(?i)(?:edition|revision|rev\.?) +([A-Za-z0-9._-]+)', 1), '') END AS revision, printed FROM pg)"""
+_inline("extract_citation", "bands texts", "SELECT * FROM ct", f"{_CONV}, {_CITED}")
+_inline("infer_pattern", "codes", "SELECT manual_id, p AS pattern FROM m LEFT JOIN (SELECT manual_id, p FROM (SELECT manual_id, i, p, count(*) AS k FROM sh, i_codes WHERE regexp_full_match(code, p) GROUP BY ALL) JOIN m USING (manual_id) WHERE k >= greatest(2, (n + 2) // 3) QUALIFY row_number() OVER (PARTITION BY manual_id ORDER BY k DESC, i) = 1) USING (manual_id)", r"sh(i, p) AS (VALUES (0, '[0-9]{3}-[0-9]+(?:\.[0-9]+)?'), (1, '[A-Z][0-9]{4,6}'), (2, 'P[0-9]{4,6}'), (3, '[0-9]+(?:\.[0-9]+)+'), (4, '[A-Z]{2,5}-?[0-9][A-Za-z0-9_.-]*')), m AS (SELECT manual_id, count(*) AS n FROM i_codes GROUP BY manual_id)")
+# which answers fit is written out by hand: q hits its quoted codes, s comes three times, c and n do not fit
+_inline("fitting_patterns", "answers", "SELECT manual_id, pattern FROM i_answers WHERE manual_id IN ('q', 's')")
+_inline("replaced_conventions", "bands answers", "SELECT co.* FROM co WHERE manual_id NOT IN ('q', 's') UNION ALL SELECT manual_id, 'citation_key', a.pattern, a.revision_field, coalesce(a.granularity, 'per_section'), lower(word), has_page, 'service' FROM i_answers a JOIN co USING (manual_id) WHERE manual_id IN ('q', 's')", _CONV)
+_inline("conventions_of_keys", "keys", r"""SELECT manual_id, CASE WHEN n >= 2 THEN 'citation_key' ELSE 'page_number_printed' END AS field, CASE WHEN n >= 2 THEN '[0-9]{3}-[0-9]+(?:\.[0-9]+)?' END AS pattern, CASE WHEN n >= 2 THEN 'edition' END AS revision_field, CASE WHEN n >= 2 THEN 'per_section' ELSE 'none' END AS granularity, '' AS label_words, true AS has_page, CASE WHEN n >= 2 THEN 'backfill' ELSE 'fallback' END AS source
+  FROM (SELECT manual_id, count(DISTINCT key) FILTER (WHERE regexp_full_match(key, '[0-9]{3}-[0-9]+(\.[0-9]+)?')) AS n FROM i_keys GROUP BY manual_id)""")
+_inline("see_references", "bands texts", r"""SELECT DISTINCT manual_id, page::BIGINT AS element_id, nullif(lower(x[1]), '') AS label, upper(x[2]) AS ref FROM (SELECT manual_id, page, unnest(list_zip(regexp_extract_all(text, see, 1), regexp_extract_all(text, see, 2))) AS x FROM (SELECT t.*, '(?i)(?:see|refer to|as per|according to|acc\. to)\s+(?:(' || CASE WHEN label_words = '' THEN 'procedure|section|chapter|plate|data|drawing|appendix' ELSE replace(label_words, ',', '|') END || ')\s+)?(' || coalesce(pattern, '[A-Za-z0-9][A-Za-z0-9_.-]*') || ')' AS see FROM i_texts t JOIN co USING (manual_id) WHERE text IS NOT NULL))""", _CONV)
+_inline("sampled_pages", "pages", "SELECT manual_id, page FROM (VALUES ('m1', 1), ('m1', 6), ('m1', 10), ('m1', 3), ('m2', 1), ('m2', 2), ('m2', 3)) AS v(manual_id, page)")
+_inline("upsert_sections", "sections upserts", "SELECT * EXCLUDE (up), CASE WHEN EXISTS (SELECT 1 FROM u AS v WHERE v.manual_id = u.manual_id AND v.path = u.up) THEN up END AS parent_path FROM u", """x AS (SELECT manual_id, path, component_title AS title, page_start, page_end, doc_code, edition, kind, procedure_no, plate_no, component_title, action_title, 0 AS seq FROM i_sections UNION ALL SELECT manual_id, path, title, NULL, page_end, NULL, edition, NULL, NULL, NULL, NULL, NULL, seq FROM i_upserts),
+u AS (SELECT manual_id, path, array_to_string(string_split(path, '/')[:-2], '/') AS up, arg_max(title, seq) FILTER (WHERE title IS NOT NULL) AS title, arg_max(page_start, seq) FILTER (WHERE page_start IS NOT NULL) AS page_start, arg_max(page_end, seq) FILTER (WHERE page_end IS NOT NULL) AS page_end, arg_max(doc_code, seq) FILTER (WHERE doc_code IS NOT NULL) AS doc_code, arg_max(edition, seq) FILTER (WHERE edition IS NOT NULL) AS edition, arg_max(kind, seq) FILTER (WHERE kind IS NOT NULL) AS kind, arg_max(procedure_no, seq) FILTER (WHERE procedure_no IS NOT NULL) AS procedure_no, arg_max(plate_no, seq) FILTER (WHERE plate_no IS NOT NULL) AS plate_no, arg_max(component_title, seq) FILTER (WHERE component_title IS NOT NULL) AS component_title, arg_max(action_title, seq) FILTER (WHERE action_title IS NOT NULL) AS action_title FROM x GROUP BY manual_id, path)""")
 _inline("upsert_fleet", "fleet new_fleet", "SELECT * FROM i_new_fleet UNION ALL SELECT * FROM i_fleet f WHERE NOT EXISTS (SELECT 1 FROM i_new_fleet n WHERE n.equipment_id = f.equipment_id AND n.manual_id = f.manual_id)")
 _inline("fleet_context", "fleet manuals", "SELECT manual_id, equipment_id, f.model, title FROM i_fleet f JOIN i_manuals USING (manual_id) WHERE status = 'current'")
 _inline("plate_pages", "sections elements", "SELECT manual_id, section_id, plate_no, page::INT AS page FROM (SELECT manual_id, section_id, plate_no, unnest(range(page_start, page_end + 1)) AS page FROM i_sections WHERE kind = 'plate') p WHERE NOT EXISTS (SELECT 1 FROM i_elements e WHERE e.manual_id = p.manual_id AND e.page = p.page AND e.type IN ('plate', 'figure'))")
@@ -190,7 +210,7 @@ _inline("fetch_named", "hits elements sections questions", f"SELECT x.query_id,
 _inline("fetch_drawings", "figures questions", "SELECT DISTINCT query_id, figure_id, element_id, 48.0::DOUBLE AS score FROM i_figures f JOIN q ON q.manual_id = f.manual_id AND length(code) >= 5 AND (contains(upper(coalesce(drawing_code, '')), code) OR contains(upper(coalesce(label, '')), code)) WHERE element_id IS NOT NULL", f"q AS (SELECT query_id, manual_id, unnest({_ids('text')}) AS code FROM i_questions)")
 _inline("best_plate", "hits elements figures", "SELECT query_id, figure_id, f.element_id FROM b JOIN i_figures f USING (section_id) WHERE f.element_id IS NOT NULL", "b AS (SELECT query_id, section_id FROM i_hits JOIN i_elements USING (element_id) WHERE plate_no IS NOT NULL QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, element_id) = 1)")
 _inline("images_first", "hits figures questions", "SELECT query_id, element_id, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN wants_figure AND NOT image THEN 1 ELSE 0 END, place)::INT AS place, image FROM r", f"{_INTENT}, {_RANK}, r AS (SELECT rk.*, wants_figure, rk.element_id IN (SELECT element_id FROM i_figures WHERE element_id IS NOT NULL) AS image FROM rk JOIN it USING (query_id))")
-_inline("header_lines", "spans", "SELECT page, string_agg(text, ' ' ORDER BY round_even(y0 / 12, 0), x0, text) AS header FROM i_spans WHERE y1 <= 62 GROUP BY page")
+_inline("header_lines", "spans", "SELECT manual_id, page, string_agg(text, ' ' ORDER BY round_even(y0 / 12, 0), x0, text) AS header FROM i_spans WHERE y1 <= 62 GROUP BY manual_id, page")
 _inline("route_counts", "pages", "SELECT route, count(*) AS n FROM (SELECT CASE WHEN chars = 0 AND images = 0 AND drawings < 5 THEN 'skip' WHEN (chars = 0 AND images > 0) OR (drawings >= 200 AND chars < 400) OR (images >= 3 AND chars < 300) OR (chars < 80 AND (images > 0 OR drawings >= 20)) OR ratio > 0.25 OR (chars BETWEEN 300 AND 1200 AND drawings >= 150) THEN 'ocr' ELSE 'text' END AS route FROM i_pages) GROUP BY route")
 _inline("citation_backfill", "elements", """SELECT element_id, coalesce(procedure_no, plate_no, 'p.' || page) AS citation_key, '{' || concat_ws(',', '"procedure_no":"' || procedure_no || '"', '"plate_no":"' || plate_no || '"', '"edition":"' || edition || '"') || '}' AS fields FROM i_elements""")
 _inline("placed_elements", "elements sections", "SELECT e.element_id, s.section_id, coalesce(e.procedure_no, s.procedure_no) AS procedure_no, coalesce(e.plate_no, s.plate_no) AS plate_no, coalesce(step, TRY_CAST(regexp_extract(text, '^ *([0-9]{1,2})\\. ', 1) AS INT)) AS step FROM i_elements e LEFT JOIN i_sections s ON e.manual_id = s.manual_id AND e.page BETWEEN page_start AND page_end QUALIFY row_number() OVER (PARTITION BY e.element_id ORDER BY len(string_split(path, '/')) DESC NULLS LAST, page_end - page_start, s.section_id) = 1")
@@ -205,3 +225,28 @@ c AS (SELECT query_id, n, wanted IS NULL OR contains(model, wanted) OR contains(
   len(list_filter(['shut off', 'under pressure', 'cold engine', 'warm engine', 'before work', 'after work'], lambda x: contains(lower(text), x) AND NOT contains(blob, x))) = 0 AS condition,
   regexp_matches(lower(text), '[0-9] *({_UNITS})([^a-z]|$)') OR len(list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda u: list_contains(['mm', 'bar', 'nm', 'kg'], u) AND NOT contains(blob, u))) = 0 AS units,
   n > 0 AND (len(phrases) + len(tokens) = 0 OR len(list_filter(list_concat(phrases, tokens)[1:6], lambda x: contains(blob, x))) > 0) AS scope FROM q)""")
+
+_inline("escalated_routes", "pages", "SELECT manual_id, page, CASE WHEN (manual_id, page) IN (('m1', 4), ('m2', 2)) THEN 'text' WHEN chars = 0 AND images = 0 AND drawings < 5 THEN 'skip' WHEN reason = 'text layer' THEN 'text' ELSE 'ocr' END AS route, reason FROM r", """r AS (SELECT *, CASE WHEN chars = 0 AND images = 0 AND drawings < 5 THEN 'blank' WHEN chars = 0 AND images > 0 THEN 'image only' WHEN drawings >= 200 AND chars < 400 THEN 'drawing' WHEN images >= 3 AND chars < 300 THEN 'many images'
+  WHEN chars < 80 AND (images > 0 OR drawings >= 20) THEN 'little text' WHEN ratio > 0.25 THEN 'garbled' WHEN chars >= 300 AND chars <= 1200 AND drawings >= 150 THEN 'text and drawing' ELSE 'text layer' END AS reason FROM i_pages)""")
+_inline("selected_pages", "pages", "SELECT manual_id, page, 'spec' AS by FROM i_pages WHERE page IN (1, 2, 12, 40) UNION ALL SELECT manual_id, page, 'limit' FROM i_pages WHERE page <= 3 UNION ALL SELECT manual_id, page, 'all' FROM i_pages")
+_inline("text_layer", "scanned", "SELECT manual_id, page, 'paragraph' AS type, trim(text) AS text, 'text_layer' AS extractor FROM i_scanned WHERE trim(text) <> ''")
+_inline("filled_steps", "elements", "SELECT element_id, CASE WHEN element_id = 107 THEN 1 END::INT AS step FROM i_elements")
+_inline("upsert_figures", "figures", "SELECT figure_id, element_id, manual_id, section_id, page, image, label, panel_index, CASE WHEN figure_id = 2 THEN 'CD1-1' ELSE drawing_code END AS drawing_code, step FROM i_figures UNION ALL SELECT figure_id, element_id, manual_id, section_id, 22, image, 'P30299', panel_index, 'CD1-1', step FROM i_figures WHERE figure_id = 4")
+_inline("corpus_status", "manuals sections elements figures edges fleet runs", "SELECT (SELECT count(*) FROM i_manuals) AS manuals, (SELECT count(*) FROM i_sections) AS sections, (SELECT count(*) FROM i_elements) AS elements, (SELECT count(*) FROM i_figures) AS figures, (SELECT count(*) FROM i_edges) AS edges, (SELECT count(*) FROM i_fleet) AS fleet, true AS has_data, run_id, manual_id, status FROM (SELECT * FROM i_runs ORDER BY started DESC, run_id DESC LIMIT 1)")
+# worked out by hand from the rules, as the rows are few
+ORACLE_SQL["diagram_modes"] = "SELECT * FROM (VALUES ('m1', 1, 3::INT, 'panels', 'panels'), ('m1', 3, 0::INT, 'whole page, plate', 'skip')) AS v(manual_id, page, panels, mode, reader)"
+ORACLE_SQL["manual_identity"] = "SELECT * FROM (VALUES ('f1', 'feed pump manual', 'Acme', 'FP120AX', 'FEED-PUMP-MANUAL'), ('f2', 'Compressor book', NULL, 'Compressor book', 'INGESTED-MANUAL'), ('f3', 'x9', NULL, '6S50MC-C', 'X9')) AS v(manual_id, title, manufacturer, model, equipment_id)"
+ORACLE_SQL["bookmark_sections"] = """SELECT manual_id, pos, path, title, page_start, NULL::INT AS page_end, doc_code, edition, kind FROM (VALUES
+  ('m1', 1, 'Chapter 901', 'Chapter 901', 1, NULL, NULL, 'other'), ('m1', 2, 'Chapter 901/Valve cover', 'Valve cover', 2, 'M30101', '0249', 'procedure'), ('m1', 3, 'Chapter 901/Valve cover-Data', 'Valve cover-Data', 4, 'D30101', NULL, 'data'),
+  ('m1', 5, 'Chapter 12', 'Chapter 12', 6, NULL, NULL, 'other'), ('m1', 6, 'Chapter 12/Checking of the rotor', 'Checking of the rotor', 6, NULL, NULL, 'procedure'),
+  ('m2', 1, 'Foreword', 'Foreword', 1, NULL, NULL, 'other'), ('m2', 2, 'Foreword', 'Foreword', 3, NULL, NULL, 'other')) AS v(manual_id, pos, path, title, page_start, doc_code, edition, kind)"""
+_META = """(VALUES ('m1', 1, 'p.1', NULL, NULL, 'other', NULL, NULL, NULL, NULL, NULL), ('m1', 2, '301-1', 'M30101', '0249', 'procedure', '301-1', NULL, NULL, 'Valve cover', 'Checking'), ('m1', 3, '301-2', NULL, NULL, 'other', '301-2', NULL, NULL, NULL, NULL),
+  ('m1', 4, 'D30101', 'D30101', '0S48', 'data', NULL, NULL, NULL, 'Valve cover', 'Data'), ('m1', 5, 'P30150', 'P30150', '01', 'plate', NULL, 'P30150', NULL, NULL, NULL), ('m1', 6, 'p.6', NULL, NULL, 'other', NULL, NULL, '6', NULL, NULL), ('m1', 7, 'A30101', 'A30101', '03', 'schedule', NULL, NULL, NULL, NULL, NULL),
+  ('m2', 1, 'p.1', NULL, NULL, 'other', NULL, NULL, NULL, NULL, NULL), ('m2', 2, 'P99001', NULL, NULL, 'other', NULL, 'P99001', NULL, NULL, NULL), ('m2', 3, 'p.3', NULL, NULL, 'other', NULL, NULL, NULL, NULL, NULL), ('m2', 4, 'p.4', NULL, NULL, 'other', NULL, NULL, NULL, NULL, NULL)) AS v(manual_id, page, citation_key, doc_code, edition, kind, procedure_no, plate_no, printed, component_title, action_title)"""
+ORACLE_SQL["page_meta"] = f"SELECT * FROM {_META}"
+ORACLE_SQL["primary_citations"] = f"SELECT manual_id, page, citation_key || coalesce(' Ed.' || edition, '') AS primary FROM {_META}"
+ORACLE_SQL["extract_sections"] = """SELECT * FROM (VALUES
+  ('m1', 'Chapter 901', 'Chapter 901', 1, 1, NULL, NULL, 'other', NULL, NULL, NULL, NULL, 'p.1'), ('m1', 'Chapter 901/Valve cover', 'Valve cover', 2, 3, 'M30101', '0249', 'procedure', '301-1', NULL, 'Valve cover', 'Checking', '301-1'),
+  ('m1', 'Chapter 901/Valve cover-Data', 'Valve cover-Data', 4, 4, 'D30101', '0S48', 'data', NULL, NULL, 'Valve cover', 'Data', 'D30101'), ('m1', 'Chapter 901/P30150', 'P30150', 5, 5, 'P30150', '01', 'plate', NULL, 'P30150', NULL, NULL, 'P30150'),
+  ('m1', 'Chapter 12', 'Chapter 12', 6, 6, NULL, NULL, 'other', NULL, NULL, NULL, NULL, 'p.6'), ('m1', 'Chapter 12/Checking of the rotor', 'Checking of the rotor', 6, 6, NULL, NULL, 'procedure', NULL, NULL, NULL, NULL, 'p.6'), ('m1', 'Chapter 12/A30101', 'A30101', 7, 7, 'A30101', '03', 'schedule', NULL, NULL, NULL, NULL, 'A30101'),
+  ('m2', 'Foreword', 'Foreword', 1, 4, NULL, NULL, 'other', NULL, 'P99001', NULL, NULL, 'p.1')) AS v(manual_id, path, title, page_start, page_end, doc_code, edition, kind, procedure_no, plate_no, component_title, action_title, citation_key)"""

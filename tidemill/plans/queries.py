@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .. import config
 from ..functions import text as T
-from ..operators import gate, graph, ingest, rank, retrieve
+from ..operators import conventions, gate, graph, ingest, pages, rank, retrieve
 from ..sources import inline, project
 from . import engine
 
@@ -170,8 +170,8 @@ def _section_text(spark: SparkSession) -> DataFrame:
 
 def _asof(spark: SparkSession) -> DataFrame:
     e, toc = _small(spark, "elements", "toc")
-    pages = e.where("manual_id = 'm1'").select("manual_id", "page").distinct()
-    return graph.chapter_asof(pages, toc.where("level = 1").select(F.lit("m1").alias("manual_id"), "page", F.col("title").alias("chapter")))
+    at = e.select("manual_id", "page").distinct()
+    return graph.chapter_asof(at, toc.where("level = 1").select("manual_id", "page", F.col("title").alias("chapter")))
 
 
 def _gate(spark: SparkSession) -> DataFrame:
@@ -199,9 +199,93 @@ def _edges(spark: SparkSession) -> DataFrame:
     return graph.new_edges(fresh, fresh.where("type = 'describes'"))
 
 
+def _joined(df: DataFrame, *columns: str) -> DataFrame:
+    """Arrays as text, to be compared."""
+    return df.select(*[F.array_join(F.transform(F.col(c), lambda x: x.cast("string")), ",").alias(c) if c in columns else c for c in df.columns])
+
+
 def _citations(spark: SparkSession) -> DataFrame:
-    bands = inline.table(spark, "bands")
-    return ingest.extract_citation(bands, ingest.detect_convention(bands))
+    return conventions.citations(inline.table(spark, "texts"), conventions.detect(inline.table(spark, "bands")))
+
+
+def _replaced(spark: SparkSession) -> DataFrame:
+    bands, answers = _small(spark, "bands", "answers")
+    out = conventions.replaced(conventions.detect(bands), answers.withColumn("label_words", F.array("word")), bands)
+    return _joined(out, "label_words")
+
+
+def _references(spark: SparkSession) -> DataFrame:
+    texts = inline.table(spark, "texts").withColumn("element_id", F.col("page").cast("long"))
+    return conventions.references(texts, conventions.detect(inline.table(spark, "bands")))
+
+
+def _scan(spark: SparkSession) -> tuple[DataFrame, DataFrame, DataFrame]:
+    scanned, heads, keys = _small(spark, "scanned", "heads", "keys")
+    return scanned, heads, conventions.from_keys(keys)
+
+
+def _page_meta(spark: SparkSession) -> DataFrame:
+    return pages.page_meta(*_scan(spark))
+
+
+def _extracted(spark: SparkSession) -> DataFrame:
+    return pages.extract_sections(inline.table(spark, "bookmarks"), *_scan(spark))
+
+
+def _plates(spark: SparkSession) -> DataFrame:
+    s, e = _small(spark, "sections", "elements")
+    meta = _page_meta(spark).select("manual_id", "page", "plate_no")
+    return ingest.completed_plates(ingest.plate_pages(s, e, meta), s)
+
+
+def _drafts(spark: SparkSession) -> DataFrame:
+    return ingest.diagram_panels(*_small(spark, "rects", "labels", "steps"))
+
+
+def _titles(spark: SparkSession) -> DataFrame:
+    """Two titled pages and a plate, beside the panels' pages."""
+    return spark.createDataFrame([("m1", 1, "Rotor", "Mounting", None), ("m1", 3, "Cover", None, "P30101")], "manual_id string, page int, component_title string, action_title string, plate_no string")
+
+
+def _diagram_elements(spark: SparkSession) -> DataFrame:
+    drafts, meta = _drafts(spark), _titles(spark)
+    asked = spark.createDataFrame([("m1", 1, None), ("m1", 2, None), ("m1", 3, "P30101"), ("m2", 1, None)], "manual_id string, page int, plate_no string")
+    texts = spark.createDataFrame([("m1", 1, " A text of some forty characters or a little more "), ("m1", 2, "short")], "manual_id string, page int, text string")
+    answers = spark.createDataFrame([("m1", 1, 0, "CODE: XX1-1\nSTEP: 9"), ("m1", 2, 0, "CODE: none\nturn it\n 5. lift")], "manual_id string, page int, panel int, answer string")
+    return ingest.diagram_elements(asked, drafts, meta, texts, answers)
+
+
+def _attached_panels(spark: SparkSession) -> DataFrame:
+    kinds = "manual_id string, page int, type string, text string, caption string, figure_ref string, panel int, code string, step int"
+    rows = [("m1", 1, "figure", None, "old", "x", None, None, None), ("m1", 1, "paragraph", "stays", None, None, None, None, None), ("m1", 3, "plate", None, "plate", "y", None, None, None), ("m1", 9, "figure", None, "alone", "z", None, None, None)]
+    return ingest.attach_panels(spark.createDataFrame(rows, kinds), _drafts(spark), _titles(spark))
+
+
+def _filled_steps(spark: SparkSession) -> DataFrame:
+    e, f = _small(spark, "elements", "figures")
+    return ingest.filled_steps(e.withColumn("step", F.lit(None).cast("int")), graph.step_links(e, f), f).select("element_id", "step")
+
+
+def _upsert_figures(spark: SparkSession) -> DataFrame:
+    f = inline.table(spark, "figures")
+    fresh = f.where("figure_id in (2, 4)").withColumn("label", F.when(F.col("figure_id") == 4, "P30299")).withColumn("drawing_code", F.lit("CD1-1")).withColumn("page", F.when(F.col("figure_id") == 4, 22).otherwise(F.col("page")))
+    return ingest.upsert_figures(f, fresh)
+
+
+def _status(spark: SparkSession) -> DataFrame:
+    names = ("manuals", "sections", "elements", "figures", "edges", "fleet")
+    return ingest.corpus_status({n: inline.table(spark, n) for n in names}, inline.table(spark, "runs"))
+
+
+def _escalated(spark: SparkSession) -> DataFrame:
+    answers = inline.table(spark, "pages").select("manual_id", "page", F.lit("text").alias("said"))
+    return ingest.escalated(ingest.route_pages(inline.table(spark, "pages")), answers, 1)
+
+
+def _selected(spark: SparkSession) -> DataFrame:
+    p = inline.table(spark, "pages").select("manual_id", "page")
+    some = pages.selected(p, "1-2, 12,40").withColumn("by", F.lit("spec"))
+    return some.unionByName(pages.selected(p, limit=3).withColumn("by", F.lit("limit"))).unionByName(pages.selected(p).withColumn("by", F.lit("all")))
 
 
 def _rerank(spark: SparkSession) -> DataFrame:
@@ -272,9 +356,30 @@ for _name, _build in {
     "gate_checks": _gate,
     "numeric_conflicts": _conflicts,
     "route_pages": _two(ingest.route_pages, "pages"),
-    "detect_convention": _two(ingest.detect_convention, "bands"),
+    "escalated_routes": _escalated,
+    "detect_convention": lambda spark: _joined(conventions.detect(inline.table(spark, "bands")), "label_words"),
     "extract_citation": _citations,
-    "infer_pattern": _two(ingest.infer_pattern, "codes"),
+    "infer_pattern": lambda spark: inline.table(spark, "codes").groupBy("manual_id").agg(F.collect_list("code").alias("c")).select("manual_id", conventions.vote(F.col("c")).alias("pattern")),
+    "fitting_patterns": _two(conventions.fitting, "answers", "bands"),
+    "replaced_conventions": _replaced,
+    "conventions_of_keys": lambda spark: _joined(conventions.from_keys(inline.table(spark, "keys")), "label_words"),
+    "see_references": _references,
+    "sampled_pages": lambda spark: conventions.sampled(inline.table(spark, "pages"), 4).select("manual_id", "page"),
+    "page_meta": _page_meta,
+    "primary_citations": lambda spark: _page_meta(spark).select("manual_id", "page", pages.primary_citation(F.col("citation_key"), F.col("plate_no"), F.col("procedure_no"), F.col("doc_code"), F.col("edition")).alias("primary")),
+    "bookmark_sections": lambda spark: pages.bookmark_sections(inline.table(spark, "bookmarks")),
+    "extract_sections": _extracted,
+    "selected_pages": _selected,
+    "text_layer": lambda spark: pages.text_layer(inline.table(spark, "scanned")),
+    "manual_identity": lambda spark: pages.manual_identity(inline.table(spark, "files")),
+    "completed_plates": _plates,
+    "diagram_panels": lambda spark: _joined(_drafts(spark), "bbox"),
+    "diagram_modes": lambda spark: ingest.diagram_modes(_titles(spark).select("manual_id", "page", "plate_no"), _drafts(spark)),
+    "diagram_elements": _diagram_elements,
+    "attached_panels": _attached_panels,
+    "filled_steps": _filled_steps,
+    "upsert_figures": _upsert_figures,
+    "corpus_status": _status,
     "upsert_sections": lambda spark: ingest.upsert_sections(inline.table(spark, "sections").withColumn("title", F.col("component_title")), inline.table(spark, "upserts")),
     "upsert_fleet": _two(ingest.upsert_fleet, "fleet", "new_fleet"),
     "fleet_context": _two(ingest.fleet_context, "fleet", "manuals"),
@@ -287,7 +392,7 @@ for _name, _build in {
     "fetch_drawings": _two(rank.fetch_drawings, "figures", "questions"),
     "best_plate": lambda spark: rank.best_plate(_ranked(spark), inline.table(spark, "figures")),
     "images_first": lambda spark: rank.images_first(_ranked(spark), *_small(spark, "figures", "questions")),
-    "header_lines": _two(ingest.header_lines, "spans"),
+    "header_lines": lambda spark: pages.header_lines(inline.table(spark, "spans")).select("manual_id", "page", F.array_join("lines", " ").alias("header")),
     "panel_steps": _panel_steps,
     "route_counts": lambda spark: ingest.route_counts(ingest.route_pages(inline.table(spark, "pages"))),
     "citation_backfill": _two(ingest.citation_backfill, "elements"),

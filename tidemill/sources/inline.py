@@ -12,7 +12,7 @@ _U = '{"grid":[[{"text":"A12-03"},{"text":"max 0.50 mm"}]]}'
 
 TABLES: dict[str, tuple[str, list[tuple]]] = {
     "manuals": ("manual_id string, title string, equipment string, model string", [("m1", "Feed pump handbook", "Feed pump", "FP120"), ("m2", "Air compressor handbook", "Air compressor", "AC77")]),
-    "fleet": ("equipment_id string, manual_id string, model string, status string", [("eq1", "m1", "FP120", "current"), ("eq2", "m2", "AC77", "current"), ("eq1", "m2", "FP120", "old")]),
+    "fleet": ("equipment_id string, manual_id string, manufacturer string, model string, status string", [("eq1", "m1", "Acme", "FP120", "current"), ("eq2", "m2", "Acme", "AC77", "current"), ("eq1", "m2", None, "FP120", "old")]),
     "sections": (
         "section_id long, manual_id string, path string, kind string, procedure_no string, plate_no string, doc_code string, component_title string, action_title string, edition string, page_start int, page_end int",
         [
@@ -78,28 +78,71 @@ TABLES: dict[str, tuple[str, list[tuple]]] = {
     ),
     "picks": ("query_id long, section_id long", [(1, 10), (1, 11), (2, 13), (2, 13), (5, 20)]),
     "codes": ("manual_id string, code string", [("m1", "301-1.2"), ("m1", "302-1.4"), ("m1", "303-2.1"), ("m1", "D30101"), ("m2", "301-1"), ("m2", "AB-123"), ("m2", "CD-4567"), ("m3", "odd"), ("m3", "7.1.2")]),
-    "new_fleet": ("equipment_id string, manual_id string, model string, status string", [("eq1", "m1", "FP121", "current"), ("eq3", "m2", "AC80", "current")]),
+    "new_fleet": ("equipment_id string, manual_id string, manufacturer string, model string, status string", [("eq1", "m1", None, "FP121", "current"), ("eq3", "m2", "Bolt", "AC80", "current")]),
     "rects": (
-        "page int, x0 double, y0 double, x1 double, y1 double, width double, height double",
-        [(1, 50.0, 50.0, 290.0, 390.0, 600.0, 800.0), (1, 310.0, 50.0, 560.0, 390.0, 600.0, 800.0), (1, 60.0, 60.0, 200.0, 200.0, 600.0, 800.0), (1, 50.0, 420.0, 290.0, 760.0, 600.0, 800.0), (1, 0.0, 0.0, 600.0, 800.0, 600.0, 800.0), (2, 100.0, 100.0, 130.0, 500.0, 600.0, 800.0), (2, 100.0, 100.0, 400.0, 400.0, 600.0, 800.0)],
+        "manual_id string, page int, x0 double, y0 double, x1 double, y1 double, width double, height double",
+        [("m1", 1, 50.0, 50.0, 290.0, 390.0, 600.0, 800.0), ("m1", 1, 310.0, 50.0, 560.0, 390.0, 600.0, 800.0), ("m1", 1, 60.0, 60.0, 200.0, 200.0, 600.0, 800.0), ("m1", 1, 50.0, 420.0, 290.0, 760.0, 600.0, 800.0), ("m1", 1, 0.0, 0.0, 600.0, 800.0, 600.0, 800.0), ("m1", 2, 100.0, 100.0, 130.0, 500.0, 600.0, 800.0), ("m1", 2, 100.0, 100.0, 400.0, 400.0, 600.0, 800.0), ("m2", 1, 0.0, 0.0, 100.0, 100.0, 200.0, 200.0)],
     ),
-    "labels": ("page int, code string, x double, y double", [(1, "AB1-1", 280.0, 380.0), (1, "AB1-2", 550.0, 380.0), (1, "AB1-3", 300.0, 400.0), (2, "AB2-1", 390.0, 390.0), (2, "AB2-2", 391.0, 391.0)]),
+    "labels": ("manual_id string, page int, code string, x double, y double", [("m1", 1, "AB1-1", 280.0, 380.0), ("m1", 1, "AB1-2", 550.0, 380.0), ("m1", 1, "AB1-3", 300.0, 400.0), ("m1", 2, "AB2-1", 390.0, 390.0), ("m1", 2, "AB2-2", 391.0, 391.0), ("m2", 1, "ZZ9-9", 50.0, 50.0)]),
     "spans": (
-        "page int, x0 double, y0 double, y1 double, text string",
-        [(1, 300.0, 21.0, 30.0, "Edition 07"), (1, 20.0, 19.0, 30.0, "Quote 902-1.3"), (1, 20.0, 40.0, 50.0, "Rotor"), (1, 20.0, 100.0, 110.0, "body"), (2, 20.0, 30.0, 62.0, "Cover"), (3, 20.0, 60.0, 70.0, "low")],
+        "manual_id string, page int, x0 double, y0 double, y1 double, text string",
+        [("m1", 1, 300.0, 21.0, 30.0, "Edition 07"), ("m1", 1, 20.0, 19.0, 30.0, "Quote 902-1.3"), ("m1", 1, 20.0, 40.0, 50.0, "Rotor"), ("m1", 1, 20.0, 100.0, 110.0, "body"), ("m1", 2, 20.0, 30.0, 62.0, "Cover"), ("m1", 3, 20.0, 60.0, 70.0, "low"), ("m2", 1, 10.0, 20.0, 30.0, "Compressor"), ("m2", 1, 10.0, 34.0, 44.0, "Plate"), ("m2", 1, 300.0, 34.0, 44.0, "P99001"), ("m2", 2, 10.0, 20.0, 30.0, "Plate"), ("m2", 2, 10.0, 34.0, 44.0, "Valve cover")],
     ),
-    "steps": ("page int, step int, x double, y double", [(1, 1, 55.0, 55.0), (1, 2, 315.0, 52.0), (1, 3, 52.0, 425.0), (1, 4, 60.0, 300.0), (2, 1, 90.0, 95.0)]),
+    "steps": ("manual_id string, page int, step int, x double, y double", [("m1", 1, 1, 55.0, 55.0), ("m1", 1, 2, 315.0, 52.0), ("m1", 1, 3, 52.0, 425.0), ("m1", 1, 4, 60.0, 300.0), ("m1", 2, 1, 90.0, 95.0), ("m2", 1, 7, 5.0, 5.0)]),
     "pages": (
-        "page int, chars int, images int, drawings int, ratio double",
-        [(1, 0, 0, 4, 0.0), (2, 0, 1, 0, 0.0), (3, 399, 0, 200, 0.0), (4, 400, 0, 200, 0.0), (5, 299, 3, 0, 0.0), (6, 300, 3, 0, 0.0), (7, 79, 1, 0, 0.0), (8, 80, 1, 0, 0.0), (9, 79, 0, 20, 0.0), (10, 500, 0, 0, 0.3), (11, 300, 0, 150, 0.0), (12, 1200, 0, 150, 0.0), (13, 1201, 0, 150, 0.0), (14, 0, 0, 5, 0.0), (15, 1300, 0, 10, 0.25)],
+        "manual_id string, page int, chars int, images int, drawings int, ratio double",
+        [("m1", 1, 0, 0, 4, 0.0), ("m1", 2, 0, 1, 0, 0.0), ("m1", 3, 399, 0, 200, 0.0), ("m1", 4, 400, 0, 200, 0.0), ("m1", 5, 299, 3, 0, 0.0), ("m1", 6, 300, 3, 0, 0.0), ("m1", 7, 79, 1, 0, 0.0), ("m1", 8, 80, 1, 0, 0.0), ("m1", 9, 79, 0, 20, 0.0), ("m1", 10, 500, 0, 0, 0.3), ("m1", 11, 300, 0, 150, 0.0), ("m1", 12, 1200, 0, 150, 0.0), ("m1", 13, 1201, 0, 150, 0.0), ("m1", 14, 0, 0, 5, 0.0), ("m1", 15, 1300, 0, 10, 0.25), ("m2", 1, 0, 0, 4, 0.0), ("m2", 2, 700, 0, 160, 0.0), ("m2", 3, 700, 0, 160, 0.0)],
     ),
     "bands": (
-        "manual_id string, page int, header string",
-        [("q", 1, "Quote 902-1.3 Edition 07M"), ("q", 2, "Quote 902-1.4 Edition 07M"), ("q", 3, "Quote 903-1.1 Edition 08"), ("s", 1, "Section 4.2.1 Rev C"), ("s", 2, "Section 4.2.2 Rev C"), ("s", 3, "Section 4.3.1 Rev D"), ("n", 14, "Some loose words page 14"), ("n", 15, "More words page 15"), ("d", 1, "5.1.1 Cooling"), ("d", 2, "5.1.2 Cooling"), ("d", 3, "5.2.1 Drains")],
+        "manual_id string, page int, header string, footer string, drawings int",
+        [
+            ("q", 1, "Rotor", "Please quote Procedure 902-1.3 Edition 07M when writing", 0), ("q", 2, "Rotor", "Please quote Procedure 902-1.4 Edition 07M when writing", 3), ("q", 3, None, "Please quote Data D90310 Edition 08 when writing", 0),
+            ("s", 1, "Section 4.2.1 Rev C   Pump", None, 0), ("s", 2, "Section 4.2.2 Rev C   Wheel", "Page 2", 0), ("s", 3, "Section 4.3.1 Rev. D", None, 0),
+            ("n", 14, "Some loose words", "Page 14", 0), ("n", 15, "More loose words", "Page 15", 0),
+            ("d", 1, "Chapter 7 Cooling", "Drawing DWG-4471", 9), ("d", 2, "Cooling", None, 0),
+            ("c", 1, "301-1 Pump", "301-2", 0), ("c", 2, "302-1.1", None, 0),
+        ],
+    ),
+    "answers": (
+        "manual_id string, pattern string, revision_field string, granularity string, word string",
+        [("q", "[0-9]{3}-[0-9]+(?:\\.[0-9]+)?", "edition", None, "Procedure"), ("n", "[0-9", None, None, None), ("c", "X[0-9]+", None, None, None), ("s", "[0-9]+\\.[0-9]+\\.[0-9]+", "revision", "per_document", "Section")],
+    ),
+    "texts": (
+        "manual_id string, page int, text string",
+        [
+            ("q", 1, "902-1.1 is above\nPlease quote Procedure 902-1.3 Edition 07M when writing"), ("q", 2, "Nothing to quote but 903-2"), ("q", 3, "no code"), ("s", 1, "Section 4.2.1 Rev C\nRefer to Section 7.1.0 for the wheel"), ("s", 2, "Page 88 (120)"),
+            ("d", 1, "See drawing DWG-4471 and see DWG-4472"), ("n", 14, "words\nPage 14"), ("n", 15, None),
+        ],
+    ),
+    "bookmarks": (
+        "manual_id string, pos int, title string, page int",
+        [("m1", 1, "C:\\docs\\901_vol1.pdf", 1), ("m1", 2, "M30101-0249 Valve cover", 2), ("m1", 3, "D30101 Valve cover-Data", 4), ("m1", 4, "a/b/c/d", 5), ("m1", 5, "Chapter 12 Notes.pdf", 6), ("m1", 6, "Checking of the rotor", 6), ("m1", 7, " ", 7), ("m2", 1, "Foreword", 0), ("m2", 2, "Foreword", 3)],
+    ),
+    "scanned": (
+        "manual_id string, page int, text string",
+        [
+            ("m1", 1, "901 first"), ("m1", 2, "301-1 text\nquote Procedure M30101 Edition 02 49 ."), ("m1", 3, "more"), ("m1", 4, "quote Data D30101 Edition 0S48"), ("m1", 5, "quote Plate P30150 Edition 01"),
+            ("m1", 6, "Page 6 (9)"), ("m1", 7, "quote Maintenance Schedules A30101 Edition 03"), ("m2", 1, "x"), ("m2", 2, "P99001"), ("m2", 3, None), ("m2", 4, "end"),
+        ],
+    ),
+    "heads": (
+        "manual_id string, page int, x0 double, y0 double, y1 double, text string",
+        [("m1", 2, 10.0, 20.0, 30.0, "Checking"), ("m1", 2, 10.0, 34.0, 44.0, "Valve cover"), ("m1", 2, 300.0, 20.0, 30.0, "301-1"), ("m1", 3, 10.0, 20.0, 30.0, "301-2"), ("m1", 3, 10.0, 34.0, 44.0, "Page 3"), ("m1", 4, 10.0, 20.0, 30.0, "Valve cover"), ("m1", 4, 10.0, 34.0, 44.0, "Data"), ("m2", 2, 10.0, 20.0, 30.0, "P99001")],
+    ),
+    "keys": ("manual_id string, key string", [("m1", "301-1"), ("m1", "301-2.1"), ("m1", "p.7"), ("m1", None), ("m2", "p.1"), ("m2", "P.2")]),
+    "files": (
+        "manual_id string, stem string, pdf_title string, author string, first_page string",
+        [("f1", "feed_pump-manual", "a.pdf", " Acme ", "Handbook of the FP120AX pump, 45NM max"), ("f2", "__", "Compressor book", None, None), ("f3", "x9", None, "", "6S50MC-C engine")],
+    ),
+    "toc": (
+        "manual_id string, pos int, level int, title string, page int",
+        [("m1", 1, 1, "Pump", 10), ("m1", 2, 2, "Valve cover", 10), ("m1", 3, 2, "Rotor", 15), ("m1", 4, 1, "Upkeep", 21), ("m1", 5, 2, "Weekly", 21), ("m1", 6, 2, "Yearly", 24), ("m2", 1, 2, "Foreword", 1), ("m2", 2, 1, "Compressor", 5), ("m2", 3, 2, "Valve cover", 5)],
     ),
-    "toc": ("pos int, level int, title string, page int", [(1, 1, "Pump", 10), (2, 2, "Valve cover", 10), (3, 2, "Rotor", 15), (4, 1, "Upkeep", 21), (5, 2, "Weekly", 21), (6, 2, "Yearly", 24)]),
     "runs": ("run_id long, manual_id string, status string, started int", [(1, "m1", "failed", 5), (2, "m1", "completed", 9), (3, "m2", "completed", 7), (4, "m2", "running", 9)]),
-    "upserts": ("path string, title string, edition string, page_end int, seq int", [("Pump/Rotor", None, "A9", 18, 1), ("Pump/Rotor", "Rotor again", None, 19, 2), ("Pump/New", "New", "A1", 30, 1), ("Upkeep", None, None, 26, 1)]),
+    "upserts": (
+        "manual_id string, path string, title string, edition string, page_end int, seq int",
+        [("m1", "Pump/Rotor", None, "A9", 18, 1), ("m1", "Pump/Rotor", "Rotor again", None, 19, 2), ("m1", "Pump/New", "New", "A1", 30, 1), ("m1", "Upkeep", None, None, 26, 1), ("m2", "Pump/Rotor", "Another rotor", "B7", 9, 1)],
+    ),
 }
 
 

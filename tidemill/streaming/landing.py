@@ -7,7 +7,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.ingest import route_pages
 
-PAGES = "page int, chars int, images int, drawings int, ratio double"
+PAGES = "manual_id string, page int, chars int, images int, drawings int, ratio double"
 
 
 def landing(spark: SparkSession, folder: str, files_a_batch: int = 100) -> DataFrame:
