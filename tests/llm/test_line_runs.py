@@ -28,7 +28,7 @@ def test_runs_are_not_moved_or_sorted(spark):
         rows = spark.range(1000).select(F.xxhash64("id").alias("h1"), F.xxhash64(F.lit(1), "id").alias("h2"), F.col("id").alias("owner")).repartition(4, "h1", "h2")
         index.levels = [[index._run(rows.where("owner < 300"))], [index._run(rows.where("owner >= 500"))]]
         batch = rows.repartition(3).groupBy("h1", "h2").agg(F.min("owner").alias("owner"), F.max("owner").alias("other"))
-        with sorted_buckets(spark):
+        with sorted_buckets(spark, 4):
             out = index.meeting(batch)
             plan = out._jdf.queryExecution().executedPlan().toString()
         tree = plan.split("Initial Plan")[-1]

@@ -70,22 +70,19 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def bucketed(df: DataFrame, label: str, keys: list[str]) -> tuple[DataFrame, str]:
-    """df as a table of sorted buckets in the shared folder, and the table's name: joins by the keys move no row of it.
-
-    There are as many buckets as shuffle partitions, so what is shuffled by the keys meets them as it is.
-    """
+def bucketed(df: DataFrame, label: str, keys: list[str], buckets: int) -> tuple[DataFrame, str]:
+    """df as a table of sorted buckets in the shared folder, and the table's name: joins by the keys move no row of it."""
     spark = df.sparkSession
     name = f"tidemill_{label}_{uuid.uuid4().hex}"
-    out = df.write.format("parquet").bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), *keys).sortBy(*keys)
+    out = df.write.format("parquet").bucketBy(buckets, *keys).sortBy(*keys)
     out.option("path", _new_path(spark, label)).saveAsTable(name)
     return spark.table(name), name
 
 
 @contextmanager
-def sorted_buckets(spark: SparkSession) -> Iterator[None]:
-    """Within this, a task reads a bucket as it is, and Spark relies on the order of buckets of one file and does not sort them again."""
-    wanted = {"spark.sql.legacy.bucketedTableScan.outputOrdering": "true", "spark.sql.sources.bucketing.autoBucketedScan.enabled": "false"}
+def sorted_buckets(spark: SparkSession, buckets: int) -> Iterator[None]:
+    """Within this, what is shuffled by the keys goes to as many partitions, a task reads a bucket as it is, and Spark relies on the order of buckets of one file and does not sort them again."""
+    wanted = {"spark.sql.shuffle.partitions": str(buckets), "spark.sql.legacy.bucketedTableScan.outputOrdering": "true", "spark.sql.sources.bucketing.autoBucketedScan.enabled": "false"}
     before = {k: spark.conf.get(k) for k in wanted}
     for k, v in wanted.items():
         spark.conf.set(k, v)

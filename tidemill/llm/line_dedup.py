@@ -35,6 +35,8 @@ class LineDedup:
     min_chars: int = 10
     batches: int = 4
     fan_in: int = 2
+    #: Text for which the runs have one bucket; never more buckets than shuffle partitions.
+    bucket_bytes: int = 64_000_000
 
 
 def key_of(line: Column) -> Column:
@@ -53,6 +55,7 @@ class LineIndex:
     """The runs by level, the oldest first; each holds (h1, h2, owner), and no hash is in two of them."""
 
     how: LineDedup = field(default_factory=LineDedup)
+    buckets: int = 4
     levels: list[list[DataFrame]] = field(default_factory=list)
     tables: list[str] = field(default_factory=list)
     compactions: int = 0
@@ -61,8 +64,8 @@ class LineIndex:
         return [r for level in self.levels for r in level]
 
     def _run(self, rows: DataFrame) -> DataFrame:
-        with sorted_buckets(rows.sparkSession):
-            run, name = bucketed(rows, "run", _KEYS)
+        with sorted_buckets(rows.sparkSession, self.buckets):
+            run, name = bucketed(rows, "run", _KEYS, self.buckets)
         self.tables.append(name)
         return run
 
@@ -111,12 +114,10 @@ def _occurrences(docs: DataFrame, how: LineDedup) -> DataFrame:
     return lines.select("doc_id", "of_text", "at", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit("second"), "key").alias("h2"))
 
 
-def _bounds(docs: DataFrame, n: int) -> list[int | None]:
-    """n - 1 ids that cut the documents into batches of about the same size; only a sketch's quantiles reach the driver."""
-    if n < 2:
-        return []
-    cuts = docs.agg(F.percentile_approx("doc_id", [k / n for k in range(1, n)], 1000)).first()[0]
-    return sorted(set(cuts or []))
+def _bounds(docs: DataFrame, n: int) -> tuple[list[int], int]:
+    """n - 1 ids that cut the documents into batches of about the same size, and the bytes of text; only a sketch's quantiles reach the driver."""
+    cuts, size = docs.agg(F.percentile_approx("doc_id", [k / n for k in range(1, n)] or [0.5], 1000), F.sum(F.octet_length("text"))).first()
+    return sorted(set(cuts or [])) if n > 1 else [], size or 0
 
 
 def dropped_lines(docs: DataFrame, how: LineDedup = LineDedup(), index: LineIndex | None = None) -> DataFrame:
@@ -124,9 +125,10 @@ def dropped_lines(docs: DataFrame, how: LineDedup = LineDedup(), index: LineInde
 
     A given index keeps what is new in every batch; an own one is done with after the last batch.
     """
-    kept, index = index is not None, index or LineIndex(how)
     docs = whole(docs, {"doc_id": "long", "text": "string"})
-    cuts, out = _bounds(docs, how.batches), None
+    (cuts, size), out = _bounds(docs, how.batches), None
+    most = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    kept, index = index is not None, index or LineIndex(how, max(1, min(most, -(-size // how.bucket_bytes))))
     for low, high in zip([None, *cuts], [*cuts, None], strict=True):
         batch = docs
         if low is not None:

@@ -141,7 +141,8 @@ def components(edges: DataFrame) -> DataFrame:
 
     Alternating large and small stars, each round written to the shared folder, until nothing changes. The
     smallest neighbours are written too, so both sides of a join come from plain exchanges and Spark may
-    split a node with very many neighbours.
+    split a node with very many neighbours. As no step has more edges than the first, their number tells
+    how many files are enough.
     """
 
     def mark(e: DataFrame) -> tuple:
@@ -149,13 +150,18 @@ def components(edges: DataFrame) -> DataFrame:
 
     e = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     before = mark(e)
+    files = max(8, before[0] // 250_000)
+
+    def small_table(df: DataFrame, label: str) -> DataFrame:
+        return written(df.coalesce(files), label)
+
     while before[0]:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = written(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "low")
-        large = written(both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct(), "large")
-        least = written(large.groupBy("a").agg(F.min("b").alias("m")), "least")
+        low = small_table(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "low")
+        large = small_table(both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct(), "large")
+        least = small_table(large.groupBy("a").agg(F.min("b").alias("m")), "least")
         small = large.join(least, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("x"))
-        e = written(small.select("x.a", "x.b").where("a <> b").distinct(), "edges")
+        e = small_table(small.select("x.a", "x.b").where("a <> b").distinct(), "edges")
         after = mark(e)
         if after == before:
             break

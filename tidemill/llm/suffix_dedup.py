@@ -47,6 +47,8 @@ class SuffixDedup:
     flush_bytes: int = 32_000_000
 
 
+#: Bytes of a common prefix that are compared at once, at most.
+_PIECE = 1 << 16
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -161,8 +163,8 @@ def shallow_sort(data: np.ndarray, starts: np.ndarray, depth: int) -> tuple[np.n
     return order, new
 
 
-def blind_tries(data: np.ndarray, starts: np.ndarray, room: np.ndarray, order: np.ndarray, new: np.ndarray, depth: int) -> None:
-    """Orders the groups that are equal to ``depth``, each suffix as far as it has room, in place.
+def blind_tries(data: np.ndarray, starts: np.ndarray, room: np.ndarray, order: np.ndarray, new: np.ndarray, depth: int, width: int) -> None:
+    """Orders the groups that are equal to ``depth`` by the next ``width`` bytes, each suffix as far as it has room, in place.
 
     The tries of all groups grow at once. In each round the first suffix of a node is its path; every
     other is compared with it once and hangs where it branches off, at the length of their common prefix
@@ -170,7 +172,6 @@ def blind_tries(data: np.ndarray, starts: np.ndarray, room: np.ndarray, order: n
     before the path, the earlier the farther; what branches off to the right stands behind it, the later the
     nearer. Suffixes on one branch are the next round's nodes.
     """
-    width = int(room.max()) - depth
     rows = np.lib.stride_tricks.sliding_window_view(data, width)
     step = np.arange(width)
     todo = np.ones(len(order), bool)
@@ -181,32 +182,51 @@ def blind_tries(data: np.ndarray, starts: np.ndarray, room: np.ndarray, order: n
             return
         begins = np.concatenate(([True], number[k][1:] != number[k][:-1]))
         path = order[k][np.maximum.accumulate(np.where(begins, np.arange(len(k)), 0))]
-        code = np.full(len(k), 1 << 24)  # equal to the path
+        code = np.full(len(k), 1 << 40)  # equal to the path
         rest = np.flatnonzero(~begins)
-        for x in range(0, len(rest), 50_000):
-            r = rest[x : x + 50_000]
+        for x in range(0, len(rest), max(1, 3_000_000 // width)):
+            r = rest[x : x + max(1, 3_000_000 // width)]
             one, two = order[k[r]], path[r]
-            own, other = (np.where(step < (room[s] - depth)[:, None], rows[starts[s] + depth].astype("i2") + 1, 0) for s in (one, two))
+            own, other = (np.where(step < (room[s] - depth)[:, None], rows[np.minimum(starts[s] + depth, len(rows) - 1)].astype("i2") + 1, 0) for s in (one, two))
             differ = own != other
             at = differ.argmax(axis=1)
             nth = np.arange(len(r))
             branched = differ[nth, at]
             byte, left = own[nth, at], own[nth, at] < other[nth, at]
-            far = np.where(left, (at << 9) | byte, (2 << 24) + ((width - at) << 9) + byte)
+            far = np.where(left, (at << 9) | byte, (2 << 40) + ((width - at) << 9) + byte)
             code[r[branched]] = far[branched]
         sub = np.lexsort((code, number[k]))
         order[k], code = order[k[sub]], code[sub]
         new[k] |= begins | np.concatenate(([True], code[1:] != code[:-1]))
-        todo[k] = code != 1 << 24
+        todo[k] = code != 1 << 40
 
 
 def equal_suffixes(data: np.ndarray, starts: np.ndarray, room: np.ndarray, how: SuffixDedup) -> np.ndarray:
-    """A number for each start, in the order of the suffixes; equal for equal suffixes, each as long as its room. Deep-shallow sorting."""
+    """A number for each start, in the order of the suffixes; equal for equal suffixes, each as long as its room. Deep-shallow sorting.
+
+    Long common prefixes are gone through piece by piece, so what is compared at once is bounded however long they are.
+    """
     if not len(starts):
         return np.zeros(0, "i8")
-    data = np.concatenate((data, np.zeros(max(8, int(room.max())), "u1")))
-    order, new = shallow_sort(data, starts, min(how.shallow, int(room.min()) // 8 * 8))
-    blind_tries(data, starts, room, order, new, min(how.shallow, int(room.min()) // 8 * 8))
+    most = int(room.max())
+    data = np.concatenate((data, np.zeros(min(most, _PIECE) + 8, "u1")))
+    depth = min(how.shallow, int(room.min()) // 8 * 8)
+    order, new = shallow_sort(data, starts, depth)
+    while depth < most:
+        number, size = _heads(new)
+        deep = np.zeros(len(size), bool)
+        deep[number[room[order] > depth]] = True  # groups of which some go on
+        k = np.flatnonzero((deep & (size > 1))[number])
+        if not len(k):
+            break
+        width = min(_PIECE, most - depth, max(64, 4_000_000 // len(k)))
+        own = order[k]
+        begins = np.concatenate(([True], number[k][1:] != number[k][:-1]))
+        sub = np.arange(len(k))
+        blind_tries(data, starts[own], room[own], sub, begins, depth, width)
+        order[k] = own[sub]
+        new[k] |= begins
+        depth += width
     out = np.empty(len(starts), "i8")
     out[order] = np.cumsum(new) - 1
     return out
