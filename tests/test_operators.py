@@ -62,6 +62,64 @@ def test_diversify_is_the_running_cap(spark):
     assert len(out) == 60
 
 
+def _passes(rows, visual, limit):
+    """The passes one after the other, as a loop over the ordered hits."""
+    code = lambda h: (h["doc_code"] or h["procedure_no"] or "").upper()
+    plate = lambda h: (h["plate_no"] or h["doc_code"] or "").upper()
+    stem = lambda h: h["component_title"].lower() if h["component_title"] else ""
+    out, seen, per = [], set(), {}
+
+    def take(h):
+        if h["element_id"] not in seen:
+            seen.add(h["element_id"])
+            out.append(h["element_id"])
+            if code(h):
+                per[code(h)] = per.get(code(h), 0) + 1
+
+    if visual:
+        figs = sorted((h for h in rows if h["image"] or h["kind"] == "plate" or h["drawing_code"]), key=lambda h: (not h["image"], not h["pinned"], h["rule"] != "exact identifier", -h["score"], h["place"]))
+        for h in [x for x in figs if x["image"]][:6]:
+            take(h)
+        for h in [x for x in figs if not x["image"]]:
+            if len(out) < 8:
+                take(h)
+    chosen = [h for h in rows if h["element_id"] in seen]
+    want, have = {plate(h) for h in chosen if h["plate_no"] or h["kind"] == "plate"} - {""}, {plate(h) for h in chosen if h["image"]}
+    for h in rows:
+        if h["image"] and plate(h) in want and plate(h) not in have:
+            take(h)
+            have.add(plate(h))
+    stems = list(dict.fromkeys(stem(h) for h in rows if stem(h)))[:4]
+    done = set()
+    for h in rows:
+        if stem(h) in stems and h["kind"] in ("data", "procedure", "schedule") and (stem(h), h["kind"]) not in done:
+            done.add((stem(h), h["kind"]))
+            take(h)
+    for h in rows:
+        n = per.get(code(h), 0)
+        if h["element_id"] not in seen and (not code(h) or n < 3 or (h["type"] == "list" and n < 7)):
+            take(h)
+    for h in rows:
+        take(h)
+    return out[:limit]
+
+
+def test_passes_are_the_sequential_rule(spark):
+    r, rows = random.Random(8), []
+    kinds = "query_id long, element_id long, place int, type string, kind string, component_title string, doc_code string, procedure_no string, plate_no string, drawing_code string, image string, pinned boolean, rule string, score double"
+    pick = lambda *x: r.choice(x)
+    for q in range(1, 31):
+        for n in range(40):
+            rows.append((q, q * 1000 + n, n + 1, pick("list", "paragraph"), pick("data", "procedure", "plate", "schedule", None), pick("Rotor", "Cover", "Pump", "Casing", "Shaft", None), pick("D1", "M1", "P1", None), pick("301-1", None), pick("P9", None, None), pick("X1", None, None), pick("a.png", None, None), pick(True, False), pick("exact identifier", None, None), float(40 - n)))
+    df = spark.createDataFrame(rows, kinds)
+    questions = spark.createDataFrame([(q, "m", "show me it" if q % 2 else "tell me") for q in range(1, 31)], "query_id long, manual_id string, text string")
+    got = rank.diversify_passes(df, questions).collect()
+    names = [c.split()[0] for c in kinds.split(", ")]
+    for q in range(1, 31):
+        own = [dict(zip(names, x, strict=True)) for x in rows if x[0] == q]
+        assert [x["element_id"] for x in sorted((g for g in got if g["query_id"] == q), key=lambda g: g["place"])] == _passes(own, q % 2 == 1, 24)
+
+
 def test_rrf_ties_and_limits(spark):
     a = spark.createDataFrame([(1, 10, 5.0), (1, 11, 4.0)], "query_id long, element_id long, score double")
     b = spark.createDataFrame([(1, 11, 9.0), (1, 10, 1.0)], "query_id long, element_id long, score double")
@@ -87,13 +145,17 @@ def _gate(spark, question, evidence, model="FP120", equipment=None):
 
 def test_gate(spark):
     assert "scope" in _gate(spark, "torque of nuts", [])["failed"]
-    r = _gate(spark, "torque of the nuts", ["Tightening torque of nuts is 45 Nm"], equipment="AC77")
+    r = _gate(spark, "tightening torque of the nuts", ["Tightening torque of nuts is 45 Nm"], equipment="AC77")
     assert not r["passed"] and r["failed"] == ["equipment"]
-    r = _gate(spark, "torque of the nuts", ["Tightening torque of nuts is 45 Nm"], equipment="FP120")
+    r = _gate(spark, "tightening torque of the nuts", ["Tightening torque of nuts is 45 Nm"], equipment="FP120")
     assert r["passed"] and r["failed"] == [] and r["reason"] == "ok"
-    assert _gate(spark, "torque of the nuts, edition B9", ["torque of nuts"])["failed"] == ["revision"]
+    # an edition without a number says nothing; with one, evidence of that number must have it
+    assert _gate(spark, "tightening torque of the nuts, edition B9", ["tightening torque of nuts"])["failed"] == []
+    assert _gate(spark, "tightening torque of the nuts in 301-1, edition B9", ["tightening torque of nuts"])["failed"] == ["revision"]
+    assert _gate(spark, "tightening torque of the nuts in 301-1, edition A2", ["tightening torque of nuts"])["failed"] == []
     assert _gate(spark, "gap in mm of the rotor", ["rotor gap"])["failed"] == ["units"]
-    assert _gate(spark, "rotor under pressure", ["rotor"])["failed"] == ["condition"]
+    assert _gate(spark, "rotor gap at 85 % MCR", ["rotor gap"])["failed"] == ["condition"]
+    assert _gate(spark, "rotor gap at 85 % MCR", ["rotor gap at 85% mcr"])["failed"] == []
 
 
 def test_ask_answers_or_abstains(spark):

@@ -30,10 +30,13 @@ STOPWORDS = tuple(
 #: Names of measured quantities, what qualifies them, and unit symbols of the SI and in use with it.
 QUANTITIES = "length width height depth thickness diameter radius angle area volume clearance gap backlash runout torque force load pressure temperature voltage current speed flow mass weight hardness roughness viscosity".split()
 QUALIFIERS = "value limit tolerance dimension rating capacity nominal maximum minimum wear data".split()
-UNITS = ("mm", "bar", "nm", "kg")
-DATA_WORDS = (*QUANTITIES, *QUALIFIERS, *UNITS, "cm", "kpa", "mpa", "kn", "rpm", "kw")
+UNITS = ("mm", "bar", "nm", "kg", "deg", "mpa", "kpa", "rpm")
+DATA_WORDS = (*QUANTITIES, *QUALIFIERS, *UNITS, "cm", "kn", "kw")
 #: Work on equipment: a verb and its noun each, as maintenance task codes name them.
 PROCEDURE_WORDS = tuple("remove removal install installation assemble assembly disassemble disassembly dismantle dismantling mount mounting inspect inspection check checking test testing clean cleaning lubricate lubrication adjust adjustment repair replace replacement drain fill tighten loosen lift procedure step".split())
+#: Of these, what by itself makes a question one for a procedure, and what may as well stand in a question for data.
+ACTION_TOKENS = ("remove", "install", "replace", "drain", "lift", "step", "procedure")
+FITTING_TOKENS = ("mount", "mounting", "dismantle", "dismantling")
 #: What a question for a verdict turns on.
 DECISION_WORDS = tuple("accept reject keep discard scrap reuse renew valid serviceable acceptable permissible allowed".split())
 #: Kinds of picture.

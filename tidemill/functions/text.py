@@ -181,16 +181,35 @@ def contained(blob: Column, tokens: Column) -> Column:
     return F.size(F.filter(tokens, lambda t: blob.contains(t)))
 
 
+def number_units(text: Column) -> Column:
+    """Numbers with their units, lower case and without the blanks between them."""
+    found = F.regexp_extract_all(F.lower(text), F.lit(rf"([0-9]+(?:\.[0-9]+)? *(?:{'|'.join(config.UNITS)}))(?:[^a-z]|$)"), F.lit(1))
+    return F.array_distinct(F.transform(found, lambda x: F.replace(x, F.lit(" "), F.lit(""))))
+
+
+# What a verdict compares with.
+_SOURCES = "sheet|recorded|fitted|original|reference"
+
+
 def intent(query: Column) -> Column:
-    """What a question wants, from the keyword tables: a struct of tokens, phrases and flags."""
+    """What a question wants, from the keyword tables: a struct of tokens, codes and flags.
+
+    A verdict needs data and a procedure; a named code makes each of these two imply the other; "which" with data asks for a verdict.
+    """
     low, tokens = F.lower(query), content_tokens(query)
-    lists = {n: F.array(*map(F.lit, w)) for n, w in (("data", config.DATA_WORDS), ("proc", config.PROCEDURE_WORDS), ("decide", config.DECISION_WORDS), ("schedule", config.SCHEDULE_WORDS))}
+    table = lambda words: F.array(*map(F.lit, words))
+    has = lambda words: F.arrays_overlap(tokens, table(words))
     figure = any_of([low.contains(w) for w in (*config.FIGURE_WORDS, "show me", "show the")]) | F.upper(query).rlike(f"{config.PLATE_PATTERN}|{config.DRAWING_PATTERN}")
-    decide = F.arrays_overlap(tokens, lists["decide"])
-    unit = low.rlike(rf"[0-9] *({'|'.join(config.UNITS)})([^a-z]|$)")
-    data = F.arrays_overlap(tokens, lists["data"]) | unit
-    schedule = F.arrays_overlap(tokens, lists["schedule"]) | low.rlike(r"[0-9] *(h|hours)([^a-z]|$)")
-    proc = F.arrays_overlap(tokens, lists["proc"])
-    component = F.filter(tokens, lambda t: ~F.array_contains(lists["data"], t) & ~F.array_contains(lists["proc"], t))
-    both = decide | (low.startswith("which ") & data)
-    return F.struct(tokens.alias("tokens"), component.alias("component_tokens"), identifiers(query).alias("codes"), figure.alias("wants_figure"), (data | both).alias("wants_data"), (proc | both | schedule).alias("wants_proc"), both.alias("wants_decision"), schedule.alias("wants_schedule"))
+    gap = "[^a-z](?:.{0,46}[^a-z])?"
+    decide = has(config.DECISION_WORDS) | low.rlike(rf"(?:^|[^a-z])(?:(?:above|below){gap}(?:{_SOURCES})|(?:{_SOURCES}){gap}(?:above|below))(?:[^a-z]|$)")
+    data = has(config.DATA_WORDS) | low.rlike(rf"[0-9] *({'|'.join(config.UNITS)})([^a-z]|$)")
+    schedule = has(config.SCHEDULE_WORDS) | low.rlike(r"[0-9] *(h|hours)([^a-z]|$)")
+    work = F.array_intersect(tokens, table(config.PROCEDURE_WORDS))
+    proc = decide | ((F.size(work) > 0) & (low.startswith("how ") | has(config.ACTION_TOKENS) | ~data | (F.size(F.array_except(work, table(config.FITTING_TOKENS))) > 0)))
+    named = F.size(F.concat(codes_in(query, config.DOC_CODE_PATTERN), codes_in(query, config.PROCEDURE_PATTERN))) > 0
+    data = data | decide
+    proc = proc | (named & data)
+    data = data | (named & proc)
+    which = low.rlike("(^|[^a-z])which([^a-z]|$)") & data
+    component = F.filter(tokens, lambda t: ~F.array_contains(table(config.DATA_WORDS), t) & ~F.array_contains(table(config.PROCEDURE_WORDS), t))
+    return F.struct(tokens.alias("tokens"), component.alias("component_tokens"), identifiers(query).alias("codes"), figure.alias("wants_figure"), data.alias("wants_data"), (proc | which | schedule).alias("wants_proc"), (decide | which).alias("wants_decision"), schedule.alias("wants_schedule"))

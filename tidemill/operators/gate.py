@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from .. import config
 from ..functions import text as T
 
-CONDITIONS = ("shut off", "under pressure", "cold engine", "warm engine", "before work", "after work")
+# The operating conditions a question may set.
+CONDITION = r"(?:^|[^a-z0-9])([0-9]+ *% *(?:mcr|load)|mcr|cold start|overload|idle|man(?:o?eu)v(?:re|ring|er|ering)|during start|warm-?up)(?:[^a-z]|$)"
 
 
 def current_editions(sections: DataFrame) -> DataFrame:
@@ -31,6 +32,12 @@ def numeric_conflicts(hits: DataFrame, elements: DataFrame) -> DataFrame:
     return rows.groupBy("query_id", "code", "unit").agg(F.array_sort(F.collect_set("value")).alias("values")).where("size(values) > 1")
 
 
+def _manuals(manuals: DataFrame) -> DataFrame:
+    """Model and revision granularity of each manual; by section where the manual's convention does not say."""
+    said = F.col("granularity") if "granularity" in manuals.columns else F.lit(None).cast("string")
+    return manuals.select("manual_id", "model", F.coalesce(said, F.lit("per_section")).alias("granularity"))
+
+
 def checks(questions: DataFrame, hits: DataFrame, elements: DataFrame, manuals: DataFrame) -> DataFrame:
     """One row a question: each check, the failed ones in order, the reason, and whether all passed.
 
@@ -38,20 +45,27 @@ def checks(questions: DataFrame, hits: DataFrame, elements: DataFrame, manuals:
     """
     blob = F.lower(F.concat_ws(" ", "text", T.table_cells(F.col("table_json"))))
     ev = hits.select("query_id", "element_id").join(elements, "element_id")
-    ev = ev.groupBy("query_id").agg(F.concat_ws(" ", F.array_sort(F.collect_list(blob))).alias("blob"), F.count("*").cast("int").alias("n"), F.collect_set(F.struct(F.coalesce("plate_no", "procedure_no").alias("code"), T.edition_key(F.col("edition")).alias("edition"))).alias("editions"))
-    q = questions.join(ev, "query_id", "left").join(manuals.select("manual_id", "model"), "manual_id", "left").withColumn("n", F.coalesce("n", F.lit(0))).withColumn("blob", F.coalesce("blob", F.lit("")))
+    ev = ev.groupBy("query_id").agg(F.concat_ws(" ", F.array_sort(F.collect_list(blob))).alias("blob"), F.count("*").cast("int").alias("n"), F.flatten(F.collect_set(F.transform(F.array("plate_no", "procedure_no"), lambda c: F.struct(c.alias("code"), T.edition_key(F.col("edition")).alias("edition"))))).alias("editions"))
+    q = questions.join(ev, "query_id", "left").join(_manuals(manuals), "manual_id", "left").withColumn("n", F.coalesce("n", F.lit(0))).withColumn("blob", F.coalesce("blob", F.lit("")))
     low, tokens = F.lower("text"), T.content_tokens(F.col("text"))
     wanted = F.coalesce(F.col("equipment"), T.equipment_token(F.col("text")))
     edition, ids = T.named_edition(F.col("text")), T.identifiers(F.col("text"))
-    about = F.filter(F.coalesce("editions", F.array().cast("array<struct<code:string,edition:string>>")), lambda e: (F.size(ids) == 0) | F.array_contains(ids, e["code"]))
-    terms = F.slice(F.concat(T.phrases(tokens), tokens), 1, 6)
-    stated = low.rlike(rf"[0-9] *({'|'.join(config.UNITS)})([^a-z]|$)")
-    asked_units = F.filter(F.array(*map(F.lit, config.UNITS)), lambda u: F.array_contains(F.split(low, "[^a-z]+"), u))
+    named = F.filter(F.coalesce("editions", F.array().cast("array<struct<code:string,edition:string>>")), lambda e: F.array_contains(ids, F.upper(e["code"])) & (e["edition"] != ""))
+    phrases = F.slice(T.phrases(tokens), 1, 6)
+    component = T.intent(F.col("text"))["component_tokens"]
+    words = F.slice(F.filter(F.when(F.size(component) > 0, component).otherwise(tokens), lambda t: F.char_length(t) >= 4), 1, 6)
+    terms = F.concat(phrases, words)
+    units = "|".join(config.UNITS)
+    stated = low.rlike(rf"[0-9] *({units})([^a-z]|$)")
+    unit = F.regexp_extract(low, rf"(?:^|[^a-z])({units})(?:[^a-z]|$)", 1)
+    condition = F.regexp_replace(F.regexp_extract(low, CONDITION, 1), " +", " ")
+    spaceless = lambda x: F.replace(x, F.lit(" "), F.lit(""))
     rules = {
         "equipment": wanted.isNull() | T.models_agree(wanted, F.col("model")),
-        "revision": edition.isNull() | F.exists(about, lambda e: e["edition"] == edition),
-        "condition": F.forall(F.array(*map(F.lit, CONDITIONS)), lambda c: ~low.contains(c) | F.col("blob").contains(c)),
-        "units": stated | F.forall(asked_units, lambda u: F.col("blob").contains(u)),
+        # only an edition that a named number has and the question does not want is a mismatch
+        "revision": F.col("granularity").isin("none", "unknown") | edition.isNull() | ~F.exists(named, lambda e: e["edition"] != edition),
+        "condition": (condition == "") | F.col("blob").contains(condition) | spaceless(F.col("blob")).contains(spaceless(condition)),
+        "units": (F.col("n") == 0) | (unit == "") | stated | F.col("blob").contains(unit) | ((unit == "deg") & F.col("blob").contains("\u00b0")),
         "scope": (F.col("n") > 0) & ((F.size(terms) == 0) | F.exists(terms, lambda t: F.col("blob").contains(t))),
         "conflicts": F.lit(True),
     }

@@ -94,17 +94,21 @@ def cross_references(elements: DataFrame, sections: DataFrame) -> DataFrame:
     refs = refs.withColumn("as_data", F.col("low").contains(F.concat(F.lit("data "), F.lower("ref"))))
     keys = sections.select("manual_id", "section_id", "kind", F.explode(F.array_distinct(F.filter(F.array("procedure_no", "plate_no", "doc_code"), lambda c: c.isNotNull()))).alias("ref"))
     targets = keys.join(first_elements(elements), "section_id").withColumnRenamed("element_id", "to_id")
-    rows = refs.join(targets, ["manual_id", "ref"]).where("from_id <> to_id")
-    best = top(rows, ["from_id", "ref"], [F.when(F.col("as_data") == (F.col("kind") == "data"), 0).otherwise(1), "to_id"], 1)
+    exact = refs.join(targets, ["manual_id", "ref"]).withColumn("key", F.col("ref"))
+    # a reference without a target of its own: the first key that goes on after a dot
+    begins = targets.withColumn("key", F.col("ref")).where(F.col("ref").contains(".")).withColumn("ref", F.regexp_replace("ref", r"\.[^.]*$", ""))
+    longer = refs.join(targets.select("manual_id", "ref").distinct(), ["manual_id", "ref"], "left_anti").join(begins, ["manual_id", "ref"])
+    rows = exact.unionByName(longer.select(exact.columns)).where("from_id <> to_id")
+    best = top(rows, ["from_id", "ref"], ["key", F.when(F.col("as_data") == (F.col("kind") == "data"), 0).otherwise(1), "to_id"], 1)
     kind = F.when(F.col("kind") == "data", "references_data").when(F.col("kind") == "procedure", "references_section").otherwise("cross_ref")
     return best.select("from_id", "to_id", kind.alias("type")).distinct()
 
 
 def step_links(elements: DataFrame, figures: DataFrame) -> DataFrame:
-    """Panels with a step illustrate the text of that step on their page: the first that begins with the number, else the longest there."""
+    """Panels with a step illustrate the text of that step on their page: the first with a line that begins with the number, else the longest there."""
     panels = figures.where("step is not null and element_id is not null").select("manual_id", "page", F.col("element_id").alias("from_id"), F.col("step").alias("wanted"))
-    texts = elements.where("type not in ('figure', 'plate') and text is not null").select("manual_id", "page", F.col("element_id").alias("to_id"), T.leading_step(F.col("text")).alias("own"), F.char_length("text").alias("n"))
-    rows = panels.join(texts, ["manual_id", "page"]).withColumn("tier", F.when(F.col("own") == F.col("wanted"), 0).otherwise(1))
+    texts = elements.where("type not in ('figure', 'plate') and text is not null").select("manual_id", "page", F.col("element_id").alias("to_id"), T.control_to_dash(F.col("text")).alias("lines"), F.char_length("text").alias("n"))
+    rows = panels.join(texts, ["manual_id", "page"]).withColumn("tier", F.when(F.expr(r"lines rlike concat('(^|\\n)[ \\t]*', wanted, '[.][ \\t\\n]')"), 0).otherwise(1))
     best = top(rows, ["from_id"], ["tier", F.when(F.col("tier") == 0, F.col("to_id")), F.desc("n"), "to_id"], 1)
     return best.select("from_id", "to_id", F.lit("illustrates_step").alias("type"))
 

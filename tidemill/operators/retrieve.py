@@ -102,18 +102,22 @@ def containing(texts: DataFrame, terms: DataFrame, key: str = "element_id", n: i
     return found.join(low.drop("manual_id"), key).where(F.col("low").contains(F.lower("term"))).withColumn("size", F.char_length("low")).drop("low")
 
 
-def phrase_probe(elements: DataFrame, questions: DataFrame, per_phrase: int = 8, most: int = 14) -> DataFrame:
-    """Elements that hold a phrase of the question, the shortest first, per phrase."""
-    p = by_phrases(questions, most)
-    best = top(containing(elements, p), ["query_id", "nth"], ["size", "element_id"], per_phrase)
+def phrase_probe(elements: DataFrame, questions: DataFrame, per_phrase: int = 8, most: int = 14, sections: DataFrame | None = None) -> DataFrame:
+    """Elements that hold a phrase of the question in their text or, with sections, in their section's title, component or path; the shortest first, per phrase."""
+    texts = elements.select("manual_id", "element_id", "section_id", "text") if "section_id" in elements.columns else elements
+    if sections is not None:
+        about = F.concat_ws("\n", "component_title", "action_title", F.replace("path", F.lit("/"), F.lit("\n"))).alias("about")
+        texts = texts.join(sections.select("section_id", about), "section_id", "left").withColumn("text", F.concat_ws("\n", "text", "about"))
+    found = containing(texts, by_phrases(questions, most)).drop("size").join(elements.select("element_id", F.char_length("text").alias("size")), "element_id")
+    best = top(found, ["query_id", "nth"], [F.asc_nulls_last("size"), "element_id"], per_phrase)
     return best.select("query_id", F.col("nth").cast("int").alias("nth"), "element_id", F.lit(2.5).alias("score"))
 
 
 def identifier_probe(elements: DataFrame, questions: DataFrame, k: int = config.LEXICAL) -> DataFrame:
-    """Elements whose text or table holds an identifier that the question names."""
-    ids = questions.select("query_id", "manual_id", F.explode(T.identifiers(F.col("text"))).alias("code"))
-    blob = F.upper(F.concat_ws(" ", "text", "table_json", "procedure_no", "plate_no"))
-    own = elements.select("manual_id", "element_id", F.explode(T.identifiers(blob)).alias("code"))
+    """Elements whose text or table holds an identifier or a number with its unit that the question names."""
+    ids = questions.select("query_id", "manual_id", F.explode(F.concat(T.identifiers(F.col("text")), T.number_units(F.col("text")))).alias("code"))
+    blob = F.concat_ws(" ", "text", "table_json", "procedure_no", "plate_no")
+    own = elements.select("manual_id", "element_id", F.explode(F.concat(T.identifiers(blob), T.number_units(blob))).alias("code"))
     return top(own.join(ids, ["manual_id", "code"]), ["query_id", "code"], ["element_id"], k).select("query_id", "code", "element_id", F.lit(1.5).alias("score"))
 
 
@@ -125,10 +129,10 @@ def overlap_probe(elements: DataFrame, questions: DataFrame, k: int = 16) -> Dat
     return top(rows, ["query_id"], [F.desc("hits"), "size", "element_id"], k).select("query_id", "element_id", "hits", F.lit(3.8).alias("score"))
 
 
-def lexical(elements: DataFrame, questions: DataFrame, k: int = config.LEXICAL) -> DataFrame:
+def lexical(elements: DataFrame, questions: DataFrame, k: int = config.LEXICAL, sections: DataFrame | None = None) -> DataFrame:
     """All lexical probes in order; an element stays where it first came up, and its score is one more."""
     with_ids = {"table_json", "procedure_no", "plate_no"} <= set(elements.columns)
-    probes = [lexical_or(elements, questions, k), lexical_and(elements, questions, k), phrase_probe(elements, questions).select("query_id", "element_id", "score"), overlap_probe(elements, questions).select("query_id", "element_id", "score")]
+    probes = [lexical_or(elements, questions, k), lexical_and(elements, questions, k), phrase_probe(elements, questions, sections=sections).select("query_id", "element_id", "score"), overlap_probe(elements, questions).select("query_id", "element_id", "score")]
     if with_ids:
         probes.insert(3, identifier_probe(elements, questions, k).select("query_id", "element_id", "score"))
     rows = probes[0].withColumn("probe", F.lit(0))
@@ -138,6 +142,18 @@ def lexical(elements: DataFrame, questions: DataFrame, k: int = config.LEXICAL)
     return first.select("query_id", "element_id", (1 - F.col("x.low")).alias("score"), F.col("x.probe").alias("probe"))
 
 
+def lexical_path(elements: DataFrame, sections: DataFrame, questions: DataFrame, k: int = config.LEXICAL) -> DataFrame:
+    """The best of all lexical probes, k a question."""
+    rows = lexical(elements, questions, k, sections)
+    return top(rows, ["query_id"], [F.desc("score"), "probe", "element_id"], k).select("query_id", "element_id", "score")
+
+
+def visual_path(figures: DataFrame, elements: DataFrame, sections: DataFrame, questions: DataFrame, k: int = config.VISUAL) -> DataFrame:
+    """The figure probe for every question, as if it wanted figures, with the text that their code or page lends them."""
+    hits = figure_probe(figures, elements, sections, questions, k, every=True)
+    return hits.join(figure_backfill(figures, elements), "figure_id")
+
+
 def titles_with(sections: DataFrame, terms: DataFrame) -> DataFrame:
     """Sections whose titles hold terms; terms: manual_id, query_id, term."""
     title = sections.select("manual_id", "section_id", F.concat_ws(" ", "component_title", "action_title").alias("text"))
@@ -176,9 +192,11 @@ def from_picks(elements: DataFrame, picks: DataFrame, k: int = config.STRUCTURAL
     return top(used.join(elements.select("section_id", "element_id", "page"), "section_id"), ["query_id"], ["page", "element_id"], k).select("query_id", "element_id", F.lit(3.0).alias("score"))
 
 
-def figure_probe(figures: DataFrame, elements: DataFrame, sections: DataFrame, questions: DataFrame, k: int = config.VISUAL) -> DataFrame:
+def figure_probe(figures: DataFrame, elements: DataFrame, sections: DataFrame, questions: DataFrame, k: int = config.VISUAL, every: bool = False) -> DataFrame:
     """Figures of named codes (2.5) or titles that hold a token (1.2); eight more if named, and 1.2 a token up to six; plates first among equals. Not for questions about data alone."""
-    q = questions.select("query_id", "manual_id", T.intent(F.col("text")).alias("i")).where("not (i.wants_data and not i.wants_figure and not i.wants_proc)")
+    q = questions.select("query_id", "manual_id", T.intent(F.col("text")).alias("i"))
+    if not every:
+        q = q.where("not (i.wants_data and not i.wants_figure and not i.wants_proc)")
     rows = figures.join(elements.select("element_id", F.col("text").alias("own")), "element_id").join(sections.select("section_id", "component_title", "kind", F.col("plate_no").alias("section_plate")), "section_id")
     codes = rows.select("manual_id", "figure_id", F.explode(F.array_distinct(F.filter(F.array("label", "drawing_code", "section_plate"), lambda c: c.isNotNull()))).alias("code"))
     named = q.select("query_id", "manual_id", F.explode("i.codes").alias("code")).join(codes, ["manual_id", "code"]).select("query_id", "figure_id").distinct().withColumn("named", F.lit(True))

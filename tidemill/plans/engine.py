@@ -1,6 +1,6 @@
 """Compositions: a batch of questions to answers, and pages to knowledge tables.
 
-No step collects. Hits are used by many rules, so they are checkpointed twice on the way (a few dozen
+No step collects hits. They are used by many rules, so they are checkpointed on the way (a few dozen
 rows a question); without that the plan would grow with every rule.
 """
 
@@ -8,10 +8,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import config
+from ..functions import text as T
 from ..operators import gate, graph, rank, retrieve
 from .storage import settle
 
@@ -29,44 +30,101 @@ class Knowledge:
 
 def fused(k: Knowledge, questions: DataFrame) -> DataFrame:
     """The three retrieval paths and their fusion."""
-    lexical = retrieve.lexical(k.elements, questions).select("query_id", "element_id", "score")
+    lexical = retrieve.lexical_path(k.elements, k.sections, questions)
     structural = retrieve.structural(k.sections, k.elements, questions)
     visual = retrieve.figure_probe(k.figures, k.elements, k.sections, questions).select("query_id", "element_id", "score")
     return retrieve.rrf([lexical, structural, visual])
 
 
+def _joined(k: Knowledge, rows: DataFrame, more: DataFrame, step: int, pinned: bool, rule: str) -> DataFrame:
+    """rows with what a rule adds, after all that is there; an element that is there already stays as it is."""
+    new = more.groupBy("query_id", "element_id").agg(F.max("score").alias("score")).join(rows.select("query_id", "element_id"), ["query_id", "element_id"], "left_anti")
+    new = rank.candidates(new, k.elements, k.sections).withColumn("seq", F.col("seq") + step * 1000).withColumn("pinned", F.lit(pinned)).withColumn("rule", F.lit(rule))
+    return rows.unionByName(new)
+
+
+def _elements(figures: DataFrame) -> DataFrame:
+    return figures.select("query_id", "element_id", "score")
+
+
 def expanded(k: Knowledge, hits: DataFrame, questions: DataFrame) -> DataFrame:
-    """Hits and what the expansion rules add: pairs, mates, siblings, panels and cross-references; the best score of each."""
-    more = [
-        rank.kind_pairs(hits, k.elements, k.sections),
-        rank.section_mates(hits, k.elements),
-        rank.list_siblings(hits, k.elements).select("query_id", "element_id", "score"),
-        rank.table_code_siblings(hits, k.elements, questions),
-        rank.step_panels(hits, k.elements, k.figures).select("query_id", "element_id", "score"),
-        graph.hop(hits, k.edges, k.elements, ("cross_ref", "references_section", "references_data", "references_procedure"), config.MAX_HOPS, config.CROSS_REF),
-        graph.reverse_hop(hits, k.edges, k.elements, "illustrates_step", config.MAX_PANELS, config.PANEL),
-    ]
-    rows = hits.select("query_id", "element_id", "score")
-    for m in more:
-        rows = rows.unionByName(m)
-    return retrieve.dedup_best(rows)
+    """Hits with what the rules fetch, rule by rule, each seeing what those before it added.
+
+    Named elements and drawings, component priority, the best plate's figures, pairs of kinds, mates, lists, table codes, panels, references.
+    """
+    rows = rank.named_exact(rank.candidates(hits, k.elements, k.sections), questions)
+    rows = _joined(k, rows, rank.fetch_named(rows, k.elements, k.sections, questions), 1, True, "exact identifier")
+    rows = _joined(k, rows, _elements(rank.fetch_drawings(k.figures, questions)), 2, True, "exact identifier")
+    rows = settle(rank.component_priority(rows, questions))
+    rows = _joined(k, rows, rank.best_plate(rows, k.figures).withColumn("score", F.lit(0.0)), 3, False, "plate figure")
+    lead = retrieve.top(rows, ["query_id"], [F.desc("pinned"), F.desc("score"), "seq"], 12).select("query_id", "element_id", "score")
+    # what is there already is left out by _joined
+    pairs = rank.kind_pairs(lead, k.elements, k.sections).unionByName(rank.describes_pairs(lead, k.edges, k.elements, k.sections))
+    rows = settle(rank.pin_pairs(_joined(k, rows, pairs, 4, True, "kind pair")))
+    own = rows.select("query_id", "element_id", "score")
+    rows = _joined(k, rows, rank.section_mates(own, k.elements), 5, False, "section mate")
+    lists = rank.list_siblings(own, k.elements)
+    rows = _joined(k, rows, _elements(lists.where("pinned")), 6, True, "limit")
+    rows = _joined(k, rows, _elements(lists.where("not pinned")), 7, False, "list")
+    rows = _joined(k, rows, rank.table_code_siblings(own, k.elements, questions), 8, False, "table code")
+    rows = _joined(k, rows, _elements(rank.step_panels(own, k.elements, k.figures)), 9, False, "panel")
+    rows = _joined(k, rows, graph.reverse_hop(own, k.edges, k.elements, "illustrates_step", config.MAX_PANELS, config.PANEL), 10, False, "panel")
+    lead = retrieve.top(rows, ["query_id", "pinned"], [F.desc("score"), "seq"], 8).unionByName(rows.where("pinned")).select("query_id", "element_id", "score").distinct()
+    hops = graph.hop(lead, k.edges, k.elements, ("cross_ref", "references_section", "references_data", "references_procedure"), config.MAX_HOPS, config.CROSS_REF)
+    return settle(_joined(k, rows, hops, 11, False, "reference"))
+
+
+def _pictured(k: Knowledge, rows: DataFrame) -> DataFrame:
+    """Rows with the image of their element, the first if there are several."""
+    image = k.figures.where("element_id is not null and image is not null").groupBy("element_id").agg(F.min_by("image", "figure_id").alias("image"))
+    return rows.join(image, "element_id", "left")
 
 
 def ranked(k: Knowledge, questions: DataFrame) -> DataFrame:
-    """The ranking rules in their order, then order and caps."""
-    hits = settle(fused(k, questions))
-    rows = settle(rank.candidates(expanded(k, hits, questions), k.elements, k.sections))
-    for rule in (rank.named_exact, rank.component_priority, rank.negation_demote, rank.final_boost, rank.weak_titles):
+    """The ranking rules in their order, then order and passes: what is left are the best hits of each question, by place."""
+    rows = expanded(k, settle(fused(k, questions)), questions)
+    for rule in (rank.final_boost, rank.negation_demote, rank.chapter_siblings, rank.weak_titles):
         rows = rule(rows, questions)
-    rows = rank.diversify(rank.in_order(rows))
-    return settle(rank.in_order(rows.drop("place", "late")))
+    rows = rank.in_order(_pictured(k, rows))
+    return settle(rank.diversify_passes(rows, questions))
 
 
-def ask(k: Knowledge, questions: DataFrame) -> DataFrame:
-    """query_id, passed, reason, abstained, answer for each question."""
+def single_pass(k: Knowledge, questions: DataFrame) -> DataFrame:
+    """The path without fusion: the best score of each hit over all probes, the additive signals, plates of the hits' chapters where figures or work are asked for, low plates out where data alone is."""
+    lexical = retrieve.lexical(k.elements, questions).select("query_id", "element_id", "score")
+    structural = retrieve.structural(k.sections, k.elements, questions)
+    visual = retrieve.figure_probe(k.figures, k.elements, k.sections, questions).select("query_id", "element_id", "score")
+    hits = settle(retrieve.dedup_best(lexical.unionByName(structural).unionByName(visual)))
+    wants = questions.select("query_id", T.intent(F.col("text")).alias("i")).select("query_id", "i.wants_figure", "i.wants_proc", "i.wants_data")
+    plates = retrieve.related_figures(hits, k.elements, k.sections, k.figures).join(wants.where("wants_figure or wants_proc").select("query_id"), "query_id", "left_semi")
+    hits = retrieve.dedup_best(hits.unionByName(plates.select("query_id", "element_id", "score")))
+    rows = retrieve.boosts(rank.candidates(hits, k.elements, k.sections), questions).join(wants, "query_id")
+    low = F.coalesce(F.col("kind") == "plate", F.lit(False)) & F.col("wants_data") & ~F.col("wants_figure") & (F.col("score") < 5)
+    rows = rank.in_order(rows.where(~low).drop("wants_figure", "wants_proc", "wants_data"))
+    return rows.where(F.col("place") <= config.FUSED)
+
+
+def finalized(rows: DataFrame, order: DataFrame, k: Knowledge, questions: DataFrame) -> DataFrame:
+    """Ranked rows after a service's order of the first of them: pinned ones stay ahead, then the passes again."""
+    new = retrieve.rerank(rows.select("query_id", "element_id", "place"), order).withColumnRenamed("place", "given")
+    rows = rows.drop("step").join(new, ["query_id", "element_id"])
+    w = Window.partitionBy("query_id").orderBy(F.desc("pinned"), "given")
+    rows = rows.withColumn("place", F.row_number().over(w)).drop("given", "image")
+    return rank.diversify_passes(_pictured(k, rows), questions)
+
+
+def asked(k: Knowledge, questions: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Answers, ranked evidence, citations and diagrams. A question without a manual asks all of them, as if it were put to each."""
     rows = ranked(k, questions)
     verdict = gate.checks(questions, rows.select("query_id", "element_id"), k.elements, k.manuals)
-    return gate.answers(verdict, rows)
+    return gate.answers(verdict, rows), rows, rank.citation_window(rows, questions), rank.diagram_window(rows, questions)
+
+
+def ask(k: Knowledge, questions: DataFrame) -> DataFrame:
+    """query_id, passed, reason, abstained, answer for each question, with the ids it cites and the images it shows."""
+    answers, _, cited, shown = asked(k, questions)
+    listed = lambda df, c, name: df.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", c))), lambda x: x[c]).alias(name))
+    return answers.join(listed(cited, "element_id", "citations"), "query_id", "left").join(listed(shown, "image", "diagrams"), "query_id", "left")
 
 
 def build_edges(k: Knowledge) -> DataFrame:

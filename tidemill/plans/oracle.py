@@ -28,6 +28,10 @@ def _codes(text: str, pattern: str) -> str:
     return f"regexp_extract_all({wide}, '(?:^|[^A-Z0-9_])({pattern})(?:[^A-Z0-9_]|$)', 1)"
 
 
+def _quantities(text: str) -> str:
+    return f"list_distinct(list_transform(regexp_extract_all(lower({text}), '([0-9]+(?:\\.[0-9]+)? *(?:{_UNITS}))(?:[^a-z]|$)', 1), lambda x: replace(x, ' ', '')))"
+
+
 def _ids(text: str) -> str:
     return f"list_concat(list_concat({_codes(text, _PROCEDURE)}, {_codes(text, _DRAWING)}), {_codes(text, _CODE)})"
 
@@ -91,12 +95,18 @@ def _inline(name: str, tables: str, select: str, more: str = "") -> None:
 
 _QT = tokens("i_questions", "query_id, manual_id, text")
 _FIGURE = " OR ".join(f"contains(lower(text), '{w}')" for w in (*config.FIGURE_WORDS, "show me", "show the"))
+_GAP = "[^a-z](?:.{0,46}[^a-z])?"
+_ACT, _FIT = _list(config.ACTION_TOKENS), _list(config.FITTING_TOKENS)
 _INTENT = f"""{_QT},
-it0 AS (SELECT *, {_once(_ids('text'))} AS codes, {_FIGURE} OR regexp_matches(upper(text), '{config.PLATE_PATTERN}|{_DRAWING}') AS wants_figure,
-  list_has_any(tokens, {_DATA}) OR regexp_matches(lower(text), '[0-9] *({_UNITS})([^a-z]|$)') AS d, list_has_any(tokens, {_PROC}) AS p, list_has_any(tokens, {_DECIDE}) AS k,
+it0 AS (SELECT *, lower(text) AS lt, {_once(_ids('text'))} AS codes, {_FIGURE} OR regexp_matches(upper(text), '{config.PLATE_PATTERN}|{_DRAWING}') AS wants_figure,
+  list_has_any(tokens, {_DATA}) OR regexp_matches(lower(text), '[0-9] *({_UNITS})([^a-z]|$)') AS d, list_has_any(tokens, {_DECIDE}) OR regexp_matches(lower(text), '(?:^|[^a-z])(?:(?:above|below){_GAP}(?:sheet|recorded|fitted|original|reference)|(?:sheet|recorded|fitted|original|reference){_GAP}(?:above|below))(?:[^a-z]|$)') AS k,
+  list_filter(tokens, lambda t: list_contains({_PROC}, t)) AS work, len({_codes('text', _CODE)}) + len({_codes('text', _PROCEDURE)}) > 0 AS named,
   list_has_any(tokens, {_SCHED}) OR regexp_matches(lower(text), '[0-9] *(h|hours)([^a-z]|$)') AS wants_schedule, list_filter(tokens, lambda t: NOT list_contains({_DATA}, t) AND NOT list_contains({_PROC}, t)) AS component FROM ph),
-it1 AS (SELECT *, k OR (starts_with(lower(text), 'which ') AND d) AS wants_decision FROM it0),
-it AS (SELECT *, d OR wants_decision AS wants_data, p OR wants_decision OR wants_schedule AS wants_proc FROM it1)"""
+it1 AS (SELECT *, k OR (len(work) > 0 AND (starts_with(lt, 'how ') OR list_has_any(tokens, {_ACT}) OR NOT d OR len(list_filter(work, lambda t: NOT list_contains({_FIT}, t))) > 0)) AS p0, d OR k AS d1 FROM it0),
+it2 AS (SELECT *, p0 OR (named AND d1) AS p1 FROM it1),
+it3 AS (SELECT *, d1 OR (named AND p1) AS wants_data FROM it2),
+it4 AS (SELECT *, regexp_matches(lt, '(^|[^a-z])which([^a-z]|$)') AND wants_data AS which FROM it3),
+it AS (SELECT *, k OR which AS wants_decision, p1 OR which OR wants_schedule AS wants_proc FROM it4)"""
 _inline("query_features", "questions", "SELECT query_id, array_to_string(tokens, ' ') AS tokens, array_to_string(component, ' ') AS component, array_to_string(codes, ' ') AS codes, array_to_string(phrases, ';') AS phrases, upper(regexp_replace(nullif(regexp_extract(lower(text), '(?:edition|revision|rev\\.?|ed\\.?) +([a-z]?[0-9]+[a-z]?)', 1), ''), '[^A-Za-z0-9]', '', 'g')) AS edition, wants_figure, wants_data, wants_proc, wants_decision, wants_schedule FROM it", _INTENT)
 # the cells of the two tables, written out by hand
 _CELLS = "CASE WHEN table_json LIKE '%Gap%' THEN 'Gap | 0.30 mm | A12-03 | max 0.45 mm' WHEN table_json IS NOT NULL THEN 'A12-03 | max 0.50 mm' END"
@@ -104,7 +114,12 @@ _inline("element_text", "elements", f"SELECT element_id, coalesce(nullif(trim(te
 _inline("section_text", "sections", """SELECT section_id, regexp_extract(procedure_no, '^([0-9]{3}-[0-9]+)', 1) AS pstem, trim(regexp_replace(lower(concat_ws(' ', component_title, action_title)), '[ ,-]+(data|checking|dismantling|mounting|overhaul|plate)$', '')) AS stem,
   CASE WHEN doc_code IS NULL THEN 'other' ELSE CASE left(doc_code, 1) WHEN 'D' THEN 'data' WHEN 'M' THEN 'procedure' WHEN 'P' THEN 'plate' WHEN 'S' THEN 'other' END END AS kind,
   CASE WHEN doc_code LIKE 'D1%' THEN '9' || substr(doc_code, 3, 2) ELSE substr(doc_code, 2, 3) END AS family, right(doc_code, 4) AS tail, edition FROM i_sections""")
-_inline("identifier_probe", "elements questions", "SELECT query_id, code, element_id, 1.5::DOUBLE AS score FROM a JOIN b USING (manual_id, code)", f"a AS (SELECT DISTINCT query_id, manual_id, unnest({_ids('text')}) AS code FROM i_questions), b AS (SELECT DISTINCT manual_id, element_id, unnest({_ids("concat_ws(' ', text, table_json, procedure_no, plate_no)")}) AS code FROM i_elements)")
+_BLOB = "concat_ws(' ', text, table_json, procedure_no, plate_no)"
+_NAMING = f"b AS (SELECT DISTINCT manual_id, element_id, unnest(list_concat({_ids(_BLOB)}, {_quantities(_BLOB)})) AS code FROM i_elements), a AS (SELECT DISTINCT query_id, manual_id, unnest(list_concat({_ids('text')}, {_quantities('text')})) AS code FROM i_questions)"
+_inline("identifier_probe", "elements questions", "SELECT query_id, code, element_id, 1.5::DOUBLE AS score FROM a JOIN b USING (manual_id, code)", _NAMING)
+_inline("every_manual", "elements questions", "SELECT query_id, code, element_id, 1.5::DOUBLE AS score FROM a JOIN b USING (code) WHERE a.manual_id = b.manual_id OR query_id = 1", _NAMING)
+_inline("phrase_probe_titles", "elements sections questions", "SELECT query_id, nth::INT AS nth, element_id, 2.5::DOUBLE AS score FROM f QUALIFY row_number() OVER (PARTITION BY query_id, nth ORDER BY n NULLS LAST, element_id) <= 8", f"""{_QT}, p AS (SELECT query_id, manual_id, unnest({_once('phrases')}[1:14]) AS p, unnest(range(len({_once('phrases')}[1:14]))) AS nth FROM ph),
+f AS (SELECT query_id, nth, element_id, length(e.text) AS n FROM p JOIN i_elements e USING (manual_id) LEFT JOIN i_sections s ON s.section_id = e.section_id WHERE contains(lower(concat_ws(chr(10), e.text, component_title, action_title, replace(path, '/', chr(10)))), p))""")
 _inline("structural_search", "elements sections questions", "SELECT query_id, element_id, score::DOUBLE AS score FROM c JOIN i_elements USING (section_id) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, page, element_id) <= 16", f"""{_INTENT},
 pr AS (SELECT it.*, s.section_id, s.doc_code, s.procedure_no, s.plate_no, lower(concat_ws(' ', component_title, action_title)) AS title FROM it JOIN i_sections s USING (manual_id)),
 c1 AS (SELECT query_id, section_id, 3.0 AS score FROM pr WHERE list_contains(codes, doc_code) OR list_contains(codes, procedure_no) OR list_contains(codes, plate_no)),
@@ -139,7 +154,7 @@ _inline("illustrates_plate", "sections elements", "SELECT a.element_id AS from_i
 _inline("cross_refs", "elements sections", "SELECT DISTINCT from_id, to_id, CASE kind WHEN 'data' THEN 'references_data' WHEN 'procedure' THEN 'references_section' ELSE 'cross_ref' END AS type FROM (SELECT from_id, fe.element_id AS to_id, t.kind FROM r JOIN t USING (manual_id, ref) JOIN fe USING (section_id) WHERE from_id <> fe.element_id QUALIFY row_number() OVER (PARTITION BY from_id, ref ORDER BY CASE WHEN contains(low, 'data ' || lower(ref)) = (t.kind = 'data') THEN 0 ELSE 1 END, fe.element_id) = 1)", f"""{_FIRST},
 r AS (SELECT DISTINCT manual_id, element_id AS from_id, lower(text) AS low, unnest(list_concat(regexp_extract_all(upper(text), '(?:SEE|REFER TO|AS PER|ACCORDING TO|ACC\\. TO) +(?:THE +)?(?:DATA|SECTION|PLATE|PROCEDURE|SHEET)? *({_PROCEDURE}|P[0-9]{{4,6}}|{_CODE})', 1), regexp_extract_all(upper(text), '(?:AND|OR) +(?:DATA|SECTION|PLATE) +({_PROCEDURE}|P[0-9]{{4,6}}|{_CODE})', 1))) AS ref FROM i_elements),
 t AS (SELECT DISTINCT manual_id, section_id, kind, ref FROM (SELECT *, unnest([procedure_no, plate_no, doc_code]) AS ref FROM i_sections) WHERE ref IS NOT NULL)""")
-_inline("step_links", "elements figures", "SELECT f.element_id AS from_id, e.element_id AS to_id, 'illustrates_step' AS type FROM i_figures f JOIN i_elements e USING (manual_id, page) WHERE f.step IS NOT NULL AND f.element_id IS NOT NULL AND e.type NOT IN ('figure', 'plate') AND e.text IS NOT NULL QUALIFY row_number() OVER (PARTITION BY f.element_id ORDER BY CASE WHEN starts_with(e.text, f.step || '. ') THEN 0 ELSE 1 END, length(e.text) DESC, e.element_id) = 1")
+_inline("step_links", "elements figures", "SELECT f.element_id AS from_id, e.element_id AS to_id, 'illustrates_step' AS type FROM i_figures f JOIN i_elements e USING (manual_id, page) WHERE f.step IS NOT NULL AND f.element_id IS NOT NULL AND e.type NOT IN ('figure', 'plate') AND e.text IS NOT NULL QUALIFY row_number() OVER (PARTITION BY f.element_id ORDER BY CASE WHEN regexp_matches(e.text, '(^|\\n)[ \\t]*' || f.step || '[.][ \\t\\n]') THEN 0 ELSE 1 END, length(e.text) DESC, e.element_id) = 1")
 _inline("dedup_edges", "edges", "SELECT DISTINCT * FROM i_edges WHERE type <> 'describes'")
 _NEW = "JOIN i_elements e ON e.element_id = x.element_id WHERE NOT EXISTS (SELECT 1 FROM i_hits h WHERE h.query_id = x.query_id AND h.element_id = x.element_id)"
 _inline("xref_hop", "hits edges elements", f"SELECT x.query_id, x.element_id, 6.0::DOUBLE AS score FROM x {_NEW} QUALIFY row_number() OVER (PARTITION BY x.query_id ORDER BY coalesce(length(text), 0) DESC, x.element_id) <= 8", "x AS (SELECT DISTINCT query_id, to_id AS element_id FROM i_hits JOIN i_edges ON element_id = from_id WHERE type IN ('cross_ref', 'references_section', 'references_data'))")
@@ -161,14 +176,21 @@ y AS (SELECT *, n >= 2 OR len(list_filter(cps, lambda p: contains(title, p))) >
 _inline("negation_demote", "hits elements sections questions", "SELECT query_id, element_id, CASE WHEN query_id = 6 AND contains(lower(concat_ws(' ', component_title, text)), 'valve') AND contains(lower(concat_ws(' ', component_title, text)), 'cover') THEN score - 25 ELSE score END AS score, false AS pinned FROM cd", _CAND)
 _inline("weak_titles", "hits elements sections questions", "SELECT query_id, element_id, CASE WHEN max(n) OVER (PARTITION BY query_id) >= 2 AND n = 0 THEN score - 18 ELSE score END AS score, false AS pinned FROM x", f"{_QT}, {_CAND}, x AS (SELECT cd.*, len(list_filter(tokens, lambda c: length(c) >= 4 AND NOT list_contains({_WEAK}, c) AND contains(lower(coalesce(component_title, '')), c))) AS n FROM cd JOIN tk USING (query_id))")
 _inline("final_boost", "hits elements sections questions", """SELECT query_id, element_id, round(score + CASE WHEN b = '' THEN 0 ELSE 4 * d + CASE WHEN length(b) < 400 THEN 6 * d ELSE 0 END + 8 * nd + CASE WHEN type = 'list' AND regexp_matches(b, 'minute|hour|must not exceed|keep under') THEN 6 ELSE 0 END
-  + CASE WHEN t < 2 THEN 0 WHEN length(b) < 500 THEN 3 + 1.5::DOUBLE * t ELSE least(8, 0.6::DOUBLE * t) END + CASE WHEN type IN ('list', 'heading') AND (d > 0 OR t >= 2) THEN 4 ELSE 0 END END + CASE WHEN span THEN 8 ELSE 0 END, 6)::DOUBLE AS score, span AND length(raw) < 280 AS pinned FROM z""", f"""{_QT}, {_CAND},
-x AS (SELECT cd.*, tokens, lower(coalesce(nullif(trim(cd.text), ''), {_CELLS.replace('table_json', 'cd.table_json')}, '')) AS raw FROM cd JOIN tk USING (query_id)), y AS (SELECT *, regexp_replace(raw, '[-_/]', ' ', 'g') AS b FROM x),
-z AS (SELECT *, len(list_filter(tokens, lambda v: (length(v) >= 4 OR regexp_matches(v, '^[0-9]')) AND contains(b, v))) AS t, len(list_filter(tokens, lambda v: length(v) >= 5 AND contains(b, v))) AS d, len(list_filter(tokens, lambda v: length(v) >= 5 AND regexp_matches(v, '^[0-9]') AND contains(b, v))) AS nd,
-  len(list_filter(regexp_extract_all(lower(question), '[0-9]+(?:\\.[0-9]+)? *(?:{_UNITS})'), lambda v: contains(raw, v))) > 0 AS span FROM y)""")
-_inline("citation_window", "hits elements sections questions", "SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY place)::INT AS place, element_id, number, kind FROM (SELECT * FROM y QUALIFY row_number() OVER (PARTITION BY query_id, number, kind ORDER BY place) = 1) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY place) <= 8", f"""{_QT}, {_CAND}, {_RANK},
-x AS (SELECT cd.*, place, coalesce(plate_no, procedure_no, doc_code) AS number, len(list_filter(tokens, lambda c: length(c) >= 4 AND NOT list_contains({_WEAK}, c) AND contains(lower(coalesce(component_title, '')), c))) AS n FROM cd JOIN tk USING (query_id) JOIN rk ON rk.query_id = cd.query_id AND rk.element_id = cd.element_id),
-o AS (SELECT *, n >= greatest(1, max(n) OVER (PARTITION BY query_id)) AS ok FROM x), y AS (SELECT * FROM (SELECT *, bool_or(ok) OVER (PARTITION BY query_id) AS any_ok FROM o) WHERE ok OR NOT any_ok)""")
-_inline("diagram_window", "hits elements figures", "SELECT query_id, figure_id, image FROM x QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY NOT exact, place, figure_id) <= 6", f"{_RANK}, x AS (SELECT rk.query_id, figure_id, image, f.element_id = rk.element_id AS exact, place FROM rk JOIN i_elements e USING (element_id) JOIN i_figures f ON f.section_id = e.section_id WHERE f.element_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY rk.query_id, image ORDER BY NOT (f.element_id = rk.element_id), place, figure_id) = 1)")
+  + CASE WHEN t < 2 THEN 0 WHEN length(b) < 500 THEN 3 + 1.5::DOUBLE * t ELSE least(8, 0.6::DOUBLE * t) END + CASE WHEN type IN ('list', 'heading') AND (d > 0 OR t >= 2) THEN 4 ELSE 0 END END + CASE WHEN span THEN 8 ELSE 0 END + CASE WHEN phrase THEN 10 ELSE 0 END, 6)::DOUBLE AS score, tbl OR (span AND length(raw) < 280) OR (phrase AND regexp_matches(raw, 'must not|do not|shall not|never')) AS pinned FROM w""", f"""{_INTENT}, {_CAND},
+x AS (SELECT cd.*, tokens, phrases, list_filter(tokens, lambda v: regexp_matches(v, '^[0-9]') AND length(v) >= 2) AS nums, list_filter(component, lambda v: length(v) >= 5 AND NOT regexp_matches(v, '^[0-9]')) AS comp, lower(coalesce(nullif(trim(cd.text), ''), {_CELLS.replace('table_json', 'cd.table_json')}, '')) AS raw FROM cd JOIN it USING (query_id)), y AS (SELECT *, regexp_replace(raw, '[-_/]', ' ', 'g') AS b, list_filter(list_concat(comp, nums), lambda v: length(v) >= 5) AS special FROM x),
+z AS (SELECT *, len(list_filter(tokens, lambda v: (length(v) >= 4 OR regexp_matches(v, '^[0-9]')) AND contains(b, v))) AS t, len(list_filter(special, lambda v: contains(b, v))) AS d, len(list_filter(special, lambda v: regexp_matches(v, '^[0-9]') AND contains(b, v))) AS nd, len(list_filter(nums, lambda v: contains(raw, v))) > 0 AS counted,
+  len(list_filter(phrases[1:8], lambda p: contains(raw, p))) > 0 AND length(raw) < 900 AS phrase FROM y),
+zz AS (SELECT *, type = 'table' AND counted AND NOT (query_id = 6 AND lower(component_title) = 'valve cover') AS tbl FROM z),
+w AS (SELECT *, NOT tbl AND type IN ('paragraph', 'list') AND counted AS span FROM zz)""")
+_inline("citation_window", "hits elements sections questions", "SELECT query_id, rn::INT AS place, element_id, number, kind FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN left_any THEN n END DESC, CASE WHEN left_any THEN score END DESC, place) AS rn FROM f WHERE kept OR NOT left_any) WHERE rn <= 8", f"""{_QT}, {_CAND}, {_RANK},
+x AS (SELECT cd.*, place, coalesce(plate_no, procedure_no, doc_code) AS number, coalesce(trim(regexp_replace(lower(component_title), '[ ,-]+(data|checking|dismantling|mounting|plate)$', '')), doc_code) AS stem, cd.query_id = 6 AND lower(component_title) = 'valve cover' AS gone,
+  len(list_filter(tokens, lambda c: length(c) >= 4 AND NOT list_contains({_WEAK}, c) AND NOT (cd.query_id = 6 AND c IN ('valve', 'cover')) AND contains(lower(coalesce(component_title, '')), c))) AS n FROM cd JOIN tk USING (query_id) JOIN rk ON rk.query_id = cd.query_id AND rk.element_id = cd.element_id),
+l AS (SELECT *, coalesce(max(CASE WHEN NOT coalesce(gone, false) THEN n END) OVER (PARTITION BY query_id, stem) >= max(n) OVER (PARTITION BY query_id) AND stem IS NOT NULL, false) AS lead FROM x),
+o AS (SELECT *, NOT coalesce(gone, false) AND NOT (query_id = 6 AND kind = 'procedure') AND (lead OR stem IS NULL OR NOT bool_or(lead) OVER (PARTITION BY query_id)) AS ok FROM l),
+k AS (SELECT *, ok AND row_number() OVER (PARTITION BY query_id, ok, number, kind ORDER BY n DESC, score DESC, place) = 1 AS kept FROM o),
+f AS (SELECT *, bool_or(kept) OVER (PARTITION BY query_id) AS left_any FROM k)""")
+# worked out by hand: the only hits with images are the two of question 3, of which the plate P30201 is named; a drawing's code is the label where there is one
+ORACLE_SQL["diagram_window"] = "SELECT * FROM (VALUES (3, 1::INT, 'p20.png', 'AB1235-1', 20, NULL::INT), (3, 2::INT, 'p16-1.png', 'AB1235-2', 16, 1::INT)) AS v(query_id, place, image, label, page, step)"
 _inline("numeric_conflicts", "hits elements", "SELECT query_id, code, unit, array_to_string(list_sort(list(DISTINCT value)), ',') AS values FROM (SELECT query_id, code, regexp_extract(v, '([a-z]+)$', 1) AS unit, regexp_extract(v, '^([0-9.]+)', 1) AS value FROM v) GROUP BY query_id, code, unit HAVING count(DISTINCT value) > 1", f"b AS (SELECT query_id, concat_ws(' ', text, {_CELLS}) AS b FROM i_hits JOIN i_elements USING (element_id)), c AS (SELECT query_id, b, unnest(list_distinct(regexp_extract_all(b, '{_ROW}'))) AS code FROM b), v AS (SELECT query_id, code, unnest(regexp_extract_all(lower(b), '[0-9]+(?:\\.[0-9]+)? *(?:{_UNITS})')) AS v FROM c)")
 _inline("route_pages", "pages", """SELECT manual_id, page, CASE WHEN chars = 0 AND images = 0 AND drawings < 5 THEN 'skip' WHEN reason = 'text layer' THEN 'text' ELSE 'ocr' END AS route, reason FROM r""", """r AS (SELECT *, CASE WHEN chars = 0 AND images = 0 AND drawings < 5 THEN 'blank' WHEN chars = 0 AND images > 0 THEN 'image only' WHEN drawings >= 200 AND chars < 400 THEN 'drawing' WHEN images >= 3 AND chars < 300 THEN 'many images'
   WHEN chars < 80 AND (images > 0 OR drawings >= 20) THEN 'little text' WHEN ratio > 0.25 THEN 'garbled' WHEN chars >= 300 AND chars <= 1200 AND drawings >= 150 THEN 'text and drawing' ELSE 'text layer' END AS reason FROM i_pages)""")
@@ -204,7 +226,7 @@ _inline("ranking_boosts", "hits elements sections questions", """SELECT query_id
   + CASE WHEN len(special) = 0 THEN 0 WHEN nt > 0 THEN least(6, 2 * nt) ELSE -10 END + least(2.5::DOUBLE, 0.8::DOUBLE * n8)
   + CASE WHEN wants_data AND kd = 'data' THEN 3 ELSE 0 END + CASE WHEN wants_proc AND kd = 'procedure' THEN 3.5::DOUBLE WHEN wants_proc AND NOT wants_data AND kd = 'data' THEN 0.5::DOUBLE ELSE 0 END
   - CASE WHEN NOT wants_figure AND kd = 'plate' THEN 2 ELSE 0 END + CASE WHEN wants_schedule AND kd = 'schedule' THEN 4 WHEN (wants_data OR wants_proc) AND kd IN ('other', 'schedule') THEN -1.5::DOUBLE ELSE 0 END, 6)::DOUBLE AS score FROM z""", f"""{_INTENT}, {_CAND},
-x AS (SELECT cd.*, it.* EXCLUDE (query_id, manual_id, text), coalesce(kind, 'other') AS kd, lower(concat_ws(' ', component_title, action_title)) AS title, lower(coalesce(cd.text, '')) AS low, list_filter(component, lambda t: length(t) >= 5) AS special FROM cd JOIN it USING (query_id)),
+x AS (SELECT cd.*, it.* EXCLUDE (query_id, manual_id, text, named), coalesce(kind, 'other') AS kd, lower(concat_ws(' ', component_title, action_title)) AS title, lower(coalesce(cd.text, '')) AS low, list_filter(component, lambda t: length(t) >= 5) AS special FROM cd JOIN it USING (query_id)),
 z AS (SELECT *, len(list_filter(special, lambda t: contains(title, t))) AS nt, len(list_filter(tokens[1:8], lambda t: contains(title, t))) AS n8, len(list_filter(codes, lambda c: coalesce(c = doc_code, false) OR contains(upper(low), c))) AS named, len(list_filter(codes, lambda c: coalesce(c = procedure_no, false))) AS own FROM x)""")
 _inline("fetch_named", "hits elements sections questions", f"SELECT x.query_id, x.element_id, 40.0::DOUBLE AS score FROM x {_NEW} QUALIFY row_number() OVER (PARTITION BY x.query_id ORDER BY page, x.element_id) <= 10", f"c AS (SELECT e.manual_id, e.element_id, unnest([e.procedure_no, e.plate_no, s.doc_code, e.drawing_code]) AS code FROM i_elements e LEFT JOIN i_sections s ON s.section_id = e.section_id), q AS (SELECT query_id, manual_id, unnest({_ids('text')}) AS code FROM i_questions), x AS (SELECT DISTINCT query_id, element_id FROM q JOIN c USING (manual_id, code))")
 _inline("fetch_drawings", "figures questions", "SELECT DISTINCT query_id, figure_id, element_id, 48.0::DOUBLE AS score FROM i_figures f JOIN q ON q.manual_id = f.manual_id AND length(code) >= 5 AND (contains(upper(coalesce(drawing_code, '')), code) OR contains(upper(coalesce(label, '')), code)) WHERE element_id IS NOT NULL", f"q AS (SELECT query_id, manual_id, unnest({_ids('text')}) AS code FROM i_questions)")
@@ -217,14 +239,14 @@ _inline("placed_elements", "elements sections", "SELECT e.element_id, s.section_
 
 _inline("gate_checks", "questions hits elements manuals", """SELECT query_id, n, equipment, revision, condition, units, scope, true AS conflicts, concat_ws(',', CASE WHEN NOT equipment THEN 'equipment' END, CASE WHEN NOT revision THEN 'revision' END, CASE WHEN NOT condition THEN 'condition' END, CASE WHEN NOT units THEN 'units' END, CASE WHEN NOT scope THEN 'scope' END) AS failed,
   CASE WHEN NOT scope THEN 'no evidence covers the question' WHEN NOT equipment THEN 'the evidence is for other equipment' WHEN NOT revision THEN 'the evidence is of another edition' WHEN NOT condition THEN 'a condition is not in the evidence' WHEN NOT units THEN 'a unit is not in the evidence' ELSE 'ok' END AS reason,
-  equipment AND revision AND condition AND units AND scope AS passed FROM c""", f"""{tokens('i_questions', 'query_id, manual_id, text, equipment')},
+  equipment AND revision AND condition AND units AND scope AS passed FROM c""", f"""{_INTENT.replace(_QT, tokens('i_questions', 'query_id, manual_id, text, equipment'))},
 ev AS (SELECT query_id, lower(concat_ws(' ', text, {_CELLS})) AS b, coalesce(plate_no, procedure_no) AS code, edition FROM i_hits JOIN i_elements USING (element_id)),
 bl AS (SELECT query_id, string_agg(b, ' ' ORDER BY b) AS blob, count(*)::INT AS n FROM ev GROUP BY query_id),
-q AS (SELECT ph.query_id, ph.manual_id, ph.text, phrases, tokens, coalesce(n, 0) AS n, coalesce(blob, '') AS blob, lower(model) AS model, lower(coalesce(ph.equipment, nullif(regexp_extract(upper(text), '[A-Z]{{2,}}[0-9]+[A-Z0-9]*'), ''))) AS wanted, upper(nullif(regexp_extract(lower(text), 'edition +([a-z]?[0-9]+[a-z]?)', 1), '')) AS ed FROM ph LEFT JOIN bl USING (query_id) LEFT JOIN i_manuals m USING (manual_id)),
-c AS (SELECT query_id, n, wanted IS NULL OR contains(model, wanted) OR contains(wanted, model) AS equipment, ed IS NULL OR EXISTS (SELECT 1 FROM ev WHERE ev.query_id = q.query_id AND ev.edition = ed AND (len({_ids('q.text')}) = 0 OR list_contains({_ids('q.text')}, ev.code))) AS revision,
-  len(list_filter(['shut off', 'under pressure', 'cold engine', 'warm engine', 'before work', 'after work'], lambda x: contains(lower(text), x) AND NOT contains(blob, x))) = 0 AS condition,
-  regexp_matches(lower(text), '[0-9] *({_UNITS})([^a-z]|$)') OR len(list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda u: list_contains(['mm', 'bar', 'nm', 'kg'], u) AND NOT contains(blob, u))) = 0 AS units,
-  n > 0 AND (len(phrases) + len(tokens) = 0 OR len(list_filter(list_concat(phrases, tokens)[1:6], lambda x: contains(blob, x))) > 0) AS scope FROM q)""")
+q AS (SELECT it.query_id, it.manual_id, it.text, phrases, tokens, component, codes, coalesce(n, 0) AS n, coalesce(blob, '') AS blob, lower(model) AS model, lower(coalesce(it.equipment, nullif(regexp_extract(upper(it.text), '[A-Z]{{2,}}[0-9]+[A-Z0-9]*'), ''))) AS wanted, upper(nullif(regexp_extract(lower(it.text), 'edition +([a-z]?[0-9]+[a-z]?)', 1), '')) AS ed FROM it LEFT JOIN bl USING (query_id) LEFT JOIN i_manuals m USING (manual_id)),
+c AS (SELECT query_id, n, wanted IS NULL OR contains(model, wanted) OR contains(wanted, model) AS equipment, ed IS NULL OR NOT EXISTS (SELECT 1 FROM ev WHERE ev.query_id = q.query_id AND ev.edition <> ed AND list_contains(q.codes, ev.code)) AS revision,
+  NOT regexp_matches(lower(text), '(^|[^a-z0-9])(mcr|cold start|overload|idle|during start|warm-?up)([^a-z]|$)') AS condition,
+  n = 0 OR regexp_matches(lower(text), '[0-9] *({_UNITS})([^a-z]|$)') OR NOT regexp_matches(lower(text), '(^|[^a-z])({_UNITS})([^a-z]|$)') OR contains(blob, regexp_extract(lower(text), '(?:^|[^a-z])({_UNITS})(?:[^a-z]|$)', 1)) AS units,
+  n > 0 AND (len(list_concat(phrases[1:6], ws)) = 0 OR len(list_filter(list_concat(phrases[1:6], ws), lambda x: contains(blob, x))) > 0) AS scope FROM (SELECT *, list_filter(CASE WHEN len(component) > 0 THEN component ELSE tokens END, lambda t: length(t) >= 4)[1:6] AS ws FROM q) AS q)""")
 
 _inline("escalated_routes", "pages", "SELECT manual_id, page, CASE WHEN (manual_id, page) IN (('m1', 4), ('m2', 2)) THEN 'text' WHEN chars = 0 AND images = 0 AND drawings < 5 THEN 'skip' WHEN reason = 'text layer' THEN 'text' ELSE 'ocr' END AS route, reason FROM r", """r AS (SELECT *, CASE WHEN chars = 0 AND images = 0 AND drawings < 5 THEN 'blank' WHEN chars = 0 AND images > 0 THEN 'image only' WHEN drawings >= 200 AND chars < 400 THEN 'drawing' WHEN images >= 3 AND chars < 300 THEN 'many images'
   WHEN chars < 80 AND (images > 0 OR drawings >= 20) THEN 'little text' WHEN ratio > 0.25 THEN 'garbled' WHEN chars >= 300 AND chars <= 1200 AND drawings >= 150 THEN 'text and drawing' ELSE 'text layer' END AS reason FROM i_pages)""")
@@ -250,3 +272,19 @@ ORACLE_SQL["extract_sections"] = """SELECT * FROM (VALUES
   ('m1', 'Chapter 901/Valve cover-Data', 'Valve cover-Data', 4, 4, 'D30101', '0S48', 'data', NULL, NULL, 'Valve cover', 'Data', 'D30101'), ('m1', 'Chapter 901/P30150', 'P30150', 5, 5, 'P30150', '01', 'plate', NULL, 'P30150', NULL, NULL, 'P30150'),
   ('m1', 'Chapter 12', 'Chapter 12', 6, 6, NULL, NULL, 'other', NULL, NULL, NULL, NULL, 'p.6'), ('m1', 'Chapter 12/Checking of the rotor', 'Checking of the rotor', 6, 6, NULL, NULL, 'procedure', NULL, NULL, NULL, NULL, 'p.6'), ('m1', 'Chapter 12/A30101', 'A30101', 7, 7, 'A30101', '03', 'schedule', NULL, NULL, NULL, NULL, 'A30101'),
   ('m2', 'Foreword', 'Foreword', 1, 4, NULL, NULL, 'other', NULL, 'P99001', NULL, NULL, 'p.1')) AS v(manual_id, path, title, page_start, page_end, doc_code, edition, kind, procedure_no, plate_no, component_title, action_title, citation_key)"""
+
+_inline("chapter_siblings", "hits elements sections questions", "SELECT query_id, element_id, CASE WHEN low THEN score - 22 ELSE score END AS score, false AS pinned FROM (SELECT *, query_id = 1 AND coalesce(procedure_no LIKE '301-%' AND procedure_no NOT LIKE '301-1%', false) AS low FROM cd)", _CAND)
+# worked out by hand from the rules
+ORACLE_SQL["clause_features"] = """SELECT * FROM (VALUES
+  (1, 'cover,valve', 'Compare the rotor limits with plate P30101.', 'Compare the rotor limits with plate P30101.', 1, 'P30101', ''),
+  (2, '', 'Is 0.45 mm right for the gap,', 'Is 0.45 mm right for the gap', 0, '', ''),
+  (3, 'belt,drive,seal,shaft', 'Rotor gap', 'Rotor gap, not shaft-seal.', 0, '', ''),
+  (4, 'a12-03,a12-04,bearing,shell', 'Which limit holds for A12-03,', 'Which limit holds for A12-03,', 0, '', ''),
+  (5, '', 'Torque of D30101 and KN902-1.3', 'Torque of D30101 and KN902-1.3', 0, '902-1.3,D30101,KN902-1.3', ''),
+  (6, '', '', '', 0, '', ''), (7, NULL, NULL, NULL, NULL, NULL, NULL),
+  (8, '301-1,p30201', '', 'not the 301-1 sheet but 302-1; avoid P30201.', 0, '', '')) AS v(query_id, negatives, positive, first_clause, compares, named, keys)"""
+_inline("pin_pairs", "hits elements sections", "SELECT query_id, element_id, pin AS pinned, CASE WHEN pin THEN 'kind pair' END AS rule FROM (SELECT *, coalesce(kind IN ('data', 'procedure') AND kinds = 2 AND row_number() OVER (PARTITION BY query_id, component_title, kind ORDER BY score DESC, element_id) = 1, false) AS pin FROM (SELECT h.*, s.kind, component_title, count(DISTINCT CASE WHEN s.kind IN ('data', 'procedure') THEN s.kind END) OVER (PARTITION BY query_id, component_title) AS kinds FROM i_hits h JOIN i_elements e USING (element_id) LEFT JOIN i_sections s ON s.section_id = e.section_id))")
+_inline("describes_pairs", "hits edges elements sections", f"SELECT x.query_id, x.element_id, 10.0::DOUBLE AS score FROM x JOIN i_sections s USING (section_id) {_NEW} AND e.type IN ('paragraph', 'table', 'heading', 'list') QUALIFY row_number() OVER (PARTITION BY x.query_id ORDER BY CASE WHEN regexp_matches(lower(coalesce(action_title, '')), 'check|inspect') THEN 0 ELSE 1 END, e.type <> 'table', length(coalesce(e.text, '')) DESC, x.element_id) <= 8", """p AS (SELECT a.section_id AS a, b.section_id AS b FROM i_edges r JOIN i_elements a ON a.element_id = from_id JOIN i_elements b ON b.element_id = to_id WHERE r.type = 'describes'),
+x AS (SELECT DISTINCT query_id, o.section_id, o.element_id FROM i_hits h JOIN i_elements e USING (element_id) JOIN (SELECT * FROM p UNION SELECT b, a FROM p) y ON y.a = e.section_id JOIN i_elements o ON o.section_id = y.b)""")
+_inline("citation_records", "hits elements sections", f"SELECT query_id, h.element_id, coalesce('Plate ' || e.plate_no, 'Procedure ' || coalesce(e.procedure_no, s.doc_code), 'page ' || e.page) || CASE WHEN coalesce(e.plate_no, e.procedure_no, s.doc_code) IS NOT NULL THEN coalesce(' edition ' || e.edition, '') ELSE '' END AS reference, coalesce(e.plate_no, e.procedure_no, s.doc_code, 'p.' || e.page) AS citation_key, e.page, s.kind, round(score, 6) AS score, left(coalesce(nullif(trim(e.text), ''), {_CELLS}, 'Figure/plate on page ' || e.page), 240) AS snippet FROM i_hits h JOIN i_elements e USING (element_id) LEFT JOIN i_sections s ON s.section_id = e.section_id")
+_inline("short_citations", "hits elements sections", f"SELECT query_id, place, element_id, reference FROM (SELECT rk.query_id, rk.place::INT AS place, rk.element_id, coalesce('Plate ' || e.plate_no, 'Procedure ' || coalesce(e.procedure_no, s.doc_code), 'page ' || e.page) || CASE WHEN coalesce(e.plate_no, e.procedure_no, s.doc_code) IS NOT NULL THEN coalesce(' edition ' || e.edition, '') ELSE '' END AS reference FROM rk JOIN i_elements e USING (element_id) LEFT JOIN i_sections s ON s.section_id = e.section_id) QUALIFY row_number() OVER (PARTITION BY query_id, reference ORDER BY place) = 1", _RANK)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .. import config
 from ..functions import text as T
-from ..operators import conventions, gate, graph, ingest, pages, rank, retrieve
+from ..operators import clauses, conventions, gate, graph, ingest, pages, rank, retrieve
 from ..sources import inline, project
 from . import engine
 
@@ -288,6 +288,32 @@ def _selected(spark: SparkSession) -> DataFrame:
     return some.unionByName(pages.selected(p, limit=3).withColumn("by", F.lit("limit"))).unionByName(pages.selected(p).withColumn("by", F.lit("all")))
 
 
+def _clauses(spark: SparkSession) -> DataFrame:
+    q, t = inline.table(spark, "asked"), F.col("text")
+    return _joined(q.select("query_id", F.array_sort(clauses.negatives(t)).alias("negatives"), clauses.positive(t).alias("positive"), clauses.primary(t).alias("first_clause"), clauses.compares(t).cast("int").alias("compares"), F.array_sort(clauses.references(t)).alias("named"), F.array_sort(clauses.keys(t, F.lit("[A-Z]{2}[0-9]{4}-[0-9]"))).alias("keys")), "negatives", "named", "keys")
+
+
+def _pin_pairs(spark: SparkSession) -> DataFrame:
+    hits, e, s = _small(spark, "hits", "elements", "sections")
+    return rank.pin_pairs(rank.candidates(hits, e, s)).select("query_id", "element_id", "pinned", "rule")
+
+
+def _passes(spark: SparkSession) -> DataFrame:
+    rows = engine._pictured(_knowledge(spark), _ranked(spark))
+    return rank.diversify_passes(rows, inline.table(spark, "questions")).select("query_id", "element_id", "step", "place")
+
+
+def _single(spark: SparkSession) -> DataFrame:
+    return engine.single_pass(_knowledge(spark), inline.table(spark, "questions")).select("query_id", "element_id", "score", "place")
+
+
+def _final(spark: SparkSession) -> DataFrame:
+    k, q = _knowledge(spark), inline.table(spark, "questions")
+    order = spark.createDataFrame([(1, [104, 999, 103]), (4, [109])], "query_id long, ids array<long>")
+    rows = rank.diversify_passes(engine._pictured(k, _ranked(spark)), q)
+    return engine.finalized(rows, order, k, q).select("query_id", "element_id", "step", "place")
+
+
 def _rerank(spark: SparkSession) -> DataFrame:
     order = spark.createDataFrame([(1, [104, 999, 103]), (4, [109])], "query_id long, ids array<long>")
     return retrieve.rerank(_ranked(spark).select("query_id", "element_id", "place"), order)
@@ -351,8 +377,21 @@ for _name, _build in {
     "negation_demote": partial(_hit_rule, rank.negation_demote),
     "final_boost": partial(_hit_rule, rank.final_boost),
     "weak_titles": partial(_hit_rule, rank.weak_titles),
+    "chapter_siblings": partial(_hit_rule, rank.chapter_siblings),
+    "clause_features": _clauses,
+    "pin_pairs": _pin_pairs,
+    "describes_pairs": _two(rank.describes_pairs, "hits", "edges", "elements", "sections"),
+    "diversify_passes": _passes,
+    "single_pass": _single,
+    "finalized_order": _final,
+    "citation_records": lambda spark: rank.citation_records(_ranked(spark)).select("query_id", "element_id", "reference", "citation_key", "page", "kind", "score", "snippet"),
+    "short_citations": lambda spark: rank.short_citations(_ranked(spark)),
     "citation_window": lambda spark: rank.citation_window(_ranked(spark), inline.table(spark, "questions")),
-    "diagram_window": lambda spark: rank.diagram_window(inline.table(spark, "figures"), _ranked(spark)),
+    "diagram_window": lambda spark: rank.diagram_window(engine._pictured(_knowledge(spark), _ranked(spark)), inline.table(spark, "questions")),
+    "phrase_probe_titles": lambda spark: retrieve.phrase_probe(inline.table(spark, "elements"), inline.table(spark, "questions"), sections=inline.table(spark, "sections")),
+    "lexical_path": _two(retrieve.lexical_path, "elements", "sections", "questions"),
+    "visual_path": lambda spark: retrieve.visual_path(*_small(spark, "figures", "elements", "sections", "questions")).select("query_id", "figure_id", "score", "text"),
+    "every_manual": lambda spark: retrieve.identifier_probe(inline.table(spark, "elements"), retrieve.for_every_manual(inline.table(spark, "questions").withColumn("manual_id", F.when(F.col("query_id") != 1, F.col("manual_id"))), inline.table(spark, "manuals"))),
     "gate_checks": _gate,
     "numeric_conflicts": _conflicts,
     "route_pages": _two(ingest.route_pages, "pages"),
@@ -399,6 +438,6 @@ for _name, _build in {
     "placed_elements": _two(ingest.placed_elements, "elements", "sections"),
     "query_log": _log,
     "build_edges": lambda spark: engine.build_edges(_knowledge(spark)),
-    "ask": lambda spark: engine.ask(_knowledge(spark), inline.table(spark, "questions")),
+    "ask": lambda spark: _joined(engine.ask(_knowledge(spark), inline.table(spark, "questions")), "citations", "diagrams"),
 }.items():
     _named(_name, _build)

@@ -67,11 +67,18 @@ TABLES: dict[str, tuple[str, list[tuple]]] = {
             (2, "m1", "How do I remove the rotor?", None),
             (3, "m1", "Show me the plate P30201 of the rotor", None),
             (4, "m1", "Is the rotor clearance of 0.30 mm still valid?", "AC77"),
-            (5, "m2", "Checking interval of the valve cover, edition B9", None),
+            (5, "m2", "Checking interval of the valve cover 301-1, edition B9", None),
             (6, "m1", "Rotor data, not the valve cover", None),
             (7, "m2", "Which pistons need replacing?", None),
         ],
     ),
+    "asked": (
+        "query_id long, text string",
+        [
+            (1, "Compare the rotor limits with plate P30101. Do not use the valve cover data, see AB1234-5"), (2, "Is 0.45 mm right for the gap, and is it the same for the casing?"), (3, "Rotor gap, not shaft-seal. Is that a drive-belt? Quote it"),
+            (4, "Which limit holds for A12-03, even if A12-04 (bearing shell gap) looks familiar"), (5, "Torque of D30101 and KN902-1.3"), (6, ""), (7, None), (8, "not the 301-1 sheet but 302-1; avoid P30201."),
+        ],
+    ),
     "hits": (
         "query_id long, element_id long, score double",
         [(1, 103, 9.0), (1, 102, 7.0), (1, 104, 5.0), (1, 121, 1.0), (2, 107, 8.0), (2, 108, 6.0), (2, 106, 4.0), (3, 110, 7.0), (3, 113, 3.0), (4, 107, 9.0), (4, 109, 8.0), (4, 104, 2.0), (5, 120, 6.0), (5, 122, 5.0), (6, 109, 5.0), (6, 104, 4.0), (6, 103, 3.0)],
