@@ -70,11 +70,17 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def few(df: DataFrame, rows: int, a_task: int = 100_000) -> DataFrame:
+    """df, of which the number of rows is known, in no more tasks than these need: many tiny files cost more than they hold."""
+    return df.coalesce(max(8, rows // a_task))
+
+
 def bucketed(df: DataFrame, label: str, keys: list[str], buckets: int) -> tuple[DataFrame, str]:
     """df as a table of sorted buckets in the shared folder, and the table's name: joins by the keys move no row of it."""
     spark = df.sparkSession
     name = f"tidemill_{label}_{uuid.uuid4().hex}"
-    out = df.write.format("parquet").bucketBy(buckets, *keys).sortBy(*keys)
+    # rows are dealt into as many partitions already, unless the session holds another number
+    out = df.coalesce(buckets).write.format("parquet").bucketBy(buckets, *keys).sortBy(*keys)
     out.option("path", _new_path(spark, label)).saveAsTable(name)
     return spark.table(name), name
 

@@ -37,6 +37,8 @@ class LineDedup:
     fan_in: int = 2
     #: Text for which the runs have one bucket; never more buckets than shuffle partitions.
     bucket_bytes: int = 64_000_000
+    #: Text that makes a task at least; input in smaller splits is taken together.
+    task_bytes: int = 16_000_000
 
 
 def key_of(line: Column) -> Column:
@@ -127,6 +129,7 @@ def dropped_lines(docs: DataFrame, how: LineDedup = LineDedup(), index: LineInde
     """
     docs = whole(docs, {"doc_id": "long", "text": "string"})
     (cuts, size), out = _bounds(docs, how.batches), None
+    tasks = max(8, size // how.task_bytes)
     most = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     kept, index = index is not None, index or LineIndex(how, max(1, min(most, -(-size // how.bucket_bytes))))
     for low, high in zip([None, *cuts], [*cuts, None], strict=True):
@@ -135,13 +138,13 @@ def dropped_lines(docs: DataFrame, how: LineDedup = LineDedup(), index: LineInde
             batch = batch.where(F.col("doc_id") > low)
         if high is not None:
             batch = batch.where(F.col("doc_id") <= high)
-        lines = written(_occurrences(batch, how), "lines")
+        lines = written(_occurrences(batch.coalesce(tasks), how), "lines")
         # pre-aggregated before the shuffle: a line that all documents share is one row a task
         first = lines.groupBy(*_KEYS).agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("other"))
         met = index._run(index.meeting(first))
         if kept or high is not None:
             index.add(met.where("known is null").select(*_KEYS, "owner"))
-        seen = written(met.where("known is not null or owner < other").select(*_KEYS, F.coalesce("known", "owner").alias("owner")), "seen")
+        seen = written(met.where("known is not null or owner < other").select(*_KEYS, F.coalesce("known", "owner").alias("owner")).coalesce(tasks), "seen")
         hit = lines.join(seen, _KEYS).where("doc_id <> owner").select("doc_id", "of_text", "at")
         out = hit if out is None else out.unionByName(hit)
     if not kept:

@@ -33,7 +33,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import whole, written
+from .common import few, whole, written
 
 
 @dataclass(frozen=True)
@@ -140,9 +140,8 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of the edges (a, b): root is the smallest node it is connected with.
 
     Alternating large and small stars, each round written to the shared folder, until nothing changes. The
-    smallest neighbours are written too, so both sides of a join come from plain exchanges and Spark may
-    split a node with very many neighbours. As no step has more edges than the first, their number tells
-    how many files are enough.
+    smallest neighbours are written too, so both sides of their join come from plain exchanges and Spark may
+    split a node with very many neighbours. The number of edges tells how many files are enough.
     """
 
     def mark(e: DataFrame) -> tuple:
@@ -150,16 +149,15 @@ def components(edges: DataFrame) -> DataFrame:
 
     e = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     before = mark(e)
-    files = max(8, before[0] // 250_000)
 
     def small_table(df: DataFrame, label: str) -> DataFrame:
-        return written(df.coalesce(files), label)
+        return written(few(df, before[0]), label)
 
     while before[0]:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = small_table(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "low")
-        large = small_table(both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct(), "large")
-        least = small_table(large.groupBy("a").agg(F.min("b").alias("m")), "least")
+        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("x"))
         e = small_table(small.select("x.a", "x.b").where("a <> b").distinct(), "edges")
         after = mark(e)
@@ -248,7 +246,7 @@ def _tighter(large: DataFrame, how: NgramJoin) -> DataFrame:
 
     signed = written(large.select("m", "root", "shingles").mapInArrow(sign, "m long, root long, bands array<long>"), "strict")
     edges = _lead_edges(signed.select("m", "root", F.posexplode("bands").alias("band", "h")), ["root", "band", "h"])
-    return written(components(edges).select(F.col("node").alias("m"), "root"), "parts")
+    return written(few(components(edges).select(F.col("node").alias("m"), "root"), signed.count()), "parts")
 
 
 def near_classes(docs: DataFrame, how: NgramJoin = NgramJoin()) -> DataFrame:
@@ -257,9 +255,10 @@ def near_classes(docs: DataFrame, how: NgramJoin = NgramJoin()) -> DataFrame:
     signed = written(signatures(docs, how), "signatures")
     usable = signed.where("n > 0 and doc_id is not null")
     members = usable.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("bands").alias("bands"))
-    members = written(members.withColumn("m", F.monotonically_increasing_id()), "members")
+    n = usable.count()
+    members = written(few(members, n).withColumn("m", F.monotonically_increasing_id()), "members")
     edges = _lead_edges(members.select("m", F.posexplode("bands").alias("band", "h")), ["band", "h"])
-    groups = written(components(edges).select(F.col("node").alias("m"), "root"), "groups")
+    groups = written(few(components(edges).select(F.col("node").alias("m"), "root"), n), "groups")
     grouped = _sized(groups, how).join(members.select("m", "rep", "d1", "d2", "copies"), "m")
 
     def shingle(batches: Iterator) -> Iterator:
@@ -277,7 +276,7 @@ def near_classes(docs: DataFrame, how: NgramJoin = NgramJoin()) -> DataFrame:
 
     full = docs.join(grouped.withColumnRenamed("rep", "doc_id"), "doc_id").select("m", "root", "blocks", "copies", "d1", "d2", "text")
     full = full.mapInArrow(shingle, "m long, root long, blocks int, copies long, shingles binary")
-    full = written(full, "sets")
+    full = written(few(full, n, 20_000), "sets")
     small, large = full.where("blocks = 1"), full.where("blocks > 1")
     tasks = small.select("root", F.lit(0).alias("i"), F.lit(0).alias("j"), "m", F.lit(0).alias("side"), "copies", "shingles")
     if not large.isEmpty():
@@ -286,11 +285,12 @@ def near_classes(docs: DataFrame, how: NgramJoin = NgramJoin()) -> DataFrame:
         rest = large.select("m", "copies", "shingles").join(dealt, "m").withColumn("p", F.explode(pair))
         # parts of a large group are numbered by a member, as whole groups are, and never share one with these
         tasks = tasks.unionByName(rest.select("root", "p.i", "p.j", "m", "side", "copies", "shingles"))
-    verified = written(tasks.groupBy("root", "i", "j").applyInArrow(_verify(how), "m long, links long, near long"), "verified")
+    verified = tasks.groupBy("root", "i", "j").applyInArrow(_verify(how), "m long, links long, near long")
+    verified = written(few(verified, n, 20_000), "verified")
 
     classes = components(verified.where("m <> near").select(F.col("m").alias("a"), F.col("near").alias("b")))
-    classes = written(classes.select(F.col("node").alias("m"), "root").join(members.select("m", "rep"), "m"), "classes")
-    least = written(classes.groupBy("root").agg(F.min("rep").alias("class")), "least")
+    classes = written(few(classes.select(F.col("node").alias("m"), "root").join(members.select("m", "rep"), "m"), n), "classes")
+    least = written(few(classes.groupBy("root").agg(F.min("rep").alias("class")), n), "least")
     links = verified.groupBy("m").agg(F.sum("links").alias("links"))
     known = members.select("m", "d1", "d2", "rep", "copies").join(links, "m", "left").join(classes.join(least, "root").select("m", "class"), "m", "left")
     known = known.select("d1", "d2", F.coalesce("class", "rep").alias("class"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("links"))

@@ -227,7 +227,7 @@ def pack(docs: DataFrame, how: Packing) -> DataFrame:
         last = width <= how.fan_in
         # the node is a place in the tree, so a group holds fan_in children's bounded rests
         level = level.withColumn("node", F.floor(F.col("node") / how.fan_in).cast("int"))
-        level = written(level.groupBy("node").applyInPandas(_merge(how, last, small), _BINS), "bins")
+        level = written(level.groupBy("node").applyInPandas(_merge(how, last, small), _BINS).coalesce(max(8, width)), "bins")
         final = level.where("not is_open")
         done = final if done is None else done.unionByName(final)
         if last:

@@ -44,7 +44,7 @@ class SuffixDedup:
     shallow: int = 16
     #: Bytes of text for which one bucket is made at least, and what a task gathers before it deals out.
     bucket_bytes: int = 32_000_000
-    flush_bytes: int = 32_000_000
+    flush_bytes: int = 16_000_000
 
 
 #: Bytes of a common prefix that are compared at once, at most.

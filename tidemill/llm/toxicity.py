@@ -180,7 +180,7 @@ def fit(docs: DataFrame, labels: DataFrame, how: Toxicity = Toxicity()) -> Model
     chosen = F.broadcast(positive.unionByName(unlabelled))  # max_positive + max_unlabelled rows at most
     # ids first, then text: of the large table only sampled rows go on; copies of a text count once in each group
     sample = docs.join(chosen, "doc_id").groupBy("kind", F.xxhash64("text").alias("h")).agg(F.min_by("text", "doc_id").alias("text"))
-    sample = written(sample.select("kind", "text"), "sample")
+    sample = written(sample.select("kind", "text").coalesce(8), "sample")  # max_positive + max_unlabelled rows at most
 
     def features(batches: Iterator) -> Iterator:
         for b in batches:
