@@ -288,3 +288,19 @@ _inline("describes_pairs", "hits edges elements sections", f"SELECT x.query_id,
 x AS (SELECT DISTINCT query_id, o.section_id, o.element_id FROM i_hits h JOIN i_elements e USING (element_id) JOIN (SELECT * FROM p UNION SELECT b, a FROM p) y ON y.a = e.section_id JOIN i_elements o ON o.section_id = y.b)""")
 _inline("citation_records", "hits elements sections", f"SELECT query_id, h.element_id, coalesce('Plate ' || e.plate_no, 'Procedure ' || coalesce(e.procedure_no, s.doc_code), 'page ' || e.page) || CASE WHEN coalesce(e.plate_no, e.procedure_no, s.doc_code) IS NOT NULL THEN coalesce(' edition ' || e.edition, '') ELSE '' END AS reference, coalesce(e.plate_no, e.procedure_no, s.doc_code, 'p.' || e.page) AS citation_key, e.page, s.kind, round(score, 6) AS score, left(coalesce(nullif(trim(e.text), ''), {_CELLS}, 'Figure/plate on page ' || e.page), 240) AS snippet FROM i_hits h JOIN i_elements e USING (element_id) LEFT JOIN i_sections s ON s.section_id = e.section_id")
 _inline("short_citations", "hits elements sections", f"SELECT query_id, place, element_id, reference FROM (SELECT rk.query_id, rk.place::INT AS place, rk.element_id, coalesce('Plate ' || e.plate_no, 'Procedure ' || coalesce(e.procedure_no, s.doc_code), 'page ' || e.page) || CASE WHEN coalesce(e.plate_no, e.procedure_no, s.doc_code) IS NOT NULL THEN coalesce(' edition ' || e.edition, '') ELSE '' END AS reference FROM rk JOIN i_elements e USING (element_id) LEFT JOIN i_sections s ON s.section_id = e.section_id) QUALIFY row_number() OVER (PARTITION BY query_id, reference ORDER BY place) = 1", _RANK)
+# worked out by hand from the rules, as the rows are few
+_BOXES = "(VALUES ('m1', 1, 0, 50.0, 50.0, 290.0, 390.0, 'AB1-1', 1), ('m1', 1, 1, 310.0, 50.0, 560.0, 390.0, 'AB1-2', 2), ('m1', 1, 2, 50.0, 420.0, 290.0, 760.0, 'AB1-3', 3), ('m1', 2, 0, 100.0, 100.0, 400.0, 400.0, 'AB2-1', 1), ('m2', 1, 0, 0.0, 0.0, 100.0, 100.0, 'ZZ9-9', 7)) AS v(manual_id, page, panel, x0, y0, x1, y1, code, step)"
+ORACLE_SQL["panel_boxes"] = f"SELECT manual_id, page, panel, x0::DOUBLE AS x0, y0::DOUBLE AS y0, x1::DOUBLE AS x1, y1::DOUBLE AS y1 FROM {_BOXES}"
+ORACLE_SQL["panel_codes"] = f"SELECT manual_id, page, panel, code FROM {_BOXES}"
+ORACLE_SQL["panel_steps"] = f"SELECT manual_id, page, panel, step FROM {_BOXES}"
+ORACLE_SQL["diagram_panels"] = f"SELECT manual_id, page, panel, x0::DOUBLE || ',' || y0::DOUBLE || ',' || x1::DOUBLE || ',' || y1::DOUBLE AS bbox, code, step FROM {_BOXES}"
+ORACLE_SQL["completed_plates"] = "SELECT manual_id, section_id::BIGINT AS section_id, page, 'plate' AS type, text, plate_no, edition, plate_no AS citation_key FROM (VALUES ('m1', NULL, 5, 'P30150', 'P30150', NULL), ('m1', 15, 21, 'Rotor - P30201', 'P30201', 'A1'), ('m2', NULL, 2, 'P99001', 'P99001', NULL)) AS v(manual_id, section_id, page, text, plate_no, edition)"
+_PANELS = f"SELECT manual_id, page, 'figure' AS type, CASE WHEN page = 1 AND panel = 0 AND manual_id = 'm1' THEN 'CODE: XX1-1' || chr(10) || 'STEP: 9' WHEN page = 2 THEN 'CODE: none' || chr(10) || 'turn it' || chr(10) || ' 5. lift' END AS text, CASE WHEN manual_id = 'm1' AND page = 1 THEN 'Rotor - Mounting - ' ELSE '' END || 'step ' || step || ' - ' || code AS caption, code AS figure_ref, panel, code, step FROM {_BOXES}"
+ORACLE_SQL["diagram_elements"] = f"{_PANELS} UNION ALL SELECT 'm1', 1, 'paragraph', 'A text of some forty characters or a little more', NULL, NULL, NULL, NULL, NULL UNION ALL SELECT 'm1', 3, 'figure', NULL, 'Page 3', 'page-3', NULL, NULL, NULL"
+ORACLE_SQL["attached_panels"] = f"SELECT * REPLACE (NULL::VARCHAR AS text) FROM ({_PANELS}) WHERE manual_id = 'm1' AND page = 1 UNION ALL SELECT 'm1', 1, 'paragraph', 'stays', NULL, NULL, NULL, NULL, NULL UNION ALL SELECT 'm1', 3, 'plate', NULL, 'plate', 'y', NULL, NULL, NULL UNION ALL SELECT 'm1', 9, 'figure', NULL, 'alone', 'z', NULL, NULL, NULL"
+# compositions of the statements above
+_DRAWN = " UNION ".join(f"SELECT from_id, to_id, type FROM ({ORACLE_SQL[x]})" for x in ("describes_by_title", "illustrates_plate", "cross_refs", "step_links"))
+_inline("build_edges", "edges", f"{_DRAWN} EXCEPT SELECT from_id, to_id, type FROM i_edges")
+_inline("query_log", "questions hits elements sections", f"SELECT g.query_id, passed, reason, NOT passed AS abstained, CASE WHEN passed THEN coalesce(dump, '{config.Settings.abstain_text}') ELSE '{config.Settings.abstain_text}' END AS answer, text AS query_text, ids AS retrieved, 'rrf' AS fusion_method FROM ({ORACLE_SQL['gate_checks']}) g JOIN i_questions USING (query_id) LEFT JOIN dm USING (query_id)", f"""{_RANK},
+ln AS (SELECT rk.query_id, rk.place, rk.element_id, '[' || coalesce('Plate ' || e.plate_no, 'Procedure ' || coalesce(e.procedure_no, s.doc_code), 'page ' || e.page) || CASE WHEN coalesce(e.plate_no, e.procedure_no, s.doc_code) IS NOT NULL THEN coalesce(' edition ' || e.edition, '') ELSE '' END || '] ' || left(coalesce(nullif(trim(e.text), ''), {_CELLS}, ''), 240) AS t FROM rk JOIN i_elements e USING (element_id) LEFT JOIN i_sections s ON s.section_id = e.section_id),
+dm AS (SELECT query_id, string_agg(t, chr(10) ORDER BY place) FILTER (WHERE place <= 5) AS dump, string_agg(element_id::VARCHAR, ',' ORDER BY place) AS ids FROM ln GROUP BY query_id)""")

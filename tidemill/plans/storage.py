@@ -10,9 +10,11 @@ from pyspark.sql import DataFrame
 def settle(df: DataFrame) -> DataFrame:
     """df as a reliable checkpoint, so that a plan used many times is run once.
 
-    spark.checkpoint.dir names the folder; only where it is unset (local runs, tests) one of our own is made.
+    spark.checkpoint.dir names the folder; only where it is unset and all run on this machine one of our own is made.
     """
     spark = df.sparkSession
     if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='tidemill-')}")
     return df.checkpoint()
