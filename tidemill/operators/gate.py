@@ -13,8 +13,9 @@ CONDITION = r"(?:^|[^a-z0-9])([0-9]+ *% *(?:mcr|load)|mcr|cold start|overload|id
 
 
 def current_editions(sections: DataFrame) -> DataFrame:
-    """The greatest edition of each code a section goes by."""
-    keys = sections.select("manual_id", T.edition_key(F.col("edition")).alias("edition"), F.explode(F.array_distinct(F.filter(F.array("procedure_no", "plate_no", "doc_code"), lambda c: c.isNotNull()))).alias("code"))
+    """The greatest edition of each code a section goes by: procedure, plate, document and citation key."""
+    names = [c for c in ("procedure_no", "plate_no", "doc_code", "citation_key") if c in sections.columns]
+    keys = sections.select("manual_id", T.edition_key(F.col("edition")).alias("edition"), F.explode(F.array_distinct(F.filter(F.array(*names), lambda c: c.isNotNull()))).alias("code"))
     return keys.where("edition is not null").groupBy("manual_id", "code").agg(F.max("edition").alias("current"))
 
 

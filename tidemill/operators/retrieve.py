@@ -233,15 +233,21 @@ def dedup_best(hits: DataFrame) -> DataFrame:
     return hits.groupBy("query_id", "element_id").agg(F.max("score").alias("score"))
 
 
-def rrf(lists: Sequence[DataFrame], k: int = config.RRF_K, limit: int = config.FUSED) -> DataFrame:
-    """Reciprocal-rank fusion: the sum of 1 / (k + rank) over the lists; ties keep the order in which they were first seen."""
+def rrf(lists: Sequence[DataFrame], k: int = config.RRF_K, limit: int = config.FUSED, carried: Sequence[str] = ()) -> DataFrame:
+    """Reciprocal-rank fusion: the sum of 1 / (k + rank) over the lists; ties keep the order in which they were first seen.
+
+    carried: columns, such as an image, that some lists have; a hit keeps the value that its best-placed copy with one has.
+    """
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "element_id")
     rows = None
     for n, hits in enumerate(lists):
-        one = dedup_best(hits).withColumn("rank", F.row_number().over(w)).select("query_id", "element_id", "rank", F.lit(n).alias("list"))
+        extra = [F.max_by(c, F.when(F.col(c).isNotNull(), F.col("score"))).alias(c) if c in hits.columns else F.lit(None).cast("string").alias(c) for c in carried]
+        best = hits.groupBy("query_id", "element_id").agg(F.max("score").alias("score"), *extra) if carried else dedup_best(hits)
+        one = best.withColumn("rank", F.row_number().over(w)).select("query_id", "element_id", "rank", F.lit(n).alias("list"), *carried)
         rows = one if rows is None else rows.unionByName(one)
-    fused = rows.groupBy("query_id", "element_id").agg(F.round(F.sum(1.0 / (k + F.col("rank"))), 9).alias("score"), F.min(F.struct("list", "rank")).alias("first"))
-    return top(fused, ["query_id"], [F.desc("score"), "first.list", "first.rank", "element_id"], limit).select("query_id", "element_id", "score")
+    kept = [F.min_by(c, F.when(F.col(c).isNotNull(), F.struct("rank", "list"))).alias(c) for c in carried]
+    fused = rows.groupBy("query_id", "element_id").agg(F.round(F.sum(1.0 / (k + F.col("rank"))), 9).alias("score"), F.min(F.struct("list", "rank")).alias("first"), *kept)
+    return top(fused, ["query_id"], [F.desc("score"), "first.list", "first.rank", "element_id"], limit).select("query_id", "element_id", "score", *carried)
 
 
 def rerank(hits: DataFrame, order: DataFrame, window: int = config.RERANK_WINDOW) -> DataFrame:

@@ -62,7 +62,7 @@ def expanded(k: Knowledge, hits: DataFrame, questions: DataFrame) -> DataFrame:
     pairs = rank.kind_pairs(lead, k.elements, k.sections).unionByName(rank.describes_pairs(lead, k.edges, k.elements, k.sections))
     rows = settle(rank.pin_pairs(_joined(k, rows, pairs, 4, True, "kind pair")))
     own = rows.select("query_id", "element_id", "score")
-    rows = _joined(k, rows, rank.section_mates(own, k.elements), 5, False, "section mate")
+    rows = _joined(k, rows, rank.section_mates(own, k.elements, k.sections, questions), 5, False, "section mate")
     lists = rank.list_siblings(own, k.elements)
     rows = _joined(k, rows, _elements(lists.where("pinned")), 6, True, "limit")
     rows = _joined(k, rows, _elements(lists.where("not pinned")), 7, False, "list")

@@ -161,18 +161,23 @@ _inline("xref_hop", "hits edges elements", f"SELECT x.query_id, x.element_id, 6.
 _inline("panel_hop", "hits edges elements", f"SELECT x.query_id, x.element_id, 12.0::DOUBLE AS score FROM x {_NEW}", "x AS (SELECT DISTINCT query_id, from_id AS element_id FROM i_hits JOIN i_edges ON element_id = to_id WHERE type = 'illustrates_step')")
 _inline("kind_pairs", "hits elements sections", f"SELECT x.query_id, x.element_id, 10.0::DOUBLE AS score FROM x {_NEW} QUALIFY row_number() OVER (PARTITION BY x.query_id ORDER BY page, x.element_id) <= 8", """s AS (SELECT *, trim(regexp_replace(lower(component_title), '[ ,-]+(data|checking|dismantling|mounting|overhaul|plate)$', '')) AS stem, regexp_extract(procedure_no, '^([0-9]{3}-[0-9]+)', 1) AS ps FROM i_sections WHERE kind IN ('data', 'procedure')),
 x AS (SELECT DISTINCT h.query_id, e2.element_id FROM i_hits h JOIN i_elements e USING (element_id) JOIN s a ON a.section_id = e.section_id JOIN s b ON a.manual_id = b.manual_id AND a.kind <> b.kind AND (a.stem = b.stem OR a.ps = b.ps) JOIN i_elements e2 ON e2.section_id = b.section_id)""")
-_inline("section_mates", "hits elements", f"SELECT x.query_id, x.element_id, 7.0::DOUBLE AS score FROM x {_NEW} QUALIFY row_number() OVER (PARTITION BY x.query_id ORDER BY CASE e.type WHEN 'table' THEN 0 WHEN 'list' THEN 1 ELSE 2 END, page, x.element_id) <= 8", "x AS (SELECT DISTINCT query_id, b.element_id FROM i_hits JOIN i_elements a USING (element_id) JOIN i_elements b ON a.section_id = b.section_id)")
+_inline("section_mates", "hits elements sections questions", "SELECT query_id, element_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id, rn > 6 AND type = 'table' ORDER BY score DESC, element_id) AS late FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, element_id) AS rn FROM v)) WHERE rn <= 6 OR (type = 'table' AND late <= 2)", f"""{_INTENT},
+src AS (SELECT DISTINCT h.query_id, e.section_id FROM i_hits h JOIN i_elements e USING (element_id) JOIN i_sections s ON s.section_id = e.section_id JOIN it ON it.query_id = h.query_id WHERE s.kind IN ('data', 'procedure', 'schedule') OR (s.kind = 'plate' AND wants_figure)),
+m AS (SELECT src.query_id, e.element_id, e.type, e.text, lower(coalesce(nullif(trim(e.text), ''), {_CELLS.replace('table_json', 'e.table_json')}, '')) AS raw, wants_figure AS vis, regexp_matches(lt, 'shut off|shut-off|lubricat|precaution|safety|mass|lifting') AS care, tokens FROM src JOIN i_elements e USING (section_id) JOIN it USING (query_id) WHERE e.type IN ('paragraph', 'table', 'heading', 'list') AND NOT EXISTS (SELECT 1 FROM i_hits h WHERE h.query_id = src.query_id AND h.element_id = e.element_id)),
+f AS (SELECT *, regexp_replace(raw, '[-_/]', ' ', 'g') AS b FROM m QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN vis THEN regexp_matches(lower(coalesce(text, '')), 'callout|item no|item description') WHEN care THEN regexp_matches(lower(coalesce(text, '')), 'shut off|precaution|safety check|lubricating oil|mass|kg') ELSE type = 'table' END DESC, CASE WHEN vis THEN type <> 'heading' WHEN care THEN type IN ('paragraph', 'list') ELSE true END DESC, length(coalesce(text, '')) DESC, element_id) <= 32),
+c AS (SELECT *, len(list_filter(tokens, lambda v: (length(v) >= 4 OR regexp_matches(v, '^[0-9]')) AND contains(b, v))) AS t, len(list_filter(tokens, lambda v: length(v) >= 5 AND contains(b, v))) AS d, len(list_filter(tokens, lambda v: length(v) >= 5 AND regexp_matches(v, '^[0-9]') AND contains(b, v))) AS nd FROM f),
+v AS (SELECT query_id, element_id, type, round(7 + CASE WHEN b = '' THEN 0 ELSE 4 * d + CASE WHEN length(b) < 400 THEN 6 * d ELSE 0 END + 8 * nd + CASE WHEN type = 'list' AND regexp_matches(b, 'minute|hour|must not exceed|keep under') THEN 6 ELSE 0 END + CASE WHEN t < 2 THEN 0 WHEN length(b) < 500 THEN 3 + 1.5::DOUBLE * t ELSE least(8, 0.6::DOUBLE * t) END + CASE WHEN type IN ('list', 'heading') AND (d > 0 OR t >= 2) THEN 4 ELSE 0 END END, 6)::DOUBLE AS score FROM c)""")
 _inline("list_siblings", "hits elements", f"SELECT x.query_id, x.element_id, CASE WHEN regexp_matches(lower(text), 'must not exceed|keep under|minute|hour') THEN 20.0 ELSE 0 END::DOUBLE AS score, regexp_matches(lower(text), 'must not exceed|keep under|minute|hour') AS pinned FROM x {_NEW} AND e.type IN ('list', 'heading') QUALIFY row_number() OVER (PARTITION BY x.query_id ORDER BY length(text), x.element_id) <= 8", "x AS (SELECT DISTINCT query_id, b.element_id FROM i_hits JOIN i_elements a USING (element_id) JOIN i_elements b ON a.procedure_no = b.procedure_no AND a.manual_id = b.manual_id)")
 _inline("table_code_siblings", "hits elements questions", f"SELECT x.query_id, x.element_id, 8.0::DOUBLE AS score FROM x {_NEW} QUALIFY row_number() OVER (PARTITION BY x.query_id ORDER BY x.element_id) <= 4", f"c AS (SELECT DISTINCT manual_id, element_id, unnest(regexp_extract_all(concat_ws(' ', text, table_json), '{_ROW}')) AS code FROM i_elements), a AS (SELECT query_id, manual_id, unnest(regexp_extract_all(text, '{_ROW}')) AS code FROM i_questions UNION SELECT query_id, manual_id, code FROM i_hits JOIN c USING (element_id)), x AS (SELECT DISTINCT query_id, c.element_id FROM a JOIN c USING (manual_id, code))")
 _inline("step_panels", "hits elements figures", "SELECT DISTINCT query_id, figure_id, f.element_id, 12.0::DOUBLE AS score FROM i_hits JOIN i_elements e USING (element_id) JOIN i_figures f ON f.manual_id = e.manual_id AND f.page = e.page AND f.step = coalesce(e.step, TRY_CAST(regexp_extract(e.text, '^ *([0-9]{1,2})\\. ', 1) AS INT)) WHERE f.element_id IS NOT NULL")
 _CAND = "cd AS (SELECT h.query_id, h.element_id, h.score, e.*  EXCLUDE (element_id, manual_id), s.kind, s.component_title, s.action_title, s.doc_code, s.path, q.text AS question FROM i_hits h JOIN i_elements e USING (element_id) LEFT JOIN i_sections s ON s.section_id = e.section_id JOIN i_questions q ON q.query_id = h.query_id)"
 _inline("named_exact", "hits elements sections questions", "SELECT query_id, element_id, round(score + CASE WHEN hit THEN 40 ELSE 0 END, 6)::DOUBLE AS score, hit AS pinned FROM x", f"{_CAND}, x AS (SELECT *, list_has_any({_ids('question')}, list_filter([procedure_no, plate_no, doc_code, drawing_code], lambda c: c IS NOT NULL)) AS hit FROM cd)")
 _WEAK = _list(config.WEAK_TITLE_WORDS)
-_inline("component_priority", "hits elements sections questions", "SELECT query_id, element_id, round(score + CASE WHEN len(component) = 0 THEN 0 ELSE CASE WHEN strong THEN 18 WHEN n = 1 THEN 8 WHEN t = 0 THEN -12 ELSE 0 END + 6 * t END, 6)::DOUBLE AS score, strong AND len(component) > 0 AS pinned FROM y", f"""{_INTENT}, {_CAND},
-x AS (SELECT cd.*, component, lower(concat_ws(' ', component_title, replace(path, '/', ' '))) AS title FROM cd JOIN it USING (query_id)),
-cp AS (SELECT query_id, list_concat(list_concat(list_transform(range(1, len(component)), lambda i: component[i] || ' ' || component[i + 1]), list_transform(list_filter(range(1, len(component) - 1), lambda i: length(component[i]) >= 5 AND length(component[i + 2]) >= 3), lambda i: component[i] || ' ' || component[i + 2])), list_transform(range(1, len(component) - 1), lambda i: component[i] || ' ' || component[i + 1] || ' ' || component[i + 2])) AS cps FROM it),
-z AS (SELECT x.*, cps, len(list_filter(component, lambda c: length(c) >= 4 AND NOT list_contains({_WEAK}, c) AND contains(title, c))) AS n, len(list_filter(component, lambda c: length(c) >= 4 AND contains(lower(coalesce(text, '')), c))) AS t FROM x JOIN cp USING (query_id)),
-y AS (SELECT *, n >= 2 OR len(list_filter(cps, lambda p: contains(title, p))) > 0 AS strong FROM z)""")
+_inline("component_priority", "hits elements sections questions", "SELECT query_id, element_id, round(score + CASE WHEN strong THEN 18 WHEN tn = 1 THEN 8 WHEN hn > 0 THEN 6 * hn WHEN title <> '' AND len(special) > 0 AND NOT loose THEN -12 ELSE 0 END - CASE WHEN foreign_words AND tn < 3 THEN 14 ELSE 0 END, 6)::DOUBLE AS score, strong AS pinned FROM y", f"""{_QT}, {_CAND},
+x AS (SELECT cd.*, tokens, phrases[1:12] AS ps, lower(coalesce(component_title, '')) AS title, concat_ws(' ', lower(coalesce(component_title, '')), lower(replace(path, '/', ' ')), lower(action_title)) AS about, list_filter(tokens, lambda t: length(t) >= 5 AND NOT list_contains({_WEAK}, t)) AS special FROM cd JOIN ph USING (query_id)),
+z AS (SELECT *, len(list_filter(special, lambda t: contains(about, t))) AS hn, len(list_filter(special, lambda t: contains(title, t))) AS tn, len(list_filter(ps, lambda p: contains(about, p) AND (len(list_filter(special, lambda t: NOT list_contains(string_split(p, ' '), t))) = 0 OR len(list_filter(special, lambda t: NOT list_contains(string_split(p, ' '), t) AND contains(about, t))) > 0))) > 0 AS phrase,
+  len(list_filter(regexp_extract_all(title, '[a-z]{{5,}}'), lambda w: NOT list_contains(tokens, w) AND NOT list_contains({_WEAK}, w))) > 0 AS foreign_words, len(list_filter(tokens, lambda t: length(t) >= 4 AND NOT list_contains({_WEAK}, t) AND contains(title, t))) > 0 AS loose FROM x),
+y AS (SELECT *, phrase OR (tn >= 2 AND (hn = len(special) OR tn >= 3)) AS strong FROM z)""")
 _inline("negation_demote", "hits elements sections questions", "SELECT query_id, element_id, CASE WHEN query_id = 6 AND contains(lower(concat_ws(' ', component_title, text)), 'valve') AND contains(lower(concat_ws(' ', component_title, text)), 'cover') THEN score - 25 ELSE score END AS score, false AS pinned FROM cd", _CAND)
 _inline("weak_titles", "hits elements sections questions", "SELECT query_id, element_id, CASE WHEN max(n) OVER (PARTITION BY query_id) >= 2 AND n = 0 THEN score - 18 ELSE score END AS score, false AS pinned FROM x", f"{_QT}, {_CAND}, x AS (SELECT cd.*, len(list_filter(tokens, lambda c: length(c) >= 4 AND NOT list_contains({_WEAK}, c) AND contains(lower(coalesce(component_title, '')), c))) AS n FROM cd JOIN tk USING (query_id))")
 _inline("final_boost", "hits elements sections questions", """SELECT query_id, element_id, round(score + CASE WHEN b = '' THEN 0 ELSE 4 * d + CASE WHEN length(b) < 400 THEN 6 * d ELSE 0 END + 8 * nd + CASE WHEN type = 'list' AND regexp_matches(b, 'minute|hour|must not exceed|keep under') THEN 6 ELSE 0 END
@@ -304,3 +309,7 @@ _inline("build_edges", "edges", f"{_DRAWN} EXCEPT SELECT from_id, to_id, type FR
 _inline("query_log", "questions hits elements sections", f"SELECT g.query_id, passed, reason, NOT passed AS abstained, CASE WHEN passed THEN coalesce(dump, '{config.Settings.abstain_text}') ELSE '{config.Settings.abstain_text}' END AS answer, text AS query_text, ids AS retrieved, 'rrf' AS fusion_method FROM ({ORACLE_SQL['gate_checks']}) g JOIN i_questions USING (query_id) LEFT JOIN dm USING (query_id)", f"""{_RANK},
 ln AS (SELECT rk.query_id, rk.place, rk.element_id, '[' || coalesce('Plate ' || e.plate_no, 'Procedure ' || coalesce(e.procedure_no, s.doc_code), 'page ' || e.page) || CASE WHEN coalesce(e.plate_no, e.procedure_no, s.doc_code) IS NOT NULL THEN coalesce(' edition ' || e.edition, '') ELSE '' END || '] ' || left(coalesce(nullif(trim(e.text), ''), {_CELLS}, ''), 240) AS t FROM rk JOIN i_elements e USING (element_id) LEFT JOIN i_sections s ON s.section_id = e.section_id),
 dm AS (SELECT query_id, string_agg(t, chr(10) ORDER BY place) FILTER (WHERE place <= 5) AS dump, string_agg(element_id::VARCHAR, ',' ORDER BY place) AS ids FROM ln GROUP BY query_id)""")
+
+_TERMS = f"{_QT}, te AS (SELECT query_id, manual_id, unnest(list_distinct(list_filter(list_transform(tokens[1:10], lambda t: regexp_replace(t, '[^a-z0-9]', '', 'g')), lambda t: length(t) >= 3))) AS term FROM ph), nt AS (SELECT query_id, count(*) AS nt FROM te GROUP BY query_id), mt AS (SELECT query_id, element_id, count(*) AS n, any_value(length(text)) AS size, any_value(page) AS page FROM te JOIN (SELECT manual_id, element_id, text, page, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]{{3,}}'))) AS term FROM i_elements WHERE text IS NOT NULL) USING (manual_id, term) GROUP BY query_id, element_id)"
+_inline("lexical_or_inline", "elements questions", "SELECT query_id, element_id, (n + 1.0)::DOUBLE AS score FROM mt QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY n DESC, size DESC, page, element_id) <= 20", _TERMS)
+_inline("lexical_and_inline", "elements questions", "SELECT query_id, element_id, (n + 0.5)::DOUBLE AS score FROM mt JOIN nt USING (query_id) WHERE n = nt QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY n DESC, size DESC, page, element_id) <= 10", _TERMS)

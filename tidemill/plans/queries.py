@@ -368,7 +368,9 @@ for _name, _build in {
     "xref_hop": _hops,
     "panel_hop": _panel_hops,
     "kind_pairs": _two(rank.kind_pairs, "hits", "elements", "sections"),
-    "section_mates": _two(rank.section_mates, "hits", "elements"),
+    "section_mates": _two(rank.section_mates, "hits", "elements", "sections", "questions"),
+    "lexical_and_inline": _two(retrieve.lexical_and, "elements", "questions"),
+    "lexical_or_inline": _two(retrieve.lexical_or, "elements", "questions"),
     "list_siblings": _two(rank.list_siblings, "hits", "elements"),
     "table_code_siblings": _two(rank.table_code_siblings, "hits", "elements", "questions"),
     "step_panels": _two(rank.step_panels, "hits", "elements", "figures"),
