@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -14,6 +15,11 @@ def any_of(tests: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, tests) if tests else F.lit(False)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)``, where value stands in the plan once however often body uses it."""
+    return F.get(F.transform(F.array(value), lambda v: body(v)), F.lit(0))
+
+
 def blank_to_null(x: Column) -> Column:
     return F.nullif(F.trim(x), F.lit(""))
 
@@ -90,13 +96,17 @@ def content_tokens(query: Column) -> Column:
 
 def phrases(tokens: Column) -> Column:
     """Eight bigrams, then skip-grams (first of five letters, other of three at least), the other bigrams, trigrams."""
+    return let(tokens, _phrases)
+
+
+def _phrases(tokens: Column) -> Column:
     n = F.size(tokens)
     upto = lambda k: F.when(n >= k, F.sequence(F.lit(0), n - k)).otherwise(F.array().cast("array<int>"))
     at = lambda i: F.get(tokens, i)
     two = F.transform(upto(2), lambda i: F.concat_ws(" ", at(i), at(i + 1)))
     skip = F.transform(F.filter(upto(3), lambda i: (F.char_length(at(i)) >= 5) & (F.char_length(at(i + 2)) >= 3)), lambda i: F.concat_ws(" ", at(i), at(i + 2)))
     three = F.transform(upto(3), lambda i: F.concat_ws(" ", at(i), at(i + 1), at(i + 2)))
-    return F.concat(F.slice(two, 1, 8), skip, F.slice(two, 9, 1000), three)
+    return let(two, lambda pairs: F.concat(F.slice(pairs, 1, 8), skip, F.slice(pairs, 9, 1000), three))
 
 
 def or_terms(tokens: Column) -> Column:
@@ -196,20 +206,33 @@ def intent(query: Column) -> Column:
 
     A verdict needs data and a procedure; a named code makes each of these two imply the other; "which" with data asks for a verdict.
     """
-    low, tokens = F.lower(query), content_tokens(query)
+    return let(F.struct(query.alias("text"), F.lower(query).alias("low"), content_tokens(query).alias("tokens"), identifiers(query).alias("codes")), _intent)
+
+
+def _intent(q: Column) -> Column:
+    low, tokens = q["low"], q["tokens"]
     table = lambda words: F.array(*map(F.lit, words))
     has = lambda words: F.arrays_overlap(tokens, table(words))
-    figure = any_of([low.contains(w) for w in (*config.FIGURE_WORDS, "show me", "show the")]) | F.upper(query).rlike(f"{config.PLATE_PATTERN}|{config.DRAWING_PATTERN}")
+    figure = any_of([low.contains(w) for w in (*config.FIGURE_WORDS, "show me", "show the")]) | F.upper(q["text"]).rlike(f"{config.PLATE_PATTERN}|{config.DRAWING_PATTERN}")
     gap = "[^a-z](?:.{0,46}[^a-z])?"
     decide = has(config.DECISION_WORDS) | low.rlike(rf"(?:^|[^a-z])(?:(?:above|below){gap}(?:{_SOURCES})|(?:{_SOURCES}){gap}(?:above|below))(?:[^a-z]|$)")
-    data = has(config.DATA_WORDS) | low.rlike(rf"[0-9] *({'|'.join(config.UNITS)})([^a-z]|$)")
-    schedule = has(config.SCHEDULE_WORDS) | low.rlike(r"[0-9] *(h|hours)([^a-z]|$)")
-    work = F.array_intersect(tokens, table(config.PROCEDURE_WORDS))
-    proc = decide | ((F.size(work) > 0) & (low.startswith("how ") | has(config.ACTION_TOKENS) | ~data | (F.size(F.array_except(work, table(config.FITTING_TOKENS))) > 0)))
-    named = F.size(F.concat(codes_in(query, config.DOC_CODE_PATTERN), codes_in(query, config.PROCEDURE_PATTERN))) > 0
-    data = data | decide
-    proc = proc | (named & data)
-    data = data | (named & proc)
-    which = low.rlike("(^|[^a-z])which([^a-z]|$)") & data
+    first = F.struct(
+        decide.alias("decide"), (has(config.DATA_WORDS) | low.rlike(rf"[0-9] *({'|'.join(config.UNITS)})([^a-z]|$)")).alias("data"), (has(config.SCHEDULE_WORDS) | low.rlike(r"[0-9] *(h|hours)([^a-z]|$)")).alias("schedule"),
+        F.array_intersect(tokens, table(config.PROCEDURE_WORDS)).alias("work"), F.exists(q["codes"], lambda c: c.rlike(f"^(?:{config.DOC_CODE_PATTERN}|{config.PROCEDURE_PATTERN})$")).alias("named"), low.rlike("(^|[^a-z])which([^a-z]|$)").alias("which"),
+    )
+
+    def second(f: Column) -> Column:
+        asked = low.startswith("how ") | has(config.ACTION_TOKENS) | ~f["data"] | (F.size(F.array_except(f["work"], table(config.FITTING_TOKENS))) > 0)
+        return F.struct(f["decide"].alias("decide"), (f["data"] | f["decide"]).alias("data"), (f["decide"] | ((F.size(f["work"]) > 0) & asked)).alias("proc"), f["schedule"].alias("schedule"), f["named"].alias("named"), f["which"].alias("which"))
+
+    def third(f: Column) -> Column:
+        proc = f["proc"] | (f["named"] & f["data"])
+        return F.struct(f["decide"].alias("decide"), (f["data"] | (f["named"] & proc)).alias("data"), proc.alias("proc"), f["schedule"].alias("schedule"), f["which"].alias("which"))
+
     component = F.filter(tokens, lambda t: ~F.array_contains(table(config.DATA_WORDS), t) & ~F.array_contains(table(config.PROCEDURE_WORDS), t))
-    return F.struct(tokens.alias("tokens"), component.alias("component_tokens"), identifiers(query).alias("codes"), figure.alias("wants_figure"), data.alias("wants_data"), (proc | which | schedule).alias("wants_proc"), (decide | which).alias("wants_decision"), schedule.alias("wants_schedule"))
+
+    def last(f: Column) -> Column:
+        which = f["which"] & f["data"]
+        return F.struct(tokens.alias("tokens"), component.alias("component_tokens"), q["codes"].alias("codes"), figure.alias("wants_figure"), f["data"].alias("wants_data"), (f["proc"] | which | f["schedule"]).alias("wants_proc"), (f["decide"] | which).alias("wants_decision"), f["schedule"].alias("wants_schedule"))
+
+    return let(first, lambda a: let(second(a), lambda b: let(third(b), last)))

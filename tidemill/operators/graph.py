@@ -84,13 +84,29 @@ def plates_by_code(sections: DataFrame, elements: DataFrame) -> DataFrame:
     return best.select("from_id", F.col("element_id").alias("to_id"), F.lit("illustrates").alias("type"))
 
 
-def cross_references(elements: DataFrame, sections: DataFrame) -> DataFrame:
-    """Edges from texts that refer to a number: "see", "refer to", "as per" and the like, then words, then the number."""
+def own_data(elements: DataFrame, sections: DataFrame) -> DataFrame:
+    """Texts that say "see data" without a number point at the first element of their component's data sheet."""
+    bare = r"(?i)(?:^|[^a-z])(?:see|refer to|as per|according to|acc\. to) +(?:the +)?data(?: sheet)?[ .,;)]*(?:$|[a-z(]|\n)"
+    key = F.trim(F.lower("component_title"))
+    said = elements.where(F.col("text").rlike(bare)).select("element_id", "section_id").join(sections.select("section_id", "manual_id", key.alias("key")), "section_id")
+    sheets = sections.where("kind = 'data'").select("section_id", "manual_id", key.alias("key")).join(first_elements(elements), "section_id").join(elements.select("element_id", "page"), "element_id")
+    first = sheets.groupBy("manual_id", "key").agg(F.min_by("element_id", F.struct("page", "element_id")).alias("to_id"))
+    rows = said.select("manual_id", "key", F.col("element_id").alias("from_id")).join(first, ["manual_id", "key"])
+    return rows.where("from_id <> to_id").select("from_id", "to_id", F.lit("references_data").alias("type"))
+
+
+def cross_references(elements: DataFrame, sections: DataFrame, conventions: DataFrame | None = None) -> DataFrame:
+    """Edges from texts that refer to a number: "see", "refer to", "as per" and the like, then words, then the number; with conventions, also to what a manual's own words and pattern name."""
     verb = r"(?i)(?:see|refer to|as per|according to|acc\. to) +(?:the +)?(?:data|section|plate|procedure|sheet)? *"
     number = rf"({config.PROCEDURE_PATTERN}|{config.PLATE_PATTERN}|{config.DOC_CODE_PATTERN})"
     also = rf"(?i)(?:and|or) +(?:data|section|plate) +{number}"
     hits = F.concat(F.regexp_extract_all("text", F.lit(verb + number), F.lit(1)), F.regexp_extract_all("text", F.lit(also), F.lit(1)))
     refs = elements.select("manual_id", F.col("element_id").alias("from_id"), F.lower("text").alias("low"), F.explode(F.array_distinct(hits)).alias("ref")).withColumn("ref", F.upper("ref"))
+    if conventions is not None:
+        from .conventions import references
+
+        more = references(elements, conventions).select("manual_id", F.col("element_id").alias("from_id"), F.lower(F.concat_ws(" ", "label", "ref")).alias("low"), "ref")
+        refs = refs.unionByName(more.select(refs.columns)).groupBy("manual_id", "from_id", "ref").agg(F.max("low").alias("low"))
     refs = refs.withColumn("as_data", F.col("low").contains(F.concat(F.lit("data "), F.lower("ref"))))
     keys = sections.select("manual_id", "section_id", "kind", F.explode(F.array_distinct(F.filter(F.array("procedure_no", "plate_no", "doc_code"), lambda c: c.isNotNull()))).alias("ref"))
     targets = keys.join(first_elements(elements), "section_id").withColumnRenamed("element_id", "to_id")
@@ -101,7 +117,7 @@ def cross_references(elements: DataFrame, sections: DataFrame) -> DataFrame:
     rows = exact.unionByName(longer.select(exact.columns)).where("from_id <> to_id")
     best = top(rows, ["from_id", "ref"], ["key", F.when(F.col("as_data") == (F.col("kind") == "data"), 0).otherwise(1), "to_id"], 1)
     kind = F.when(F.col("kind") == "data", "references_data").when(F.col("kind") == "procedure", "references_section").otherwise("cross_ref")
-    return best.select("from_id", "to_id", kind.alias("type")).distinct()
+    return best.select("from_id", "to_id", kind.alias("type")).unionByName(own_data(elements, sections)).distinct()
 
 
 def step_links(elements: DataFrame, figures: DataFrame) -> DataFrame:

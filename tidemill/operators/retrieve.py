@@ -281,24 +281,41 @@ def route_query(questions: DataFrame) -> DataFrame:
 
 
 def boosts(rows: DataFrame, questions: DataFrame) -> DataFrame:
-    """The additive signals of the single-pass path: codes, sections, phrases, titles, kinds. rows: hits with element and section columns."""
-    q = questions.select("query_id", T.intent(F.col("text")).alias("i"), T.phrases(T.content_tokens(F.col("text"))).alias("ps"))
+    """The additive signals of the single-pass path: codes, numbers, phrases, titles, kinds, values, safety, overlap, verdicts, fitting. rows: hits with element and section columns."""
+    q = questions.select("query_id", T.intent(F.col("text")).alias("i"), T.phrases(T.content_tokens(F.col("text"))).alias("ps"), T.codes_in(F.col("text"), config.PROCEDURE_PATTERN).alias("numbers"))
     title = F.lower(F.concat_ws(" ", "component_title", "action_title"))
     text = F.lower(F.coalesce("text", F.lit("")))
+    action = F.lower(F.coalesce("action_title", F.lit("")))
     i = lambda n: F.col(f"i.{n}")
+    asked = F.array_join("i.tokens", " ")
+    any_in = lambda where, words: T.any_of([where.contains(w) for w in words])
     special = F.filter(i("component_tokens"), lambda t: F.char_length(t) >= 5)
     n_title, n_first = T.contained(title, special), T.contained(title, F.slice(i("tokens"), 1, 8))
-    named = F.size(F.filter(i("codes"), lambda c: F.coalesce(c == F.col("doc_code"), F.lit(False)) | F.upper(text).contains(c)))
-    own = F.size(F.filter(i("codes"), lambda c: F.coalesce(c == F.col("procedure_no"), F.lit(False))))
+    same = lambda c, column: F.coalesce(c == F.col(column), F.lit(False))
+    codes = F.array_except(i("codes"), F.col("numbers"))
+    named = F.size(F.filter(codes, lambda c: same(c, "doc_code") | F.upper(text).contains(c)))
+    own = F.size(F.filter("numbers", lambda c: same(c, "procedure_no")))
+    near = F.size(F.filter("numbers", lambda c: ~same(c, "procedure_no") & (title.contains(c) | text.contains(c))))
     phrase = F.when(F.exists("ps", lambda p: title.contains(p)), 8.0).when(F.exists("ps", lambda p: F.substring(text, 1, 400).contains(p)), 2.5).otherwise(0.0)
     kind, data, proc = F.coalesce("kind", F.lit("other")), i("wants_data"), i("wants_proc")
+    dense = ~proc & (F.char_length(text) > 120) & any_in(text, config.VALUE_CUES)
+    away = action.contains("dismantl") & ~asked.contains("dismantl")
+    verdict = i("wants_decision") | F.arrays_overlap(i("tokens"), F.array(*map(F.lit, config.KEEP_TOKENS)))
     delta = (
-        4.0 * named + 6.0 * own + phrase
+        4.0 * named + 6.0 * own + 2.0 * near + phrase
         + F.when(F.size(special) == 0, 0.0).when(n_title > 0, F.least(F.lit(6.0), 2.0 * n_title)).otherwise(-10.0)
         + F.least(F.lit(2.5), 0.8 * n_first)
-        + F.when(data & (kind == "data"), 3.0).otherwise(0.0)
+        + F.when(data & (kind == "data"), 3.0 + F.when(dense, 2.0).when(text.contains("plate") & text.contains("item no"), -1.5).otherwise(0.0)).otherwise(0.0)
         + F.when(proc & (kind == "procedure"), 3.5).when(proc & ~data & (kind == "data"), 0.5).otherwise(0.0)
         + F.when(~i("wants_figure") & (kind == "plate"), -2.0).otherwise(0.0)
-        + F.when(i("wants_schedule") & (kind == "schedule"), 4.0).when((data | proc) & kind.isin("other", "schedule"), -1.5).otherwise(0.0)
+        + F.when((data | proc) & kind.isin("other", "schedule"), F.when(i("wants_schedule") & (kind == "schedule"), 4.0).otherwise(-1.5)).otherwise(0.0)
+        + F.when((data | asked.contains("shut")) & any_in(text, config.SAFETY_CUES), 2.5).otherwise(0.0)
+        + F.when(data & any_in(text, ("clearance", "torque", "diameter", "wear")), 1.0).otherwise(0.0)
+        + F.when(data & text.contains("nm") & F.concat_ws(" ", title, text).contains("torque"), 0.8).otherwise(0.0)
+        + overlap_score(text, i("tokens"), special, F.col("type"))
+        + F.when(verdict, F.when(action.contains("check"), 3.0).otherwise(0.0) - F.when(away, 5.0).otherwise(0.0)).otherwise(0.0)
+        + F.when(asked.contains("mount"), F.when(F.substring(text, 1, 220).contains("mount") | action.contains("mount"), 3.5).otherwise(0.0) - F.when(away, 3.0).otherwise(0.0)).otherwise(0.0)
     )
-    return rows.join(q, "query_id").withColumn("score", F.round(F.col("score") + delta, 6)).drop("i", "ps")
+    for cue, lifts, word in config.EXCLUSIONS:
+        delta = delta - F.when(asked.contains(cue) & ~asked.contains(lifts) & title.contains(word), 20.0).otherwise(0.0)
+    return rows.join(q, "query_id").withColumn("score", F.round(F.col("score") + delta, 6)).drop("i", "ps", "numbers")

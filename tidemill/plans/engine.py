@@ -36,42 +36,42 @@ def fused(k: Knowledge, questions: DataFrame) -> DataFrame:
     return retrieve.rrf([lexical, structural, visual])
 
 
-def _joined(k: Knowledge, rows: DataFrame, more: DataFrame, step: int, pinned: bool, rule: str) -> DataFrame:
-    """rows with what a rule adds, after all that is there; an element that is there already stays as it is."""
-    new = more.groupBy("query_id", "element_id").agg(F.max("score").alias("score")).join(rows.select("query_id", "element_id"), ["query_id", "element_id"], "left_anti")
-    new = rank.candidates(new, k.elements, k.sections).withColumn("seq", F.col("seq") + step * 1000).withColumn("pinned", F.lit(pinned)).withColumn("rule", F.lit(rule))
-    return rows.unionByName(new)
-
-
-def _elements(figures: DataFrame) -> DataFrame:
-    return figures.select("query_id", "element_id", "score")
+def _joined(k: Knowledge, rows: DataFrame, fetched: list[tuple[DataFrame, int, bool, str]]) -> DataFrame:
+    """rows with what some rules fetch (hits, step, pinned, rule), after all that is there. What is there already stays as it is; what several fetch comes by the first."""
+    every = None
+    for more, step, pinned, rule in fetched:
+        one = more.select("query_id", "element_id", "score", F.lit(step).alias("nth"), F.lit(pinned).alias("pin"), F.lit(rule).alias("by"))
+        every = one if every is None else every.unionByName(one)
+    first = every.groupBy("query_id", "element_id").agg(F.min(F.struct("nth", (-F.col("score")).alias("low"), "pin", "by")).alias("x"))
+    new = first.join(rows.select("query_id", "element_id"), ["query_id", "element_id"], "left_anti").select("query_id", "element_id", (-F.col("x.low")).alias("score"), "x.nth", "x.pin", "x.by")
+    out = rank.candidates(new, k.elements, k.sections).withColumn("seq", F.col("seq") + F.col("nth") * 1000).withColumn("pinned", F.col("pin")).withColumn("rule", F.col("by"))
+    return rows.unionByName(out.drop("nth", "pin", "by").select(rows.columns))
 
 
 def expanded(k: Knowledge, hits: DataFrame, questions: DataFrame) -> DataFrame:
-    """Hits with what the rules fetch, rule by rule, each seeing what those before it added.
+    """Hits with what the rules fetch: named elements and drawings; after component priority the best plate's figures and pairs of kinds; mates, lists, table codes and panels; references.
 
-    Named elements and drawings, component priority, the best plate's figures, pairs of kinds, mates, lists, table codes, panels, references.
+    Each of the four parts sees what those before it added, and is checkpointed.
     """
     rows = rank.named_exact(rank.candidates(hits, k.elements, k.sections), questions)
-    rows = _joined(k, rows, rank.fetch_named(rows, k.elements, k.sections, questions), 1, True, "exact identifier")
-    rows = _joined(k, rows, _elements(rank.fetch_drawings(k.figures, questions)), 2, True, "exact identifier")
-    rows = settle(rank.component_priority(rows, questions))
-    rows = _joined(k, rows, rank.best_plate(rows, k.figures).withColumn("score", F.lit(0.0)), 3, False, "plate figure")
+    named = [(rank.fetch_named(hits, k.elements, k.sections, questions), 1, True, "exact identifier"), (rank.fetch_drawings(k.figures, questions), 2, True, "exact identifier")]
+    rows = settle(rank.component_priority(settle(_joined(k, rows, named)), questions))
+    plate = rank.best_plate(rows, k.figures).withColumn("score", F.lit(0.0))
     lead = retrieve.top(rows, ["query_id"], [F.desc("pinned"), F.desc("score"), "seq"], 12).select("query_id", "element_id", "score")
-    # what is there already is left out by _joined
     pairs = rank.kind_pairs(lead, k.elements, k.sections).unionByName(rank.describes_pairs(lead, k.edges, k.elements, k.sections))
-    rows = settle(rank.pin_pairs(_joined(k, rows, pairs, 4, True, "kind pair")))
+    rows = settle(rank.pin_pairs(_joined(k, rows, [(plate, 3, False, "plate figure"), (pairs, 4, True, "kind pair")])))
     own = rows.select("query_id", "element_id", "score")
-    rows = _joined(k, rows, rank.section_mates(own, k.elements, k.sections, questions), 5, False, "section mate")
     lists = rank.list_siblings(own, k.elements)
-    rows = _joined(k, rows, _elements(lists.where("pinned")), 6, True, "limit")
-    rows = _joined(k, rows, _elements(lists.where("not pinned")), 7, False, "list")
-    rows = _joined(k, rows, rank.table_code_siblings(own, k.elements, questions), 8, False, "table code")
-    rows = _joined(k, rows, _elements(rank.step_panels(own, k.elements, k.figures)), 9, False, "panel")
-    rows = _joined(k, rows, graph.reverse_hop(own, k.edges, k.elements, "illustrates_step", config.MAX_PANELS, config.PANEL), 10, False, "panel")
+    rows = settle(_joined(k, rows, [
+        (rank.section_mates(own, k.elements, k.sections, questions), 5, False, "section mate"),
+        (lists.where("pinned"), 6, True, "limit"), (lists.where("not pinned"), 7, False, "list"),
+        (rank.table_code_siblings(own, k.elements, questions), 8, False, "table code"),
+        (rank.step_panels(own, k.elements, k.figures), 9, False, "panel"),
+        (graph.reverse_hop(own, k.edges, k.elements, "illustrates_step", config.MAX_PANELS, config.PANEL), 10, False, "panel"),
+    ]))
     lead = retrieve.top(rows, ["query_id", "pinned"], [F.desc("score"), "seq"], 8).unionByName(rows.where("pinned")).select("query_id", "element_id", "score").distinct()
     hops = graph.hop(lead, k.edges, k.elements, ("cross_ref", "references_section", "references_data", "references_procedure"), config.MAX_HOPS, config.CROSS_REF)
-    return settle(_joined(k, rows, hops, 11, False, "reference"))
+    return settle(_joined(k, rows, [(hops, 11, False, "reference")]))
 
 
 def _pictured(k: Knowledge, rows: DataFrame) -> DataFrame:
@@ -107,7 +107,7 @@ def single_pass(k: Knowledge, questions: DataFrame) -> DataFrame:
 def finalized(rows: DataFrame, order: DataFrame, k: Knowledge, questions: DataFrame) -> DataFrame:
     """Ranked rows after a service's order of the first of them: pinned ones stay ahead, then the passes again."""
     new = retrieve.rerank(rows.select("query_id", "element_id", "place"), order).withColumnRenamed("place", "given")
-    rows = rows.drop("step").join(new, ["query_id", "element_id"])
+    rows = rows.drop("pass_no").join(new, ["query_id", "element_id"])
     w = Window.partitionBy("query_id").orderBy(F.desc("pinned"), "given")
     rows = rows.withColumn("place", F.row_number().over(w)).drop("given", "image")
     return rank.diversify_passes(_pictured(k, rows), questions)

@@ -151,7 +151,7 @@ _inline("section_parents", "sections", "SELECT a.section_id, b.section_id AS par
 _inline("describes_by_title", "sections elements", "SELECT d.element_id AS from_id, p.element_id AS to_id, 'describes' AS type FROM (SELECT e.*, s.component_title FROM i_elements e JOIN i_sections s USING (section_id) WHERE s.kind = 'data') d JOIN p ON p.manual_id = d.manual_id AND lower(trim(d.component_title)) = p.k", "p AS (SELECT s.manual_id, lower(trim(component_title)) AS k, element_id FROM i_elements e JOIN i_sections s USING (section_id) WHERE s.kind = 'procedure' QUALIFY row_number() OVER (PARTITION BY s.manual_id, k ORDER BY CASE WHEN lower(action_title) = 'checking' THEN 0 ELSE 1 END, length(text) DESC NULLS LAST, element_id) = 1)")
 _FIRST = "fe AS (SELECT section_id, arg_min(element_id, page * 1000 + element_id) AS element_id FROM i_elements WHERE section_id IS NOT NULL GROUP BY section_id)"
 _inline("illustrates_plate", "sections elements", "SELECT a.element_id AS from_id, b.element_id AS to_id, 'illustrates' AS type FROM s a JOIN s b ON a.manual_id = b.manual_id AND a.kind = 'plate' AND b.kind = 'procedure' AND (right(a.doc_code, 4) = right(b.doc_code, 4) OR substr(a.doc_code, 2, 3) = substr(b.doc_code, 2, 3)) QUALIFY row_number() OVER (PARTITION BY a.element_id ORDER BY CASE WHEN right(a.doc_code, 4) = right(b.doc_code, 4) THEN 0 ELSE 1 END, b.section_id) = 1", f"{_FIRST}, s AS (SELECT i_sections.*, element_id FROM i_sections JOIN fe USING (section_id))")
-_inline("cross_refs", "elements sections", "SELECT DISTINCT from_id, to_id, CASE kind WHEN 'data' THEN 'references_data' WHEN 'procedure' THEN 'references_section' ELSE 'cross_ref' END AS type FROM (SELECT from_id, fe.element_id AS to_id, t.kind FROM r JOIN t USING (manual_id, ref) JOIN fe USING (section_id) WHERE from_id <> fe.element_id QUALIFY row_number() OVER (PARTITION BY from_id, ref ORDER BY CASE WHEN contains(low, 'data ' || lower(ref)) = (t.kind = 'data') THEN 0 ELSE 1 END, fe.element_id) = 1)", f"""{_FIRST},
+_inline("cross_refs", "elements sections", "SELECT from_id, to_id, type FROM bd UNION SELECT DISTINCT from_id, to_id, CASE kind WHEN 'data' THEN 'references_data' WHEN 'procedure' THEN 'references_section' ELSE 'cross_ref' END AS type FROM (SELECT from_id, fe.element_id AS to_id, t.kind FROM r JOIN t USING (manual_id, ref) JOIN fe USING (section_id) WHERE from_id <> fe.element_id QUALIFY row_number() OVER (PARTITION BY from_id, ref ORDER BY CASE WHEN contains(low, 'data ' || lower(ref)) = (t.kind = 'data') THEN 0 ELSE 1 END, fe.element_id) = 1)", f"""{_FIRST}, bd AS (SELECT e.element_id AS from_id, f.element_id AS to_id, 'references_data' AS type FROM i_elements e JOIN i_sections s USING (section_id) JOIN i_sections d ON d.manual_id = s.manual_id AND d.kind = 'data' AND lower(trim(d.component_title)) = lower(trim(s.component_title)) JOIN fe f ON f.section_id = d.section_id WHERE regexp_matches(e.text, '(?i)see data') AND NOT regexp_matches(e.text, '(?i)see data [0-9]')),
 r AS (SELECT DISTINCT manual_id, element_id AS from_id, lower(text) AS low, unnest(list_concat(regexp_extract_all(upper(text), '(?:SEE|REFER TO|AS PER|ACCORDING TO|ACC\\. TO) +(?:THE +)?(?:DATA|SECTION|PLATE|PROCEDURE|SHEET)? *({_PROCEDURE}|P[0-9]{{4,6}}|{_CODE})', 1), regexp_extract_all(upper(text), '(?:AND|OR) +(?:DATA|SECTION|PLATE) +({_PROCEDURE}|P[0-9]{{4,6}}|{_CODE})', 1))) AS ref FROM i_elements),
 t AS (SELECT DISTINCT manual_id, section_id, kind, ref FROM (SELECT *, unnest([procedure_no, plate_no, doc_code]) AS ref FROM i_sections) WHERE ref IS NOT NULL)""")
 _inline("step_links", "elements figures", "SELECT f.element_id AS from_id, e.element_id AS to_id, 'illustrates_step' AS type FROM i_figures f JOIN i_elements e USING (manual_id, page) WHERE f.step IS NOT NULL AND f.element_id IS NOT NULL AND e.type NOT IN ('figure', 'plate') AND e.text IS NOT NULL QUALIFY row_number() OVER (PARTITION BY f.element_id ORDER BY CASE WHEN regexp_matches(e.text, '(^|\\n)[ \\t]*' || f.step || '[.][ \\t\\n]') THEN 0 ELSE 1 END, length(e.text) DESC, e.element_id) = 1")
@@ -226,13 +226,20 @@ _inline("fleet_context", "fleet manuals", "SELECT manual_id, equipment_id, f.mod
 _inline("plate_pages", "sections elements", "SELECT manual_id, section_id, plate_no, page::INT AS page FROM (SELECT manual_id, section_id, plate_no, unnest(range(page_start, page_end + 1)) AS page FROM i_sections WHERE kind = 'plate') p WHERE NOT EXISTS (SELECT 1 FROM i_elements e WHERE e.manual_id = p.manual_id AND e.page = p.page AND e.type IN ('plate', 'figure'))")
 
 _inline("route_query", "questions", "SELECT query_id, CASE WHEN wants_figure THEN 'lexical,structural,visual' ELSE 'lexical,structural' END AS labels FROM it", _INTENT)
-_inline("ranking_boosts", "hits elements sections questions", """SELECT query_id, element_id, round(score + 4 * named + 6 * own
+_inline("ranking_boosts", "hits elements sections questions", """SELECT query_id, element_id, round(score + 4 * named + 6 * own + 2 * near
   + CASE WHEN len(list_filter(phrases, lambda p: contains(title, p))) > 0 THEN 8 WHEN len(list_filter(phrases, lambda p: contains(left(low, 400), p))) > 0 THEN 2.5::DOUBLE ELSE 0 END
   + CASE WHEN len(special) = 0 THEN 0 WHEN nt > 0 THEN least(6, 2 * nt) ELSE -10 END + least(2.5::DOUBLE, 0.8::DOUBLE * n8)
-  + CASE WHEN wants_data AND kd = 'data' THEN 3 ELSE 0 END + CASE WHEN wants_proc AND kd = 'procedure' THEN 3.5::DOUBLE WHEN wants_proc AND NOT wants_data AND kd = 'data' THEN 0.5::DOUBLE ELSE 0 END
-  - CASE WHEN NOT wants_figure AND kd = 'plate' THEN 2 ELSE 0 END + CASE WHEN wants_schedule AND kd = 'schedule' THEN 4 WHEN (wants_data OR wants_proc) AND kd IN ('other', 'schedule') THEN -1.5::DOUBLE ELSE 0 END, 6)::DOUBLE AS score FROM z""", f"""{_INTENT}, {_CAND},
-x AS (SELECT cd.*, it.* EXCLUDE (query_id, manual_id, text, named), coalesce(kind, 'other') AS kd, lower(concat_ws(' ', component_title, action_title)) AS title, lower(coalesce(cd.text, '')) AS low, list_filter(component, lambda t: length(t) >= 5) AS special FROM cd JOIN it USING (query_id)),
-z AS (SELECT *, len(list_filter(special, lambda t: contains(title, t))) AS nt, len(list_filter(tokens[1:8], lambda t: contains(title, t))) AS n8, len(list_filter(codes, lambda c: coalesce(c = doc_code, false) OR contains(upper(low), c))) AS named, len(list_filter(codes, lambda c: coalesce(c = procedure_no, false))) AS own FROM x)""")
+  + CASE WHEN wants_data AND kd = 'data' THEN 3 + CASE WHEN NOT wants_proc AND length(low) > 120 AND regexp_matches(low, 'clearance|diameter|torque|pressure|wear|mm|bar|nm|kg|deg|mpa|kpa|rpm|max|min') THEN 2 WHEN contains(low, 'plate') AND contains(low, 'item no') THEN -1.5::DOUBLE ELSE 0 END ELSE 0 END
+  + CASE WHEN wants_proc AND kd = 'procedure' THEN 3.5::DOUBLE WHEN wants_proc AND NOT wants_data AND kd = 'data' THEN 0.5::DOUBLE ELSE 0 END
+  - CASE WHEN NOT wants_figure AND kd = 'plate' THEN 2 ELSE 0 END + CASE WHEN (wants_data OR wants_proc) AND kd IN ('other', 'schedule') THEN CASE WHEN wants_schedule AND kd = 'schedule' THEN 4 ELSE -1.5::DOUBLE END ELSE 0 END
+  + CASE WHEN (wants_data OR contains(asked, 'shut')) AND regexp_matches(low, 'shut off|precaution|safety check|lubricating oil') THEN 2.5::DOUBLE ELSE 0 END + CASE WHEN wants_data AND regexp_matches(low, 'clearance|torque|diameter|wear') THEN 1 ELSE 0 END
+  + CASE WHEN wants_data AND contains(low, 'nm') AND contains(concat_ws(' ', title, low), 'torque') THEN 0.8::DOUBLE ELSE 0 END
+  + CASE WHEN low = '' THEN 0 ELSE 4 * d + CASE WHEN length(b) < 400 THEN 6 * d ELSE 0 END + CASE WHEN type = 'list' AND regexp_matches(b, 'minute|hour|must not exceed|keep under') THEN 6 ELSE 0 END + CASE WHEN t < 2 THEN 0 WHEN length(b) < 500 THEN 3 + 1.5::DOUBLE * t ELSE least(8, 0.6::DOUBLE * t) END + CASE WHEN type IN ('list', 'heading') AND (d > 0 OR t >= 2) THEN 4 ELSE 0 END END
+  + CASE WHEN wants_decision OR list_has_any(tokens, ['stay', 'keep', 'reuse', 'scrap']) THEN CASE WHEN contains(act, 'check') THEN 3 ELSE 0 END - CASE WHEN away THEN 5 ELSE 0 END ELSE 0 END
+  + CASE WHEN contains(asked, 'mount') THEN CASE WHEN contains(left(low, 220), 'mount') OR contains(act, 'mount') THEN 3.5::DOUBLE ELSE 0 END - CASE WHEN away THEN 3 ELSE 0 END ELSE 0 END, 6)::DOUBLE AS score FROM z""", f"""{_INTENT}, {_CAND},
+x AS (SELECT cd.*, it.* EXCLUDE (query_id, manual_id, text, named, d), coalesce(kind, 'other') AS kd, lower(concat_ws(' ', component_title, action_title)) AS title, lower(coalesce(cd.text, '')) AS low, regexp_replace(lower(coalesce(cd.text, '')), '[-_/]', ' ', 'g') AS b, lower(coalesce(action_title, '')) AS act, array_to_string(tokens, ' ') AS asked, list_filter(component, lambda t: length(t) >= 5) AS special, {_codes('question', _PROCEDURE)} AS nums FROM cd JOIN it USING (query_id)),
+z AS (SELECT *, contains(act, 'dismantl') AND NOT contains(asked, 'dismantl') AS away, len(list_filter(special, lambda t: contains(title, t))) AS nt, len(list_filter(tokens[1:8], lambda t: contains(title, t))) AS n8, len(list_filter(codes, lambda c: NOT list_contains(nums, c) AND (coalesce(c = doc_code, false) OR contains(upper(low), c)))) AS named, len(list_filter(nums, lambda c: coalesce(c = procedure_no, false))) AS own, len(list_filter(nums, lambda c: coalesce(c <> procedure_no, true) AND (contains(title, c) OR contains(low, c)))) AS near,
+  len(list_filter(tokens, lambda v: (length(v) >= 4 OR regexp_matches(v, '^[0-9]')) AND contains(b, v))) AS t, len(list_filter(special, lambda v: contains(b, v))) AS d FROM x)""")
 _inline("fetch_named", "hits elements sections questions", f"SELECT x.query_id, x.element_id, 40.0::DOUBLE AS score FROM x {_NEW} QUALIFY row_number() OVER (PARTITION BY x.query_id ORDER BY page, x.element_id) <= 10", f"c AS (SELECT e.manual_id, e.element_id, unnest([e.procedure_no, e.plate_no, s.doc_code, e.drawing_code]) AS code FROM i_elements e LEFT JOIN i_sections s ON s.section_id = e.section_id), q AS (SELECT query_id, manual_id, unnest({_ids('text')}) AS code FROM i_questions), x AS (SELECT DISTINCT query_id, element_id FROM q JOIN c USING (manual_id, code))")
 _inline("fetch_drawings", "figures questions", "SELECT DISTINCT query_id, figure_id, element_id, 48.0::DOUBLE AS score FROM i_figures f JOIN q ON q.manual_id = f.manual_id AND length(code) >= 5 AND (contains(upper(coalesce(drawing_code, '')), code) OR contains(upper(coalesce(label, '')), code)) WHERE element_id IS NOT NULL", f"q AS (SELECT query_id, manual_id, unnest({_ids('text')}) AS code FROM i_questions)")
 _inline("best_plate", "hits elements figures", "SELECT query_id, figure_id, f.element_id FROM b JOIN i_figures f USING (section_id) WHERE f.element_id IS NOT NULL", "b AS (SELECT query_id, section_id FROM i_hits JOIN i_elements USING (element_id) WHERE plate_no IS NOT NULL QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, element_id) = 1)")

@@ -300,7 +300,7 @@ def _pin_pairs(spark: SparkSession) -> DataFrame:
 
 def _passes(spark: SparkSession) -> DataFrame:
     rows = engine._pictured(_knowledge(spark), _ranked(spark))
-    return rank.diversify_passes(rows, inline.table(spark, "questions")).select("query_id", "element_id", "step", "place")
+    return rank.diversify_passes(rows, inline.table(spark, "questions")).select("query_id", "element_id", "pass_no", "place")
 
 
 def _single(spark: SparkSession) -> DataFrame:
@@ -311,7 +311,7 @@ def _final(spark: SparkSession) -> DataFrame:
     k, q = _knowledge(spark), inline.table(spark, "questions")
     order = spark.createDataFrame([(1, [104, 999, 103]), (4, [109])], "query_id long, ids array<long>")
     rows = rank.diversify_passes(engine._pictured(k, _ranked(spark)), q)
-    return engine.finalized(rows, order, k, q).select("query_id", "element_id", "step", "place")
+    return engine.finalized(rows, order, k, q).select("query_id", "element_id", "pass_no", "place")
 
 
 def _rerank(spark: SparkSession) -> DataFrame:

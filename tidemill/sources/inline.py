@@ -44,6 +44,7 @@ TABLES: dict[str, tuple[str, list[tuple]]] = {
             (109, 14, "m1", "table", 19, "A12-03 rotor gap", _U, "302-2", None, "A3", None, None),
             (110, 15, "m1", "plate", 20, None, None, None, "P30201", "A1", "AB1235-1", None),
             (111, 16, "m1", "paragraph", 21, "Check the rotor every 2000 hours", None, None, None, "A1", None, None),
+            (115, 13, "m1", "paragraph", 17, "For the gap see data. Tighten evenly", None, "302-1", None, "A1", None, None),
             (112, None, "m1", "paragraph", 30, "Loose page without a section", None, None, None, None, None, None),
             (113, 15, "m1", "figure", 16, "Step picture of the rotor", None, None, None, None, "AB1235-2", 1),
             (114, 18, "m1", "heading", 40, "Rotor shaft dismantling, new tools", None, "302-1", None, "A4", None, None),
