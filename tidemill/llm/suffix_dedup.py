@@ -35,6 +35,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import whole, written
+from .url_filter import UrlFilter, bits_for, bloom_blocks, may_be_listed
+
+#: The filter has 2 ** this many blocks of 40 bytes at most, however many rows lose bytes.
+FILTER_BITS = 18
 
 
 @dataclass(frozen=True)
@@ -44,7 +48,9 @@ class SuffixDedup:
     shallow: int = 16
     #: Bytes of text for which one bucket is made at least, and what a task gathers before it deals out.
     bucket_bytes: int = 32_000_000
-    flush_bytes: int = 16_000_000
+    flush_bytes: int = 32_000_000
+    #: Windows whose suffixes are sorted at once, of whole hashes.
+    windows: int = 400_000
 
 
 #: Bytes of a common prefix that are compared at once, at most.
@@ -456,24 +462,15 @@ def covered(g: np.ndarray, doc: np.ndarray, n: np.ndarray, pieces: np.ndarray, h
     same = np.diff(g[first][order].view("i8")) == 0
     several = order[np.concatenate(([False], same)) | np.concatenate((same, [False]))]
     if len(several):
-        size = n[first[several]].astype("i8")
-        base = np.concatenate(([0], np.cumsum(size)))
-        data = np.concatenate([pieces[at[k] : at[k + 1]] for k in first[several].tolist()])
-        windows = size - how.length + 1
-        owner = np.repeat(np.arange(len(several)), windows)
-        nth = np.arange(int(windows.sum())) - np.repeat(np.cumsum(windows) - windows, windows)
-        number = equal_suffixes(data, base[owner] + nth, np.full(len(owner), how.length), how)
-        lowest = np.full(int(number.max()) + 1, np.iinfo("i8").max)
-        np.minimum.at(lowest, number, least[several][owner])
-        hit = np.flatnonzero(lowest[number] < least[several][owner])
-        if len(hit):
-            # maximal rows of covered windows of a class, for its members in the class's first document
-            new = np.concatenate(([True], (np.diff(hit) != 1) | (np.diff(owner[hit]) != 0)))
-            s = np.flatnonzero(new)
-            e = np.concatenate((s[1:], [len(hit)])) - 1
-            cls, a, b = several[owner[hit[s]]], nth[hit[s]], nth[hit[e]] + how.length
-            members = np.flatnonzero(doc == least[of])
-            members = members[np.argsort(of[members], kind="stable")]
+        members = np.flatnonzero(doc == least[of])  # of each class those in its first document
+        members = members[np.argsort(of[members], kind="stable")]
+        windows = n[first[several]].astype("i8") - how.length + 1
+        # classes of some hashes at a time: equal windows have equal hashes
+        ends = np.flatnonzero(np.concatenate((np.diff(g[first][several].view("i8")) != 0, [True]))) + 1
+        done = np.cumsum(windows)[ends - 1]
+        cuts = np.concatenate(([0], ends[np.concatenate((np.diff(done // how.windows) > 0, [True]))]))
+        for x, y in zip(cuts[:-1], cuts[1:], strict=True):
+            cls, a, b = _partly(several[x:y], windows[x:y], first, least, at, pieces, how)
             lo, hi = np.searchsorted(of[members], cls, "left"), np.searchsorted(of[members], cls, "right")
             times = hi - lo
             nth_member = np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)
@@ -483,6 +480,22 @@ def covered(g: np.ndarray, doc: np.ndarray, n: np.ndarray, pieces: np.ndarray, h
     return np.concatenate(out_run), np.concatenate(out_a), np.concatenate(out_b)
 
 
+def _partly(several: np.ndarray, windows: np.ndarray, first: np.ndarray, least: np.ndarray, at: np.ndarray, pieces: np.ndarray, how: SuffixDedup) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Spans (class, from, to) of classes of runs that windows of other classes with smaller documents cover."""
+    base = np.concatenate(([0], np.cumsum(windows + how.length - 1)))
+    data = np.concatenate([pieces[at[k] : at[k + 1]] for k in first[several].tolist()])
+    owner = np.repeat(np.arange(len(several)), windows)
+    nth = np.arange(int(windows.sum())) - np.repeat(np.cumsum(windows) - windows, windows)
+    number = equal_suffixes(data, base[owner] + nth, np.full(len(owner), how.length), how)
+    lowest = np.full(int(number.max()) + 1, np.iinfo("i8").max)
+    np.minimum.at(lowest, number, least[several][owner])
+    hit = np.flatnonzero(lowest[number] < least[several][owner])
+    # maximal rows of covered windows
+    s = np.flatnonzero(np.concatenate(([True], (np.diff(hit) != 1) | (np.diff(owner[hit]) != 0)))) if len(hit) else hit
+    e = np.concatenate((s[1:], [len(hit)])) - 1 if len(hit) else hit
+    return several[owner[hit[s]]], nth[hit[s]], nth[hit[e]] + how.length
+
+
 def _span_blob(row: np.ndarray, a: np.ndarray, b: np.ndarray) -> bytes:
     """Spans of the documents of one block."""
     return _squeeze(np.array([len(row)], "i8"), row.astype("i4"), a, b)
@@ -616,4 +629,11 @@ def remove_repeats(docs: DataFrame, how: SuffixDedup = SuffixDedup()) -> DataFra
                     count.append(len(pairs))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(count, pa.int64()), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    return _compressed(rows).join(found, _ROW, "left").select("doc_id", "z", "spans").mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
+    # rows that surely lose nothing do not move: a Bloom filter of bounded size tells them
+    bits = bits_for(found.count(), UrlFilter())
+    key = F.concat_ws("/", *_ROW)
+    rows = may_be_listed(rows.withColumn("key", key), bloom_blocks(found.select(key.alias("key")), min(bits, FILTER_BITS)), min(bits, FILTER_BITS))
+    sure = _compressed(rows.where("not maybe")).withColumn("spans", F.lit(None).cast("binary"))
+    open_rows = _compressed(rows.where("maybe")).join(found, _ROW, "left")
+    return sure.select("doc_id", "z", "spans").unionByName(open_rows.select("doc_id", "z", "spans")).mapInArrow(cut, schema)
