@@ -41,6 +41,7 @@ def test_models_agree(spark):
 def test_table_cells_and_json(spark):
     assert _one(spark, T.table_cells(F.col("j")), j='{"grid":[[{"text":"a"},{"text":"a"}],[{"text":" b "},{"text":""}]]}') == "a | b"
     assert _one(spark, T.table_cells(F.col("j")), j="not json") is None
+    assert _one(spark, T.table_cells(F.col("j")), j='{"rows":[{"text":"a \\"q\\"","cells":[{"text":"b"},{"sub":{"deep":[{"text":"b"},{"text":"c"}]}}]}]}') == 'a "q" | b | c'
     assert _one(spark, T.json_object(F.col("j"), "k int")["k"], j='```json\n{"k": 3}\n```') == 3
 
 

@@ -154,11 +154,12 @@ def row_text(text: Column, table_json: Column) -> Column:
 
 
 def table_cells(table_json: Column) -> Column:
-    """Cells of {"grid": [[{"text": ..}]]} in order, without repeats in a row, joined by bars."""
-    grid = F.from_json(table_json, "grid array<array<struct<text:string>>>")["grid"]
-    cells = F.filter(F.transform(F.flatten(grid), lambda c: F.trim(c["text"])), lambda t: t.isNotNull() & (t != ""))
-    fresh = F.filter(cells, lambda t, i: (i == 0) | (t != F.get(cells, i - 1)))
-    return blank_to_null(F.array_join(fresh, " | "))
+    """The "text" of a table's cells in the order in which they stand, however deep, without repeats in a row, joined by bars; null for what is no JSON."""
+    quoted = F.regexp_extract_all(table_json, F.lit(r'"text"\s*:\s*("(?:[^"\\]|\\.)*")'), F.lit(1))
+    texts = F.from_json(F.concat(F.lit("["), F.array_join(quoted, ","), F.lit("]")), "array<string>")
+    cells = F.filter(F.transform(texts, lambda c: F.trim(c)), lambda t: t.isNotNull() & (t != ""))
+    joined = let(cells, lambda x: F.array_join(F.filter(x, lambda t, i: (i == 0) | (t != F.get(x, i - 1))), " | "))
+    return F.when(F.from_json(table_json, "map<string,string>").isNotNull() | F.from_json(table_json, "array<string>").isNotNull(), blank_to_null(joined))
 
 
 def json_object(answer: Column, schema: str) -> Column:

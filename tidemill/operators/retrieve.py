@@ -44,16 +44,32 @@ def matches(elements: DataFrame, questions: DataFrame) -> DataFrame:
     return inverted(elements, terms).join(terms, ["manual_id", "term"]).groupBy("query_id", "element_id").agg(F.count("*").cast("int").alias("n"), F.min("n_terms").alias("n_terms"), F.min("size").alias("size"), F.min("page").alias("page"))
 
 
-def lexical_or(elements: DataFrame, questions: DataFrame, k: int = config.LEXICAL) -> DataFrame:
-    """Any term matches; score is the number of matched terms plus one."""
-    rows = matches(elements, questions).withColumn("score", F.col("n") + F.lit(1.0))
-    return top(rows, ["query_id"], [F.desc("score"), F.desc("size"), "page", "element_id"], k).select("query_id", "element_id", "score")
+def kind_order(intent: Column, kind: Column) -> Column:
+    """How early a section's kind comes, by what the question wants: sheets of work before the rest for schedules; data and procedures alike for both; else the one before the other."""
+    both, first = kind.isin("data", "procedure"), F.when(intent["wants_proc"] & ~intent["wants_data"], "procedure").otherwise("data")
+    alike = F.when(both | (intent["wants_schedule"] & (kind == "schedule")), 0).otherwise(1)
+    return F.when(intent["wants_schedule"] | (intent["wants_proc"] & intent["wants_data"]), alike).when(kind == first, 0).when(both, 1).otherwise(2)
 
 
-def lexical_and(elements: DataFrame, questions: DataFrame, k: int = config.LEXICAL) -> DataFrame:
+def _by_kind(rows: DataFrame, elements: DataFrame, questions: DataFrame, sections: DataFrame | None) -> DataFrame:
+    """rows with ``early``, the place of their section's kind; all alike without sections."""
+    if sections is None:
+        return rows.withColumn("early", F.lit(0))
+    kinds = elements.select("element_id", "section_id").join(sections.select("section_id", "kind"), "section_id", "left").select("element_id", F.coalesce("kind", F.lit("")).alias("kind"))
+    wants = questions.select("query_id", T.intent(F.col("text")).alias("i"))
+    return rows.join(kinds, "element_id").join(wants, "query_id").withColumn("early", kind_order(F.col("i"), F.col("kind"))).drop("i", "kind")
+
+
+def lexical_or(elements: DataFrame, questions: DataFrame, k: int = config.LEXICAL, sections: DataFrame | None = None) -> DataFrame:
+    """Any term matches; score is the number of matched terms plus one. With sections, kinds that the question wants come first."""
+    rows = _by_kind(matches(elements, questions).withColumn("score", F.col("n") + F.lit(1.0)), elements, questions, sections)
+    return top(rows, ["query_id"], ["early", F.desc("score"), F.desc("size"), "page", "element_id"], k).select("query_id", "element_id", "score")
+
+
+def lexical_and(elements: DataFrame, questions: DataFrame, k: int = config.LEXICAL, sections: DataFrame | None = None) -> DataFrame:
     """All terms match; half of k but four at least."""
-    rows = matches(elements, questions).where("n = n_terms").withColumn("score", F.col("n") + F.lit(0.5))
-    return top(rows, ["query_id"], [F.desc("score"), F.desc("size"), "page", "element_id"], max(4, k // 2)).select("query_id", "element_id", "score")
+    rows = _by_kind(matches(elements, questions).where("n = n_terms").withColumn("score", F.col("n") + F.lit(0.5)), elements, questions, sections)
+    return top(rows, ["query_id"], ["early", F.desc("score"), F.desc("size"), "page", "element_id"], max(4, k // 2)).select("query_id", "element_id", "score")
 
 
 def bm25(elements: DataFrame, questions: DataFrame, k: int = config.LEXICAL, k1: float = 1.2, b: float = 0.75) -> DataFrame:
@@ -132,7 +148,7 @@ def overlap_probe(elements: DataFrame, questions: DataFrame, k: int = 16) -> Dat
 def lexical(elements: DataFrame, questions: DataFrame, k: int = config.LEXICAL, sections: DataFrame | None = None) -> DataFrame:
     """All lexical probes in order; an element stays where it first came up, and its score is one more."""
     with_ids = {"table_json", "procedure_no", "plate_no"} <= set(elements.columns)
-    probes = [lexical_or(elements, questions, k), lexical_and(elements, questions, k), phrase_probe(elements, questions, sections=sections).select("query_id", "element_id", "score"), overlap_probe(elements, questions).select("query_id", "element_id", "score")]
+    probes = [lexical_or(elements, questions, k, sections), lexical_and(elements, questions, k, sections), phrase_probe(elements, questions, sections=sections).select("query_id", "element_id", "score"), overlap_probe(elements, questions).select("query_id", "element_id", "score")]
     if with_ids:
         probes.insert(3, identifier_probe(elements, questions, k).select("query_id", "element_id", "score"))
     rows = probes[0].withColumn("probe", F.lit(0))

@@ -320,3 +320,10 @@ dm AS (SELECT query_id, string_agg(t, chr(10) ORDER BY place) FILTER (WHERE plac
 _TERMS = f"{_QT}, te AS (SELECT query_id, manual_id, unnest(list_distinct(list_filter(list_transform(tokens[1:10], lambda t: regexp_replace(t, '[^a-z0-9]', '', 'g')), lambda t: length(t) >= 3))) AS term FROM ph), nt AS (SELECT query_id, count(*) AS nt FROM te GROUP BY query_id), mt AS (SELECT query_id, element_id, count(*) AS n, any_value(length(text)) AS size, any_value(page) AS page FROM te JOIN (SELECT manual_id, element_id, text, page, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]{{3,}}'))) AS term FROM i_elements WHERE text IS NOT NULL) USING (manual_id, term) GROUP BY query_id, element_id)"
 _inline("lexical_or_inline", "elements questions", "SELECT query_id, element_id, (n + 1.0)::DOUBLE AS score FROM mt QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY n DESC, size DESC, page, element_id) <= 20", _TERMS)
 _inline("lexical_and_inline", "elements questions", "SELECT query_id, element_id, (n + 0.5)::DOUBLE AS score FROM mt JOIN nt USING (query_id) WHERE n = nt QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY n DESC, size DESC, page, element_id) <= 10", _TERMS)
+
+_inline("lexical_by_kind", "elements sections questions", "SELECT query_id, element_id, (n + 1.0)::DOUBLE AS score FROM (SELECT mt.*, CASE WHEN wants_schedule THEN CASE WHEN kd IN ('schedule', 'data', 'procedure') THEN 0 ELSE 1 END WHEN wants_proc AND wants_data THEN CASE WHEN kd IN ('data', 'procedure') THEN 0 ELSE 1 END WHEN wants_proc THEN CASE kd WHEN 'procedure' THEN 0 WHEN 'data' THEN 1 ELSE 2 END ELSE CASE kd WHEN 'data' THEN 0 WHEN 'procedure' THEN 1 ELSE 2 END END AS early FROM mt JOIN it USING (query_id) JOIN (SELECT element_id, coalesce(kind, '') AS kd FROM i_elements LEFT JOIN i_sections USING (section_id)) USING (element_id)) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY early, n DESC, size DESC, page, element_id) <= 3", _TERMS.replace(_QT, _INTENT))
+_inline("text_functions", "raws", r"SELECT id, regexp_replace(text, '[\x00-\x08\x0B\x0C\x0E-\x1F]', '-', 'g') AS dashed, trim(regexp_replace(text, '[ \t\r\n]+', ' ', 'g')) AS squeezed, upper(regexp_replace(text, '[^A-Za-z0-9]', '', 'g')) AS code, CASE WHEN text IS NULL THEN 0.0 ELSE round(len(regexp_extract_all(text, '[\x00-\x08\x0B\x0C\x0E-\x1F]')) / length(text), 6) END::DOUBLE AS ratio, CASE id WHEN 1 THEN 3 WHEN 3 THEN 4 END::INT AS k FROM i_raws")
+# worked out by hand from the rules
+ORACLE_SQL["panel_ocr"] = "SELECT * FROM (VALUES ('m1', 1, 1, 'AB12', 4), ('m1', 1, 2, 'AB1234-5', 3)) AS v(manual_id, page, panel, code, step)"
+ORACLE_SQL["ocr_elements"] = "SELECT * FROM (VALUES ('m1', 2, 0, 'heading', 'Pump', '1.0,2.0,3.0,4.0'), ('m1', 2, 1048576, 'figure', 'Figure 7', NULL), ('m2', 1, 0, 'heading', 'Head', NULL), ('m2', 1, 1, 'list', '- one' || chr(10) || '- two', NULL), ('m2', 1, 2, 'paragraph', 'words', NULL), ('m2', 1, 1048576, 'figure', 'Head', NULL)) AS v(manual_id, page, nth, type, text, bbox)"
+ORACLE_SQL["layout_elements"] = """SELECT * FROM (VALUES ('m1', 'heading', 1, 'A b', NULL, '1.0,2.0,3.0,4.0'), ('m1', 'list', 2, 'x', NULL, NULL), ('m1', 'table', 2, NULL, '{"grid":[[{"text":"y"}]]}', NULL), ('m1', 'figure', 1, 'Pump', NULL, NULL)) AS v(manual_id, type, page, text, table_json, bbox)"""

@@ -137,6 +137,11 @@ def _hit_rule(rule: Callable[[DataFrame, DataFrame], DataFrame], spark: SparkSes
     return out.select("query_id", "element_id", F.round("score", 6).alias("score"), "pinned")
 
 
+def _text_functions(spark: SparkSession) -> DataFrame:
+    t = F.col("text")
+    return inline.table(spark, "raws").select("id", T.control_to_dash(t).alias("dashed"), T.squeezed(t).alias("squeezed"), T.code_key(t).alias("code"), F.round(T.control_ratio(t), 6).alias("ratio"), T.json_object(F.col("answer"), "k int")["k"].alias("k"))
+
+
 def _two(f, *names):
     return lambda spark: f(*_small(spark, *names))
 
@@ -369,6 +374,11 @@ for _name, _build in {
     "panel_hop": _panel_hops,
     "kind_pairs": _two(rank.kind_pairs, "hits", "elements", "sections"),
     "section_mates": _two(rank.section_mates, "hits", "elements", "sections", "questions"),
+    "lexical_by_kind": lambda spark: retrieve.lexical_or(*_small(spark, "elements", "questions"), 3, inline.table(spark, "sections")),
+    "text_functions": _text_functions,
+    "panel_ocr": lambda spark: ingest.panel_ocr(inline.table(spark, "ocr").where("manual_id = 'm1' and page = 1")),
+    "ocr_elements": lambda spark: _joined(pages.ocr_elements(inline.table(spark, "ocr").where("manual_id <> 'm1' or page <> 1")), "bbox"),
+    "layout_elements": lambda spark: _joined(ingest.layout_elements(inline.table(spark, "layouts")), "bbox"),
     "lexical_and_inline": _two(retrieve.lexical_and, "elements", "questions"),
     "lexical_or_inline": _two(retrieve.lexical_or, "elements", "questions"),
     "list_siblings": _two(rank.list_siblings, "hits", "elements"),

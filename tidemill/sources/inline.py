@@ -137,6 +137,18 @@ TABLES: dict[str, tuple[str, list[tuple]]] = {
         "manual_id string, page int, x0 double, y0 double, y1 double, text string",
         [("m1", 2, 10.0, 20.0, 30.0, "Checking"), ("m1", 2, 10.0, 34.0, 44.0, "Valve cover"), ("m1", 2, 300.0, 20.0, 30.0, "301-1"), ("m1", 3, 10.0, 20.0, 30.0, "301-2"), ("m1", 3, 10.0, 34.0, 44.0, "Page 3"), ("m1", 4, 10.0, 20.0, 30.0, "Valve cover"), ("m1", 4, 10.0, 34.0, 44.0, "Data"), ("m2", 2, 10.0, 20.0, 30.0, "P99001")],
     ),
+    "raws": (
+        "id int, text string, answer string",
+        [(1, "a\x01b  c\td", '```json\n{"k": 3}\n```'), (2, " Two\nlines ", "none"), (3, "AB-12 c/3", 'x {"k": 4} y'), (4, None, None), (5, "\x02\x03xy", '{"k": "no"}')],
+    ),
+    "ocr": (
+        "manual_id string, page int, panel int, answer string",
+        [("m1", 1, 1, "CODE: AB12\nSTEP: 4"), ("m1", 1, 2, "see AB1234-5\n 3. turn"), ("m1", 2, 1, '{"blocks":[{"type":"title","content":" Pump ","bbox":"{\\"l\\":1,\\"t\\":2,\\"r\\":3,\\"b\\":4}"},{"type":"text","content":" "}],"markdown":"# Pump\\nFigure 7"}'), ("m2", 1, 1, '{"markdown":"# Head\\n\\n- one\\n- two\\n\\nwords"}')],
+    ),
+    "layouts": (
+        "manual_id string, layout string",
+        [("m1", '{"texts":[{"label":"section_header","text":" A  b ","page":1,"bbox":{"l":1,"t":2,"r":3,"b":4}},{"label":"list_item","text":"x","page":2}],"tables":[{"grid":[[{"text":"y"}]],"page":2}],"pictures":[{"page":1,"caption":"Pump"}]}'), ("m2", "no json")],
+    ),
     "keys": ("manual_id string, key string", [("m1", "301-1"), ("m1", "301-2.1"), ("m1", "p.7"), ("m1", None), ("m2", "p.1"), ("m2", "P.2")]),
     "files": (
         "manual_id string, stem string, pdf_title string, author string, first_page string",
