@@ -234,6 +234,14 @@ def test_writers(spark, tmp_path):
     assert spark.read.parquet(f"{d}/manuals").count() == 0
 
 
+def test_pdf_pages_are_counted(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "a.pdf").write_bytes(b"%PDF-1.4\n1 0 obj << /Type /Pages /Count 2 >>\n<< /Type /Page >>\n<</Type/Page/Parent 1 0 R>>\n\xff\xfe")
+    (tmp_path / "in" / "b.pdf").write_bytes(b"no pdf /Type /Page ")
+    (tmp_path / "c.txt").write_bytes(b"%PDF-")
+    assert {r["path"].rsplit("/", 1)[1]: r["pages"] for r in pages.pdf_files(spark, str(tmp_path)).collect()} == {"a.pdf": 2, "b.pdf": None}
+
+
 def test_settings_by_name():
     s = config.Settings.of({"tidemill.fused": "12", "other": "x"})
     assert s.fused == 12 and s.rrf_k == 60

@@ -5,7 +5,7 @@ Every key has manual_id, so page 1 of two manuals are two pages.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import config
@@ -212,6 +212,17 @@ def manual_identity(files: DataFrame) -> DataFrame:
     return files.select("manual_id", F.substring(title, 1, 300).alias("title"), F.nullif(F.substring(F.trim("author"), 1, 200), F.lit("")).alias("manufacturer"), F.substring(F.coalesce(model, title), 1, 80).alias("model"), F.coalesce(slug, F.lit("INGESTED-MANUAL")).alias("equipment_id"))
 
 
+def pdf_files(spark: SparkSession, folder: str) -> DataFrame:
+    """PDF files below a folder with their page counts, from the page objects that a file names; null for what is no PDF or keeps them packed.
+
+    Reading pages' text is a service's work; page texts enter the other operators as a column.
+    """
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.pdf").load(folder)
+    body = F.decode("content", "ISO-8859-1")
+    count = F.regexp_count(body, F.lit(r"/Type\s*/Page[^s]"))
+    return raw.select("path", "length", F.when(F.substring(body, 1, 5) == "%PDF-", F.nullif(count, F.lit(0))).alias("pages"))
+
+
 def chapter_marks(sections: DataFrame) -> DataFrame:
     """Sections of one step, in order, as chapters of their manual."""
     return top(sections.where("not path like '%/%'"), ["manual_id", "path"], ["page_start"], 1).select("manual_id", F.col("page_start").alias("page"), F.col("title").alias("chapter"))

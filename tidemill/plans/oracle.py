@@ -327,3 +327,10 @@ _inline("text_functions", "raws", r"SELECT id, regexp_replace(text, '[\x00-\x08\
 ORACLE_SQL["panel_ocr"] = "SELECT * FROM (VALUES ('m1', 1, 1, 'AB12', 4), ('m1', 1, 2, 'AB1234-5', 3)) AS v(manual_id, page, panel, code, step)"
 ORACLE_SQL["ocr_elements"] = "SELECT * FROM (VALUES ('m1', 2, 0, 'heading', 'Pump', '1.0,2.0,3.0,4.0'), ('m1', 2, 1048576, 'figure', 'Figure 7', NULL), ('m2', 1, 0, 'heading', 'Head', NULL), ('m2', 1, 1, 'list', '- one' || chr(10) || '- two', NULL), ('m2', 1, 2, 'paragraph', 'words', NULL), ('m2', 1, 1048576, 'figure', 'Head', NULL)) AS v(manual_id, page, nth, type, text, bbox)"
 ORACLE_SQL["layout_elements"] = """SELECT * FROM (VALUES ('m1', 'heading', 1, 'A b', NULL, '1.0,2.0,3.0,4.0'), ('m1', 'list', 2, 'x', NULL, NULL), ('m1', 'table', 2, NULL, '{"grid":[[{"text":"y"}]]}', NULL), ('m1', 'figure', 1, 'Pump', NULL, NULL)) AS v(manual_id, type, page, text, table_json, bbox)"""
+# compositions of the statements above
+_EARLY = ORACLE_SQL["lexical_by_kind"].replace("<= 3", "<= 20")
+_ALL_TERMS = ORACLE_SQL["lexical_by_kind"].replace("<= 3", "<= 10").replace("(n + 1.0)", "(n + 0.5)").replace("FROM mt JOIN it", "FROM (SELECT mt.* FROM mt JOIN nt ON nt.query_id = mt.query_id AND nt.nt = mt.n) AS mt JOIN it")
+_inline("lexical_path", "elements questions", "SELECT query_id, element_id, score + 1 AS score FROM (SELECT *, min(probe) OVER (PARTITION BY query_id, element_id) AS first FROM u) WHERE probe = first GROUP BY query_id, element_id, score, probe QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, probe, element_id) <= 20", f"""{_TERMS},
+ov AS (SELECT query_id, element_id FROM (SELECT te.query_id, element_id, count(*) AS n, length(text) AS size FROM te JOIN i_elements e ON e.manual_id = te.manual_id AND length(term) >= 5 AND contains(lower(text), term) WHERE length(text) BETWEEN 24 AND 2500 GROUP BY te.query_id, element_id, text) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY n DESC, size, element_id) <= 16),
+u AS (SELECT query_id, element_id, score, 0 AS probe FROM ({_EARLY}) UNION ALL SELECT query_id, element_id, score, 1 FROM ({_ALL_TERMS}) UNION ALL SELECT DISTINCT query_id, element_id, 2.5, 2 FROM ({ORACLE_SQL['phrase_probe_titles']}) UNION ALL SELECT DISTINCT query_id, element_id, 1.5, 3 FROM ({ORACLE_SQL['identifier_probe']}) UNION ALL SELECT query_id, element_id, 3.8, 4 FROM ov)""")
+ORACLE_SQL["visual_path"] = f"SELECT query_id, figure_id, score, text FROM ({ORACLE_SQL['figure_probe'].replace(' WHERE NOT (wants_data AND NOT wants_figure AND NOT wants_proc)', '')}) JOIN ({ORACLE_SQL['figure_backfill']}) USING (figure_id)"
