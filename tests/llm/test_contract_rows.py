@@ -65,6 +65,19 @@ def test_suffixes_are_in_order():
     assert number.tolist() == [want[x] for x in strings]
 
 
+def test_long_common_prefixes(monkeypatch):
+    """Prefixes longer than what is compared at once, also at the end of the data."""
+    monkeypatch.setattr(suffix_dedup, "_PIECE", 64)
+    r = random.Random(6)
+    parts = [b"a" * 300, b"a" * 299 + b"b", b"a" * 300, b"ab" * 90, b"ab" * 90, b"a" * 150, b"ab" * 89 + b"b"]
+    r.shuffle(parts)
+    data = np.frombuffer(b"".join(parts), "u1")
+    room = np.array([len(x) for x in parts])
+    number = suffix_dedup.equal_suffixes(data, np.cumsum(room) - room, room, suffix_dedup.SuffixDedup())
+    want = {x: k for k, x in enumerate(sorted(set(parts)))}
+    assert number.tolist() == [want[x] for x in parts]
+
+
 def test_partition_sort_is_a_sort():
     r = np.random.default_rng(3)
     key = r.integers(0, 50, 20_000).astype("u8")

@@ -215,7 +215,9 @@ def equal_suffixes(data: np.ndarray, starts: np.ndarray, room: np.ndarray, how:
     if not len(starts):
         return np.zeros(0, "i8")
     most = int(room.max())
-    data = np.concatenate((data, np.zeros(min(most, _PIECE) + 8, "u1")))
+    lack = int((starts + room).max()) + min(most, _PIECE) + 8 - len(data)
+    if lack > 0:  # places are read whole, beyond the end of the last text too
+        data = np.concatenate((data, np.zeros(lack, "u1")))
     depth = min(how.shallow, int(room.min()) // 8 * 8)
     order, new = shallow_sort(data, starts, depth)
     while depth < most:
@@ -411,9 +413,12 @@ def _deal_runs(how: SuffixDedup, buckets: int):
             row = np.repeat(np.arange(len(held.found), dtype="i4"), [len(x[0]) for x in held.found])
             g, low, n = (np.concatenate([x[k] for x in held.found]) for k in range(3))
             doc = np.array(held.docs, "i8")[row, 0]
-            raw = [held.found[t][3][a : a + m] for t, a, m in zip(row.tolist(), low.tolist(), n.tolist(), strict=True)]
+            room = bytes(min(int(n.max()), _PIECE) + 8) if len(n) else b""
+            pieces = b"".join([held.found[t][3][a : a + m] for t, a, m in zip(row.tolist(), low.tolist(), n.tolist(), strict=True)] + [room])
+            held.found.clear()
             # equal runs here: those of a later document are covered, whatever other blocks hold, and only the first's go on
-            of, _, least = run_classes(n, np.frombuffer(b"".join(raw), "u1"), doc, how)
+            of, _, least = run_classes(n, np.frombuffer(pieces, "u1"), doc, how)
+            ends = np.cumsum(n)
             later = doc > least[of]
             done = np.flatnonzero(later)
             yield _batch(names, back, block, _span_blob(row[done], low[done].astype("u4"), (low[done] + n[done]).astype("u4")), None)
@@ -423,8 +428,8 @@ def _deal_runs(how: SuffixDedup, buckets: int):
             cuts = np.flatnonzero(np.concatenate(([True], np.diff(b[order]) != 0, [True])))
             for x, y in zip(cuts[:-1], cuts[1:], strict=True):
                 k = order[x:y]
-                pieces = np.frombuffer(b"".join([raw[i] for i in k.tolist()]), "u1")
-                blob = _squeeze(np.array([len(k)], "i8"), g[k], row[k], doc[k], low[k].astype("i4"), n[k].astype("i4"), pieces)
+                own = b"".join([pieces[e - m : e] for e, m in zip(ends[k].tolist(), n[k].tolist(), strict=True)])
+                blob = _squeeze(np.array([len(k)], "i8"), g[k], row[k], doc[k], low[k].astype("i4"), n[k].astype("i4"), np.frombuffer(own, "u1"))
                 yield _batch(names, int(b[k[0]]), block, blob, None)
 
         for batch in batches:
