@@ -195,7 +195,7 @@ o AS (SELECT *, NOT coalesce(gone, false) AND NOT (query_id = 6 AND kind = 'proc
 k AS (SELECT *, ok AND row_number() OVER (PARTITION BY query_id, ok, number, kind ORDER BY n DESC, score DESC, place) = 1 AS kept FROM o),
 f AS (SELECT *, bool_or(kept) OVER (PARTITION BY query_id) AS left_any FROM k)""")
 # worked out by hand: the only hits with images are the two of question 3, of which the plate P30201 is named; a drawing's code is the label where there is one
-ORACLE_SQL["diagram_window"] = "SELECT * FROM (VALUES (3, 1::INT, 'p20.png', 'AB1235-1', 20, NULL::INT), (3, 2::INT, 'p16-1.png', 'AB1235-2', 16, 1::INT)) AS v(query_id, place, image, label, page, step)"
+ORACLE_SQL["diagram_window"] = "SELECT * REPLACE (query_id::BIGINT AS query_id) FROM (VALUES (3, 1::INT, 'p20.png', 'AB1235-1', 20, NULL::INT), (3, 2::INT, 'p16-1.png', 'AB1235-2', 16, 1::INT)) AS v(query_id, place, image, label, page, step)"
 _inline("numeric_conflicts", "hits elements", "SELECT query_id, code, unit, array_to_string(list_sort(list(DISTINCT value)), ',') AS values FROM (SELECT query_id, code, regexp_extract(v, '([a-z]+)$', 1) AS unit, regexp_extract(v, '^([0-9.]+)', 1) AS value FROM v) GROUP BY query_id, code, unit HAVING count(DISTINCT value) > 1", f"b AS (SELECT query_id, concat_ws(' ', text, {_CELLS}) AS b FROM i_hits JOIN i_elements USING (element_id)), c AS (SELECT query_id, b, unnest(list_distinct(regexp_extract_all(b, '{_ROW}'))) AS code FROM b), v AS (SELECT query_id, code, unnest(regexp_extract_all(lower(b), '[0-9]+(?:\\.[0-9]+)? *(?:{_UNITS})')) AS v FROM c)")
 _inline("route_pages", "pages", """SELECT manual_id, page, CASE WHEN chars = 0 AND images = 0 AND drawings < 5 THEN 'skip' WHEN reason = 'text layer' THEN 'text' ELSE 'ocr' END AS route, reason FROM r""", """r AS (SELECT *, CASE WHEN chars = 0 AND images = 0 AND drawings < 5 THEN 'blank' WHEN chars = 0 AND images > 0 THEN 'image only' WHEN drawings >= 200 AND chars < 400 THEN 'drawing' WHEN images >= 3 AND chars < 300 THEN 'many images'
   WHEN chars < 80 AND (images > 0 OR drawings >= 20) THEN 'little text' WHEN ratio > 0.25 THEN 'garbled' WHEN chars >= 300 AND chars <= 1200 AND drawings >= 150 THEN 'text and drawing' ELSE 'text layer' END AS reason FROM i_pages)""")
@@ -287,7 +287,7 @@ ORACLE_SQL["extract_sections"] = """SELECT * FROM (VALUES
 
 _inline("chapter_siblings", "hits elements sections questions", "SELECT query_id, element_id, CASE WHEN low THEN score - 22 ELSE score END AS score, false AS pinned FROM (SELECT *, query_id = 1 AND coalesce(procedure_no LIKE '301-%' AND procedure_no NOT LIKE '301-1%', false) AS low FROM cd)", _CAND)
 # worked out by hand from the rules
-ORACLE_SQL["clause_features"] = """SELECT * FROM (VALUES
+ORACLE_SQL["clause_features"] = """SELECT * REPLACE (query_id::BIGINT AS query_id) FROM (VALUES
   (1, 'cover,valve', 'Compare the rotor limits with plate P30101.', 'Compare the rotor limits with plate P30101.', 1, 'P30101', ''),
   (2, '', 'Is 0.45 mm right for the gap,', 'Is 0.45 mm right for the gap', 0, '', ''),
   (3, 'belt,drive,seal,shaft', 'Rotor gap', 'Rotor gap, not shaft-seal.', 0, '', ''),
