@@ -28,9 +28,9 @@ def test_items_without_id_hit_as_in_sql(spark, tables):
     assert set(got[got.contaminated].doc_id) == {1, 2, 4}
 
 
-def test_items_without_id_in_passes(spark, tables):
+def test_items_without_id(spark, tables):
     docs, items = (spark.read.parquet(f"{tables}/{t}.parquet") for t in ("documents", "benchmark"))
-    for how in (decontam.Winnowing(), decontam.Winnowing(block_words=2)):
+    for how in (decontam.Winnowing(), decontam.Winnowing(filter_bits=10)):
         got = {r["doc_id"]: r for r in decontam.decontaminate(docs, items, how).collect()}
         assert got[1]["n_hit"] == 14 and got[1]["items"] == ["8"] and got[1]["n_items"] == 2
         assert got[2]["n_hit"] == 3 and got[2]["items"] == ["7"] and got[2]["n_items"] == 2

@@ -295,29 +295,39 @@ def test_bands_reach_the_recall():
 def test_winnowing_guarantee():
     r = random.Random(6)
     how = decontam.Winnowing()
+    of = decontam.Hasher(how)
     item = [f"i{k}".encode() for k in range(25)]
-    block = decontam.Block(how).build([("a", item), ("b", [b"x", b"y", b"z"])])
+    ids = of(item)
+    h = decontam.gram_hashes(ids, 5)
+    prints = set(h[decontam.winnow(h, 6)].tolist())
+    every = np.full(16, 2**64 - 1, "u8")  # a filter that lets all pass
     for _ in range(300):
         s, n = r.randrange(16), r.randrange(8, 20)
         part = item[s : s + n]
         doc = [b"p"] * r.randrange(9) + part + [b"q"] * r.randrange(9)
-        spans, items = block.spans(doc)
-        assert bool(spans) == (len(part) >= 10) and (items == {"a"} if len(part) >= 10 else not items)
-    assert block.spans([b"q", b"x", b"y", b"z"]) == ([(1, 4)], {"b"})
+        own = of(doc) * np.isin(doc, item)
+        got = [x for x in decontam.candidates(doc, own, [10], every, how) if np.int64(x[0]).view("u8") in prints]
+        assert bool(got) == (len(part) >= 10)
+        # the surroundings of the hits hold every window of the shared span
+        windows = {b" ".join(part[i : i + 10]).decode() for i in range(len(part) - 9)}
+        assert all(any(w in x[3] for x in got) for w in windows)
+    assert decontam.candidates([b"q", b"x"], of([b"q", b"x"]), [3], every, how) == []
 
 
-def test_decontamination_in_passes(spark, docs, odd):
+def test_decontamination_with_crowded_filters(spark, docs, odd):
     items = spark.read.parquet(f"{SMALL}/benchmark.parquet")
     key = lambda df: sorted(map(str, df.collect()))
     one = decontam.decontaminate(docs, items)
-    assert key(one) == key(decontam.decontaminate(docs, items, decontam.Winnowing(block_words=300)))
+    crowded = decontam.Winnowing(filter_bits=10, cache_words=50)
+    assert key(one) == key(decontam.decontaminate(docs, items, crowded))
     bad = {r["doc_id"] for r in one.collect() if r["contaminated"]}
-    assert {r["doc_id"] for r in decontam.keep_clean(docs, items, decontam.Winnowing(block_words=300)).collect()} == {r["doc_id"] for r in docs.collect()} - bad
+    assert {r["doc_id"] for r in decontam.keep_clean(docs, items, crowded).collect()} == {r["doc_id"] for r in docs.collect()} - bad
     short = spark.createDataFrame([("s", "Same line"), ("n", None), (None, "here"), ("e", "")], "item_id string, text string")
     got = {r["doc_id"]: r for r in decontam.decontaminate(odd, short).collect()}
     # the item without an id hits too, as the contract exempts only null texts
     assert got[2]["n_hit"] == 3 and got[2]["items"] == ["s"] and got[2]["n_items"] == 2 and got[3]["n_words"] == 0
     assert decontam.decontaminate(odd.limit(0), short.limit(0)).count() == 0
+    assert decontam.keep_clean(odd, short).columns == odd.columns and decontam.keep_clean(odd, short.limit(0)).count() == 10
 
 
 # language id
