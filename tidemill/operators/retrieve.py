@@ -94,13 +94,11 @@ def for_every_manual(questions: DataFrame, manuals: DataFrame) -> DataFrame:
 
 
 def pieces_of(text: Column, n: int) -> Column:
-    """The distinct substrings of n characters, in lower case."""
-    low = F.lower(text)
-    size = F.char_length(low)
-    return F.when(size >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), size - (n - 1)), lambda i: F.substr(low, i, F.lit(n))))).otherwise(F.array().cast("array<string>"))
+    """The distinct substrings of n characters, in lower case, found in one pass over the text."""
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)))
 
 
-def containing(texts: DataFrame, terms: DataFrame, key: str = "element_id", n: int = 5) -> DataFrame:
+def containing(texts: DataFrame, terms: DataFrame, key: str = "element_id", n: int = 8) -> DataFrame:
     """Texts and the terms they hold as substrings: (key, size, and the columns of terms).
 
     texts: manual_id, the key, text. terms: manual_id, term and more. The first ``n`` characters of a term meet the same
