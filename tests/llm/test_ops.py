@@ -140,6 +140,20 @@ def test_line_dedup_edges(spark, odd):
     assert line_dedup.dedup_lines(odd.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("end", ["\x85", "\u2028", "\u2029", "\x1f", "\xa0", "\r", ""])
+def test_line_keys_end_where_the_contract_says(spark, end):
+    """A character that Java takes for a line's end is none here: white space before it belongs to the key."""
+    lines = [f"hello world foo  {end}", f"hello world foo {end}", f" Hello World foo  {end} ", f"\t{end}hello world foo  {end}", f"hello world foo  {end}\n{end}a second line of its own{end}"]
+    df = spark.createDataFrame([(i, x, "en", "s", 0) for i, x in enumerate(lines)], DOCS)
+    key = lambda x: x.strip(" \t\n\x0b\x0c\r").translate({c: c + 32 for c in range(65, 91)})
+    owner: dict[str, int] = {}
+    for i, t in enumerate(lines):
+        for x in t.split("\n"):
+            owner.setdefault(key(x), i)
+    want = {i: "\n".join(x for x in t.split("\n") if len(key(x)) < 10 or owner[key(x)] == i) for i, t in enumerate(lines)}
+    assert {r["doc_id"]: r["kept_text"] for r in line_dedup.dedup_lines(df).collect()} == want
+
+
 def test_line_index_compacts(spark):
     how = line_dedup.LineDedup(batches=6, fan_in=2)
     rows = [(i, f"line number {i % 4} of some length\nonly in {i}, and long enough", "en", "s", 0) for i in range(40)]

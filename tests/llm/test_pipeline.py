@@ -48,3 +48,9 @@ def test_stages_take_odd_rows(spark):
     assert P.drop_contaminated(spark, out, SMALL).count() == 4
     assert P.pack_sequences(spark, out.limit(0), SMALL).count() == 0
     assert line_dedup.dedup_lines(docs).count() == 5
+
+
+def test_lines_that_end_in_other_separators_stay(spark):
+    lines = [f"hello world foo{gap}{end}" for end in ("\x85", " ", " ") for gap in (" ", "  ")]
+    docs = spark.createDataFrame([(i, x, "en", "s", 9) for i, x in enumerate([*lines, lines[0] + " "])], "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r["doc_id"]: r["text"] for r in P.drop_repeated_lines(spark, docs, SMALL).collect()} == dict(enumerate(lines))

@@ -5,8 +5,9 @@ one sorted file. Documents come in batches of rising doc_id. A batch pre-aggrega
 deals them into the same buckets, and merge-joins them with run after run: the runs are neither moved nor
 sorted again. What no run has (the anti-join's side) becomes a run of level 0. As soon as a level has
 ``fan_in`` runs they are merged, bucket by bucket, into one run of the next level, so a batch meets a
-number of runs that grows with the logarithm of the number of batches. With ``batches`` = 4 and
-``fan_in`` = 2 runs are compacted after the second batch and, where the caller keeps the index, the fourth.
+number of runs that grows with the logarithm of the number of batches. Input of up to four times ``batch_bytes``
+takes ``batches`` = 4, with ``fan_in`` = 2 compacted after the second and, where the caller keeps the index, the
+fourth; beyond it the number of batches follows the text, up to 256.
 
 A key is a line stripped of white space and A-Z lower-cased; keys of fewer than ``min_chars`` code
 points are never dropped. The owner of a key is the smallest doc_id that holds it; every line of the
@@ -27,7 +28,8 @@ from pyspark.sql import functions as F
 
 from .common import SPACE, ascii_lower, bucketed, sorted_buckets, whole, written
 
-_EDGES = f"^[{SPACE}]+|[{SPACE}]+$"
+#: The very ends of a line: ``$`` would also match before a final U+0085, U+2028 or U+2029.
+_EDGES = rf"\A[{SPACE}]+|[{SPACE}]+\z"
 
 
 @dataclass(frozen=True)
@@ -35,8 +37,10 @@ class LineDedup:
     min_chars: int = 10
     batches: int = 4
     fan_in: int = 2
-    #: Text for which the runs have one bucket; never more buckets than shuffle partitions.
+    #: Text for which the runs have one bucket, up to the number of buckets that Spark takes.
     bucket_bytes: int = 64_000_000
+    #: Text of a batch at most, where there would be fewer than ``batches`` otherwise.
+    batch_bytes: int = 1 << 40
     #: Text that makes a task at least; input in smaller splits is taken together.
     task_bytes: int = 16_000_000
 
@@ -116,10 +120,11 @@ def _occurrences(docs: DataFrame, how: LineDedup) -> DataFrame:
     return lines.select("doc_id", "of_text", "at", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit("second"), "key").alias("h2"))
 
 
-def _bounds(docs: DataFrame, n: int) -> tuple[list[int], int]:
-    """n - 1 ids that cut the documents into batches of about the same size, and the bytes of text; only a sketch's quantiles reach the driver."""
-    cuts, size = docs.agg(F.percentile_approx("doc_id", [k / n for k in range(1, n)] or [0.5], 1000), F.sum(F.octet_length("text"))).first()
-    return sorted(set(cuts or [])) if n > 1 else [], size or 0
+def _bounds(docs: DataFrame, how: LineDedup) -> tuple[list[int], int]:
+    """Ids that cut the documents into batches of about the same size, and the bytes of text; only a sketch's quantiles reach the driver."""
+    cuts, size = docs.agg(F.percentile_approx("doc_id", [k / 256 for k in range(1, 256)], 1000), F.sum(F.octet_length("text"))).first()
+    n = min(256, max(how.batches, -(-(size or 0) // how.batch_bytes)))
+    return sorted({cuts[256 * k // n - 1] for k in range(1, n)}) if cuts else [], size or 0
 
 
 def dropped_lines(docs: DataFrame, how: LineDedup = LineDedup(), index: LineIndex | None = None) -> DataFrame:
@@ -128,9 +133,9 @@ def dropped_lines(docs: DataFrame, how: LineDedup = LineDedup(), index: LineInde
     A given index keeps what is new in every batch; an own one is done with after the last batch.
     """
     docs = whole(docs, {"doc_id": "long", "text": "string"})
-    (cuts, size), out = _bounds(docs, how.batches), None
+    (cuts, size), out = _bounds(docs, how), None
     tasks = max(8, size // how.task_bytes)
-    most = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    most = int(docs.sparkSession.conf.get("spark.sql.sources.bucketing.maxBuckets"))
     kept, index = index is not None, index or LineIndex(how, max(1, min(most, -(-size // how.bucket_bytes))))
     for low, high in zip([None, *cuts], [*cuts, None], strict=True):
         batch = docs

@@ -57,7 +57,7 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
 
 
 def canonical(host: Column, path: Column) -> Column:
-    return F.concat(F.regexp_replace(F.regexp_replace(host, r"^www\.", ""), r"\.$", ""), F.regexp_replace(path, "/$", ""))
+    return F.concat(F.regexp_replace(F.regexp_replace(host, r"^www\.", ""), r"\.\z", ""), F.regexp_replace(path, r"/\z", ""))
 
 
 def rule_of(host: Column, path: Column, rules: tuple[Rule, ...]) -> Column:
