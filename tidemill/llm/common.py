@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: The white space that separates words, as the inside of a character class.
@@ -54,7 +54,7 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def _new_path(spark: SparkSession, label: str) -> str:
+def new_path(spark: SparkSession, label: str) -> str:
     """A path in the shared folder; its files go when the application ends."""
     path = f"{shared_folder(spark)}/tidemill/{label}-{uuid.uuid4().hex}"
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -65,7 +65,7 @@ def _new_path(spark: SparkSession, label: str) -> str:
 def written(df: DataFrame, label: str) -> DataFrame:
     """df as a table in the shared folder, read again: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
-    path = _new_path(spark, label)
+    path = new_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -81,7 +81,7 @@ def bucketed(df: DataFrame, label: str, keys: list[str], buckets: int) -> tuple[
     name = f"tidemill_{label}_{uuid.uuid4().hex}"
     # rows are dealt into as many partitions already, unless the session holds another number
     out = df.coalesce(buckets).write.format("parquet").bucketBy(buckets, *keys).sortBy(*keys)
-    out.option("path", _new_path(spark, label)).saveAsTable(name)
+    out.option("path", new_path(spark, label)).saveAsTable(name)
     return spark.table(name), name
 
 
@@ -99,6 +99,23 @@ def sorted_buckets(spark: SparkSession, buckets: int) -> Iterator[None]:
             spark.conf.set(k, v)
 
 
+def numbered(df: DataFrame, order: list[Column], name: str, a_task: int = 200_000) -> DataFrame:
+    """df with ``name``: 1, 2, 3 and so on in the order given. Ties come in any order.
+
+    Ranges of the order are sorted apart, each in a task of its own, so no task sees all rows; a range
+    adds the number of rows in the ranges before it, of which there are as many as tasks. Rows that
+    are alike in the order are spread by their place in df. df is best a written table, as it is read twice.
+    """
+    tasks = df.count() // a_task + 1
+    keys = [*order, F.asc("_tie")]
+    ranged = df.withColumn("_tie", F.monotonically_increasing_id()).repartitionByRange(tasks, *keys).sortWithinPartitions(*keys)
+    placed = written(ranged.drop("_tie").withColumn("_at", F.monotonically_increasing_id()), "numbered").withColumn("_range", F.shiftright("_at", 33))
+    sizes = placed.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = sizes.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_before"))
+    place = F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    return placed.join(F.broadcast(before), "_range").withColumn(name, place).select(*df.columns, name)
+
+
 def whole(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     """Only the named columns, cast; one that is missing is null. Other columns of the caller never clash with ours."""
     have = set(df.columns)

@@ -6,11 +6,11 @@ import os
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import bound_batches
-from . import chat_format, decontam, lang_id, line_dedup, ngram_join, packing, quality_rules, sql, suffix_dedup, toxicity, url_filter
+from . import chat_format, decontam, dominance, lang_id, line_dedup, ngram_join, packing, quality_rules, resampling, sql, suffix_dedup, token_blocks, toxicity, url_filter
 
 #: Where the public vocabularies are; a parameter, as they are never part of the repository.
 TOKENIZERS = os.environ.get("TOKENIZER_DIR", "")
@@ -105,6 +105,31 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lang_id.identify(docs, lang_id.learn(docs))
 
 
-_ALL = (op1_quality_rules, op2_best_fit_packing, op3_toxicity, op4_line_dedup, op5_suffix_array_dedup, op6_url_filter, op7_chat_format, op8_ngram_jaccard_join, op9_decontamination, op10_language_id)
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    how = token_blocks.TokenBlocks(tokenizer_path("word_bpe_49k.json"))
+    return token_blocks.read_back(token_blocks.write(table(spark, sf_dir, "documents"), how), how)
+
+
+def day_slot(sales: DataFrame) -> Column:
+    """Days since 1970 of sold_at taken as UTC, whatever the session's zone is."""
+    if dict(sales.dtypes)["sold_at"] == "timestamp":
+        return F.floor(F.unix_seconds("sold_at") / 86400).cast("long")
+    return F.unix_date(F.col("sold_at").cast("date")).cast("long")
+
+
+def op13_dominance_counting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sales = table(spark, sf_dir, "sales")
+    finite = F.abs("total") < float("inf")
+    level = F.when(finite, F.floor(F.floor(100 * F.col("total") + 0.5) / 1000)).cast("long")
+    stands_for = 1 + F.coalesce(F.crc32(F.col("sale_id").cast("string").cast("binary")) % 3, F.lit(0))
+    points = sales.select("sale_id", day_slot(sales).alias("slot"), level.alias("level"), F.lit(1).cast("long").alias("once"), stands_for.alias("rows"))
+    return dominance.count_above(points, {"n_sales": "once", "n_rows": "rows"}).select("sale_id", "slot", "level", "n_sales", "n_rows")
+
+
+_ALL = (op1_quality_rules, op2_best_fit_packing, op3_toxicity, op4_line_dedup, op5_suffix_array_dedup, op6_url_filter, op7_chat_format, op8_ngram_jaccard_join, op9_decontamination, op10_language_id, op11_importance_resampling, op12_token_blocks, op13_dominance_counting)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
-ORACLE_SQL: dict[str, str] = {"op1_quality_rules": sql.OP1, "op4_line_dedup": sql.OP4, "op6_url_filter": sql.OP6, "op7_chat_format": sql.OP7, "op8_ngram_jaccard_join": sql.OP8, "op9_decontamination": sql.OP9}
+ORACLE_SQL: dict[str, str] = {"op1_quality_rules": sql.OP1, "op4_line_dedup": sql.OP4, "op6_url_filter": sql.OP6, "op7_chat_format": sql.OP7, "op8_ngram_jaccard_join": sql.OP8, "op9_decontamination": sql.OP9, "op11_importance_resampling": sql.OP11, "op13_dominance_counting": sql.OP13}

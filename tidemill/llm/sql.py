@@ -114,3 +114,37 @@ it AS (SELECT doc_id, count(*) AS n, string_agg(item_id, ',' ORDER BY item_id) A
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(cov.n, 0) AS n_hit, coalesce(it.n, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(cov.n, 0) > 0 AS contaminated
 FROM d LEFT JOIN cov USING (doc_id) LEFT JOIN it USING (doc_id)
 """
+
+#: A byte's CRC-32 by its reflected polynomial, and that of a list of bytes.
+_TAB = "tab AS (SELECT list(c ORDER BY i) AS tab FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) AS r(i)))"
+
+
+def _crc(listed: str) -> str:
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {listed}), lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295)"
+
+
+OP11 = rf"""
+WITH {_TAB},
+x AS (SELECT 'd' AS side, doc_id, row_number() OVER () AS r, text FROM documents UNION ALL SELECT 'b', NULL, row_number() OVER (), text FROM benchmark),
+w AS (SELECT side, r, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word FROM x),
+v AS (SELECT word, hex(encode(word)) AS h FROM (SELECT DISTINCT word FROM w)),
+b AS (SELECT word, {_crc("list_transform(range(1, length(h), 2), lambda k: ('0x' || substr(h, k, 2))::BIGINT)")} % 10000 AS bucket FROM v, tab),
+n AS (SELECT side, r, bucket FROM w JOIN b USING (word)),
+c AS (SELECT i AS bucket, count(side) FILTER (WHERE side = 'd') AS s, count(side) FILTER (WHERE side = 'b') AS t FROM range(10000) AS q(i) LEFT JOIN n ON bucket = i GROUP BY i),
+g AS (SELECT bucket, floor(1000 * ln(((t + 1)::DOUBLE * (sum(s) OVER () + 10000)::DOUBLE) / ((s + 1)::DOUBLE * (sum(t) OVER () + 10000)::DOUBLE)))::BIGINT AS gain FROM c),
+m AS (SELECT r, count(*) AS n_features, floor(sum(gain)::DOUBLE / count(*))::BIGINT AS weight FROM n JOIN g USING (bucket) WHERE side = 'd' GROUP BY r),
+y AS (SELECT doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+        coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || left(sha256('2024:' || coalesce(doc_id::VARCHAR, '')), 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score
+      FROM x LEFT JOIN m USING (r) WHERE side = 'd'),
+z AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS k, count(*) FILTER (WHERE n_features >= 20) OVER () AS able FROM y)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND k <= 10 * able // 100 THEN k END AS rank FROM z
+"""
+
+OP13 = f"""
+WITH {_TAB},
+p AS (SELECT sale_id, floor(epoch(sold_at) / 86400)::BIGINT AS slot, floor(floor(100 * total + 0.5::DOUBLE) / 1000)::BIGINT AS level,
+        1 + coalesce({_crc("list_transform(string_split(sale_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)")} % 3, 0) AS stands_for FROM sales, tab),
+c AS (SELECT slot, level, count(*) AS n, sum(stands_for) AS m FROM p WHERE slot IS NOT NULL AND level IS NOT NULL GROUP BY slot, level),
+a AS (SELECT x.slot, x.level, coalesce(sum(y.n), 0)::BIGINT AS n_sales, coalesce(sum(y.m), 0)::BIGINT AS n_rows FROM c AS x LEFT JOIN c AS y ON y.slot <= x.slot AND y.level > x.level GROUP BY x.slot, x.level)
+SELECT sale_id, slot, level, n_sales, n_rows FROM p LEFT JOIN a USING (slot, level)
+"""
