@@ -1,8 +1,8 @@
 """Retrieval probes, set-oriented: every question of a batch at once.
 
 Questions carry manual_id, so no probe crosses manuals; a question without one asks all manuals. Terms of
-all questions are exploded and joined with elements once, instead of one statement a term. A substring test is
-an equality on a piece of the term first, so nothing is compared pair by pair within a manual. A top-k
+all questions are exploded and joined with elements once, instead of one statement a term. A substring test looks
+terms up among the distinct words, so nothing is compared pair by pair within a manual. A top-k
 is row_number with a limit, which Spark cuts per task before the shuffle. Every order ends in element_id.
 """
 
@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 from .. import config
 from ..functions import text as T
+from ..functions.stem import stem
+from . import textindex
 
 
 def top(rows: DataFrame, by: Sequence[str], order: Sequence[Column], k: int) -> DataFrame:
@@ -87,33 +89,69 @@ def bm25(elements: DataFrame, questions: DataFrame, k: int = config.LEXICAL, k1:
     return top(scored, ["query_id"], [F.desc("score"), "element_id"], k)
 
 
+def _as_words(index: textindex.TextIndex, questions: DataFrame) -> DataFrame:
+    """query_id, manual_id, feature (a term's stem), word: what stands in the index for the terms of questions."""
+    return textindex.words_with_stems(index, question_terms(questions))
+
+
+def fulltext_or(index: textindex.TextIndex, questions: DataFrame, k: int = config.LEXICAL) -> DataFrame:
+    """Any stem matches; score is the number of matched stems plus one."""
+    order = [F.desc("score"), F.desc("size"), F.asc("page"), F.asc("element_id")]
+    return textindex.best(index, _as_words(index, questions), k, textindex.counting(order)).select("query_id", "element_id", (F.col("score") + 1).alias("score"))
+
+
+def fulltext_and(index: textindex.TextIndex, questions: DataFrame, k: int = config.LEXICAL) -> DataFrame:
+    """All stems match; half of k but four at least. A stem that the index doesn't know matches nothing."""
+    wanted = question_terms(questions).groupBy("query_id").agg(F.count_distinct(stem(F.col("term"))).alias("n_features"))
+    rows = textindex.with_all(index, _as_words(index, questions), wanted).withColumn("score", F.col("n") + F.lit(0.5))
+    return top(rows, ["query_id"], [F.desc("score"), F.desc("size"), "page", "element_id"], max(4, k // 2)).select("query_id", "element_id", "score")
+
+
+def fulltext_bm25(index: textindex.TextIndex, questions: DataFrame, k: int = config.LEXICAL, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """Okapi BM25 over stems; a stem is as frequent as its words are together."""
+    return textindex.best(index, _as_words(index, questions), k, textindex.okapi(k1, b), weighed=True).select("query_id", "element_id", "score")
+
+
 def for_every_manual(questions: DataFrame, manuals: DataFrame) -> DataFrame:
     """Questions with a manual each: one without stands for all of them."""
     named = questions.where("manual_id is not null")
     return named.unionByName(questions.where("manual_id is null").drop("manual_id").crossJoin(F.broadcast(manuals.select("manual_id").distinct())).select(named.columns))
 
 
-def pieces_of(text: Column, n: int) -> Column:
-    """The distinct substrings of n characters, in lower case, found in one pass over the text."""
-    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)))
+def _key_part(term: Column) -> Column:
+    """Of a term's words (runs of letters and digits) the longest, and where it stands: alone, first, last or between others. Others touch it, so only an inner one is whole."""
+    parts = F.split(term, "[^a-z0-9]+")
+    n = F.size(parts)
+    at = F.transform(parts, lambda p, i: F.struct(F.char_length(p).alias("size"), (-i).alias("early"), p.alias("part"), F.when(n == 1, "in").when(i == 0, "end").when(i == n - 1, "begin").otherwise("whole").alias("side")))
+    return F.array_max(at)
 
 
-def containing(texts: DataFrame, terms: DataFrame, key: str = "element_id", n: int = 8) -> DataFrame:
+def containing(texts: DataFrame, terms: DataFrame, key: str = "element_id", lengths: Sequence[int] = (1, 2, 3)) -> DataFrame:
     """Texts and the terms they hold as substrings: (key, size, and the columns of terms).
 
-    texts: manual_id, the key, text. terms: manual_id, term and more. The first ``n`` characters of a term meet the same
-    piece of a text (shorter terms meet pieces of their own length); then the whole term is looked for.
+    texts: manual_id, the key, text. terms: manual_id, term and more; a term begins and ends with an ASCII letter or digit. A run of
+    letters and digits lies inside one word. So terms are looked up among the distinct words of all texts, by the longest of
+    their own words, and meet texts by whole words; a text is looked at again only for terms of several words.
+    Pieces of distinct words have ``lengths`` characters; a lone word shorter than the longest of them has to have one of the others.
     """
-    begins = F.lower(F.substring("term", 1, n))
-    asked = terms.withColumn("piece", begins)
-    lengths = [r[0] for r in asked.select(F.char_length("piece")).distinct().collect()]  # n values at most
-    if not lengths:
-        lengths = [n]
-    low = texts.select("manual_id", key, F.lower("text").alias("low"))
-    pieces = low.select("manual_id", key, F.explode(F.flatten(F.array(*[pieces_of(F.col("low"), k) for k in sorted(lengths)]))).alias("piece"))
-    pieces = pieces.join(asked.select("manual_id", "piece").distinct(), ["manual_id", "piece"], "left_semi")
-    found = pieces.join(asked, ["manual_id", "piece"]).drop("piece")
-    return found.join(low.drop("manual_id"), key).where(F.col("low").contains(F.lower("term"))).withColumn("size", F.char_length("low")).drop("low")
+    n, low = max(lengths), texts.select("manual_id", key, F.lower("text").alias("low"))
+    words = low.select("manual_id", key, F.char_length("low").alias("size"), F.explode(F.array_distinct(F.regexp_extract_all("low", F.lit("([a-z0-9]+)"), F.lit(1)))).alias("word"))
+    asked = terms.withColumn("_key", _key_part(F.lower("term"))).withColumn("part", F.col("_key.part")).withColumn("side", F.col("_key.side")).drop("_key")
+    parts = asked.select("part", "side").distinct().withColumn("piece", F.when(F.col("side") == "end", F.right("part", F.least(F.lit(n), F.char_length("part")))).otherwise(F.left("part", F.lit(n))))
+    word, size = F.col("word"), F.char_length("word")
+    inner = lambda k: F.transform(F.sequence(F.lit(1), size - k + 1), lambda i: F.struct(F.lit("in").alias("side"), F.substr(word, i, F.lit(k)).alias("piece")))
+    edge = lambda side, cut: F.array_distinct(F.transform(F.sequence(F.lit(1), F.least(F.lit(n), size)), lambda k: F.struct(F.lit(side).alias("side"), cut(word, k).alias("piece"))))
+    none = F.array().cast("array<struct<side:string,piece:string>>")
+    pieces = F.concat(*[F.when(size >= k, F.array_distinct(inner(k))).otherwise(none) for k in lengths], edge("end", F.right), edge("begin", F.left))
+    vocabulary = words.select("word").distinct()
+    by_piece = vocabulary.select("word", F.inline(pieces)).join(parts.where("side <> 'whole'"), ["side", "piece"])
+    fits = F.when(F.col("side") == "end", word.endswith(F.col("part"))).when(F.col("side") == "begin", word.startswith(F.col("part"))).otherwise(word.contains(F.col("part")))
+    met = by_piece.where(fits).select("part", "side", "word").unionByName(parts.where("side = 'whole'").select("part", "side", F.col("part").alias("word")))
+    rows = words.join(asked.join(met, ["part", "side"]).drop("part"), ["manual_id", "word"])
+    # several words of a text may hold the same part
+    rows = rows.groupBy(key, "side", *terms.columns).agg(F.first("size").alias("size"))
+    lone, more = rows.where("side = 'in'").drop("side"), rows.where("side <> 'in'").drop("side")
+    return lone.unionByName(more.join(low.drop("manual_id"), key).where(F.col("low").contains(F.lower("term"))).select(lone.columns))
 
 
 def phrase_probe(elements: DataFrame, questions: DataFrame, per_phrase: int = 8, most: int = 14, sections: DataFrame | None = None) -> DataFrame:
@@ -138,7 +176,7 @@ def identifier_probe(elements: DataFrame, questions: DataFrame, k: int = config.
 def overlap_probe(elements: DataFrame, questions: DataFrame, k: int = 16) -> DataFrame:
     """Elements of 24 to 2500 characters by how many distinctive terms (five letters or more) they hold, the shortest first."""
     terms = question_terms(questions).where(F.char_length("term") >= 5).select("query_id", "manual_id", F.lit(0).alias("nth"), "term")
-    found = containing(elements.where(F.char_length("text").between(24, 2500)), terms)
+    found = containing(elements.where(F.char_length("text").between(24, 2500)), terms, lengths=(5,))
     rows = found.groupBy("query_id", "element_id").agg(F.count("*").cast("int").alias("hits"), F.min("size").alias("size"))
     return top(rows, ["query_id"], [F.desc("hits"), "size", "element_id"], k).select("query_id", "element_id", "hits", F.lit(3.8).alias("score"))
 
@@ -171,7 +209,7 @@ def visual_path(figures: DataFrame, elements: DataFrame, sections: DataFrame, qu
 def titles_with(sections: DataFrame, terms: DataFrame) -> DataFrame:
     """Sections whose titles hold terms; terms: manual_id, query_id, term."""
     title = sections.select("manual_id", "section_id", F.concat_ws(" ", "component_title", "action_title").alias("text"))
-    return containing(title, terms, "section_id", 3)
+    return containing(title, terms, "section_id")
 
 
 def by_phrases(questions: DataFrame, most: int) -> DataFrame:
@@ -215,7 +253,7 @@ def figure_probe(figures: DataFrame, elements: DataFrame, sections: DataFrame, q
     codes = rows.select("manual_id", "figure_id", F.explode(F.array_distinct(F.filter(F.array("label", "drawing_code", "section_plate"), lambda c: c.isNotNull()))).alias("code"))
     named = q.select("query_id", "manual_id", F.explode("i.codes").alias("code")).join(codes, ["manual_id", "code"]).select("query_id", "figure_id").distinct().withColumn("named", F.lit(True))
     blob = rows.select("manual_id", "figure_id", F.concat_ws(" ", "own", "component_title", "label").alias("text"))
-    held = containing(blob, q.select("query_id", "manual_id", F.explode("i.tokens").alias("term")), "figure_id", 3).groupBy("query_id", "figure_id").agg(F.count("*").alias("n"))
+    held = containing(blob, q.select("query_id", "manual_id", F.explode("i.tokens").alias("term")), "figure_id").groupBy("query_id", "figure_id").agg(F.count("*").alias("n"))
     both = held.join(named, ["query_id", "figure_id"], "full").select("query_id", "figure_id", F.coalesce("named", F.lit(False)).alias("named"), F.coalesce("n", F.lit(0)).alias("n"))
     both = both.join(rows.select("figure_id", "element_id", "page", "kind"), "figure_id").withColumn("score", F.when(F.col("named"), 2.5 + 8.0).otherwise(1.2) + F.least(F.lit(6.0), 1.2 * F.col("n")))
     plate = F.when(F.col("kind") == "plate", 0).otherwise(1)

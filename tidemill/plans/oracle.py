@@ -5,6 +5,7 @@ from __future__ import annotations
 from .. import config
 from ..sources.inline import sql as inline
 from ..sources.project import SQL as PROJECT
+from .stem_sql import stems
 
 ORACLE_SQL: dict[str, str] = {}
 
@@ -59,7 +60,7 @@ ORACLE_SQL |= {
     "project_sections": f"WITH {PROJECT} SELECT * REPLACE (array_to_string(path, '/') AS path) FROM sec",
     "project_elements": f"WITH {PROJECT} SELECT * FROM el",
     "lexical_or_topk": f"{_MATCH} SELECT query_id, element_id, (n + 1)::DOUBLE AS score FROM m QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY n DESC, size DESC, page, element_id) <= 20",
-    "lexical_and_topk": f"{_MATCH} SELECT query_id, element_id, n + 0.5::DOUBLE AS score FROM m WHERE n = n_terms QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY n DESC, size DESC, page, element_id) <= 10",
+    "lexical_and_topk": f"{_MATCH.replace('FROM qu)', 'FROM qb)')} SELECT query_id, element_id, n + 0.5::DOUBLE AS score FROM m WHERE n = n_terms QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY n DESC, size DESC, page, element_id) <= 10",
     "lexical_bm25": f"""WITH {PROJECT}, {tokens('qu', 'query_id, manual_id')}, {_TERMS},
 w AS (SELECT manual_id, element_id, regexp_extract_all(lower(text), '[a-z0-9]{{3,}}') AS w FROM el), st AS (SELECT manual_id, count(*) AS docs, avg(len(w)) AS mean FROM w GROUP BY manual_id),
 x AS (SELECT manual_id, element_id, len(w) AS n, unnest(w) AS term FROM w), tf AS (SELECT manual_id, element_id, n, term, count(*) AS tf FROM x WHERE (manual_id, term) IN (SELECT manual_id, term FROM tm) GROUP BY ALL), df AS (SELECT manual_id, term, count(*) AS df FROM tf GROUP BY ALL),
@@ -88,6 +89,24 @@ k AS (SELECT *, CASE WHEN rn <= 3 OR (type = 'list' AND 3 + l - 1 < 7) THEN 0 EL
 SELECT query_id, element_id, doc_code, type, place::INT AS place, late FROM k QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY late, place) <= 24""",
 }
 
+# stemmed full text: every word of every line, and the stems of both sides
+_FULL = f"""WITH {PROJECT}, {tokens('qu', 'query_id, manual_id')}, {_TERMS},
+oc AS (SELECT manual_id, element_id, page, length(text) AS size, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS word FROM el),
+every AS (SELECT word FROM oc UNION SELECT term FROM tm), {stems('every')},
+ask AS (SELECT DISTINCT query_id, manual_id, stem FROM tm JOIN stems ON term = word), wanted AS (SELECT query_id, count(*) AS n_stems FROM ask GROUP BY query_id),
+held AS (SELECT manual_id, element_id, min(page) AS page, min(size) AS size, stem, count(*) AS times, count(DISTINCT word) AS n_words FROM oc JOIN stems USING (word) GROUP BY manual_id, element_id, stem),
+hit AS (SELECT query_id, element_id, count(*)::INT AS n, min(size) AS size, min(page) AS page FROM held JOIN ask USING (manual_id, stem) GROUP BY query_id, element_id)"""
+ORACLE_SQL |= {
+    "fulltext_vocabulary": f"{_FULL} SELECT word, stem FROM stems WHERE word IN (SELECT word FROM oc)",
+    "fulltext_or_topk": f"{_FULL} SELECT query_id, element_id, (n + 1)::DOUBLE AS score FROM hit QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY n DESC, size DESC, page, element_id) <= 20",
+    "fulltext_and_topk": f"{_FULL.replace('FROM qu)', 'FROM qb)')} SELECT query_id, element_id, n + 0.5::DOUBLE AS score FROM hit JOIN wanted USING (query_id) WHERE n = n_stems QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY n DESC, size DESC, page, element_id) <= 10",
+    "fulltext_bm25": f"""{_FULL}, ln2 AS (SELECT manual_id, element_id, len(regexp_extract_all(lower(text), '[a-z0-9]+')) AS n FROM el), st AS (SELECT manual_id, count(*) AS docs, avg(n) AS mean FROM ln2 GROUP BY manual_id),
+df AS (SELECT manual_id, stem, sum(n_words) AS df FROM held GROUP BY manual_id, stem),
+s AS (SELECT query_id, element_id, round(sum(ln(1 + (docs - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * times * 2.2::DOUBLE / (times + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * n / mean))), 6) AS score
+      FROM held JOIN ask USING (manual_id, stem) JOIN df USING (manual_id, stem) JOIN st USING (manual_id) JOIN ln2 USING (manual_id, element_id) GROUP BY query_id, element_id)
+SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, element_id) <= 20""",
+}
+
 
 def _inline(name: str, tables: str, select: str, more: str = "") -> None:
     ORACLE_SQL[name] = f"WITH {inline(*tables.split())}{', ' + more if more else ''} {select}"

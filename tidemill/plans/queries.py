@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .. import config
 from ..functions import text as T
-from ..operators import clauses, conventions, gate, graph, ingest, pages, rank, retrieve
+from ..operators import clauses, conventions, gate, graph, ingest, pages, rank, retrieve, textindex
 from ..sources import inline, project
 from . import engine
 
@@ -50,8 +50,7 @@ def project_elements(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def lexical_and_topk(spark: SparkSession, d: str) -> DataFrame:
-    _, e, q = _volume(spark, d)
-    return retrieve.lexical_and(e, q)
+    return retrieve.lexical_and(_volume(spark, d)[1], project.passages(project.load(spark, d, "benchmark")))
 
 
 @query
@@ -78,6 +77,32 @@ def rrf_fuse(spark: SparkSession, d: str) -> DataFrame:
     return retrieve.rrf([retrieve.lexical_or(e, q), retrieve.overlap_probe(e, q).select("query_id", "element_id", F.col("hits").cast("double").alias("score"))])
 
 
+def _indexed(spark: SparkSession, d: str) -> tuple[textindex.TextIndex, DataFrame]:
+    """An index over all lines, and all questions."""
+    _, e, q = _volume(spark, d)
+    return textindex.build(e), q
+
+
+@query
+def fulltext_vocabulary(spark: SparkSession, d: str) -> DataFrame:
+    return _indexed(spark, d)[0].vocabulary
+
+
+@query
+def fulltext_or_topk(spark: SparkSession, d: str) -> DataFrame:
+    return retrieve.fulltext_or(*_indexed(spark, d))
+
+
+@query
+def fulltext_and_topk(spark: SparkSession, d: str) -> DataFrame:
+    return retrieve.fulltext_and(_indexed(spark, d)[0], project.passages(project.load(spark, d, "benchmark")))
+
+
+@query
+def fulltext_bm25(spark: SparkSession, d: str) -> DataFrame:
+    return retrieve.fulltext_bm25(*_indexed(spark, d))
+
+
 @query
 def section_catalog(spark: SparkSession, d: str) -> DataFrame:
     s = _volume(spark, d)[0].withColumn("path", F.array_join("path", "/"))

@@ -47,6 +47,13 @@ def questions(conversations: DataFrame) -> DataFrame:
     return asked.select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), F.concat(F.lit("src"), (F.col("conv_id") % 20).cast("string")).alias("manual_id"), "text")
 
 
+def passages(benchmark: DataFrame) -> DataFrame:
+    """Every benchmark text as a question to each of the manuals that questions go to."""
+    n = F.explode(F.sequence(F.lit(0), F.lit(19)))
+    asked = benchmark.where("text is not null").select("item_id", "text", n.alias("n"))
+    return asked.select((F.col("item_id") * 100 + F.col("n")).alias("query_id"), F.concat(F.lit("src"), F.col("n").cast("string")).alias("manual_id"), "text")
+
+
 SQL = """
 sec AS (
   SELECT doc_id AS section_id, source AS manual_id, [source, lang, 'doc-' || doc_id] AS path, left(string_split(text, chr(10))[1], 60) AS title,
@@ -58,5 +65,6 @@ ln AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS text, gener
 el AS (
   SELECT doc_id * 100000 + pos AS element_id, doc_id AS section_id, source AS manual_id, CASE WHEN pos = 0 THEN 'heading' WHEN length(text) < 60 THEN 'list' ELSE 'paragraph' END AS type,
          doc_id * 100 + 1 + pos // 10 AS page, (pos % 10)::INT AS step, text FROM ln WHERE trim(text) <> ''),
-qu AS (SELECT conv_id * 1000 + turn AS query_id, 'src' || (conv_id % 20) AS manual_id, text FROM conversations WHERE role = 'user' AND text IS NOT NULL)
+qu AS (SELECT conv_id * 1000 + turn AS query_id, 'src' || (conv_id % 20) AS manual_id, text FROM conversations WHERE role = 'user' AND text IS NOT NULL),
+qb AS (SELECT item_id * 100 + n AS query_id, 'src' || n AS manual_id, text FROM benchmark, range(20) AS r(n) WHERE text IS NOT NULL)
 """
