@@ -9,7 +9,7 @@ from tidemill.functions import text as T
 from tidemill import config
 from tidemill.operators import conventions, gate, ingest, pages, persist, rank, retrieve
 from tidemill.plans import engine
-from tidemill.plans.queries import QUERIES
+from tidemill.plans.queries import RULES
 from tidemill.sources import inline
 from tidemill.streaming import landing
 
@@ -130,10 +130,10 @@ def test_rrf_ties_and_limits(spark):
 
 
 def test_panels(spark):
-    boxes = {(r["manual_id"], r["page"], r["panel"]): (r["x0"], r["y0"]) for r in QUERIES["panel_boxes"](spark, "").collect()}
+    boxes = {(r["manual_id"], r["page"], r["panel"]): (r["x0"], r["y0"]) for r in RULES["panel_boxes"](inline.Inline(spark)).collect()}
     # page 1 of another manual is another page
     assert boxes == {("m1", 1, 0): (50.0, 50.0), ("m1", 1, 1): (310.0, 50.0), ("m1", 1, 2): (50.0, 420.0), ("m1", 2, 0): (100.0, 100.0), ("m2", 1, 0): (0.0, 0.0)}
-    codes = {(r["manual_id"], r["page"], r["panel"]): r["code"] for r in QUERIES["panel_codes"](spark, "").collect()}
+    codes = {(r["manual_id"], r["page"], r["panel"]): r["code"] for r in RULES["panel_codes"](inline.Inline(spark)).collect()}
     assert codes == {("m1", 1, 0): "AB1-1", ("m1", 1, 1): "AB1-2", ("m1", 1, 2): "AB1-3", ("m1", 2, 0): "AB2-1", ("m2", 1, 0): "ZZ9-9"}
 
 
@@ -160,7 +160,7 @@ def test_gate(spark):
 
 
 def test_ask_answers_or_abstains(spark):
-    rows = {r["query_id"]: r for r in QUERIES["ask"](spark, "").collect()}
+    rows = {r["query_id"]: r for r in RULES["ask"](inline.Inline(spark)).collect()}
     assert len(rows) == 7
     assert rows[1]["passed"] and "45 Nm" in rows[1]["answer"]
     assert rows[4]["abstained"] and rows[5]["abstained"]
@@ -204,14 +204,14 @@ def test_conventions_are_data(spark):
 
 
 def test_panel_pages(spark):
-    rows = {(r["manual_id"], r["page"], r["panel"]): r for r in QUERIES["diagram_elements"](spark, "").collect()}
+    rows = {(r["manual_id"], r["page"], r["panel"]): r for r in RULES["diagram_elements"](inline.Inline(spark)).collect()}
     assert set(rows) == {("m1", 1, None), ("m1", 1, 0), ("m1", 1, 1), ("m1", 1, 2), ("m1", 2, 0), ("m1", 3, None), ("m2", 1, 0)}
     assert rows["m1", 1, 0]["code"] == "AB1-1" and rows["m1", 1, 0]["step"] == 1  # over what OCR read
     assert rows["m1", 1, 0]["caption"] == "Rotor - Mounting - step 1 - AB1-1" and rows["m1", 3, None]["figure_ref"] == "page-3"
     assert rows["m1", 1, None]["type"] == "paragraph" and rows["m1", 1, None]["text"].startswith("A text")
-    kept = sorted((r["page"], r["type"], r["caption"]) for r in QUERIES["attached_panels"](spark, "").where("caption is not null").collect())
+    kept = sorted((r["page"], r["type"], r["caption"]) for r in RULES["attached_panels"](inline.Inline(spark)).where("caption is not null").collect())
     assert kept == [(1, "figure", f"Rotor - Mounting - step {k} - AB1-{k}") for k in (1, 2, 3)] + [(3, "plate", "plate"), (9, "figure", "alone")]
-    plates = {(r["manual_id"], r["page"]): (r["text"], r["citation_key"]) for r in QUERIES["completed_plates"](spark, "").collect()}
+    plates = {(r["manual_id"], r["page"]): (r["text"], r["citation_key"]) for r in RULES["completed_plates"](inline.Inline(spark)).collect()}
     assert plates == {("m1", 5): ("P30150", "P30150"), ("m1", 21): ("Rotor - P30201", "P30201"), ("m2", 2): ("P99001", "P99001")}
 
 
@@ -224,9 +224,9 @@ def test_writers(spark, tmp_path):
     for run, status in (("r1", "running"), ("r1", "completed"), ("r2", "running")):
         persist.append_run(persist.run_event(spark, run, None if run == "r2" else "m", status, {"text": 3}), d)
     assert {(r["run_id"], r["status"]) for r in persist.run_states(spark.read.parquet(f"{d}/ingest_runs")).collect()} == {("r1", "completed"), ("r2", "running")}
-    persist.append_log(QUERIES["query_log"](spark, ""), d)
+    persist.append_log(RULES["query_log"](inline.Inline(spark)), d)
     assert spark.read.parquet(f"{d}/query_log").count() == 7
-    persist.write_routes(QUERIES["route_pages"](spark, ""), d)
+    persist.write_routes(RULES["route_pages"](inline.Inline(spark)), d)
     assert spark.read.json(f"{d}/page_routes").count() == 18
     assert persist.listing(spark, f"{d}/page_routes", "*.json").where("length > 0").count() >= 2
     assert persist.clear(spark, d, "page_routes") and not persist.clear(spark, d, "page_routes")
@@ -248,7 +248,7 @@ def test_settings_by_name():
 
 
 def test_edges_are_built_once(spark):
-    k = engine.Knowledge(*[inline.table(spark, n) for n in ("manuals", "sections", "elements", "figures", "edges")])
+    k = engine.Knowledge(*[inline.Inline(spark)(n) for n in ("manuals", "sections", "elements", "figures", "edges")])
     rows = engine.build_edges(k).collect()
     assert len(rows) == len(set(rows)) > 0
     again = engine.build_edges(engine.Knowledge(k.manuals, k.sections, k.elements, k.figures, k.edges.unionByName(engine.build_edges(k))))
@@ -256,6 +256,6 @@ def test_edges_are_built_once(spark):
 
 
 def test_stream_routes_each_page(spark, tmp_path):
-    inline.table(spark, "pages").repartition(3).write.parquet(str(tmp_path / "in"))
+    inline.Inline(spark)("pages").repartition(3).write.parquet(str(tmp_path / "in"))
     landing.route_stream(landing.landing(spark, str(tmp_path / "in"), 1), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(60)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 18

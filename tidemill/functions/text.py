@@ -39,8 +39,8 @@ def edition_key(edition: Column) -> Column:
 
 
 def named_edition(query: Column) -> Column:
-    """The edition a question names, normalised; null if none."""
-    return edition_key(F.nullif(F.regexp_extract(F.lower(query), r"(?:edition|revision|rev\.?|ed\.?) +([a-z]?[0-9]+[a-z]?)", 1), F.lit("")))
+    """The edition a question names, normalised; null if none. A word that only ends like "ed." names none."""
+    return edition_key(F.nullif(F.regexp_extract(F.lower(query), r"(?:^|[^a-z0-9])(?:edition|revision|rev\.?|ed\.?) +([a-z]?[0-9]+[a-z]?)", 1), F.lit("")))
 
 
 def codes_in(text: Column, pattern: str) -> Column:

@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import re
+
 from .. import config
 from ..sources.inline import sql as inline
 from ..sources.project import SQL as PROJECT
+from ..sources.project import Knowledge, knowledge_sql
+from .projected import PROJECTED
 from .stem_sql import stems
 
 ORACLE_SQL: dict[str, str] = {}
+#: The rules over the small corpus, for tests.
+SMALL_SQL: dict[str, str] = {}
+_PROJECTED_SQL: dict[str, str] = {}
 
 
 def _list(words: tuple[str, ...]) -> str:
@@ -60,7 +67,8 @@ ORACLE_SQL |= {
     "project_sections": f"WITH {PROJECT} SELECT * REPLACE (array_to_string(path, '/') AS path) FROM sec",
     "project_elements": f"WITH {PROJECT} SELECT * FROM el",
     "lexical_or_topk": f"{_MATCH} SELECT query_id, element_id, (n + 1)::DOUBLE AS score FROM m QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY n DESC, size DESC, page, element_id) <= 20",
-    "lexical_and_topk": f"{_MATCH.replace('FROM qu)', 'FROM qb)')} SELECT query_id, element_id, n + 0.5::DOUBLE AS score FROM m WHERE n = n_terms QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY n DESC, size DESC, page, element_id) <= 10",
+    "lexical_and_topk": f"{_MATCH} SELECT query_id, element_id, n + 0.5::DOUBLE AS score FROM m WHERE n = n_terms QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY n DESC, size DESC, page, element_id) <= 10",
+    "lexical_and_passages": f"{_MATCH.replace('FROM qu)', 'FROM qb)')} SELECT query_id, element_id, n + 0.5::DOUBLE AS score FROM m WHERE n = n_terms QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY n DESC, size DESC, page, element_id) <= 10",
     "lexical_bm25": f"""WITH {PROJECT}, {tokens('qu', 'query_id, manual_id')}, {_TERMS},
 w AS (SELECT manual_id, element_id, regexp_extract_all(lower(text), '[a-z0-9]{{3,}}') AS w FROM el), st AS (SELECT manual_id, count(*) AS docs, avg(len(w)) AS mean FROM w GROUP BY manual_id),
 x AS (SELECT manual_id, element_id, len(w) AS n, unnest(w) AS term FROM w), tf AS (SELECT manual_id, element_id, n, term, count(*) AS tf FROM x WHERE (manual_id, term) IN (SELECT manual_id, term FROM tm) GROUP BY ALL), df AS (SELECT manual_id, term, count(*) AS df FROM tf GROUP BY ALL),
@@ -109,7 +117,14 @@ SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score
 
 
 def _inline(name: str, tables: str, select: str, more: str = "") -> None:
-    ORACLE_SQL[name] = f"WITH {inline(*tables.split())}{', ' + more if more else ''} {select}"
+    """A rule's SQL over the small corpus and, where the projection has its tables, over that."""
+    rest = f"{', ' + more if more else ''} {select}"
+    of_rule = lambda known: re.sub("<<([a-z_]+)>>", lambda m: known[m[1]], rest)
+    SMALL_SQL[name] = f"WITH {inline(*tables.split())}{of_rule(SMALL_SQL)}"
+    if set(tables.split()) <= set(Knowledge.TABLES):
+        _PROJECTED_SQL[name] = f"WITH {knowledge_sql(*tables.split())}{of_rule(_PROJECTED_SQL)}"
+    if name in PROJECTED:
+        ORACLE_SQL[name] = _PROJECTED_SQL[name]
 
 
 _QT = tokens("i_questions", "query_id, manual_id, text")
@@ -126,16 +141,17 @@ it2 AS (SELECT *, p0 OR (named AND d1) AS p1 FROM it1),
 it3 AS (SELECT *, d1 OR (named AND p1) AS wants_data FROM it2),
 it4 AS (SELECT *, regexp_matches(lt, '(^|[^a-z])which([^a-z]|$)') AND wants_data AS which FROM it3),
 it AS (SELECT *, k OR which AS wants_decision, p1 OR which OR wants_schedule AS wants_proc FROM it4)"""
-_inline("query_features", "questions", "SELECT query_id, array_to_string(tokens, ' ') AS tokens, array_to_string(component, ' ') AS component, array_to_string(codes, ' ') AS codes, array_to_string(phrases, ';') AS phrases, upper(regexp_replace(nullif(regexp_extract(lower(text), '(?:edition|revision|rev\\.?|ed\\.?) +([a-z]?[0-9]+[a-z]?)', 1), ''), '[^A-Za-z0-9]', '', 'g')) AS edition, wants_figure, wants_data, wants_proc, wants_decision, wants_schedule FROM it", _INTENT)
-# the cells of the two tables, written out by hand
-_CELLS = "CASE WHEN table_json LIKE '%Gap%' THEN 'Gap | 0.30 mm | A12-03 | max 0.45 mm' WHEN table_json IS NOT NULL THEN 'A12-03 | max 0.50 mm' END"
+_inline("query_features", "questions", "SELECT query_id, array_to_string(tokens, ' ') AS tokens, array_to_string(component, ' ') AS component, array_to_string(codes, ' ') AS codes, array_to_string(phrases, ';') AS phrases, upper(regexp_replace(nullif(regexp_extract(lower(text), '(?:^|[^a-z0-9])(?:edition|revision|rev\\.?|ed\\.?) +([a-z]?[0-9]+[a-z]?)', 1), ''), '[^A-Za-z0-9]', '', 'g')) AS edition, wants_figure, wants_data, wants_proc, wants_decision, wants_schedule FROM it", _INTENT)
+# each cell of a table once, in order
+_CELLS = f"""CASE WHEN table_json IS NOT NULL THEN array_to_string({_once("regexp_extract_all(table_json, '\"text\":\"([^\"]*)\"', 1)")}, ' | ') END"""
 _inline("element_text", "elements", f"SELECT element_id, coalesce(nullif(trim(text), ''), {_CELLS}) AS text, CASE WHEN plate_no IS NOT NULL THEN 'Plate ' || plate_no || coalesce(' edition ' || edition, '') WHEN procedure_no IS NOT NULL THEN 'Procedure ' || procedure_no || coalesce(' edition ' || edition, '') ELSE 'page ' || page END AS ref, TRY_CAST(regexp_extract(text, '^ *([0-9]{{1,2}})\\. ', 1) AS INT) AS step, trim(lower(regexp_replace(text, '[^A-Za-z0-9]+', ' ', 'g'))) AS key FROM i_elements")
 _inline("section_text", "sections", """SELECT section_id, regexp_extract(procedure_no, '^([0-9]{3}-[0-9]+)', 1) AS pstem, trim(regexp_replace(lower(concat_ws(' ', component_title, action_title)), '[ ,-]+(data|checking|dismantling|mounting|overhaul|plate)$', '')) AS stem,
-  CASE WHEN doc_code IS NULL THEN 'other' ELSE CASE left(doc_code, 1) WHEN 'D' THEN 'data' WHEN 'M' THEN 'procedure' WHEN 'P' THEN 'plate' WHEN 'S' THEN 'other' END END AS kind,
+  CASE WHEN left(doc_code, 1) = 'D' THEN 'data' WHEN left(doc_code, 1) IN ('M', 'A') THEN 'procedure' WHEN left(doc_code, 1) = 'P' THEN 'plate' WHEN regexp_matches(lower(concat_ws(' ', component_title, action_title)), 'schedule|interval') THEN 'schedule' WHEN regexp_matches(lower(concat_ws(' ', component_title, action_title)), 'data|specification') THEN 'data'
+    WHEN regexp_matches(lower(concat_ws(' ', component_title, action_title)), 'plate|drawing') THEN 'plate' WHEN regexp_matches(lower(concat_ws(' ', component_title, action_title)), 'checking|dismantling|mounting|overhaul|procedure') THEN 'procedure' ELSE 'other' END AS kind,
   CASE WHEN doc_code LIKE 'D1%' THEN '9' || substr(doc_code, 3, 2) ELSE substr(doc_code, 2, 3) END AS family, right(doc_code, 4) AS tail, edition FROM i_sections""")
 _BLOB = "concat_ws(' ', text, table_json, procedure_no, plate_no)"
 _NAMING = f"b AS (SELECT DISTINCT manual_id, element_id, unnest(list_concat({_ids(_BLOB)}, {_quantities(_BLOB)})) AS code FROM i_elements), a AS (SELECT DISTINCT query_id, manual_id, unnest(list_concat({_ids('text')}, {_quantities('text')})) AS code FROM i_questions)"
-_inline("identifier_probe", "elements questions", "SELECT query_id, code, element_id, 1.5::DOUBLE AS score FROM a JOIN b USING (manual_id, code)", _NAMING)
+_inline("identifier_probe", "elements questions", f"SELECT query_id, code, element_id, 1.5::DOUBLE AS score FROM a JOIN b USING (manual_id, code) QUALIFY row_number() OVER (PARTITION BY query_id, code ORDER BY element_id) <= {config.LEXICAL}", _NAMING)
 _inline("every_manual", "elements questions", "SELECT query_id, code, element_id, 1.5::DOUBLE AS score FROM a JOIN b USING (code) WHERE a.manual_id = b.manual_id OR query_id = 1", _NAMING)
 _inline("phrase_probe_titles", "elements sections questions", "SELECT query_id, nth::INT AS nth, element_id, 2.5::DOUBLE AS score FROM f QUALIFY row_number() OVER (PARTITION BY query_id, nth ORDER BY n NULLS LAST, element_id) <= 8", f"""{_QT}, p AS (SELECT query_id, manual_id, unnest({_once('phrases')}[1:14]) AS p, unnest(range(len({_once('phrases')}[1:14]))) AS nth FROM ph),
 f AS (SELECT query_id, nth, element_id, length(e.text) AS n FROM p JOIN i_elements e USING (manual_id) LEFT JOIN i_sections s ON s.section_id = e.section_id WHERE contains(lower(concat_ws(chr(10), e.text, component_title, action_title, replace(path, '/', chr(10)))), p))""")
@@ -214,7 +230,7 @@ o AS (SELECT *, NOT coalesce(gone, false) AND NOT (query_id = 6 AND kind = 'proc
 k AS (SELECT *, ok AND row_number() OVER (PARTITION BY query_id, ok, number, kind ORDER BY n DESC, score DESC, place) = 1 AS kept FROM o),
 f AS (SELECT *, bool_or(kept) OVER (PARTITION BY query_id) AS left_any FROM k)""")
 # worked out by hand: the only hits with images are the two of question 3, of which the plate P30201 is named; a drawing's code is the label where there is one
-ORACLE_SQL["diagram_window"] = "SELECT * REPLACE (query_id::BIGINT AS query_id) FROM (VALUES (3, 1::INT, 'p20.png', 'AB1235-1', 20, NULL::INT), (3, 2::INT, 'p16-1.png', 'AB1235-2', 16, 1::INT)) AS v(query_id, place, image, label, page, step)"
+SMALL_SQL["diagram_window"] = "SELECT * REPLACE (query_id::BIGINT AS query_id) FROM (VALUES (3, 1::INT, 'p20.png', 'AB1235-1', 20, NULL::INT), (3, 2::INT, 'p16-1.png', 'AB1235-2', 16, 1::INT)) AS v(query_id, place, image, label, page, step)"
 _inline("numeric_conflicts", "hits elements", "SELECT query_id, code, unit, array_to_string(list_sort(list(DISTINCT value)), ',') AS values FROM (SELECT query_id, code, regexp_extract(v, '([a-z]+)$', 1) AS unit, regexp_extract(v, '^([0-9.]+)', 1) AS value FROM v) GROUP BY query_id, code, unit HAVING count(DISTINCT value) > 1", f"b AS (SELECT query_id, concat_ws(' ', text, {_CELLS}) AS b FROM i_hits JOIN i_elements USING (element_id)), c AS (SELECT query_id, b, unnest(list_distinct(regexp_extract_all(b, '{_ROW}'))) AS code FROM b), v AS (SELECT query_id, code, unnest(regexp_extract_all(lower(b), '[0-9]+(?:\\.[0-9]+)? *(?:{_UNITS})')) AS v FROM c)")
 _inline("route_pages", "pages", """SELECT manual_id, page, CASE WHEN chars = 0 AND images = 0 AND drawings < 5 THEN 'skip' WHEN reason = 'text layer' THEN 'text' ELSE 'ocr' END AS route, reason FROM r""", """r AS (SELECT *, CASE WHEN chars = 0 AND images = 0 AND drawings < 5 THEN 'blank' WHEN chars = 0 AND images > 0 THEN 'image only' WHEN drawings >= 200 AND chars < 400 THEN 'drawing' WHEN images >= 3 AND chars < 300 THEN 'many images'
   WHEN chars < 80 AND (images > 0 OR drawings >= 20) THEN 'little text' WHEN ratio > 0.25 THEN 'garbled' WHEN chars >= 300 AND chars <= 1200 AND drawings >= 150 THEN 'text and drawing' ELSE 'text layer' END AS reason FROM i_pages)""")
@@ -262,7 +278,7 @@ z AS (SELECT *, contains(act, 'dismantl') AND NOT contains(asked, 'dismantl') AS
 _inline("fetch_named", "hits elements sections questions", f"SELECT x.query_id, x.element_id, 40.0::DOUBLE AS score FROM x {_NEW} QUALIFY row_number() OVER (PARTITION BY x.query_id ORDER BY page, x.element_id) <= 10", f"c AS (SELECT e.manual_id, e.element_id, unnest([e.procedure_no, e.plate_no, s.doc_code, e.drawing_code]) AS code FROM i_elements e LEFT JOIN i_sections s ON s.section_id = e.section_id), q AS (SELECT query_id, manual_id, unnest({_ids('text')}) AS code FROM i_questions), x AS (SELECT DISTINCT query_id, element_id FROM q JOIN c USING (manual_id, code))")
 _inline("fetch_drawings", "figures questions", "SELECT DISTINCT query_id, figure_id, element_id, 48.0::DOUBLE AS score FROM i_figures f JOIN q ON q.manual_id = f.manual_id AND length(code) >= 5 AND (contains(upper(coalesce(drawing_code, '')), code) OR contains(upper(coalesce(label, '')), code)) WHERE element_id IS NOT NULL", f"q AS (SELECT query_id, manual_id, unnest({_ids('text')}) AS code FROM i_questions)")
 _inline("best_plate", "hits elements figures", "SELECT query_id, figure_id, f.element_id FROM b JOIN i_figures f USING (section_id) WHERE f.element_id IS NOT NULL", "b AS (SELECT query_id, section_id FROM i_hits JOIN i_elements USING (element_id) WHERE plate_no IS NOT NULL QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, element_id) = 1)")
-_inline("images_first", "hits figures questions", "SELECT query_id, element_id, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN wants_figure AND NOT image THEN 1 ELSE 0 END, place)::INT AS place, image FROM r", f"{_INTENT}, {_RANK}, r AS (SELECT rk.*, wants_figure, rk.element_id IN (SELECT element_id FROM i_figures WHERE element_id IS NOT NULL) AS image FROM rk JOIN it USING (query_id))")
+_inline("images_first", "hits figures questions", "SELECT query_id, element_id, place, image FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN wants_figure AND NOT image THEN 1 ELSE 0 END, p)::INT AS place FROM r WHERE NOT (wants_figure AND image AND nth > 6)) WHERE place <= 8 OR NOT wants_figure", f"{_INTENT}, {_RANK}, r AS (SELECT *, place AS p, row_number() OVER (PARTITION BY query_id, image ORDER BY place) AS nth FROM (SELECT rk.query_id, rk.element_id, rk.place, wants_figure, rk.element_id IN (SELECT element_id FROM i_figures WHERE element_id IS NOT NULL) AS image FROM rk JOIN it USING (query_id)))")
 _inline("header_lines", "spans", "SELECT manual_id, page, string_agg(text, ' ' ORDER BY round_even(y0 / 12, 0), x0, text) AS header FROM i_spans WHERE y1 <= 62 GROUP BY manual_id, page")
 _inline("route_counts", "pages", "SELECT route, count(*) AS n FROM (SELECT CASE WHEN chars = 0 AND images = 0 AND drawings < 5 THEN 'skip' WHEN (chars = 0 AND images > 0) OR (drawings >= 200 AND chars < 400) OR (images >= 3 AND chars < 300) OR (chars < 80 AND (images > 0 OR drawings >= 20)) OR ratio > 0.25 OR (chars BETWEEN 300 AND 1200 AND drawings >= 150) THEN 'ocr' ELSE 'text' END AS route FROM i_pages) GROUP BY route")
 _inline("citation_backfill", "elements", """SELECT element_id, coalesce(procedure_no, plate_no, 'p.' || page) AS citation_key, '{' || concat_ws(',', '"procedure_no":"' || procedure_no || '"', '"plate_no":"' || plate_no || '"', '"edition":"' || edition || '"') || '}' AS fields FROM i_elements""")
@@ -273,7 +289,7 @@ _inline("gate_checks", "questions hits elements manuals", """SELECT query_id, n,
   equipment AND revision AND condition AND units AND scope AS passed FROM c""", f"""{_INTENT.replace(_QT, tokens('i_questions', 'query_id, manual_id, text, equipment'))},
 ev AS (SELECT query_id, lower(concat_ws(' ', text, {_CELLS})) AS b, coalesce(plate_no, procedure_no) AS code, edition FROM i_hits JOIN i_elements USING (element_id)),
 bl AS (SELECT query_id, string_agg(b, ' ' ORDER BY b) AS blob, count(*)::INT AS n FROM ev GROUP BY query_id),
-q AS (SELECT it.query_id, it.manual_id, it.text, phrases, tokens, component, codes, coalesce(n, 0) AS n, coalesce(blob, '') AS blob, lower(model) AS model, lower(coalesce(it.equipment, nullif(regexp_extract(upper(it.text), '[A-Z]{{2,}}[0-9]+[A-Z0-9]*'), ''))) AS wanted, upper(nullif(regexp_extract(lower(it.text), 'edition +([a-z]?[0-9]+[a-z]?)', 1), '')) AS ed FROM it LEFT JOIN bl USING (query_id) LEFT JOIN i_manuals m USING (manual_id)),
+q AS (SELECT it.query_id, it.manual_id, it.text, phrases, tokens, component, codes, coalesce(n, 0) AS n, coalesce(blob, '') AS blob, lower(model) AS model, lower(coalesce(it.equipment, nullif(regexp_extract(upper(it.text), '[A-Z]{{2,}}[0-9]+[A-Z0-9]*'), ''))) AS wanted, upper(nullif(regexp_extract(lower(it.text), '(?:^|[^a-z0-9])(?:edition|revision|rev\\.?|ed\\.?) +([a-z]?[0-9]+[a-z]?)', 1), '')) AS ed FROM it LEFT JOIN bl USING (query_id) LEFT JOIN i_manuals m USING (manual_id)),
 c AS (SELECT query_id, n, wanted IS NULL OR contains(model, wanted) OR contains(wanted, model) AS equipment, ed IS NULL OR NOT EXISTS (SELECT 1 FROM ev WHERE ev.query_id = q.query_id AND ev.edition <> ed AND list_contains(q.codes, ev.code)) AS revision,
   NOT regexp_matches(lower(text), '(^|[^a-z0-9])(mcr|cold start|overload|idle|during start|warm-?up)([^a-z]|$)') AS condition,
   n = 0 OR regexp_matches(lower(text), '[0-9] *({_UNITS})([^a-z]|$)') OR NOT regexp_matches(lower(text), '(^|[^a-z])({_UNITS})([^a-z]|$)') OR contains(blob, regexp_extract(lower(text), '(?:^|[^a-z])({_UNITS})(?:[^a-z]|$)', 1)) AS units,
@@ -283,22 +299,24 @@ _inline("escalated_routes", "pages", "SELECT manual_id, page, CASE WHEN (manual_
   WHEN chars < 80 AND (images > 0 OR drawings >= 20) THEN 'little text' WHEN ratio > 0.25 THEN 'garbled' WHEN chars >= 300 AND chars <= 1200 AND drawings >= 150 THEN 'text and drawing' ELSE 'text layer' END AS reason FROM i_pages)""")
 _inline("selected_pages", "pages", "SELECT manual_id, page, 'spec' AS by FROM i_pages WHERE page IN (1, 2, 12, 40) UNION ALL SELECT manual_id, page, 'limit' FROM i_pages WHERE page <= 3 UNION ALL SELECT manual_id, page, 'all' FROM i_pages")
 _inline("text_layer", "scanned", "SELECT manual_id, page, 'paragraph' AS type, trim(text) AS text, 'text_layer' AS extractor FROM i_scanned WHERE trim(text) <> ''")
-_inline("filled_steps", "elements", "SELECT element_id, CASE WHEN element_id = 107 THEN 1 END::INT AS step FROM i_elements")
+_inline("filled_steps", "elements figures", "SELECT element_id, min(wanted)::INT AS step FROM i_elements LEFT JOIN (SELECT to_id AS element_id, wanted FROM y) USING (element_id) GROUP BY element_id", r"""x AS (SELECT f.element_id AS from_id, f.step AS wanted, e.element_id AS to_id, length(e.text) AS n, regexp_matches(e.text, '(^|\n)[ \t]*' || f.step || '[.][ \t\n]') AS begins
+  FROM i_figures f JOIN i_elements e ON e.manual_id = f.manual_id AND e.page = f.page WHERE f.step IS NOT NULL AND f.element_id IS NOT NULL AND e.type NOT IN ('figure', 'plate') AND e.text IS NOT NULL),
+y AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY from_id ORDER BY NOT begins, CASE WHEN begins THEN to_id END, n DESC, to_id) = 1)""")
 _inline("upsert_figures", "figures", "SELECT figure_id, element_id, manual_id, section_id, page, image, label, panel_index, CASE WHEN figure_id = 2 THEN 'CD1-1' ELSE drawing_code END AS drawing_code, step FROM i_figures UNION ALL SELECT figure_id, element_id, manual_id, section_id, 22, image, 'P30299', panel_index, 'CD1-1', step FROM i_figures WHERE figure_id = 4")
 _inline("corpus_status", "manuals sections elements figures edges fleet runs", "SELECT (SELECT count(*) FROM i_manuals) AS manuals, (SELECT count(*) FROM i_sections) AS sections, (SELECT count(*) FROM i_elements) AS elements, (SELECT count(*) FROM i_figures) AS figures, (SELECT count(*) FROM i_edges) AS edges, (SELECT count(*) FROM i_fleet) AS fleet, true AS has_data, run_id, manual_id, status FROM (SELECT * FROM i_runs ORDER BY started DESC, run_id DESC LIMIT 1)")
 # worked out by hand from the rules, as the rows are few
-ORACLE_SQL["diagram_modes"] = "SELECT * FROM (VALUES ('m1', 1, 3::INT, 'panels', 'panels'), ('m1', 3, 0::INT, 'whole page, plate', 'skip')) AS v(manual_id, page, panels, mode, reader)"
-ORACLE_SQL["manual_identity"] = "SELECT * FROM (VALUES ('f1', 'feed pump manual', 'Acme', 'FP120AX', 'FEED-PUMP-MANUAL'), ('f2', 'Compressor book', NULL, 'Compressor book', 'INGESTED-MANUAL'), ('f3', 'x9', NULL, '6S50MC-C', 'X9')) AS v(manual_id, title, manufacturer, model, equipment_id)"
-ORACLE_SQL["bookmark_sections"] = """SELECT manual_id, pos, path, title, page_start, NULL::INT AS page_end, doc_code, edition, kind FROM (VALUES
+SMALL_SQL["diagram_modes"] = "SELECT * FROM (VALUES ('m1', 1, 3::INT, 'panels', 'panels'), ('m1', 3, 0::INT, 'whole page, plate', 'skip')) AS v(manual_id, page, panels, mode, reader)"
+SMALL_SQL["manual_identity"] = "SELECT * FROM (VALUES ('f1', 'feed pump manual', 'Acme', 'FP120AX', 'FEED-PUMP-MANUAL'), ('f2', 'Compressor book', NULL, 'Compressor book', 'INGESTED-MANUAL'), ('f3', 'x9', NULL, '6S50MC-C', 'X9')) AS v(manual_id, title, manufacturer, model, equipment_id)"
+SMALL_SQL["bookmark_sections"] = """SELECT manual_id, pos, path, title, page_start, NULL::INT AS page_end, doc_code, edition, kind FROM (VALUES
   ('m1', 1, 'Chapter 901', 'Chapter 901', 1, NULL, NULL, 'other'), ('m1', 2, 'Chapter 901/Valve cover', 'Valve cover', 2, 'M30101', '0249', 'procedure'), ('m1', 3, 'Chapter 901/Valve cover-Data', 'Valve cover-Data', 4, 'D30101', NULL, 'data'),
   ('m1', 5, 'Chapter 12', 'Chapter 12', 6, NULL, NULL, 'other'), ('m1', 6, 'Chapter 12/Checking of the rotor', 'Checking of the rotor', 6, NULL, NULL, 'procedure'),
   ('m2', 1, 'Foreword', 'Foreword', 1, NULL, NULL, 'other'), ('m2', 2, 'Foreword', 'Foreword', 3, NULL, NULL, 'other')) AS v(manual_id, pos, path, title, page_start, doc_code, edition, kind)"""
 _META = """(VALUES ('m1', 1, 'p.1', NULL, NULL, 'other', NULL, NULL, NULL, NULL, NULL), ('m1', 2, '301-1', 'M30101', '0249', 'procedure', '301-1', NULL, NULL, 'Valve cover', 'Checking'), ('m1', 3, '301-2', NULL, NULL, 'other', '301-2', NULL, NULL, NULL, NULL),
   ('m1', 4, 'D30101', 'D30101', '0S48', 'data', NULL, NULL, NULL, 'Valve cover', 'Data'), ('m1', 5, 'P30150', 'P30150', '01', 'plate', NULL, 'P30150', NULL, NULL, NULL), ('m1', 6, 'p.6', NULL, NULL, 'other', NULL, NULL, '6', NULL, NULL), ('m1', 7, 'A30101', 'A30101', '03', 'schedule', NULL, NULL, NULL, NULL, NULL),
   ('m2', 1, 'p.1', NULL, NULL, 'other', NULL, NULL, NULL, NULL, NULL), ('m2', 2, 'P99001', NULL, NULL, 'other', NULL, 'P99001', NULL, NULL, NULL), ('m2', 3, 'p.3', NULL, NULL, 'other', NULL, NULL, NULL, NULL, NULL), ('m2', 4, 'p.4', NULL, NULL, 'other', NULL, NULL, NULL, NULL, NULL)) AS v(manual_id, page, citation_key, doc_code, edition, kind, procedure_no, plate_no, printed, component_title, action_title)"""
-ORACLE_SQL["page_meta"] = f"SELECT * FROM {_META}"
-ORACLE_SQL["primary_citations"] = f"SELECT manual_id, page, citation_key || coalesce(' Ed.' || edition, '') AS primary FROM {_META}"
-ORACLE_SQL["extract_sections"] = """SELECT * FROM (VALUES
+SMALL_SQL["page_meta"] = f"SELECT * FROM {_META}"
+SMALL_SQL["primary_citations"] = f"SELECT manual_id, page, citation_key || coalesce(' Ed.' || edition, '') AS primary FROM {_META}"
+SMALL_SQL["extract_sections"] = """SELECT * FROM (VALUES
   ('m1', 'Chapter 901', 'Chapter 901', 1, 1, NULL, NULL, 'other', NULL, NULL, NULL, NULL, 'p.1'), ('m1', 'Chapter 901/Valve cover', 'Valve cover', 2, 3, 'M30101', '0249', 'procedure', '301-1', NULL, 'Valve cover', 'Checking', '301-1'),
   ('m1', 'Chapter 901/Valve cover-Data', 'Valve cover-Data', 4, 4, 'D30101', '0S48', 'data', NULL, NULL, 'Valve cover', 'Data', 'D30101'), ('m1', 'Chapter 901/P30150', 'P30150', 5, 5, 'P30150', '01', 'plate', NULL, 'P30150', NULL, NULL, 'P30150'),
   ('m1', 'Chapter 12', 'Chapter 12', 6, 6, NULL, NULL, 'other', NULL, NULL, NULL, NULL, 'p.6'), ('m1', 'Chapter 12/Checking of the rotor', 'Checking of the rotor', 6, 6, NULL, NULL, 'procedure', NULL, NULL, NULL, NULL, 'p.6'), ('m1', 'Chapter 12/A30101', 'A30101', 7, 7, 'A30101', '03', 'schedule', NULL, NULL, NULL, NULL, 'A30101'),
@@ -306,7 +324,7 @@ ORACLE_SQL["extract_sections"] = """SELECT * FROM (VALUES
 
 _inline("chapter_siblings", "hits elements sections questions", "SELECT query_id, element_id, CASE WHEN low THEN score - 22 ELSE score END AS score, false AS pinned FROM (SELECT *, query_id = 1 AND coalesce(procedure_no LIKE '301-%' AND procedure_no NOT LIKE '301-1%', false) AS low FROM cd)", _CAND)
 # worked out by hand from the rules
-ORACLE_SQL["clause_features"] = """SELECT * REPLACE (query_id::BIGINT AS query_id) FROM (VALUES
+SMALL_SQL["clause_features"] = """SELECT * REPLACE (query_id::BIGINT AS query_id) FROM (VALUES
   (1, 'cover,valve', 'Compare the rotor limits with plate P30101.', 'Compare the rotor limits with plate P30101.', 1, 'P30101', ''),
   (2, '', 'Is 0.45 mm right for the gap,', 'Is 0.45 mm right for the gap', 0, '', ''),
   (3, 'belt,drive,seal,shaft', 'Rotor gap', 'Rotor gap, not shaft-seal.', 0, '', ''),
@@ -321,18 +339,18 @@ _inline("citation_records", "hits elements sections", f"SELECT query_id, h.eleme
 _inline("short_citations", "hits elements sections", f"SELECT query_id, place, element_id, reference FROM (SELECT rk.query_id, rk.place::INT AS place, rk.element_id, coalesce('Plate ' || e.plate_no, 'Procedure ' || coalesce(e.procedure_no, s.doc_code), 'page ' || e.page) || CASE WHEN coalesce(e.plate_no, e.procedure_no, s.doc_code) IS NOT NULL THEN coalesce(' edition ' || e.edition, '') ELSE '' END AS reference FROM rk JOIN i_elements e USING (element_id) LEFT JOIN i_sections s ON s.section_id = e.section_id) QUALIFY row_number() OVER (PARTITION BY query_id, reference ORDER BY place) = 1", _RANK)
 # worked out by hand from the rules, as the rows are few
 _BOXES = "(VALUES ('m1', 1, 0, 50.0, 50.0, 290.0, 390.0, 'AB1-1', 1), ('m1', 1, 1, 310.0, 50.0, 560.0, 390.0, 'AB1-2', 2), ('m1', 1, 2, 50.0, 420.0, 290.0, 760.0, 'AB1-3', 3), ('m1', 2, 0, 100.0, 100.0, 400.0, 400.0, 'AB2-1', 1), ('m2', 1, 0, 0.0, 0.0, 100.0, 100.0, 'ZZ9-9', 7)) AS v(manual_id, page, panel, x0, y0, x1, y1, code, step)"
-ORACLE_SQL["panel_boxes"] = f"SELECT manual_id, page, panel, x0::DOUBLE AS x0, y0::DOUBLE AS y0, x1::DOUBLE AS x1, y1::DOUBLE AS y1 FROM {_BOXES}"
-ORACLE_SQL["panel_codes"] = f"SELECT manual_id, page, panel, code FROM {_BOXES}"
-ORACLE_SQL["panel_steps"] = f"SELECT manual_id, page, panel, step FROM {_BOXES}"
-ORACLE_SQL["diagram_panels"] = f"SELECT manual_id, page, panel, x0::DOUBLE || ',' || y0::DOUBLE || ',' || x1::DOUBLE || ',' || y1::DOUBLE AS bbox, code, step FROM {_BOXES}"
-ORACLE_SQL["completed_plates"] = "SELECT manual_id, section_id::BIGINT AS section_id, page, 'plate' AS type, text, plate_no, edition, plate_no AS citation_key FROM (VALUES ('m1', NULL, 5, 'P30150', 'P30150', NULL), ('m1', 15, 21, 'Rotor - P30201', 'P30201', 'A1'), ('m2', NULL, 2, 'P99001', 'P99001', NULL)) AS v(manual_id, section_id, page, text, plate_no, edition)"
+SMALL_SQL["panel_boxes"] = f"SELECT manual_id, page, panel, x0::DOUBLE AS x0, y0::DOUBLE AS y0, x1::DOUBLE AS x1, y1::DOUBLE AS y1 FROM {_BOXES}"
+SMALL_SQL["panel_codes"] = f"SELECT manual_id, page, panel, code FROM {_BOXES}"
+SMALL_SQL["panel_steps"] = f"SELECT manual_id, page, panel, step FROM {_BOXES}"
+SMALL_SQL["diagram_panels"] = f"SELECT manual_id, page, panel, x0::DOUBLE || ',' || y0::DOUBLE || ',' || x1::DOUBLE || ',' || y1::DOUBLE AS bbox, code, step FROM {_BOXES}"
+SMALL_SQL["completed_plates"] = "SELECT manual_id, section_id::BIGINT AS section_id, page, 'plate' AS type, text, plate_no, edition, plate_no AS citation_key FROM (VALUES ('m1', NULL, 5, 'P30150', 'P30150', NULL), ('m1', 15, 21, 'Rotor - P30201', 'P30201', 'A1'), ('m2', NULL, 2, 'P99001', 'P99001', NULL)) AS v(manual_id, section_id, page, text, plate_no, edition)"
 _PANELS = f"SELECT manual_id, page, 'figure' AS type, CASE WHEN page = 1 AND panel = 0 AND manual_id = 'm1' THEN 'CODE: XX1-1' || chr(10) || 'STEP: 9' WHEN page = 2 THEN 'CODE: none' || chr(10) || 'turn it' || chr(10) || ' 5. lift' END AS text, CASE WHEN manual_id = 'm1' AND page = 1 THEN 'Rotor - Mounting - ' ELSE '' END || 'step ' || step || ' - ' || code AS caption, code AS figure_ref, panel, code, step FROM {_BOXES}"
-ORACLE_SQL["diagram_elements"] = f"{_PANELS} UNION ALL SELECT 'm1', 1, 'paragraph', 'A text of some forty characters or a little more', NULL, NULL, NULL, NULL, NULL UNION ALL SELECT 'm1', 3, 'figure', NULL, 'Page 3', 'page-3', NULL, NULL, NULL"
-ORACLE_SQL["attached_panels"] = f"SELECT * REPLACE (NULL::VARCHAR AS text) FROM ({_PANELS}) WHERE manual_id = 'm1' AND page = 1 UNION ALL SELECT 'm1', 1, 'paragraph', 'stays', NULL, NULL, NULL, NULL, NULL UNION ALL SELECT 'm1', 3, 'plate', NULL, 'plate', 'y', NULL, NULL, NULL UNION ALL SELECT 'm1', 9, 'figure', NULL, 'alone', 'z', NULL, NULL, NULL"
+SMALL_SQL["diagram_elements"] = f"{_PANELS} UNION ALL SELECT 'm1', 1, 'paragraph', 'A text of some forty characters or a little more', NULL, NULL, NULL, NULL, NULL UNION ALL SELECT 'm1', 3, 'figure', NULL, 'Page 3', 'page-3', NULL, NULL, NULL"
+SMALL_SQL["attached_panels"] = f"SELECT * REPLACE (NULL::VARCHAR AS text) FROM ({_PANELS}) WHERE manual_id = 'm1' AND page = 1 UNION ALL SELECT 'm1', 1, 'paragraph', 'stays', NULL, NULL, NULL, NULL, NULL UNION ALL SELECT 'm1', 3, 'plate', NULL, 'plate', 'y', NULL, NULL, NULL UNION ALL SELECT 'm1', 9, 'figure', NULL, 'alone', 'z', NULL, NULL, NULL"
 # compositions of the statements above
-_DRAWN = " UNION ".join(f"SELECT from_id, to_id, type FROM ({ORACLE_SQL[x]})" for x in ("describes_by_title", "illustrates_plate", "cross_refs", "step_links"))
+_DRAWN = " UNION ".join(f"SELECT from_id, to_id, type FROM (<<{x}>>)" for x in ("describes_by_title", "illustrates_plate", "cross_refs", "step_links"))
 _inline("build_edges", "edges", f"{_DRAWN} EXCEPT SELECT from_id, to_id, type FROM i_edges")
-_inline("query_log", "questions hits elements sections", f"SELECT g.query_id, passed, reason, NOT passed AS abstained, CASE WHEN passed THEN coalesce(dump, '{config.Settings.abstain_text}') ELSE '{config.Settings.abstain_text}' END AS answer, text AS query_text, ids AS retrieved, 'rrf' AS fusion_method FROM ({ORACLE_SQL['gate_checks']}) g JOIN i_questions USING (query_id) LEFT JOIN dm USING (query_id)", f"""{_RANK},
+_inline("query_log", "questions hits elements sections", f"SELECT g.query_id, passed, reason, NOT passed AS abstained, CASE WHEN passed THEN coalesce(dump, '{config.Settings.abstain_text}') ELSE '{config.Settings.abstain_text}' END AS answer, text AS query_text, ids AS retrieved, 'rrf' AS fusion_method FROM (<<gate_checks>>) g JOIN i_questions USING (query_id) LEFT JOIN dm USING (query_id)", f"""{_RANK},
 ln AS (SELECT rk.query_id, rk.place, rk.element_id, '[' || coalesce('Plate ' || e.plate_no, 'Procedure ' || coalesce(e.procedure_no, s.doc_code), 'page ' || e.page) || CASE WHEN coalesce(e.plate_no, e.procedure_no, s.doc_code) IS NOT NULL THEN coalesce(' edition ' || e.edition, '') ELSE '' END || '] ' || left(coalesce(nullif(trim(e.text), ''), {_CELLS}, ''), 240) AS t FROM rk JOIN i_elements e USING (element_id) LEFT JOIN i_sections s ON s.section_id = e.section_id),
 dm AS (SELECT query_id, string_agg(t, chr(10) ORDER BY place) FILTER (WHERE place <= 5) AS dump, string_agg(element_id::VARCHAR, ',' ORDER BY place) AS ids FROM ln GROUP BY query_id)""")
 
@@ -343,13 +361,17 @@ _inline("lexical_and_inline", "elements questions", "SELECT query_id, element_id
 _inline("lexical_by_kind", "elements sections questions", "SELECT query_id, element_id, (n + 1.0)::DOUBLE AS score FROM (SELECT mt.*, CASE WHEN wants_schedule THEN CASE WHEN kd IN ('schedule', 'data', 'procedure') THEN 0 ELSE 1 END WHEN wants_proc AND wants_data THEN CASE WHEN kd IN ('data', 'procedure') THEN 0 ELSE 1 END WHEN wants_proc THEN CASE kd WHEN 'procedure' THEN 0 WHEN 'data' THEN 1 ELSE 2 END ELSE CASE kd WHEN 'data' THEN 0 WHEN 'procedure' THEN 1 ELSE 2 END END AS early FROM mt JOIN it USING (query_id) JOIN (SELECT element_id, coalesce(kind, '') AS kd FROM i_elements LEFT JOIN i_sections USING (section_id)) USING (element_id)) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY early, n DESC, size DESC, page, element_id) <= 3", _TERMS.replace(_QT, _INTENT))
 _inline("text_functions", "raws", r"SELECT id, regexp_replace(text, '[\x00-\x08\x0B\x0C\x0E-\x1F]', '-', 'g') AS dashed, trim(regexp_replace(text, '[ \t\r\n]+', ' ', 'g')) AS squeezed, upper(regexp_replace(text, '[^A-Za-z0-9]', '', 'g')) AS code, CASE WHEN text IS NULL THEN 0.0 ELSE round(len(regexp_extract_all(text, '[\x00-\x08\x0B\x0C\x0E-\x1F]')) / length(text), 6) END::DOUBLE AS ratio, CASE id WHEN 1 THEN 3 WHEN 3 THEN 4 END::INT AS k FROM i_raws")
 # worked out by hand from the rules
-ORACLE_SQL["panel_ocr"] = "SELECT * FROM (VALUES ('m1', 1, 1, 'AB12', 4), ('m1', 1, 2, 'AB1234-5', 3)) AS v(manual_id, page, panel, code, step)"
-ORACLE_SQL["ocr_elements"] = "SELECT * FROM (VALUES ('m1', 2, 0, 'heading', 'Pump', '1.0,2.0,3.0,4.0'), ('m1', 2, 1048576, 'figure', 'Figure 7', NULL), ('m2', 1, 0, 'heading', 'Head', NULL), ('m2', 1, 1, 'list', '- one' || chr(10) || '- two', NULL), ('m2', 1, 2, 'paragraph', 'words', NULL), ('m2', 1, 1048576, 'figure', 'Head', NULL)) AS v(manual_id, page, nth, type, text, bbox)"
-ORACLE_SQL["layout_elements"] = """SELECT * FROM (VALUES ('m1', 'heading', 1, 'A b', NULL, '1.0,2.0,3.0,4.0'), ('m1', 'list', 2, 'x', NULL, NULL), ('m1', 'table', 2, NULL, '{"grid":[[{"text":"y"}]]}', NULL), ('m1', 'figure', 1, 'Pump', NULL, NULL)) AS v(manual_id, type, page, text, table_json, bbox)"""
+SMALL_SQL["panel_ocr"] = "SELECT * FROM (VALUES ('m1', 1, 1, 'AB12', 4), ('m1', 1, 2, 'AB1234-5', 3)) AS v(manual_id, page, panel, code, step)"
+SMALL_SQL["ocr_elements"] = "SELECT * FROM (VALUES ('m1', 2, 0, 'heading', 'Pump', '1.0,2.0,3.0,4.0'), ('m1', 2, 1048576, 'figure', 'Figure 7', NULL), ('m2', 1, 0, 'heading', 'Head', NULL), ('m2', 1, 1, 'list', '- one' || chr(10) || '- two', NULL), ('m2', 1, 2, 'paragraph', 'words', NULL), ('m2', 1, 1048576, 'figure', 'Head', NULL)) AS v(manual_id, page, nth, type, text, bbox)"
+SMALL_SQL["layout_elements"] = """SELECT * FROM (VALUES ('m1', 'heading', 1, 'A b', NULL, '1.0,2.0,3.0,4.0'), ('m1', 'list', 2, 'x', NULL, NULL), ('m1', 'table', 2, NULL, '{"grid":[[{"text":"y"}]]}', NULL), ('m1', 'figure', 1, 'Pump', NULL, NULL)) AS v(manual_id, type, page, text, table_json, bbox)"""
 # compositions of the statements above
-_EARLY = ORACLE_SQL["lexical_by_kind"].replace("<= 3", "<= 20")
-_ALL_TERMS = ORACLE_SQL["lexical_by_kind"].replace("<= 3", "<= 10").replace("(n + 1.0)", "(n + 0.5)").replace("FROM mt JOIN it", "FROM (SELECT mt.* FROM mt JOIN nt ON nt.query_id = mt.query_id AND nt.nt = mt.n) AS mt JOIN it")
+for _known in (SMALL_SQL, _PROJECTED_SQL):
+    _known["_early"] = _known["lexical_by_kind"].replace("<= 3", "<= 20")
+    _known["_all_terms"] = _known["lexical_by_kind"].replace("<= 3", "<= 10").replace("(n + 1.0)", "(n + 0.5)").replace("FROM mt JOIN it", "FROM (SELECT mt.* FROM mt JOIN nt ON nt.query_id = mt.query_id AND nt.nt = mt.n) AS mt JOIN it")
 _inline("lexical_path", "elements questions", "SELECT query_id, element_id, score + 1 AS score FROM (SELECT *, min(probe) OVER (PARTITION BY query_id, element_id) AS first FROM u) WHERE probe = first GROUP BY query_id, element_id, score, probe QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, probe, element_id) <= 20", f"""{_TERMS},
 ov AS (SELECT query_id, element_id FROM (SELECT te.query_id, element_id, count(*) AS n, length(text) AS size FROM te JOIN i_elements e ON e.manual_id = te.manual_id AND length(term) >= 5 AND contains(lower(text), term) WHERE length(text) BETWEEN 24 AND 2500 GROUP BY te.query_id, element_id, text) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY n DESC, size, element_id) <= 16),
-u AS (SELECT query_id, element_id, score, 0 AS probe FROM ({_EARLY}) UNION ALL SELECT query_id, element_id, score, 1 FROM ({_ALL_TERMS}) UNION ALL SELECT DISTINCT query_id, element_id, 2.5, 2 FROM ({ORACLE_SQL['phrase_probe_titles']}) UNION ALL SELECT DISTINCT query_id, element_id, 1.5, 3 FROM ({ORACLE_SQL['identifier_probe']}) UNION ALL SELECT query_id, element_id, 3.8, 4 FROM ov)""")
-ORACLE_SQL["visual_path"] = f"SELECT query_id, figure_id, score, text FROM ({ORACLE_SQL['figure_probe'].replace(' WHERE NOT (wants_data AND NOT wants_figure AND NOT wants_proc)', '')}) JOIN ({ORACLE_SQL['figure_backfill']}) USING (figure_id)"
+u AS (SELECT query_id, element_id, score, 0 AS probe FROM (<<_early>>) UNION ALL SELECT query_id, element_id, score, 1 FROM (<<_all_terms>>) UNION ALL SELECT DISTINCT query_id, element_id, 2.5, 2 FROM (<<phrase_probe_titles>>) UNION ALL SELECT DISTINCT query_id, element_id, 1.5, 3 FROM (<<identifier_probe>>) UNION ALL SELECT query_id, element_id, 3.8, 4 FROM ov)""")
+for _known, _out in ((SMALL_SQL, SMALL_SQL), (_PROJECTED_SQL, ORACLE_SQL)):
+    del _known["_early"], _known["_all_terms"]
+    _figures = _known["figure_probe"].replace(" WHERE NOT (wants_data AND NOT wants_figure AND NOT wants_proc)", "")
+    _out["visual_path"] = f"SELECT query_id, figure_id, score, text FROM ({_figures}) JOIN ({_known['figure_backfill']}) USING (figure_id)"

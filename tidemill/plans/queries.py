@@ -1,4 +1,4 @@
-"""The registered queries: volume over the projected documents, semantics over the inline corpus. Each whole, without samples."""
+"""The registered queries over the given tables, each whole, and the rules that only the small corpus has the data for, which tests run."""
 
 from __future__ import annotations
 
@@ -13,6 +13,7 @@ from ..functions import text as T
 from ..operators import clauses, conventions, gate, graph, ingest, pages, rank, retrieve, textindex
 from ..sources import inline, project
 from . import engine
+from .projected import PROJECTED
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -28,8 +29,8 @@ def _volume(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFram
     return project.sections(docs), project.elements(docs), project.questions(project.load(spark, d, "conversations"))
 
 
-def _small(spark: SparkSession, *names: str) -> list[DataFrame]:
-    return [inline.table(spark, n) for n in names]
+def _small(t: Tables, *names: str) -> list[DataFrame]:
+    return [t(n) for n in names]
 
 
 @query
@@ -50,6 +51,13 @@ def project_elements(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def lexical_and_topk(spark: SparkSession, d: str) -> DataFrame:
+    _, e, q = _volume(spark, d)
+    return retrieve.lexical_and(e, q)
+
+
+@query
+def lexical_and_passages(spark: SparkSession, d: str) -> DataFrame:
+    """No line holds all terms of a whole user turn; lines that quote a passage hold all of its."""
     return retrieve.lexical_and(_volume(spark, d)[1], project.passages(project.load(spark, d, "benchmark")))
 
 
@@ -151,81 +159,82 @@ def diversify(spark: SparkSession, d: str) -> DataFrame:
     return rank.diversify(rank.in_order(rows)).select("query_id", "element_id", "doc_code", "type", "place", "late")
 
 
-# semantics over the inline corpus
-def _named(name: str, build: Callable[[SparkSession], DataFrame]) -> None:
-    QUERIES[name] = lambda spark, d: build(spark)
+# rules over the knowledge model
+Tables = project.Knowledge | inline.Inline
+#: Every rule over tables by name: registered over the projection where that has its tables, tested over the small corpus in any case.
+RULES: dict[str, Callable[[Tables], DataFrame]] = {}
 
 
-def _hit_rule(rule: Callable[[DataFrame, DataFrame], DataFrame], spark: SparkSession) -> DataFrame:
-    hits, e, s, q = _small(spark, "hits", "elements", "sections", "questions")
+def _hit_rule(rule: Callable[[DataFrame, DataFrame], DataFrame], t: Tables) -> DataFrame:
+    hits, e, s, q = _small(t, "hits", "elements", "sections", "questions")
     out = rule(rank.candidates(hits, e, s), q)
     return out.select("query_id", "element_id", F.round("score", 6).alias("score"), "pinned")
 
 
-def _text_functions(spark: SparkSession) -> DataFrame:
-    t = F.col("text")
-    return inline.table(spark, "raws").select("id", T.control_to_dash(t).alias("dashed"), T.squeezed(t).alias("squeezed"), T.code_key(t).alias("code"), F.round(T.control_ratio(t), 6).alias("ratio"), T.json_object(F.col("answer"), "k int")["k"].alias("k"))
+def _text_functions(t: Tables) -> DataFrame:
+    x = F.col("text")
+    return t("raws").select("id", T.control_to_dash(x).alias("dashed"), T.squeezed(x).alias("squeezed"), T.code_key(x).alias("code"), F.round(T.control_ratio(x), 6).alias("ratio"), T.json_object(F.col("answer"), "k int")["k"].alias("k"))
 
 
 def _two(f, *names):
-    return lambda spark: f(*_small(spark, *names))
+    return lambda t: f(*_small(t, *names))
 
 
-def _ranked(spark: SparkSession) -> DataFrame:
-    hits, e, s = _small(spark, "hits", "elements", "sections")
+def _ranked(t: Tables) -> DataFrame:
+    hits, e, s = _small(t, "hits", "elements", "sections")
     return rank.in_order(rank.candidates(hits, e, s))
 
 
-def _knowledge(spark: SparkSession) -> engine.Knowledge:
-    return engine.Knowledge(*_small(spark, "manuals", "sections", "elements", "figures", "edges"))
+def _knowledge(t: Tables) -> engine.Knowledge:
+    return engine.Knowledge(*_small(t, "manuals", "sections", "elements", "figures", "edges"))
 
 
-def _query_features(spark: SparkSession) -> DataFrame:
-    q = inline.table(spark, "questions")
+def _query_features(t: Tables) -> DataFrame:
+    q = t("questions")
     i = q.select("query_id", T.intent(F.col("text")).alias("i"), T.phrases(T.content_tokens(F.col("text"))).alias("p"), T.named_edition(F.col("text")).alias("edition"))
     flags = [F.col(f"i.{f}").alias(f) for f in ("wants_figure", "wants_data", "wants_proc", "wants_decision", "wants_schedule")]
     return i.select("query_id", F.array_join("i.tokens", " ").alias("tokens"), F.array_join("i.component_tokens", " ").alias("component"), F.array_join("i.codes", " ").alias("codes"), F.array_join("p", ";").alias("phrases"), "edition", *flags)
 
 
-def _element_text(spark: SparkSession) -> DataFrame:
-    e = inline.table(spark, "elements")
+def _element_text(t: Tables) -> DataFrame:
+    e = t("elements")
     return e.select("element_id", T.row_text(F.col("text"), F.col("table_json")).alias("text"), T.citation_ref(F.col("plate_no"), F.col("procedure_no"), F.lit(None).cast("string"), F.lit(None).cast("string"), F.col("edition"), F.col("page")).alias("ref"), T.leading_step(F.col("text")).alias("step"), T.text_key(F.col("text")).alias("key"))
 
 
-def _section_text(spark: SparkSession) -> DataFrame:
-    s = inline.table(spark, "sections")
+def _section_text(t: Tables) -> DataFrame:
+    s = t("sections")
     title = F.concat_ws(" ", "component_title", "action_title")
     return s.select("section_id", T.procedure_stem(F.col("procedure_no")).alias("pstem"), T.component_stem(title).alias("stem"), T.kind_of(F.col("doc_code"), title).alias("kind"), T.chapter_family(F.col("doc_code")).alias("family"), T.code_tail(F.col("doc_code")).alias("tail"), T.edition_key(F.col("edition")).alias("edition"))
 
 
-def _asof(spark: SparkSession) -> DataFrame:
-    e, toc = _small(spark, "elements", "toc")
+def _asof(t: Tables) -> DataFrame:
+    e, toc = _small(t, "elements", "toc")
     at = e.select("manual_id", "page").distinct()
     return graph.chapter_asof(at, toc.where("level = 1").select("manual_id", "page", F.col("title").alias("chapter")))
 
 
-def _gate(spark: SparkSession) -> DataFrame:
-    q, hits, e, m = _small(spark, "questions", "hits", "elements", "manuals")
+def _gate(t: Tables) -> DataFrame:
+    q, hits, e, m = _small(t, "questions", "hits", "elements", "manuals")
     return gate.checks(q, hits, e, m).withColumn("failed", F.array_join("failed", ","))
 
 
-def _hops(spark: SparkSession) -> DataFrame:
-    hits, edges, e = _small(spark, "hits", "edges", "elements")
+def _hops(t: Tables) -> DataFrame:
+    hits, edges, e = _small(t, "hits", "edges", "elements")
     kinds = ("cross_ref", "references_section", "references_data")
     return graph.hop(hits, edges, e, kinds, config.MAX_HOPS, config.CROSS_REF)
 
 
-def _panel_hops(spark: SparkSession) -> DataFrame:
-    hits, edges, e = _small(spark, "hits", "edges", "elements")
+def _panel_hops(t: Tables) -> DataFrame:
+    hits, edges, e = _small(t, "hits", "edges", "elements")
     return graph.reverse_hop(hits, edges, e, "illustrates_step", config.MAX_PANELS, config.PANEL)
 
 
-def _conflicts(spark: SparkSession) -> DataFrame:
-    return gate.numeric_conflicts(*_small(spark, "hits", "elements")).withColumn("values", F.array_join("values", ","))
+def _conflicts(t: Tables) -> DataFrame:
+    return gate.numeric_conflicts(*_small(t, "hits", "elements")).withColumn("values", F.array_join("values", ","))
 
 
-def _edges(spark: SparkSession) -> DataFrame:
-    fresh, = _small(spark, "edges")
+def _edges(t: Tables) -> DataFrame:
+    fresh, = _small(t, "edges")
     return graph.new_edges(fresh, fresh.where("type = 'describes'"))
 
 
@@ -234,139 +243,139 @@ def _joined(df: DataFrame, *columns: str) -> DataFrame:
     return df.select(*[F.array_join(F.transform(F.col(c), lambda x: x.cast("string")), ",").alias(c) if c in columns else c for c in df.columns])
 
 
-def _citations(spark: SparkSession) -> DataFrame:
-    return conventions.citations(inline.table(spark, "texts"), conventions.detect(inline.table(spark, "bands")))
+def _citations(t: Tables) -> DataFrame:
+    return conventions.citations(t("texts"), conventions.detect(t("bands")))
 
 
-def _replaced(spark: SparkSession) -> DataFrame:
-    bands, answers = _small(spark, "bands", "answers")
+def _replaced(t: Tables) -> DataFrame:
+    bands, answers = _small(t, "bands", "answers")
     out = conventions.replaced(conventions.detect(bands), answers.withColumn("label_words", F.array("word")), bands)
     return _joined(out, "label_words")
 
 
-def _references(spark: SparkSession) -> DataFrame:
-    texts = inline.table(spark, "texts").withColumn("element_id", F.col("page").cast("long"))
-    return conventions.references(texts, conventions.detect(inline.table(spark, "bands")))
+def _references(t: Tables) -> DataFrame:
+    texts = t("texts").withColumn("element_id", F.col("page").cast("long"))
+    return conventions.references(texts, conventions.detect(t("bands")))
 
 
-def _scan(spark: SparkSession) -> tuple[DataFrame, DataFrame, DataFrame]:
-    scanned, heads, keys = _small(spark, "scanned", "heads", "keys")
+def _scan(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
+    scanned, heads, keys = _small(t, "scanned", "heads", "keys")
     return scanned, heads, conventions.from_keys(keys)
 
 
-def _page_meta(spark: SparkSession) -> DataFrame:
-    return pages.page_meta(*_scan(spark))
+def _page_meta(t: Tables) -> DataFrame:
+    return pages.page_meta(*_scan(t))
 
 
-def _extracted(spark: SparkSession) -> DataFrame:
-    return pages.extract_sections(inline.table(spark, "bookmarks"), *_scan(spark))
+def _extracted(t: Tables) -> DataFrame:
+    return pages.extract_sections(t("bookmarks"), *_scan(t))
 
 
-def _plates(spark: SparkSession) -> DataFrame:
-    s, e = _small(spark, "sections", "elements")
-    meta = _page_meta(spark).select("manual_id", "page", "plate_no")
+def _plates(t: Tables) -> DataFrame:
+    s, e = _small(t, "sections", "elements")
+    meta = _page_meta(t).select("manual_id", "page", "plate_no")
     return ingest.completed_plates(ingest.plate_pages(s, e, meta), s)
 
 
-def _drafts(spark: SparkSession) -> DataFrame:
-    return ingest.diagram_panels(*_small(spark, "rects", "labels", "steps"))
+def _drafts(t: Tables) -> DataFrame:
+    return ingest.diagram_panels(*_small(t, "rects", "labels", "steps"))
 
 
-def _titles(spark: SparkSession) -> DataFrame:
+def _titles(t: Tables) -> DataFrame:
     """Two titled pages and a plate, beside the panels' pages."""
-    return spark.createDataFrame([("m1", 1, "Rotor", "Mounting", None), ("m1", 3, "Cover", None, "P30101")], "manual_id string, page int, component_title string, action_title string, plate_no string")
+    return t.spark.createDataFrame([("m1", 1, "Rotor", "Mounting", None), ("m1", 3, "Cover", None, "P30101")], "manual_id string, page int, component_title string, action_title string, plate_no string")
 
 
-def _diagram_elements(spark: SparkSession) -> DataFrame:
-    drafts, meta = _drafts(spark), _titles(spark)
-    asked = spark.createDataFrame([("m1", 1, None), ("m1", 2, None), ("m1", 3, "P30101"), ("m2", 1, None)], "manual_id string, page int, plate_no string")
-    texts = spark.createDataFrame([("m1", 1, " A text of some forty characters or a little more "), ("m1", 2, "short")], "manual_id string, page int, text string")
-    answers = spark.createDataFrame([("m1", 1, 0, "CODE: XX1-1\nSTEP: 9"), ("m1", 2, 0, "CODE: none\nturn it\n 5. lift")], "manual_id string, page int, panel int, answer string")
+def _diagram_elements(t: Tables) -> DataFrame:
+    drafts, meta = _drafts(t), _titles(t)
+    asked = t.spark.createDataFrame([("m1", 1, None), ("m1", 2, None), ("m1", 3, "P30101"), ("m2", 1, None)], "manual_id string, page int, plate_no string")
+    texts = t.spark.createDataFrame([("m1", 1, " A text of some forty characters or a little more "), ("m1", 2, "short")], "manual_id string, page int, text string")
+    answers = t.spark.createDataFrame([("m1", 1, 0, "CODE: XX1-1\nSTEP: 9"), ("m1", 2, 0, "CODE: none\nturn it\n 5. lift")], "manual_id string, page int, panel int, answer string")
     return ingest.diagram_elements(asked, drafts, meta, texts, answers)
 
 
-def _attached_panels(spark: SparkSession) -> DataFrame:
+def _attached_panels(t: Tables) -> DataFrame:
     kinds = "manual_id string, page int, type string, text string, caption string, figure_ref string, panel int, code string, step int"
     rows = [("m1", 1, "figure", None, "old", "x", None, None, None), ("m1", 1, "paragraph", "stays", None, None, None, None, None), ("m1", 3, "plate", None, "plate", "y", None, None, None), ("m1", 9, "figure", None, "alone", "z", None, None, None)]
-    return ingest.attach_panels(spark.createDataFrame(rows, kinds), _drafts(spark), _titles(spark))
+    return ingest.attach_panels(t.spark.createDataFrame(rows, kinds), _drafts(t), _titles(t))
 
 
-def _filled_steps(spark: SparkSession) -> DataFrame:
-    e, f = _small(spark, "elements", "figures")
+def _filled_steps(t: Tables) -> DataFrame:
+    e, f = _small(t, "elements", "figures")
     return ingest.filled_steps(e.withColumn("step", F.lit(None).cast("int")), graph.step_links(e, f), f).select("element_id", "step")
 
 
-def _upsert_figures(spark: SparkSession) -> DataFrame:
-    f = inline.table(spark, "figures")
+def _upsert_figures(t: Tables) -> DataFrame:
+    f = t("figures")
     fresh = f.where("figure_id in (2, 4)").withColumn("label", F.when(F.col("figure_id") == 4, "P30299")).withColumn("drawing_code", F.lit("CD1-1")).withColumn("page", F.when(F.col("figure_id") == 4, 22).otherwise(F.col("page")))
     return ingest.upsert_figures(f, fresh)
 
 
-def _status(spark: SparkSession) -> DataFrame:
+def _status(t: Tables) -> DataFrame:
     names = ("manuals", "sections", "elements", "figures", "edges", "fleet")
-    return ingest.corpus_status({n: inline.table(spark, n) for n in names}, inline.table(spark, "runs"))
+    return ingest.corpus_status({n: t(n) for n in names}, t("runs"))
 
 
-def _escalated(spark: SparkSession) -> DataFrame:
-    answers = inline.table(spark, "pages").select("manual_id", "page", F.lit("text").alias("said"))
-    return ingest.escalated(ingest.route_pages(inline.table(spark, "pages")), answers, 1)
+def _escalated(t: Tables) -> DataFrame:
+    answers = t("pages").select("manual_id", "page", F.lit("text").alias("said"))
+    return ingest.escalated(ingest.route_pages(t("pages")), answers, 1)
 
 
-def _selected(spark: SparkSession) -> DataFrame:
-    p = inline.table(spark, "pages").select("manual_id", "page")
+def _selected(t: Tables) -> DataFrame:
+    p = t("pages").select("manual_id", "page")
     some = pages.selected(p, "1-2, 12,40").withColumn("by", F.lit("spec"))
     return some.unionByName(pages.selected(p, limit=3).withColumn("by", F.lit("limit"))).unionByName(pages.selected(p).withColumn("by", F.lit("all")))
 
 
-def _clauses(spark: SparkSession) -> DataFrame:
-    q, t = inline.table(spark, "asked"), F.col("text")
+def _clauses(t: Tables) -> DataFrame:
+    q, t = t("asked"), F.col("text")
     return _joined(q.select("query_id", F.array_sort(clauses.negatives(t)).alias("negatives"), clauses.positive(t).alias("positive"), clauses.primary(t).alias("first_clause"), clauses.compares(t).cast("int").alias("compares"), F.array_sort(clauses.references(t)).alias("named"), F.array_sort(clauses.keys(t, F.lit("[A-Z]{2}[0-9]{4}-[0-9]"))).alias("keys")), "negatives", "named", "keys")
 
 
-def _pin_pairs(spark: SparkSession) -> DataFrame:
-    hits, e, s = _small(spark, "hits", "elements", "sections")
+def _pin_pairs(t: Tables) -> DataFrame:
+    hits, e, s = _small(t, "hits", "elements", "sections")
     return rank.pin_pairs(rank.candidates(hits, e, s)).select("query_id", "element_id", "pinned", "rule")
 
 
-def _passes(spark: SparkSession) -> DataFrame:
-    rows = engine._pictured(_knowledge(spark), _ranked(spark))
-    return rank.diversify_passes(rows, inline.table(spark, "questions")).select("query_id", "element_id", "pass_no", "place")
+def _passes(t: Tables) -> DataFrame:
+    rows = engine._pictured(_knowledge(t), _ranked(t))
+    return rank.diversify_passes(rows, t("questions")).select("query_id", "element_id", "pass_no", "place")
 
 
-def _single(spark: SparkSession) -> DataFrame:
-    return engine.single_pass(_knowledge(spark), inline.table(spark, "questions")).select("query_id", "element_id", "score", "place")
+def _single(t: Tables) -> DataFrame:
+    return engine.single_pass(_knowledge(t), t("questions")).select("query_id", "element_id", "score", "place")
 
 
-def _final(spark: SparkSession) -> DataFrame:
-    k, q = _knowledge(spark), inline.table(spark, "questions")
-    order = spark.createDataFrame([(1, [104, 999, 103]), (4, [109])], "query_id long, ids array<long>")
-    rows = rank.diversify_passes(engine._pictured(k, _ranked(spark)), q)
+def _final(t: Tables) -> DataFrame:
+    k, q = _knowledge(t), t("questions")
+    order = t.spark.createDataFrame([(1, [104, 999, 103]), (4, [109])], "query_id long, ids array<long>")
+    rows = rank.diversify_passes(engine._pictured(k, _ranked(t)), q)
     return engine.finalized(rows, order, k, q).select("query_id", "element_id", "pass_no", "place")
 
 
-def _rerank(spark: SparkSession) -> DataFrame:
-    order = spark.createDataFrame([(1, [104, 999, 103]), (4, [109])], "query_id long, ids array<long>")
-    return retrieve.rerank(_ranked(spark).select("query_id", "element_id", "place"), order)
+def _rerank(t: Tables) -> DataFrame:
+    order = t.spark.createDataFrame([(1, [104, 999, 103]), (4, [109])], "query_id long, ids array<long>")
+    return retrieve.rerank(_ranked(t).select("query_id", "element_id", "place"), order)
 
 
-def _boosts(spark: SparkSession) -> DataFrame:
-    hits, e, s, q = _small(spark, "hits", "elements", "sections", "questions")
+def _boosts(t: Tables) -> DataFrame:
+    hits, e, s, q = _small(t, "hits", "elements", "sections", "questions")
     return retrieve.boosts(rank.candidates(hits, e, s), q).select("query_id", "element_id", "score")
 
 
-def _panel_steps(spark: SparkSession) -> DataFrame:
-    rects, steps = _small(spark, "rects", "steps")
+def _panel_steps(t: Tables) -> DataFrame:
+    rects, steps = _small(t, "rects", "steps")
     return ingest.panel_steps(ingest.panel_boxes(rects), steps)
 
 
-def _log(spark: SparkSession) -> DataFrame:
-    q, hits, e, m = _small(spark, "questions", "hits", "elements", "manuals")
-    rows = _ranked(spark)
+def _log(t: Tables) -> DataFrame:
+    q, hits, e, m = _small(t, "questions", "hits", "elements", "manuals")
+    rows = _ranked(t)
     return engine.query_log(gate.answers(gate.checks(q, hits, e, m), rows), q, rows).withColumn("retrieved", F.array_join(F.transform("retrieved", lambda x: x.cast("string")), ","))
 
 
-def _panel_codes(spark: SparkSession) -> DataFrame:
-    rects, labels = _small(spark, "rects", "labels")
+def _panel_codes(t: Tables) -> DataFrame:
+    rects, labels = _small(t, "rects", "labels")
     return ingest.panel_codes(ingest.panel_boxes(rects), labels)
 
 
@@ -380,15 +389,15 @@ for _name, _build in {
     "figure_probe": _two(retrieve.figure_probe, "figures", "elements", "sections", "questions"),
     "figure_backfill": _two(retrieve.figure_backfill, "figures", "elements"),
     "related_figures": _two(retrieve.related_figures, "hits", "elements", "sections", "figures"),
-    "dedup_best": lambda spark: retrieve.dedup_best(inline.table(spark, "hits").unionByName(inline.table(spark, "hits").withColumn("score", 10 - F.col("score")))),
+    "dedup_best": lambda t: retrieve.dedup_best(t("hits").unionByName(t("hits").withColumn("score", 10 - F.col("score")))),
     "rerank_hits": _rerank,
     "current_editions": _two(gate.current_editions, "sections"),
     "superseded": _two(gate.superseded, "elements", "sections"),
     "latest_run": _two(gate.latest_runs, "runs"),
-    "page_to_section": lambda spark: graph.page_to_section(inline.table(spark, "elements").select("manual_id", "page").distinct(), inline.table(spark, "sections")),
+    "page_to_section": lambda t: graph.page_to_section(t("elements").select("manual_id", "page").distinct(), t("sections")),
     "chapter_asof": _asof,
     "toc_chapters": _two(graph.toc_chapters, "toc"),
-    "unique_sections": lambda spark: graph.unique_sections(inline.table(spark, "sections").unionByName(inline.table(spark, "sections").withColumn("section_id", F.col("section_id") + 100).withColumn("page_end", F.col("page_end") + 5).withColumn("page_start", F.col("page_start") + 1))),
+    "unique_sections": lambda t: graph.unique_sections(t("sections").unionByName(t("sections").withColumn("section_id", F.col("section_id") + 100).withColumn("page_end", F.col("page_end") + 5).withColumn("page_start", F.col("page_start") + 1))),
     "section_parents": _two(graph.parents, "sections"),
     "describes_by_title": _two(graph.describes_by_title, "sections", "elements"),
     "illustrates_plate": _two(graph.plates_by_code, "sections", "elements"),
@@ -399,11 +408,11 @@ for _name, _build in {
     "panel_hop": _panel_hops,
     "kind_pairs": _two(rank.kind_pairs, "hits", "elements", "sections"),
     "section_mates": _two(rank.section_mates, "hits", "elements", "sections", "questions"),
-    "lexical_by_kind": lambda spark: retrieve.lexical_or(*_small(spark, "elements", "questions"), 3, inline.table(spark, "sections")),
+    "lexical_by_kind": lambda t: retrieve.lexical_or(*_small(t, "elements", "questions"), 3, t("sections")),
     "text_functions": _text_functions,
-    "panel_ocr": lambda spark: ingest.panel_ocr(inline.table(spark, "ocr").where("manual_id = 'm1' and page = 1")),
-    "ocr_elements": lambda spark: _joined(pages.ocr_elements(inline.table(spark, "ocr").where("manual_id <> 'm1' or page <> 1")), "bbox"),
-    "layout_elements": lambda spark: _joined(ingest.layout_elements(inline.table(spark, "layouts")), "bbox"),
+    "panel_ocr": lambda t: ingest.panel_ocr(t("ocr").where("manual_id = 'm1' and page = 1")),
+    "ocr_elements": lambda t: _joined(pages.ocr_elements(t("ocr").where("manual_id <> 'm1' or page <> 1")), "bbox"),
+    "layout_elements": lambda t: _joined(ingest.layout_elements(t("layouts")), "bbox"),
     "lexical_and_inline": _two(retrieve.lexical_and, "elements", "questions"),
     "lexical_or_inline": _two(retrieve.lexical_or, "elements", "questions"),
     "list_siblings": _two(rank.list_siblings, "hits", "elements"),
@@ -421,60 +430,62 @@ for _name, _build in {
     "diversify_passes": _passes,
     "single_pass": _single,
     "finalized_order": _final,
-    "citation_records": lambda spark: rank.citation_records(_ranked(spark)).select("query_id", "element_id", "reference", "citation_key", "page", "kind", "score", "snippet"),
-    "short_citations": lambda spark: rank.short_citations(_ranked(spark)),
-    "citation_window": lambda spark: rank.citation_window(_ranked(spark), inline.table(spark, "questions")),
-    "diagram_window": lambda spark: rank.diagram_window(engine._pictured(_knowledge(spark), _ranked(spark)), inline.table(spark, "questions")),
-    "phrase_probe_titles": lambda spark: retrieve.phrase_probe(inline.table(spark, "elements"), inline.table(spark, "questions"), sections=inline.table(spark, "sections")),
+    "citation_records": lambda t: rank.citation_records(_ranked(t)).select("query_id", "element_id", "reference", "citation_key", "page", "kind", "score", "snippet"),
+    "short_citations": lambda t: rank.short_citations(_ranked(t)),
+    "citation_window": lambda t: rank.citation_window(_ranked(t), t("questions")),
+    "diagram_window": lambda t: rank.diagram_window(engine._pictured(_knowledge(t), _ranked(t)), t("questions")),
+    "phrase_probe_titles": lambda t: retrieve.phrase_probe(t("elements"), t("questions"), sections=t("sections")),
     "lexical_path": _two(retrieve.lexical_path, "elements", "sections", "questions"),
-    "visual_path": lambda spark: retrieve.visual_path(*_small(spark, "figures", "elements", "sections", "questions")).select("query_id", "figure_id", "score", "text"),
-    "every_manual": lambda spark: retrieve.identifier_probe(inline.table(spark, "elements"), retrieve.for_every_manual(inline.table(spark, "questions").withColumn("manual_id", F.when(F.col("query_id") != 1, F.col("manual_id"))), inline.table(spark, "manuals"))),
+    "visual_path": lambda t: retrieve.visual_path(*_small(t, "figures", "elements", "sections", "questions")).select("query_id", "figure_id", "score", "text"),
+    "every_manual": lambda t: retrieve.identifier_probe(t("elements"), retrieve.for_every_manual(t("questions").withColumn("manual_id", F.when(F.col("query_id") != 1, F.col("manual_id"))), t("manuals"))),
     "gate_checks": _gate,
     "numeric_conflicts": _conflicts,
     "route_pages": _two(ingest.route_pages, "pages"),
     "escalated_routes": _escalated,
-    "detect_convention": lambda spark: _joined(conventions.detect(inline.table(spark, "bands")), "label_words"),
+    "detect_convention": lambda t: _joined(conventions.detect(t("bands")), "label_words"),
     "extract_citation": _citations,
-    "infer_pattern": lambda spark: inline.table(spark, "codes").groupBy("manual_id").agg(F.collect_list("code").alias("c")).select("manual_id", conventions.vote(F.col("c")).alias("pattern")),
+    "infer_pattern": lambda t: t("codes").groupBy("manual_id").agg(F.collect_list("code").alias("c")).select("manual_id", conventions.vote(F.col("c")).alias("pattern")),
     "fitting_patterns": _two(conventions.fitting, "answers", "bands"),
     "replaced_conventions": _replaced,
-    "conventions_of_keys": lambda spark: _joined(conventions.from_keys(inline.table(spark, "keys")), "label_words"),
+    "conventions_of_keys": lambda t: _joined(conventions.from_keys(t("keys")), "label_words"),
     "see_references": _references,
-    "sampled_pages": lambda spark: conventions.sampled(inline.table(spark, "pages"), 4).select("manual_id", "page"),
+    "sampled_pages": lambda t: conventions.sampled(t("pages"), 4).select("manual_id", "page"),
     "page_meta": _page_meta,
-    "primary_citations": lambda spark: _page_meta(spark).select("manual_id", "page", pages.primary_citation(F.col("citation_key"), F.col("plate_no"), F.col("procedure_no"), F.col("doc_code"), F.col("edition")).alias("primary")),
-    "bookmark_sections": lambda spark: pages.bookmark_sections(inline.table(spark, "bookmarks")),
+    "primary_citations": lambda t: _page_meta(t).select("manual_id", "page", pages.primary_citation(F.col("citation_key"), F.col("plate_no"), F.col("procedure_no"), F.col("doc_code"), F.col("edition")).alias("primary")),
+    "bookmark_sections": lambda t: pages.bookmark_sections(t("bookmarks")),
     "extract_sections": _extracted,
     "selected_pages": _selected,
-    "text_layer": lambda spark: pages.text_layer(inline.table(spark, "scanned")),
-    "manual_identity": lambda spark: pages.manual_identity(inline.table(spark, "files")),
+    "text_layer": lambda t: pages.text_layer(t("scanned")),
+    "manual_identity": lambda t: pages.manual_identity(t("files")),
     "completed_plates": _plates,
-    "diagram_panels": lambda spark: _joined(_drafts(spark), "bbox"),
-    "diagram_modes": lambda spark: ingest.diagram_modes(_titles(spark).select("manual_id", "page", "plate_no"), _drafts(spark)),
+    "diagram_panels": lambda t: _joined(_drafts(t), "bbox"),
+    "diagram_modes": lambda t: ingest.diagram_modes(_titles(t).select("manual_id", "page", "plate_no"), _drafts(t)),
     "diagram_elements": _diagram_elements,
     "attached_panels": _attached_panels,
     "filled_steps": _filled_steps,
     "upsert_figures": _upsert_figures,
     "corpus_status": _status,
-    "upsert_sections": lambda spark: ingest.upsert_sections(inline.table(spark, "sections").withColumn("title", F.col("component_title")), inline.table(spark, "upserts")),
+    "upsert_sections": lambda t: ingest.upsert_sections(t("sections").withColumn("title", F.col("component_title")), t("upserts")),
     "upsert_fleet": _two(ingest.upsert_fleet, "fleet", "new_fleet"),
     "fleet_context": _two(ingest.fleet_context, "fleet", "manuals"),
     "plate_pages": _two(ingest.plate_pages, "sections", "elements"),
     "panel_boxes": _two(ingest.panel_boxes, "rects"),
     "panel_codes": _panel_codes,
-    "route_query": lambda spark: retrieve.route_query(inline.table(spark, "questions")).withColumn("labels", F.array_join("labels", ",")),
+    "route_query": lambda t: retrieve.route_query(t("questions")).withColumn("labels", F.array_join("labels", ",")),
     "ranking_boosts": _boosts,
     "fetch_named": _two(rank.fetch_named, "hits", "elements", "sections", "questions"),
     "fetch_drawings": _two(rank.fetch_drawings, "figures", "questions"),
-    "best_plate": lambda spark: rank.best_plate(_ranked(spark), inline.table(spark, "figures")),
-    "images_first": lambda spark: rank.images_first(_ranked(spark), *_small(spark, "figures", "questions")),
-    "header_lines": lambda spark: pages.header_lines(inline.table(spark, "spans")).select("manual_id", "page", F.array_join("lines", " ").alias("header")),
+    "best_plate": lambda t: rank.best_plate(_ranked(t), t("figures")),
+    "images_first": lambda t: rank.images_first(_ranked(t), *_small(t, "figures", "questions")),
+    "header_lines": lambda t: pages.header_lines(t("spans")).select("manual_id", "page", F.array_join("lines", " ").alias("header")),
     "panel_steps": _panel_steps,
-    "route_counts": lambda spark: ingest.route_counts(ingest.route_pages(inline.table(spark, "pages"))),
+    "route_counts": lambda t: ingest.route_counts(ingest.route_pages(t("pages"))),
     "citation_backfill": _two(ingest.citation_backfill, "elements"),
     "placed_elements": _two(ingest.placed_elements, "elements", "sections"),
     "query_log": _log,
-    "build_edges": lambda spark: engine.build_edges(_knowledge(spark)),
-    "ask": lambda spark: _joined(engine.ask(_knowledge(spark), inline.table(spark, "questions")), "citations", "diagrams"),
+    "build_edges": lambda t: engine.build_edges(_knowledge(t)),
+    "ask": lambda t: _joined(engine.ask(_knowledge(t), t("questions")), "citations", "diagrams"),
 }.items():
-    _named(_name, _build)
+    RULES[_name] = _build
+for _name in PROJECTED:
+    QUERIES[_name] = partial(lambda build, spark, d: build(project.Knowledge(spark, d)), RULES[_name])

@@ -166,9 +166,15 @@ TABLES: dict[str, tuple[str, list[tuple]]] = {
 }
 
 
-def table(spark: SparkSession, name: str) -> DataFrame:
-    schema, rows = TABLES[name]
-    return spark.createDataFrame(rows, schema)
+class Inline:
+    """The tables by name."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+
+    def __call__(self, name: str) -> DataFrame:
+        schema, rows = TABLES[name]
+        return self.spark.createDataFrame(rows, schema)
 
 
 def sql(*names: str) -> str:
