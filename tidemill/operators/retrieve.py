@@ -320,7 +320,7 @@ def overlap_score(blob: Column, tokens: Column, distinctive: Column, kind: Colum
     size = F.char_length(low)
     parts = (
         4.0 * d + F.when(size < 400, 6.0 * d).otherwise(0.0) + 8.0 * n
-        + F.when((kind == "list") & low.rlike("minute|hour|must not exceed|keep under"), 6.0).otherwise(0.0)
+        + F.when((kind == "list") & low.rlike("|".join(config.LIMIT_CUES)), 6.0).otherwise(0.0)
         + F.when(t >= 2, F.when(size < 500, 3.0 + 1.5 * t).otherwise(F.least(F.lit(8.0), 0.6 * t))).otherwise(0.0)
         + F.when(kind.isin("list", "heading") & ((d > 0) | (t >= 2)), 4.0).otherwise(0.0)
     )

@@ -202,7 +202,7 @@ m AS (SELECT src.query_id, e.element_id, e.type, e.text, lower(coalesce(nullif(t
 f AS (SELECT *, regexp_replace(raw, '[-_/]', ' ', 'g') AS b FROM m QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN vis THEN regexp_matches(lower(coalesce(text, '')), 'callout|item no|item description') WHEN care THEN regexp_matches(lower(coalesce(text, '')), 'shut off|precaution|safety check|lubricating oil|mass|kg') ELSE type = 'table' END DESC, CASE WHEN vis THEN type <> 'heading' WHEN care THEN type IN ('paragraph', 'list') ELSE true END DESC, length(coalesce(text, '')) DESC, element_id) <= 32),
 c AS (SELECT *, len(list_filter(tokens, lambda v: (length(v) >= 4 OR regexp_matches(v, '^[0-9]')) AND contains(b, v))) AS t, len(list_filter(tokens, lambda v: length(v) >= 5 AND contains(b, v))) AS d, len(list_filter(tokens, lambda v: length(v) >= 5 AND regexp_matches(v, '^[0-9]') AND contains(b, v))) AS nd FROM f),
 v AS (SELECT query_id, element_id, type, round(7 + CASE WHEN b = '' THEN 0 ELSE 4 * d + CASE WHEN length(b) < 400 THEN 6 * d ELSE 0 END + 8 * nd + CASE WHEN type = 'list' AND regexp_matches(b, 'minute|hour|must not exceed|keep under') THEN 6 ELSE 0 END + CASE WHEN t < 2 THEN 0 WHEN length(b) < 500 THEN 3 + 1.5::DOUBLE * t ELSE least(8, 0.6::DOUBLE * t) END + CASE WHEN type IN ('list', 'heading') AND (d > 0 OR t >= 2) THEN 4 ELSE 0 END END, 6)::DOUBLE AS score FROM c)""")
-_inline("list_siblings", "hits elements", f"SELECT x.query_id, x.element_id, CASE WHEN regexp_matches(lower(text), 'must not exceed|keep under|minute|hour') THEN 20.0 ELSE 0 END::DOUBLE AS score, regexp_matches(lower(text), 'must not exceed|keep under|minute|hour') AS pinned FROM x {_NEW} AND e.type IN ('list', 'heading') QUALIFY row_number() OVER (PARTITION BY x.query_id ORDER BY length(text), x.element_id) <= 8", "x AS (SELECT DISTINCT query_id, b.element_id FROM i_hits JOIN i_elements a USING (element_id) JOIN i_elements b ON a.procedure_no = b.procedure_no AND a.manual_id = b.manual_id)")
+_inline("list_siblings", "hits elements", f"SELECT x.query_id, x.element_id, CASE WHEN regexp_matches(lower(text), 'minute|hour|must not exceed|keep under') THEN 20.0 ELSE 0 END::DOUBLE AS score, regexp_matches(lower(text), 'minute|hour|must not exceed|keep under') AS pinned FROM x {_NEW} AND e.type IN ('list', 'heading') QUALIFY row_number() OVER (PARTITION BY x.query_id ORDER BY length(text), x.element_id) <= 8", "x AS (SELECT DISTINCT query_id, b.element_id FROM i_hits JOIN i_elements a USING (element_id) JOIN i_elements b ON a.procedure_no = b.procedure_no AND a.manual_id = b.manual_id)")
 _inline("table_code_siblings", "hits elements questions", f"SELECT x.query_id, x.element_id, 8.0::DOUBLE AS score FROM x {_NEW} QUALIFY row_number() OVER (PARTITION BY x.query_id ORDER BY x.element_id) <= 4", f"c AS (SELECT DISTINCT manual_id, element_id, unnest(regexp_extract_all(concat_ws(' ', text, table_json), '{_ROW}')) AS code FROM i_elements), a AS (SELECT query_id, manual_id, unnest(regexp_extract_all(text, '{_ROW}')) AS code FROM i_questions UNION SELECT query_id, manual_id, code FROM i_hits JOIN c USING (element_id)), x AS (SELECT DISTINCT query_id, c.element_id FROM a JOIN c USING (manual_id, code))")
 _inline("step_panels", "hits elements figures", "SELECT DISTINCT query_id, figure_id, f.element_id, 12.0::DOUBLE AS score FROM i_hits JOIN i_elements e USING (element_id) JOIN i_figures f ON f.manual_id = e.manual_id AND f.page = e.page AND f.step = coalesce(e.step, TRY_CAST(regexp_extract(e.text, '^ *([0-9]{1,2})\\. ', 1) AS INT)) WHERE f.element_id IS NOT NULL")
 _CAND = "cd AS (SELECT h.query_id, h.element_id, h.score, e.*  EXCLUDE (element_id, manual_id), s.kind, s.component_title, s.action_title, s.doc_code, s.path, q.text AS question FROM i_hits h JOIN i_elements e USING (element_id) LEFT JOIN i_sections s ON s.section_id = e.section_id JOIN i_questions q ON q.query_id = h.query_id)"
