@@ -10,8 +10,9 @@ from ..sources.project import SQL as PROJECT
 from ..sources.project import Knowledge, knowledge_sql
 from .projected import PROJECTED
 from .stem_sql import stems
+from .written import SQL as WRITTEN
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = dict(WRITTEN)
 #: The rules over the small corpus, for tests.
 SMALL_SQL: dict[str, str] = {}
 _PROJECTED_SQL: dict[str, str] = {}
