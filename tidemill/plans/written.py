@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import variant
+from ..functions import html, variant
 from ..operators.upsert import Upserts
 from ..sources import project
 from .storage import shared_folder
@@ -72,7 +72,12 @@ def props_catalog(spark: SparkSession, d: str) -> DataFrame:
     return variant.catalog(variant.paths(both, "props", []))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {q.__name__: q for q in (upserted_clients, upserted_sections, upsert_ledger, click_paths, props_catalog)}
+def page_elements(spark: SparkSession, d: str) -> DataFrame:
+    """Headings, list items, tables and paragraphs of all pages."""
+    return html.elements(project.load(spark, d, "pages"), ["page_id"])
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {q.__name__: q for q in (upserted_clients, upserted_sections, upsert_ledger, click_paths, props_catalog, page_elements)}
 
 _FILLED = ", ".join(f"first({c} ORDER BY v DESC, {c} DESC) FILTER (WHERE {c} IS NOT NULL) AS {c}" for c in ("segment", "city", "balance", "name", "email"))
 _CODES = ", ".join(f"first({c} ORDER BY section_id DESC, {c} DESC) FILTER (WHERE {c} IS NOT NULL) AS {c}" for c in ("procedure_no", "plate_no"))
@@ -89,6 +94,21 @@ tree AS (
 val AS (SELECT {keys}, path, place, CASE WHEN node IS NULL THEN 'invalid' WHEN json_type(node) IN ('OBJECT', 'ARRAY', 'BOOLEAN', 'NULL') THEN lower(json_type(node)) WHEN json_type(node) = 'VARCHAR' THEN 'string' ELSE 'number' END AS kind,
   CASE WHEN json_type(node) NOT IN ('OBJECT', 'ARRAY', 'NULL') THEN node ->> '$' END AS value FROM tree)"""
 
+
+
+def _seen(x: str) -> str:
+    """Text as a reader sees it, numbered characters one by one."""
+    bare = rf"regexp_replace(regexp_replace({x}, '(?i)<br\b[^>]*>', ' ', 'g'), '</?[A-Za-z!][^>]*>', '', 'g')"
+    for entity, sign in html.ENTITIES:
+        quoted = sign.replace("'", "''")
+        bare = f"replace({bare}, '{entity}', '{quoted}')"
+    known = "TRY_CAST(regexp_extract(x, '^([0-9]{1,7});', 1) AS INT)"
+    pieces = f"list_transform(string_split({bare}, '&#'), lambda x, i: CASE WHEN i = 1 THEN x WHEN {known} BETWEEN 1 AND 55295 OR {known} BETWEEN 57344 AND 1114111 THEN chr({known}) || regexp_replace(x, '^[0-9]+;', '') ELSE '&#' || x END)"
+    return rf"trim(regexp_replace(replace(array_to_string({pieces}, ''), '&amp;', '&'), '[ \t\r\n\x{{A0}}]+', ' ', 'g'))"
+
+
+_CELLS = rf"list_transform(string_split_regex(r, '(?i)<t[dh]\b[^>]*>')[2:], lambda c: {{'text': {_seen('c')}}})"
+
 SQL: dict[str, str] = {
     "upserted_clients": f"""WITH ch AS (
   SELECT client_id, valid_at AS told, change_id, coalesce(op = 'D', false) AS gone, source, segment, city, balance, NULL::VARCHAR AS name, NULL::VARCHAR AS email FROM client_changes
@@ -101,4 +121,13 @@ FROM r JOIN d ON r.client_id IS NOT DISTINCT FROM d.client_id WHERE NOT gone AND
     "upsert_ledger": f"WITH {project.knowledge_sql('sections')} SELECT 0::BIGINT AS batch, 'done' AS event, count(*) AS n_rows, (SELECT count(*) FROM (SELECT DISTINCT manual_id, component_title FROM i_sections)) AS n_keys FROM i_sections",
     "click_paths": f"WITH {_TREE.format(keys='click_id', table='clicks')} SELECT click_id, path, kind, value FROM val",
     "props_catalog": f"WITH {_TREE.format(keys='z', table='(SELECT 0 AS z, props FROM events UNION ALL SELECT 0, props FROM clicks)')} SELECT place, kind, count(*) AS n, count(DISTINCT value) AS n_values FROM val GROUP BY place, kind",
+    "page_elements": rf"""WITH p AS (SELECT page_id, regexp_replace(regexp_replace(html, '[\x01-\x03]', ' ', 'g'), '{html.UNSEEN}', '', 'g') AS c FROM pages WHERE html IS NOT NULL),
+f AS (SELECT page_id, flatten(list_transform(string_split(regexp_replace(c, '{html.TABLE}', chr(2) || chr(3) || '\1' || chr(2), 'g'), chr(2)),
+  lambda x: CASE WHEN starts_with(x, chr(3)) THEN [x] ELSE string_split(regexp_replace(x, '{html.BLOCK}', chr(1) || '\1', 'g'), chr(1)) END)) AS pieces FROM p),
+u AS (SELECT page_id, unnest(pieces) AS x, (generate_subscripts(pieces, 1) - 1)::INT AS pos FROM f),
+t AS (SELECT *, lower(regexp_extract(x, '^<([A-Za-z0-9]+)', 1)) AS tag, starts_with(x, chr(3)) AS tabular FROM u),
+e AS (SELECT page_id, pos, CASE WHEN tabular THEN 'table' WHEN regexp_full_match(tag, 'h[1-6]') THEN 'heading' WHEN tag = 'li' THEN 'list' ELSE 'paragraph' END AS type,
+  CASE WHEN regexp_full_match(tag, 'h[1-6]') THEN tag[2]::INT END AS level, CASE WHEN NOT tabular THEN {_seen('x')} END AS text,
+  CASE WHEN tabular THEN to_json({{'grid': list_transform(string_split_regex(x, '(?i)<tr\b[^>]*>')[2:], lambda r: {_CELLS})}})::VARCHAR END AS table_json FROM t)
+SELECT * FROM e WHERE type = 'table' OR text <> ''""",
 }
