@@ -24,9 +24,8 @@ def _children(path: Column, place: Column, level: Column, node: Column) -> Colum
     return F.coalesce(members, items, F.array().cast(f"array<{_NODE}>"))
 
 
-def kind(node: Column) -> Column:
-    """object, array, string, number, boolean or null."""
-    name = F.schema_of_variant(node)
+def kind(name: Column) -> Column:
+    """object, array, string, number, boolean or null, by the name of a value's schema."""
     return (
         F.when(name.startswith("OBJECT"), "object").when(name.startswith("ARRAY"), "array").when(name == "STRING", "string")
         .when(name == "BOOLEAN", "boolean").when(name == "VOID", "null").otherwise("number")
@@ -48,9 +47,11 @@ def paths(rows: DataFrame, text: str, keep: list[str], levels: int | None = None
         self = F.array(F.struct("path", "place", "depth", "node").cast(_NODE))
         more = F.when((F.col("depth") == level) & F.col("node").isNotNull(), _children(F.col("path"), F.col("place"), F.col("depth"), F.col("node")))
         out = out.select(*keep, F.inline(F.concat(self, F.coalesce(more, F.array().cast(f"array<{_NODE}>")))))
-    what = F.when(F.col("node").isNull(), "invalid").otherwise(kind(F.col("node")))
-    scalar = F.when(what.isin("string", "number", "boolean"), F.try_variant_get("node", "$", "string"))
-    return out.select(*keep, "path", "place", what.alias("kind"), scalar.alias("value"))
+    # a schema's name is taken once a value, as a column of its own
+    named = out.select(*keep, "path", "place", "node", F.schema_of_variant("node").alias("schema"))
+    named = named.select(*keep, "path", "place", "node", F.when(F.col("node").isNull(), "invalid").otherwise(kind(F.col("schema"))).alias("kind"))
+    scalar = F.when(F.col("kind").isin("string", "number", "boolean"), F.try_variant_get("node", "$", "string"))
+    return named.select(*keep, "path", "place", "kind", scalar.alias("value"))
 
 
 def catalog(found: DataFrame) -> DataFrame:
