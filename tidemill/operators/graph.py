@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import config
 from ..functions import text as T
+from . import carry
 from .retrieve import top
 
 
@@ -22,26 +23,22 @@ def page_to_section(pages: DataFrame, sections: DataFrame, width: int = 64) -> D
 
 
 def chapter_asof(rows: DataFrame, chapters: DataFrame) -> DataFrame:
-    """As-of join: the last chapter whose first page is not after the row's page. rows: manual_id, page; chapters: manual_id, page, chapter.
-
-    Both sides go through one window by manual, so there is no inequality join.
-    """
-    marks = chapters.select("manual_id", "page", "chapter", F.lit(0).alias("side"))
-    both = marks.unionByName(rows.select("manual_id", "page", F.lit(None).cast("string").alias("chapter"), F.lit(1).alias("side")))
-    w = Window.partitionBy("manual_id").orderBy("page", "side").rowsBetween(Window.unboundedPreceding, 0)
-    return both.withColumn("chapter", F.last("chapter", ignorenulls=True).over(w)).where("side = 1").select("manual_id", "page", "chapter")
+    """As-of join: the last chapter whose first page is not after the row's page. rows: manual_id, page; chapters: manual_id, page, chapter."""
+    return carry.asof(rows.select("manual_id", "page"), chapters, ["manual_id"], "page", "page", ["chapter"])
 
 
 def toc_chapters(toc: DataFrame) -> DataFrame:
     """Bookmarks with the chapter (level 1) they stand under: carried forward in order, manual by manual."""
-    w = Window.partitionBy("manual_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    return toc.withColumn("chapter", F.last(F.when(F.col("level") == 1, F.col("title")), ignorenulls=True).over(w))
+    return carry.last_known(toc, ["manual_id"], ["pos"], {"chapter": F.when(F.col("level") == 1, F.col("title"))})
 
 
 def section_ends(starts: DataFrame, page_count: Column) -> DataFrame:
     """page_end: the page before the next greater start in the manual, else the last page. starts: manual_id, page_start and more."""
-    w = Window.partitionBy("manual_id").orderBy("page_start").rangeBetween(1, Window.unboundedFollowing)
-    return starts.withColumn("page_end", F.coalesce(F.min("page_start").over(w) - 1, page_count))
+    once = starts.select("manual_id", "page_start").where("page_start is not null").distinct()
+    later = carry.last_known(once, ["manual_id"], [F.desc("page_start")], {"later": F.col("page_start")}, own=False)
+    later = later.select(F.col("manual_id").alias("_manual"), F.col("page_start").alias("_start"), F.col("later").alias("_later"))
+    rows = starts.join(later, F.col("manual_id").eqNullSafe(F.col("_manual")) & (F.col("page_start") == F.col("_start")), "left")
+    return rows.withColumn("page_end", F.coalesce(F.col("_later") - 1, page_count)).drop("_manual", "_start", "_later")
 
 
 def unique_sections(sections: DataFrame) -> DataFrame:

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import config
 from ..functions import text as T
+from . import carry
 
 # The limits of the routing rules, in the order in which they are tried.
 ROUTES = (
@@ -40,8 +41,8 @@ def route_pages(pages: DataFrame, ambiguous: str = config.Settings.ocr_default)
 def escalated(routed: DataFrame, answers: DataFrame, most: int = config.Settings.router_escalations) -> DataFrame:
     """A service's routes for the first ambiguous pages of each manual; all other pages as they are. answers: manual_id, page, said."""
     unsure = F.col("reason") == "text and drawing"
-    nth = F.sum(unsure.cast("int")).over(Window.partitionBy("manual_id").orderBy("page").rowsBetween(Window.unboundedPreceding, 0))
-    rows = routed.withColumn("asked", unsure & (nth <= most)).join(answers.where("said in ('text', 'ocr')"), ["manual_id", "page"], "left")
+    counted = carry.running_sum(routed, ["manual_id"], ["page"], {"nth": unsure.cast("int")})
+    rows = counted.withColumn("asked", unsure & (F.col("nth") <= most)).join(answers.where("said in ('text', 'ocr')"), ["manual_id", "page"], "left")
     return rows.select("manual_id", "page", F.when(F.col("asked"), F.coalesce("said", "route")).otherwise(F.col("route")).alias("route"), "reason")
 
 

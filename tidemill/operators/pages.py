@@ -5,11 +5,12 @@ Every key has manual_id, so page 1 of two manuals are two pages.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import config
 from ..functions import text as T
+from . import carry
 from . import conventions as C
 from .graph import section_ends
 from .retrieve import top
@@ -97,8 +98,7 @@ def bookmark_sections(toc: DataFrame) -> DataFrame:
     """Sections from bookmarks: paths of files become chapters, carried on to what follows. toc: manual_id, pos, title, page."""
     t = toc.withColumn("title", clean_title(F.col("title"))).where("title <> ''").withColumn("junk", is_junk(F.col("title")))
     t = t.withColumn("named", F.when(F.col("junk"), chapter_of_path(F.col("title"))))
-    w = Window.partitionBy("manual_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    t = t.withColumn("chapter", F.last("named", ignorenulls=True).over(w)).where("not junk or named is not null")
+    t = carry.last_known(t, ["manual_id"], ["pos"], {"chapter": F.col("named")}).where("not junk or named is not null")
     first = _group(BOOKMARK, F.col("title"), 1)
     code = F.when(~F.col("junk") & letter_kind(first).isNotNull(), first)
     rest = F.nullif(F.regexp_replace(F.regexp_extract("title", BOOKMARK, 3), "^[ _\t-]+|[ _\t-]+$", ""), F.lit(""))
@@ -118,11 +118,10 @@ def merged_sections(found: DataFrame, meta: DataFrame, page_counts: DataFrame) -
     rows = found.join(codes.drop("at"), ["manual_id", "doc_code"], "left")
     rows = rows.withColumn("edition", F.coalesce("edition", "own_edition")).withColumn("kind", F.when((F.col("kind") == "other") & F.col("own_kind").isNotNull(), F.col("own_kind")).otherwise(F.col("kind"))).drop("own_edition", "own_kind")
     unseen = codes.join(found.select("manual_id", "doc_code"), ["manual_id", "doc_code"], "left_anti")
-    # the chapter of a page: the last path of one step that begins no later; one window, no inequality join
+    # the chapter of a page: the last path of one step that begins no later, by order and without an inequality join
     marks = found.where("not path like '%/%'").select("manual_id", F.col("page_start").alias("at"), F.lit(0).alias("side"), "pos", F.col("title").alias("chapter"), *[F.lit(None).cast("string").alias(c) for c in ("doc_code", "own_edition", "own_kind")])
     asked = unseen.select("manual_id", "at", F.lit(1).alias("side"), F.lit(0).alias("pos"), F.lit(None).cast("string").alias("chapter"), "doc_code", "own_edition", "own_kind")
-    w = Window.partitionBy("manual_id").orderBy("at", "side", "pos").rowsBetween(Window.unboundedPreceding, 0)
-    placed = marks.unionByName(asked).withColumn("chapter", F.last("chapter", ignorenulls=True).over(w)).where("side = 1")
+    placed = carry.last_known(marks.unionByName(asked), ["manual_id"], ["at", "side", "pos"], {"chapter": F.col("chapter")}).where("side = 1")
     added = placed.select("manual_id", F.lit(1 << 30).alias("pos"), F.concat_ws("/", "chapter", "doc_code").alias("path"), F.col("doc_code").alias("title"), F.col("at").alias("page_start"), F.col("at").alias("page_end"), "doc_code", F.col("own_edition").alias("edition"), F.col("own_kind").alias("kind"))
     every = rows.select(added.columns).unionByName(added)
     ends = section_ends(every.withColumnRenamed("page_end", "given"), F.lit(None).cast("int")).join(page_counts, "manual_id", "left")

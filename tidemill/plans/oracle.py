@@ -8,11 +8,12 @@ from .. import config
 from ..sources.inline import sql as inline
 from ..sources.project import SQL as PROJECT
 from ..sources.project import Knowledge, knowledge_sql
+from .ordered import SQL as ORDERED
 from .projected import PROJECTED
 from .stem_sql import stems
 from .written import SQL as WRITTEN
 
-ORACLE_SQL: dict[str, str] = dict(WRITTEN)
+ORACLE_SQL: dict[str, str] = WRITTEN | ORDERED
 #: The rules over the small corpus, for tests.
 SMALL_SQL: dict[str, str] = {}
 _PROJECTED_SQL: dict[str, str] = {}

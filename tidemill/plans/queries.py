@@ -12,11 +12,11 @@ from .. import config
 from ..functions import text as T
 from ..operators import clauses, conventions, gate, graph, ingest, pages, rank, retrieve, textindex
 from ..sources import inline, project
-from . import engine, written
+from . import engine, ordered, written
 from .projected import PROJECTED
 
 Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = dict(written.QUERIES)
+QUERIES: dict[str, Query] = written.QUERIES | ordered.QUERIES
 
 
 def query(f: Query) -> Query:
