@@ -80,19 +80,34 @@ def detect(bands: DataFrame) -> DataFrame:
     return rows.select("manual_id", chosen.alias("c"), "has_page").select("manual_id", "c.field", "c.pattern", "c.revision_field", "c.granularity", "c.label_words", "has_page", "c.source")
 
 
+#: What a service's pattern may be made of, piece by piece: all that Python and Java read alike. A named group is taken as a plain one.
+_ESCAPE = r"\\(?:[dDwWsSntrf]|[^A-Za-z0-9]|x[0-9A-Fa-f]{2}|u[0-9A-Fa-f]{4})"
+_NAMED = r"\(\?P<[A-Za-z_]\w*>"
+_PIECES = (
+    _ESCAPE, r"\\[bB]", rf"\[\^?(?:{_ESCAPE}|[^\[\]\\&^])+\]", _NAMED, r"\((?!\?)|\(\?(?:[:=!]|<[=!]|[ims]+:)", r"[)|^$.]",
+    r"(?:[*+?]|\{[0-9]{1,3}(?:,(?:[0-9]{1,3})?)?\})\??", r"[^\\\[\](){}|^$.*+?]",
+)
+PORTABLE = rf"(?:\(\?[ims]+\))?(?:{'|'.join(_PIECES)})+"
+
+
 def usable(patterns: DataFrame, column: str = "pattern") -> DataFrame:
-    """Rows whose pattern is a regular expression; the table has a row a manual, so it is looked at in pandas."""
-    def ok(batches):
+    """Rows whose pattern is a regular expression for Spark too, with named groups as plain ones; null, empty, broken and other patterns go.
+
+    The table has a row a manual, so it is looked at in pandas: Java would fail the job where a pattern is broken. A pattern that one of
+    the two would read in another way, or not at all, is refused, as one that fits nothing is.
+    """
+    def plain(p: str | None) -> str | None:
         import re
 
+        try:
+            return re.sub(rf"({_ESCAPE})|{_NAMED}", lambda m: m[1] or "(", p) if p and re.fullmatch(PORTABLE, p) and re.compile(p) else None
+        except (re.error, OverflowError):
+            return None
+
+    def ok(batches):
         for b in batches:
-            good = []
-            for p in b[column]:
-                try:
-                    good.append(bool(p) and bool(re.compile(p)))
-                except re.error:
-                    good.append(False)
-            yield b[good]
+            b[column] = [plain(p) for p in b[column]]
+            yield b[b[column].notna()]
 
     return patterns.mapInPandas(ok, patterns.schema)
 
@@ -109,6 +124,7 @@ def fitting(patterns: DataFrame, bands: DataFrame) -> DataFrame:
 
 def replaced(found: DataFrame, answers: DataFrame, bands: DataFrame) -> DataFrame:
     """Conventions with a service's answers where these fit the bands. answers: manual_id, pattern, revision_field, granularity, label_words."""
+    answers = usable(answers)
     good = answers.join(fitting(answers.select("manual_id", "pattern"), bands), ["manual_id", "pattern"], "left_semi")
     new = good.select("manual_id", F.lit("citation_key").alias("field"), "pattern", "revision_field", F.coalesce("granularity", F.lit("per_section")).alias("granularity"), F.transform("label_words", lambda w: F.lower(w)).alias("label_words"), F.lit("service").alias("source"))
     pages = found.select("manual_id", "has_page")
