@@ -32,6 +32,6 @@ def check(name, spark, folder):
     assert len(want) > 0 and rows_of(QUERIES[name](spark, folder).toPandas()) == rows_of(want)
 
 
-@pytest.mark.parametrize("name", ["section_mates"])
+@pytest.mark.parametrize("name", ["section_mates", "final_boost"])
 def test_texts_are_compared_whole(name, spark, folder):
     check(name, spark, folder)
