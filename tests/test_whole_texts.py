@@ -35,3 +35,12 @@ def check(name, spark, folder):
 @pytest.mark.parametrize("name", ["section_mates", "final_boost"])
 def test_texts_are_compared_whole(name, spark, folder):
     check(name, spark, folder)
+
+
+def test_every_element_that_holds_a_code_is_found(spark, tmp_path):
+    d = str(tmp_path)
+    spark.createDataFrame([(10, 1, "user", "which AB1234 ?")], "conv_id long, turn long, role string, text string").write.parquet(f"{d}/conversations.parquet")
+    text = "\n".join(f"AB1234 line {i}" for i in range(50))
+    spark.createDataFrame([(10, text, "en", "src1", len(text))], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{d}/documents.parquet")
+    check("identifier_probe", spark, d)
+    assert QUERIES["identifier_probe"](spark, d).where("code = 'AB1234'").count() == 50
