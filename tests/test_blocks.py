@@ -34,3 +34,26 @@ def test_few_rows_leave_a_block(rows):
     words = retrieve._worded(elements)
     out = blocks.counted(words, retrieve._asked(questions), [("size", False), ("page", True), ("element_id", True)], 1)
     assert 0 < out.count() <= len(ASKED) * 15  # 43 rows in 15 blocks, one each a question
+
+
+def test_phrases_begin_and_end_inside_words(spark, monkeypatch):
+    monkeypatch.setattr(blocks, "SIZE", 2)
+    texts = ["heatpump seals", "pump seal", "pump  seal", "pump, seal", "a pump seal ring", "the old pump seal ring fits", "gap 12.5 mm", "é pump sealé", "", "..", "pump seal\nring", "old  pump seal ringlet"]
+    terms = ["pump seal", "2.5 mm", "pump seal ring", "old seal", "dpump seal"]
+    e = spark.createDataFrame([(i, "m1", t, len(t)) for i, t in enumerate(texts)], "element_id long, manual_id string, low string, size int")
+    q = spark.createDataFrame([("m1", t) for t in terms], "manual_id string, low string")
+    got = {(r["low"], r["element_id"]) for r in blocks.with_phrases(e, q, 9).collect()}
+    assert got == {(t, i) for t in terms for i, x in enumerate(texts) if t in x}
+
+
+def test_a_shared_key_is_not_multiplied_by_its_questions(spark):
+    """Hits at the head of a key push others in, and a key's rows beyond those are never joined with its questions."""
+    from tidemill.operators import rank
+
+    elements = spark.createDataFrame([(i, "m1", "100-1", "list", "x" * (i + 1)) for i in range(60)], "element_id long, manual_id string, procedure_no string, type string, text string")
+    hits = spark.createDataFrame([(q, e, 1.0) for q, es in {1: range(0, 10), 2: [3], 3: [59]}.items() for e in es], "query_id long, element_id long, score double")
+    got = {(r["query_id"], r["element_id"]) for r in rank.list_siblings(hits, elements).collect()}
+    assert got == {(1, i) for i in range(10, 18)} | {(2, i) for i in (0, 1, 2, 4, 5, 6, 7, 8)} | {(3, i) for i in range(8)}
+    own = elements.select("manual_id", "procedure_no", "element_id", "text").withColumn("size", __import__("pyspark.sql.functions", fromlist=["x"]).length("text"))
+    asked = hits.select("query_id").distinct().selectExpr("query_id", "'m1' as manual_id", "'100-1' as procedure_no")
+    assert rank._first_new(asked, own, hits, ["manual_id", "procedure_no"], ["size", "element_id"], 8).count() == 24
