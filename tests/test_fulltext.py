@@ -111,3 +111,32 @@ def test_empty_tables(spark, elements):
     assert textindex.best(empty, textindex.words_with_stems(empty, terms), 5, textindex.okapi(), True).count() == 0
     assert textindex.holding(empty, terms).count() == 0
     assert retrieve.containing(elements.limit(0), terms).count() == 0 and retrieve.containing(elements, terms.limit(0)).count() == 0
+
+
+def test_a_batch_meets_groups_of_blocks(spark, elements, monkeypatch):
+    """Questions in parts, elements in groups, changed elements and questions alike: scores of loops, and few rows leave a group."""
+    monkeypatch.setattr(textindex, "SIZE", 20)
+    monkeypatch.setattr(textindex, "ASKED", 2)
+    index = textindex.build(elements.repartition(3, "element_id"), textindex.IndexHow(block=8, lean=True))
+    index = textindex.added(index, spark.createDataFrame([("m0", 0, 0, "pumps oil"), ("m0", 3, 0, None)], SCHEMA))
+    terms = {1: ["bearing", "pump"], 2: ["pump", "bearing"], 3: ["oil"], 4: ["valve", "zzz"], 5: ["zzz"]}
+    asked = textindex.words_with_stems(index, _terms(spark, *[(q, "m0", t) for q, ts in terms.items() for t in ts]))
+    stems = {"bearings": "bearing", "bearing": "bearing", "oils": "oil", "pumping": "pump", "pumps": "pump"}
+    texts = {r["element_id"]: r for r in elements.where("manual_id = 'm0' and text is not null").collect()}
+    said = {i: (r["text"], r["page"]) for i, r in texts.items()} | {0: ("pumps oil", 0), 3: ("", 0)}
+    held = {i: {stems.get(w, w) for w in _words(t)} for i, (t, _) in said.items()}
+    got = [(r["query_id"], r["element_id"], r["score"]) for r in textindex.best_of_batch(index, asked, 4).collect()]
+    want = []
+    for q, ts in terms.items():
+        n = {i: len(set(ts) & held[i]) for i in said}
+        want += [(q, i, float(n[i])) for i in sorted((i for i in n if n[i]), key=lambda i: (-n[i], -len(said[i][0]), said[i][1], i))[:4]]
+    assert sorted(got) == sorted(want)
+    n = spark.createDataFrame([(q, len(ts)) for q, ts in terms.items()], "query_id long, n_features int")
+    got = {(r["query_id"], r["element_id"]) for r in textindex.best_of_batch(index, asked, 1000, wanted=n).collect()}
+    assert got == {(q, i) for q, ts in terms.items() for i in said if set(ts) <= held[i]} and got
+    full = textindex.added(textindex.build(elements, textindex.IndexHow(block=16)), spark.createDataFrame([("m0", 0, 0, "pumps oil"), ("m0", 3, 0, None)], SCHEMA))
+    want = textindex.best(full, asked, 4, textindex.okapi(), True).select("query_id", "element_id", "score").collect()
+    for one in (index, full):
+        got = textindex.best_of_batch(one, asked, 4, (1.2, 0.75)).select("query_id", "element_id", "score").collect()
+        assert sorted((q, i, round(x, 5)) for q, i, x in got) == sorted((q, i, round(x, 5)) for q, i, x in want)
+    assert index.postings.where("word <> '' and (spots is not null or size(ids) > 0)").count() == 0 < index.postings.count()

@@ -28,9 +28,10 @@ from pyspark.sql import functions as F
 
 from ..functions.stem import stem
 from ..plans.storage import bucketed, kept
+from .blocks import ASKED, SIZE
 
 KEYS = ["manual_id", "word", "block"]
-_SCHEMA = "manual_id string, word string, block long, n int, most int, least int, ids array<long>, sizes array<int>, pages array<long>, lens array<int>, times array<int>, spots array<long>"
+_SCHEMA = "manual_id string, word string, block long, n int, most int, least int, ids array<long>, sizes array<int>, pages array<long>, lens array<int>, times array<int>, spots array<long>, at array<smallint>"
 #: The row of a block that stands for all its elements.
 ALL = ""
 
@@ -42,6 +43,14 @@ class IndexHow:
     piece: int = 3
     #: Blocks of the highest bounds that are scored before the others are judged.
     first: int = 3
+    #: Rows of words hold the places of elements in the block and how often they have the word, no more: enough for ``best_of_batch``.
+    lean: bool = False
+
+
+#: A lean index has larger blocks, as its probes read all of them.
+LEAN = IndexHow(block=8192, lean=True)
+#: Elements that a task splits at once for a lean index.
+GATHERED, GATHERED_BYTES = 100_000, 16 << 20
 
 
 @dataclass(frozen=True)
@@ -74,7 +83,18 @@ def _posting_rows(how: IndexHow, segment: int):
         def lists(flat, ends):
             return pa.ListArray.from_arrays(pa.array(np.r_[0, ends], pa.int32()), flat)
 
-        for batch in batches:
+        def gathered(batches):
+            """Batches of a lean index are joined, so that a block has many elements of its manual."""
+            some, rows, size = [], 0, 0
+            for batch in batches:
+                some, rows, size = [*some, batch], rows + batch.num_rows, size + batch.nbytes
+                if rows >= GATHERED or size >= GATHERED_BYTES:
+                    yield from pa.Table.from_batches(some).combine_chunks().to_batches()
+                    some, rows, size = [], 0, 0
+            if some:
+                yield from pa.Table.from_batches(some).combine_chunks().to_batches()
+
+        for batch in gathered(batches) if how.lean else batches:
             manuals = pc.dictionary_encode(batch.column("manual_id"))
             order = np.argsort(manuals.indices.to_numpy(), kind="stable")
             batch, manual = batch.take(pa.array(order)), manuals.indices.to_numpy()[order]
@@ -126,17 +146,22 @@ def _posting_rows(how: IndexHow, segment: int):
             entries_end = np.r_[every, e_ends + len(manual)]
             n_all, blocks = len(every), np.r_[np.arange(n_blocks), key[g_first] // max(1, len(names))].astype("i8")
             head = np.flatnonzero(new)[blocks]
+            at = lists(pa.array((nth[e_row] % how.block).astype("i2"), pa.int16()), np.r_[np.zeros(n_all, "i8"), e_ends])
+            if how.lean:
+                rows_of, of_elements = rows_of[: len(manual)], np.r_[every, np.full(len(e_ends), len(manual))]
+            else:
+                of_elements = entries_end
             names = pa.concat_arrays([pa.array([ALL] * n_all, pa.string()), names.take(pa.array(key[g_first] % max(1, len(names)))).cast(pa.string())])
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("manual_id").take(pa.array(head)), names, pa.array(block + blocks), pa.array(np.diff(np.r_[0, entries_end]), pa.int32()),
                     pa.array(np.r_[reduced(np.add, lens, np.flatnonzero(new)), reduced(np.maximum, times, e_of_group)], pa.int32()),
                     pa.array(np.r_[reduced(np.minimum, lens, np.flatnonzero(new)), reduced(np.minimum, lens[e_row], e_of_group)], pa.int32()),
-                    lists(pa.array(ids[rows_of], pa.int64()), entries_end), lists(pa.array(sizes[rows_of], pa.int32()), entries_end), lists(pa.array(pages[rows_of].astype("i8")), entries_end),
-                    lists(pa.array(lens[rows_of], pa.int32()), entries_end), lists(pa.array(np.r_[np.zeros(len(manual), "i8"), times], pa.int32()), entries_end),
-                    lists(pa.array(spots, pa.int64()), np.r_[np.zeros(n_all, "i8"), s_ends]),
+                    lists(pa.array(ids[rows_of], pa.int64()), of_elements), lists(pa.array(sizes[rows_of], pa.int32()), of_elements), lists(pa.array(pages[rows_of].astype("i8")), of_elements),
+                    lists(pa.array(lens[rows_of], pa.int32()), of_elements), lists(pa.array(np.r_[np.zeros(len(manual), "i8"), times], pa.int32()), entries_end),
+                    pa.nulls(len(blocks), pa.list_(pa.int64())) if how.lean else lists(pa.array(spots, pa.int64()), np.r_[np.zeros(n_all, "i8"), s_ends]), at,
                 ],
-                names=["manual_id", "word", "block", "n", "most", "least", "ids", "sizes", "pages", "lens", "times", "spots"],
+                names=["manual_id", "word", "block", "n", "most", "least", "ids", "sizes", "pages", "lens", "times", "spots", "at"],
             )
             block += n_blocks
 
@@ -159,6 +184,8 @@ def _index(postings: DataFrame, how: IndexHow, stale: DataFrame | None = None) -
 def build(elements: DataFrame, how: IndexHow = IndexHow()) -> TextIndex:
     """elements: manual_id, element_id, text and, where there are any, pages."""
     spark = elements.sparkSession
+    if how.lean:
+        return _index(kept(_postings(elements, how, 0), "postings"), how)
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     return _index(bucketed(_postings(elements, how, 0), "postings", KEYS, buckets), how)
 
@@ -276,6 +303,155 @@ def with_all(index: TextIndex, asked: DataFrame, wanted: DataFrame) -> DataFrame
     return _scored(index, asked, features, some, scoring, []).join(wanted, "query_id").where("n = n_features").drop("block", "n_features")
 
 
+def best_of_batch(index: TextIndex, asked: DataFrame, k: int, weights: tuple[float, float] | None = None, wanted: DataFrame | None = None) -> DataFrame:
+    """The k best elements of each of many questions, of every kind of index: query_id, element_id, score, n, size, page.
+
+    asked: query_id, manual_id, feature, word. Blocks of a manual are put together to groups of about ``blocks.SIZE`` elements, each group meets
+    the manual's questions once, and k rows a question and group leave. So no row of a question, a word and a block is
+    made, and what moves does not grow with the questions but for that. Questions with the same features are asked once.
+    weights (k1, b): Okapi BM25, ties by element_id; else the number of features, then the longest, the first page. wanted: query_id, n_features; elements with all of these alone.
+    """
+    asked = kept(asked.select("query_id", "manual_id", "feature", "word"), "terms")
+    own = asked.select("query_id", "manual_id", "feature").distinct().groupBy("query_id", "manual_id").agg(F.array_sort(F.collect_list("feature")).alias("features"))
+    own = own.withColumn("n_wanted", F.lit(0)) if wanted is None else own.join(wanted.select("query_id", F.col("n_features").cast("int").alias("n_wanted")), "query_id").where(F.size("features") == F.col("n_wanted"))
+    own = kept(own, "asked")
+    words = kept(asked.select("manual_id", "word", "feature").distinct(), "words")
+    sets = own.select("manual_id", "features", "n_wanted").distinct().withColumn("set_id", F.monotonically_increasing_id())
+    sets = kept(sets, "sets")
+    if weights is not None:
+        df = index.heads.groupBy("manual_id", "word").agg(F.sum("n").alias("n")).join(words, ["manual_id", "word"]).groupBy("manual_id", "feature").agg(F.sum("n").alias("df")).join(index.statistics, "manual_id")
+        idf = F.log(1 + (F.col("elements") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+        words = kept(words.join(df.select("manual_id", "feature", "mean", idf.alias("idf")), ["manual_id", "feature"]), "words")
+    else:
+        words = words.withColumn("mean", F.lit(1.0)).withColumn("idf", F.lit(1.0))
+    plan = index.statistics.select("manual_id", F.ceil(F.col("elements") / SIZE).cast("int").alias("groups")).join(sets.groupBy("manual_id").agg(F.ceil(F.count("*") / ASKED).cast("int").alias("parts")), "manual_id")
+    plan = F.broadcast(kept(plan, "plan"))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    none = lambda kind: F.lit(None).cast(kind)
+    found = index.postings.select("manual_id", "word", "block", "at", "times").join(words, ["manual_id", "word"])
+    found = found.select("manual_id", "block", "feature", "mean", "idf", "at", "times", *[none(f"array<{t}>").alias(c) for c, t in (("ids", "long"), ("sizes", "int"), ("pages", "long"), ("lens", "int"), ("gone", "long"))])
+    whole = index.postings.where(F.col("word") == ALL).select("manual_id", "block", "ids", "sizes", "pages", "lens")
+    whole = whole.withColumn("gone", none("array<long>")) if index.stale is None else whole.join(index.stale.groupBy("block").agg(F.collect_list("element_id").alias("gone")), "block", "left")
+    whole = whole.select("manual_id", "block", none("string").alias("feature"), none("double").alias("mean"), none("double").alias("idf"), none("array<smallint>").alias("at"), none("array<int>").alias("times"), "ids", "sizes", "pages", "lens", "gone")
+    rows = found.unionByName(whole).join(plan, "manual_id").withColumn("group", F.pmod(F.xxhash64("block"), F.col("groups")).cast("int")).withColumn("part", every("parts")).drop("groups", "parts")
+    q = sets.join(plan, "manual_id").withColumn("part", F.pmod(F.xxhash64("set_id"), F.col("parts")).cast("int")).withColumn("group", every("groups")).drop("groups", "parts")
+    rows, q = rows.toDF(*rows.columns), q.toDF(*q.columns)
+    key = ["manual_id", "group", "part"]
+    best = rows.groupBy(*key).cogroup(q.groupBy(*key)).applyInArrow(_group_scores(k, weights), "set_id long, element_id long, score double, n int, size int, page long")
+    order = [F.desc("score"), "element_id"] if weights is not None else [F.desc("n"), F.desc("size"), "page", "element_id"]
+    best = best.withColumn("rn", F.row_number().over(Window.partitionBy("set_id").orderBy(*order))).where(F.col("rn") <= k).drop("rn")
+    return own.join(sets, ["manual_id", "features", "n_wanted"]).select("query_id", "set_id").join(kept(best, "best"), "set_id").drop("set_id")
+
+
+def _group_scores(k: int, weights: tuple[float, float] | None):
+    """The k best elements of a group for each set of features; all work on arrays is by feature, and once for all sets."""
+
+    def best(e, q):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        schema = pa.schema([("set_id", pa.int64()), ("element_id", pa.int64()), ("score", pa.float64()), ("n", pa.int32()), ("size", pa.int32()), ("page", pa.int64())])
+        if not e.num_rows or not q.num_rows:
+            return schema.empty_table()
+        e = e.combine_chunks()
+        is_all = np.asarray(e["ids"].is_valid()) & ~np.asarray(e["feature"].is_valid())
+        flat = lambda rows, c: np.asarray(rows[c].combine_chunks().flatten())
+        whole, found = e.filter(pa.array(is_all)), e.filter(pa.array(~is_all))
+        ids, sizes, pages, lens = (flat(whole, c) for c in ("ids", "sizes", "pages", "lens"))
+        count = np.asarray(pc.list_value_length(whole["ids"]), "i8")
+        starts, block = np.cumsum(count) - count, np.asarray(whole["block"])
+        keys = (ids,) if weights is not None else (ids, pages, -sizes.astype("i8"))
+        by = np.lexsort(keys)
+        place = np.empty(len(by), "i8")
+        place[by] = np.arange(len(by))
+        # an element that a block has several times is one; one that is replaced counts no more
+        block_of = np.repeat(block, count)
+        pair = np.lexsort((place, ids, block_of))
+        again = np.flatnonzero((ids[pair][1:] == ids[pair][:-1]) & (block_of[pair][1:] == block_of[pair][:-1])) + 1
+        for i in again:
+            place[pair[i]] = place[pair[i - 1]]
+        gone = np.zeros(len(ids), bool)
+        for b, g in zip(block, whole["gone"].to_pylist()):
+            if g:
+                gone[place[(block_of == b) & np.isin(ids, g)]] = True
+        ids, sizes, pages, lens = ids[by], sizes[by], pages[by], lens[by]
+
+        sorted_blocks = np.argsort(block)
+        length = np.asarray(pc.list_value_length(found["at"]), "i8")
+        start = starts[sorted_blocks[np.searchsorted(block[sorted_blocks], np.asarray(found["block"]))]] if found.num_rows else np.zeros(0, "i8")
+        at = place[np.repeat(start, length) + flat(found, "at")] if found.num_rows else np.zeros(0, "i8")
+        feature = found["feature"].combine_chunks().dictionary_encode()
+        code = np.repeat(np.asarray(feature.indices), length)
+        key = code.astype("i8") * max(1, len(ids)) + at
+        key, inverse = np.unique(key, return_inverse=True)
+        times = np.bincount(inverse, weights=flat(found, "times"), minlength=len(key)) if len(key) else np.zeros(0)
+        code, at = key // max(1, len(ids)), key % max(1, len(ids))
+        ends = np.searchsorted(code, np.arange(len(feature.dictionary) + 1))
+        names = {f: i for i, f in enumerate(feature.dictionary.to_pylist())}
+        _, first = np.unique(np.asarray(feature.indices), return_index=True)
+        idf, mean = np.asarray(found["idf"])[first], np.asarray(found["mean"])[first]
+        alive, parts = ~gone, {}
+
+        def part(f):
+            """Places of a feature and what it adds there; of a frequent one, what it adds everywhere."""
+            if f not in parts:
+                i = names[f]
+                span = slice(ends[i], ends[i + 1])
+                here, tf = at[span], times[span]
+                here, tf = here[alive[here]], tf[alive[here]]
+                add = np.ones(len(here), np.uint8)
+                if weights is not None:
+                    k1, b = weights
+                    add = idf[i] * (tf * (k1 + 1) / (tf + k1 * (1 - b + b * lens[here] / mean[i])))
+                if len(here) * 16 > len(ids):
+                    dense = np.zeros(len(ids), add.dtype)
+                    dense[here] = add
+                    here, add = None, dense
+                parts[f] = here, add
+            return parts[f]
+
+        out = []
+        for batch in q.select(["set_id", "features", "n_wanted"]).to_batches(max_chunksize=4096):
+            for set_id, features, wanted in zip(*[c.to_pylist() for c in batch.columns]):
+                known = [f for f in features if f in names]
+                if not known or len(known) < wanted:
+                    continue
+                score = np.zeros(len(ids), np.uint16 if weights is None else float)
+                for f in known:
+                    here, add = part(f)
+                    if here is None:
+                        score += add
+                    else:
+                        score[here] += add
+                if weights is None:
+                    chosen, left = [np.empty(0, "i8")], k
+                    for level in [wanted] if wanted else range(int(score.max(initial=0)), 0, -1):
+                        chosen.append(np.flatnonzero(score == level)[:left])
+                        left -= len(chosen[-1])
+                        if left == 0:
+                            break
+                    chosen = np.concatenate(chosen)
+                    value = score[chosen].astype(float)
+                else:
+                    # what rounds to the k-th score may have to stay
+                    if len(score) > k:
+                        low = np.partition(score, len(score) - k)[len(score) - k]
+                        chosen = np.flatnonzero((score >= low - 1e-5) & (score > 0)) if low > 0 else np.flatnonzero(score > 0)
+                    else:
+                        chosen = np.flatnonzero(score > 0)
+                    value = np.round(score[chosen], 6)
+                    top = np.lexsort((chosen, -value))[:k]
+                    chosen, value = chosen[top], value[top]
+                if len(chosen):
+                    out.append((np.full(len(chosen), set_id, "i8"), ids[chosen], value, value.astype("i4") if weights is None else np.zeros(len(chosen), "i4"), sizes[chosen], pages[chosen]))
+        if not out:
+            return schema.empty_table()
+        return pa.Table.from_arrays([pa.array(np.concatenate(c), t.type) for c, t in zip(zip(*out), schema)], schema=schema)
+
+    return best
+
+
 def _places(index: TextIndex, chosen: DataFrame, keys: list[str]) -> DataFrame:
     """Every occurrence of the words of chosen rows: their keys, element_id, size, at (the word's place) and goes_on."""
     rows = index.postings.select(*KEYS, "ids", "sizes", "spots").join(chosen.select(*keys, *KEYS), KEYS)
