@@ -65,6 +65,26 @@ def test_words_that_contain_a_part():
         assert w.containing(part).tolist() == [i for i, x in enumerate(words) if part in x]
 
 
+def test_boosts_are_the_same_where_questions_go_to_texts(spark):
+    """Hits brought their texts to the questions: a text was shuffled once a hit."""
+    from tidemill.operators import rank
+    from tidemill.plans import engine
+
+    e = [(1, 1, "m1", "list", "Rotor seal: torque 12 nm, see 100-1", None, "100-1", "rotor"), (2, 1, "m1", "paragraph", None, "{}", "100-1", None), (2, 1, "m1", "paragraph", "Rotor and seal of steel", None, "100-1", None), (3, None, "m1", "heading", "ROTOR D0001", None, None, None)]
+    elements = spark.createDataFrame([*e, e[0]], "element_id long, section_id long, manual_id string, type string, text string, table_json string, procedure_no string, drawing_code string")
+    sections = spark.createDataFrame([(1, "data", "Rotor seal", "Checking", "D0001", "a/b")], "section_id long, kind string, component_title string, action_title string, doc_code string, path string")
+    q = spark.createDataFrame([(1, "m1", "torque of the rotor seal 100-1 D0001"), (2, "m1", "steel")], "query_id long, manual_id string, text string")
+    hits = spark.createDataFrame([(a, b, 1.0 + b) for a in (1, 2) for b in (1, 2, 3)], "query_id long, element_id long, score double")
+    columns = ["query_id", "element_id", "score", "seq"]
+    want = retrieve.boosts(rank.candidates(hits, elements, sections), q).select(*columns)
+    # copies that differ share an element, so which of them comes first is open
+    scores = lambda df: sorted((r["query_id"], r["element_id"], r["score"]) for r in df.collect())
+    slim = rank.candidates(hits, engine._slim(elements), sections)
+    assert "text" not in slim.columns
+    got = retrieve.boosts(slim, q, engine._texts(elements)).select(*columns)
+    assert len(scores(want)) == 10 and scores(got) == scores(want)
+
+
 def test_codes_of_a_text_are_what_they_were(spark):
     texts = ["See AB1234-5, D000123;P1234 100-1 100-1.5", "no code", "x_D000123 D000123_x D000123-1\n200-3", None, "(M1234)/A12-34 12345", "D0001 D0002  D0003"]
     from tidemill import config
