@@ -327,11 +327,12 @@ def best_of_batch(index: TextIndex, asked: DataFrame, k: int, weights: tuple[flo
     plan = index.statistics.select("manual_id", F.ceil(F.col("elements") / SIZE).cast("int").alias("groups")).join(sets.groupBy("manual_id").agg(F.ceil(F.count("*") / ASKED).cast("int").alias("parts")), "manual_id")
     plan = F.broadcast(kept(plan, "plan"))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    none = lambda kind: F.lit(None).cast(kind)
+    # lists are empty, not null, where a row has none: null ones are gone through again for each row that is handed over behind them
+    none = lambda kind: (F.array() if kind.startswith("array") else F.lit(None)).cast(kind)
     found = index.postings.select("manual_id", "word", "block", "at", "times").join(words, ["manual_id", "word"])
     found = found.select("manual_id", "block", "feature", "mean", "idf", "at", "times", *[none(f"array<{t}>").alias(c) for c, t in (("ids", "long"), ("sizes", "int"), ("pages", "long"), ("lens", "int"), ("gone", "long"))])
     whole = index.postings.where(F.col("word") == ALL).select("manual_id", "block", "ids", "sizes", "pages", "lens")
-    whole = whole.withColumn("gone", none("array<long>")) if index.stale is None else whole.join(index.stale.groupBy("block").agg(F.collect_list("element_id").alias("gone")), "block", "left")
+    whole = whole.withColumn("gone", none("array<long>")) if index.stale is None else whole.join(index.stale.groupBy("block").agg(F.collect_list("element_id").alias("gone")), "block", "left").withColumn("gone", F.coalesce("gone", none("array<long>")))
     whole = whole.select("manual_id", "block", none("string").alias("feature"), none("double").alias("mean"), none("double").alias("idf"), none("array<smallint>").alias("at"), none("array<int>").alias("times"), "ids", "sizes", "pages", "lens", "gone")
     rows = found.unionByName(whole).join(plan, "manual_id").withColumn("group", F.pmod(F.xxhash64("block"), F.col("groups")).cast("int")).withColumn("part", every("parts")).drop("groups", "parts")
     q = sets.join(plan, "manual_id").withColumn("part", F.pmod(F.xxhash64("set_id"), F.col("parts")).cast("int")).withColumn("group", every("groups")).drop("groups", "parts")
@@ -355,7 +356,7 @@ def _group_scores(k: int, weights: tuple[float, float] | None):
         if not e.num_rows or not q.num_rows:
             return schema.empty_table()
         e = e.combine_chunks()
-        is_all = np.asarray(e["ids"].is_valid()) & ~np.asarray(e["feature"].is_valid())
+        is_all = ~np.asarray(e["feature"].is_valid())
         flat = lambda rows, c: np.asarray(rows[c].combine_chunks().flatten())
         whole, found = e.filter(pa.array(is_all)), e.filter(pa.array(~is_all))
         ids, sizes, pages, lens = (flat(whole, c) for c in ("ids", "sizes", "pages", "lens"))
