@@ -412,6 +412,9 @@ def _group_scores(k: int, weights: tuple[float, float] | None):
                 parts[f] = here, add
             return parts[f]
 
+        def kth(some):
+            return np.partition(some, len(some) - k)[len(some) - k] if len(some) > k else 0.0
+
         out = []
         for batch in q.select(["set_id", "features", "n_wanted"]).to_batches(max_chunksize=4096):
             for set_id, features, wanted in zip(*[c.to_pylist() for c in batch.columns]):
@@ -435,12 +438,11 @@ def _group_scores(k: int, weights: tuple[float, float] | None):
                     chosen = np.concatenate(chosen)
                     value = score[chosen].astype(float)
                 else:
-                    # what rounds to the k-th score may have to stay
-                    if len(score) > k:
-                        low = np.partition(score, len(score) - k)[len(score) - k]
-                        chosen = np.flatnonzero((score >= low - 1e-5) & (score > 0)) if low > 0 else np.flatnonzero(score > 0)
-                    else:
-                        chosen = np.flatnonzero(score > 0)
+                    # what rounds to the k-th score may have to stay; of a part of the scores the k-th is not above that of all
+                    least = kth(score[::16] if len(score) >= 64 * k else score)
+                    chosen = np.flatnonzero(score >= least - 1e-5) if least > 1e-5 else np.flatnonzero(score > 0)
+                    least = kth(score[chosen])
+                    chosen = chosen[(score[chosen] >= least - 1e-5) & (score[chosen] > 0)]
                     value = np.round(score[chosen], 6)
                     top = np.lexsort((chosen, -value))[:k]
                     chosen, value = chosen[top], value[top]
